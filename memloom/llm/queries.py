@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from memloom.llm import exact_dedup, mix, shard
+from memloom.llm import bpe, exact_dedup, langid, mix, shard
 from memloom.shared import table
 
 
@@ -22,5 +22,15 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.mix_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op4_sharding, op5_mixing)}
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.language_id(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op4_sharding, op5_mixing, op7_bpe, op9_language_id)}
 ORACLES: dict[str, str] = {"op1_exact_dedup": exact_dedup.ORACLE, "op4_sharding": shard.ORACLE, "op5_mixing": mix.ORACLE}
