@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from memloom.llm import bpe, exact_dedup, langid, mix, shard
+from memloom.llm import bpe, exact_dedup, langid, mix, quality, shard, topk
 from memloom.shared import table
 
 
@@ -14,6 +15,14 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard.shard(table(spark, sf_dir, "documents"))
 
@@ -32,5 +41,5 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_id(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op4_sharding, op5_mixing, op7_bpe, op9_language_id)}
-ORACLES: dict[str, str] = {"op1_exact_dedup": exact_dedup.ORACLE, "op4_sharding": shard.ORACLE, "op5_mixing": mix.ORACLE}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op2_top_k, op3_quality, op4_sharding, op5_mixing, op7_bpe, op9_language_id)}
+ORACLES: dict[str, str] = {"op1_exact_dedup": exact_dedup.ORACLE, "op2_top_k": topk.ORACLE, "op4_sharding": shard.ORACLE, "op5_mixing": mix.ORACLE}
