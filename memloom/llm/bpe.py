@@ -1,7 +1,10 @@
 """BPE encoding and decoding of whole texts with a public tokenizer file.
 
 Texts are cut at ASCII white space, which the word-end tokenizers served here
-drop, and equal pieces are encoded once per worker. A long unsplit piece goes
+drop, and equal pieces are encoded once while a worker's bounded cache holds
+them. A piece of plain letters, with or without closing marks, goes to the
+library's merge model as it is, for normalising and splitting would not change
+it; any other piece goes through the whole library. A long unsplit piece goes
 through a tree of concatenations: it is halved down to leaves, the leaves of a
 batch are encoded together, and each join re-encodes a window around it, doubled
 until both sides agree with it exactly. To agree means that a whole token, with
@@ -18,13 +21,14 @@ are encoded whole; ids may be null or repeat; other columns are not read.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterable, Iterator
 from pathlib import Path
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,11 +36,27 @@ from pyspark.sql import functions as F
 from memloom.llm.batches import pieces
 
 LEAF = 2048
-CACHE = 200_000
+CACHE = 300_000
 WINDOW = 32
 #: A pre-token boundary depends on at most so many characters to its right ("'ll").
 LOOK = 3
 
+#: The parts of a tokenizer file that leave plain letters in lower case alone.
+_PLAIN = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]},
+)
+#: Letters below this code point are their own canonical composition.
+_LATIN = "\u0250"
+#: Marks that form a piece of their own after letters.
+_MARKS = b".,!?;:|$%&#*"
+#: The byte-level alphabet: printable Latin-1 stands for itself, other bytes for code points from 256 on.
+_KEEP = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTES = {b: b for b in _KEEP} | {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in _KEEP)}
+
 Tokens = list[tuple[int, int, int]]  # id, start, end
 
 
@@ -52,8 +72,14 @@ class Encoder:
         self.tok.no_padding()
         self.leaf, self.most = leaf, cache
         self.known: dict[bytes, tuple[bytes, bytes]] = {}
+        self.older: dict[bytes, tuple[bytes, bytes]] = {}
         added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.added = re.compile("(" + "|".join(map(re.escape, added)) + ")") if added else None
+        self.low_added = [a.lower().encode() for a in added]
+        self.names = {i: t for t, i in self.tok.get_vocab().items()}
+        spec = json.loads(text)
+        # Only where letters in lower case pass the normaliser and the splitter unchanged is there a way past them.
+        self.plain = _PLAIN == (spec.get("normalizer"), spec.get("pre_tokenizer")) and not spec.get("post_processor")
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
@@ -88,18 +114,61 @@ class Encoder:
                 return a, b, x[: ends[0]] + mid[ends[1] : starts[0]] + y[starts[1] :]
             w *= 2
 
+    def _pieces(self, text: str | None) -> list[bytes]:
+        raw = (text or "").encode()
+        if self.plain:
+            low = raw.lower()
+            if not any(a in low for a in self.low_added):  # those are looked for before lower-casing
+                raw = low
+        return raw.split()
+
+    def _letters(self, piece: bytes) -> tuple[bytes, bytes] | None:
+        """The encoding of letters that the normaliser leaves alone, or None."""
+        word = piece.decode()
+        if not word.isalpha() or max(word) >= _LATIN or word != word.lower():
+            return None
+        return self._packed([t.id for t in self.tok.model.tokenize(word if word.isascii() else piece.decode("latin-1").translate(_BYTES))])
+
+    def _packed(self, ids: list[int]) -> tuple[bytes, bytes]:
+        return array("I", ids).tobytes(), self.decode(ids).encode()
+
+    def _learn(self, new: set[bytes]) -> None:
+        """Put the encodings of ``new`` pieces into the cache."""
+        if len(self.known) + len(new) > self.most:
+            self.known, self.older = {}, self.known
+        rest: list[bytes] = []
+        tails: dict[bytes, list[tuple[bytes, tuple[bytes, bytes]]]] = {}
+        for w in new:
+            if (found := self.older.get(w)) is not None:
+                self.known[w] = found
+                continue
+            if self.plain and len(w) <= self.leaf:
+                body = w.rstrip(_MARKS)
+                if body and (head := self._letters(body)):
+                    if len(body) == len(w):
+                        self.known[w] = head
+                    else:
+                        tails.setdefault(w[len(body) :], []).append((w, head))
+                    continue
+            rest.append(w)
+        rest += [t for t in tails if t not in self.known and t not in new]
+        short = [w for w in rest if len(w) <= self.leaf]
+        long = [w for w in rest if len(w) > self.leaf]
+        for words, ids in ((short, self._encode([w.decode() for w in short])), (long, self.tree([w.decode() for w in long]))):
+            for w, x in zip(words, ids, strict=True):
+                self.known[w] = self._packed(x)
+        for tail, heads in tails.items():
+            ids, names = self.known[tail]
+            for w, head in heads:
+                self.known[w] = head[0] + ids, head[1] + b" " + names
+
     def encode(self, texts: list[str | None]) -> list[tuple[bytes, bytes]]:
         """Per text its ids as little-endian unsigned 32-bit integers, and its tokens' strings joined by spaces, in UTF-8."""
-        split = [(t or "").encode().split() for t in texts]
+        split = [self._pieces(t) for t in texts]
         new = {w for ws in split for w in ws if w not in self.known}
         if len(self.known) + len(new) > self.most:
-            self.known.clear()
             new = {w for ws in split for w in ws}
-        short = [w for w in new if len(w) <= self.leaf]
-        long = [w for w in new if len(w) > self.leaf]
-        for words, ids in ((short, self._encode([w.decode() for w in short])), (long, self.tree([w.decode() for w in long]))):
-            for w, x in zip(words, ids, strict=True):
-                self.known[w] = np.array(x, "<u4").tobytes(), self.decode(x).encode()
+        self._learn(new)
         out = []
         for ws in split:
             found = [self.known[w] for w in ws]
@@ -110,7 +179,7 @@ class Encoder:
         """As the library decodes a file without a decoder: the tokens' strings, joined by spaces."""
         if self.tok.decoder is not None:
             raise ValueError("this operator serves tokenizer files without a decoder")
-        return " ".join(s for s in map(self.tok.id_to_token, ids) if s is not None)
+        return " ".join([self.names[i] for i in ids if i in self.names])
 
 
 def _halved(a: int, b: int, leaf: int) -> list[int]:
