@@ -32,6 +32,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,6 +45,8 @@ STEMS = (3, 4, 5, 6, 7, 8)
 VOTERS = 12
 ENTRIES = 6_000
 TERMS = 10_000
+BANDS = 6
+_SALT = np.random.Generator(np.random.PCG64(7)).integers(1, 1 << 62, (BANDS * 4, 2), np.uint64) * np.uint64(2) + np.uint64(1)
 _WORD = re.compile(r"[^\W\d_]+")
 TOXIC, CLEAN, ABSTAIN = 1, -1, 0
 
@@ -113,6 +116,67 @@ def label_model(votes: np.ndarray, prior: float, rounds: int = 30, passes: int =
     return LabelModel(prior, chances, weight, accuracy, correlation)
 
 
+class Sample:
+    """Labelled documents as arrays: each distinct word once, documents as runs of word numbers.
+
+    Words are grouped by their beginnings one length at a time, so memory follows
+    the words of the sample and not the words times the lengths.
+    """
+
+    def __init__(self, words_of: pa.ListArray):
+        coded = words_of.flatten().dictionary_encode()
+        self.vocabulary: list[str] = coded.dictionary.to_pylist()
+        self.word = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        sizes = np.diff(words_of.offsets.to_numpy())
+        self.n = len(sizes)
+        self.doc = np.repeat(np.arange(self.n), sizes)
+
+    def terms(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Per kind of term: its names, each word's term (-1: none), and the documents and terms of all distinct pairs."""
+        lengths = np.array([len(w) for w in self.vocabulary], np.int64)
+        for size in (0, *STEMS):
+            if size:
+                some = np.flatnonzero(lengths > size)
+                names, inverse = np.unique(np.array([self.vocabulary[i][:size] for i in some], f"U{size}"), return_inverse=True)
+                of = np.full(len(lengths), -1)
+                of[some] = inverse
+                term = of[self.word]
+                pairs = np.unique(self.doc[term >= 0] * (len(names) + 1) + term[term >= 0])
+                yield np.char.add(names, "*"), of, pairs // (len(names) + 1), pairs % (len(names) + 1)
+            else:
+                yield np.array(self.vocabulary, object), np.arange(len(lengths)), self.doc, self.word
+
+
+def contexts(low: np.ndarray) -> np.ndarray:
+    """A weight for each document, 1 / (the near copies of it among them): copies of one document tell one thing once.
+
+    ``low`` holds minimum hashes of the documents' word runs; near copies have one of ``BANDS`` groups of them in common.
+    """
+    n, width = len(low), low.shape[1] // BANDS
+    top = list(range(n))
+
+    def find(i: int) -> int:
+        while top[i] != i:
+            top[i] = top[top[i]]
+            i = top[i]
+        return i
+
+    for b in range(BANDS):
+        first: dict[tuple, int] = {}
+        for i, key in enumerate(map(tuple, low[:, b * width : (b + 1) * width].tolist())):
+            top[find(i)] = find(first.setdefault(key, i))
+    size = Counter(find(i) for i in range(n))
+    return np.array([1 / size[find(i)] for i in range(n)])
+
+
+def minima(text: str | None) -> list[int]:
+    """Minimum hashes of the text's runs of three words."""
+    h = np.array([xxhash.xxh64_intdigest(w) for w in (text or "").lower().encode().split()] or [0], np.uint64)
+    with np.errstate(over="ignore"):
+        runs = h if len(h) < 3 else h[:-2] * _SALT[0, 0] + (h[1:-1] ^ h[2:] * _SALT[1, 0]) * _SALT[2, 0]
+        return [int(((runs * a) ^ ((runs * b) >> np.uint64(31))).min() >> np.uint64(1)) for a, b in _SALT]
+
+
 @dataclass
 class Lexicon:
     """Entries and the voter that each was dealt to."""
@@ -127,50 +191,29 @@ class Lexicon:
                     hit[v] = TOXIC
         return [*hit, ABSTAIN if any(hit) else CLEAN, *patterns(text)]
 
+    def sample_votes(self, sample: Sample) -> np.ndarray:
+        """The lexicon voters' votes, and the clean voter's, on every document of a sample."""
+        hit = np.zeros((sample.n, VOTERS), bool)
+        for names, _, doc, term in sample.terms():
+            of = np.array([self.voter.get(t, -1) for t in names])
+            some = of[term] >= 0
+            hit[doc[some], of[term[some]]] = True
+        return np.hstack([np.where(hit, TOXIC, ABSTAIN), np.where(hit.any(axis=1), ABSTAIN, CLEAN)[:, None]])
 
-def contexts(rows: list[set[str]], bands: int = 6, width: int = 4) -> np.ndarray:
-    """A weight for each document, 1 / (the near copies of it among them): copies of one document tell one thing once.
-
-    Near copies share one of ``bands`` tuples of ``width`` minimum hashes over their words that about a hundredth of the documents hold at most.
-    """
-    many = Counter(w for r in rows for w in r)
-    rare = [[w for w in r if many[w] * 100 < len(rows) + 1000] or list(r) for r in rows]
-    number = {w: i for i, w in enumerate(sorted({w for r in rare for w in r}))}
-    salt = np.random.Generator(np.random.PCG64(7)).integers(1, 1 << 62, (bands * width, 2), np.uint64) | np.uint64(1)
-    table = (np.arange(len(number), dtype=np.uint64)[:, None] + np.uint64(1)) * salt[:, 0] + salt[:, 1]
-    table = (table ^ (table >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    top = list(range(len(rows)))
 
-    def find(i: int) -> int:
-        while top[i] != i:
-            top[i] = top[top[i]]
-            i = top[i]
-        return i
-
-    first: dict[tuple, int] = {}
-    for i, r in enumerate(rare):
-        low = table[[number[w] for w in r]].min(axis=0).tolist() if r else [0] * (bands * width)
-        for b in range(bands):
-            j = first.setdefault((b, *low[b * width : (b + 1) * width]), i)
-            top[find(i)] = find(j)
-    size = Counter(find(i) for i in range(len(rows)))
-    return np.array([1 / size[find(i)] for i in range(len(rows))])
-
-
-def lexicon(rows: list[set[str]], y: np.ndarray, weight: np.ndarray) -> Lexicon:
+def lexicon(sample: Sample, y: np.ndarray, weight: np.ndarray) -> Lexicon:
     """Terms that hardly any clean document holds and so many toxic ones (near copies count once) that chance can't be why, the commonest first, dealt in turn."""
-    toxic, clean = Counter(), Counter()
-    for r, k, w in zip(rows, y, weight, strict=True):
-        into = toxic if k else clean
-        for x in {x for v in r for x in terms(v)}:
-            into[x] += w
     rate = float((y * weight).sum() / max(weight.sum(), 1e-9))
     if not 0 < rate < 1:
         return Lexicon()
-    need = (np.log(len(toxic) + len(clean) + 1) + 2) / np.log(1 / rate)
-    good = [t for t, c in toxic.items() if c >= need and clean[t] <= 0.02 * c]
-    good.sort(key=lambda t: (-toxic[t], t))
-    return Lexicon({t: i % VOTERS for i, t in enumerate(good[:ENTRIES])})
+    found, kinds = [], 1
+    for names, _, doc, term in sample.terms():
+        toxic, clean = (np.bincount(term, (weight * k)[doc], len(names)) for k in (y, 1 - y))
+        kinds += len(names)
+        found += [(-float(toxic[i]), str(names[i])) for i in np.flatnonzero((toxic > 1) & (clean <= 0.02 * toxic))]
+    need = (np.log(kinds) + 2) / np.log(1 / rate)
+    good = sorted(x for x in found if -x[0] >= need)
+    return Lexicon({t: i % VOTERS for i, (_, t) in enumerate(good[:ENTRIES])})
 
 
 @dataclass
@@ -196,33 +239,41 @@ class Linear:
         return 1 / (1 + np.exp(-np.clip(out, -40, 40)))
 
 
-def linear(docs: list[set[str]], post: np.ndarray, weight: np.ndarray, steps: int = 1500, l2: float = 1e-4, sure: float = 5.0) -> Linear:
-    """Logistic regression on posterior labels, over at most ``TERMS`` terms that lie ``sure`` deviations off chance."""
-    rows = [{x for w in r for x in terms(w)} for r in docs]
-    many, toxic = Counter(), Counter()
-    for r, p, k in zip(rows, post, weight, strict=True):
-        for x in r:
-            many[x] += k
-            toxic[x] += p * k
+def linear(sample: Sample, post: np.ndarray, weight: np.ndarray, steps: int = 1500, l2: float = 1e-4, sure: float = 5.0, clear: float = 0.9) -> Linear:
+    """Logistic regression on posterior labels, over at most ``TERMS`` terms that lie ``sure`` deviations off chance.
+
+    Terms that speak for label 1 must do so in the share ``clear`` of their documents, or long texts would gather it from many weak ones.
+    """
     n = max(1e-9, float(weight.sum()))
     rate = float(post @ weight / n)
-    told = {t: (toxic[t] - c * rate) / np.sqrt(c * rate * (1 - rate) + 0.25) for t, c in many.items()}
-    chosen = sorted((t for t, z in told.items() if abs(z) > sure), key=lambda t: (-abs(told[t]), t))[:TERMS]
-    at = {t: i for i, t in enumerate(chosen)}
-    ids = [sorted(at[x] for x in r if x in at) for r in rows]
-    col = np.array([c for r in ids for c in r], np.int64)
-    row = np.repeat(np.arange(len(ids)), [len(r) for r in ids])
-    w, b = np.zeros(len(chosen)), np.log(max(rate, 1e-3) / max(1 - rate, 1e-3))
-    gw, gb = np.full(len(chosen), 1e-6), 1e-6  # AdaGrad: rare terms still learn fast
-    for _ in range(steps):
-        raw = b + np.bincount(row, w[col], len(ids))
+    chosen: list[tuple[float, str]] = []
+    pairs = []
+    for names, _, doc, term in sample.terms():
+        many, toxic = np.bincount(term, weight[doc], len(names)), np.bincount(term, (weight * post)[doc], len(names))
+        told = np.abs(toxic - many * rate) / np.sqrt(many * rate * (1 - rate) + 0.25)
+        good = (told > sure) & ((toxic >= clear * many) | (toxic < many * rate))
+        place = np.full(len(names), -1)
+        place[good] = len(chosen) + np.arange(good.sum())
+        chosen += [(-float(told[i]), str(names[i])) for i in np.flatnonzero(good)]
+        some = good[term]
+        pairs.append((doc[some], place[term[some]]))
+    order = sorted(range(len(chosen)), key=chosen.__getitem__)[:TERMS]
+    to = np.full(len(chosen), -1)
+    to[order] = np.arange(len(order))
+    row, col = np.concatenate([p[0] for p in pairs]), to[np.concatenate([p[1] for p in pairs])]
+    row, col = row[col >= 0], col[col >= 0]
+    names = [chosen[i][1] for i in order]
+    w, b = np.zeros(len(names)), np.log(max(rate, 1e-3) / max(1 - rate, 1e-3))
+    x = np.append(w, b)
+    m, v = np.zeros(len(x)), np.zeros(len(x))
+    for step in range(1, steps + 1):  # Adam with a falling rate
+        raw = x[-1] + np.bincount(row, x[col], sample.n)
         d = (1 / (1 + np.exp(-np.clip(raw, -40, 40))) - post) * weight / n
-        g = np.bincount(col, d[row], len(chosen)) + l2 * w / n
-        gw += g * g
-        gb += d.sum() ** 2
-        w -= 0.5 * g / np.sqrt(gw)
-        b -= 0.5 * d.sum() / np.sqrt(gb)
-    return Linear({t: float(x) for t, x in zip(chosen, w, strict=True) if abs(x) > 1e-3}, float(b))
+        g = np.append(np.bincount(col, d[row], len(names)) + l2 * x[:-1] / n, d.sum())
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        x -= 0.1 * (1 - step / (steps + 1)) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-12)
+    w, b = x[:-1], x[-1]
+    return Linear({t: float(x) for t, x in zip(names, w, strict=True) if abs(x) > 1e-3}, float(b))
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> tuple[Linear, LabelModel | None, Lexicon]:
@@ -231,18 +282,20 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> tuple[Linea
     def reduce(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Only what the voters and the classifier look at leaves the executors.
         for batch, texts in pieces(batches, 0):
-            yield pa.record_batch([pa.array([" ".join(sorted(words(t))) for t in texts], pa.string()), pa.array([patterns(t) for t in texts], pa.list_(pa.int32())), batch.column(1)], names=["w", "p", "y"])
+            columns = [pa.array([sorted(words(t)) for t in texts], pa.list_(pa.string())), pa.array([patterns(t) for t in texts], pa.list_(pa.int32())), pa.array([minima(t) for t in texts], pa.list_(pa.int64())), batch.column(1)]
+            yield pa.record_batch(columns, names=["w", "p", "m", "y"])
 
-    got = labelled(docs, labels, "toxic", rows).mapInArrow(reduce, "w string, p array<int>, y double").orderBy("y", "w", "p").toArrow()
+    got = labelled(docs, labels, "toxic", rows).mapInArrow(reduce, "w array<string>, p array<int>, m array<long>, y double").orderBy("y", "m").toArrow()
     if not got.num_rows:
         return Linear({}, -40.0), None, Lexicon()
-    texts, y = got.column("w").to_pylist(), got.column("y").to_numpy()
-    rows = [words(t) for t in texts]
-    weight = contexts(rows)
-    lex = lexicon(rows, y, weight)
-    votes = np.array([lex.votes(t)[: VOTERS + 1] + p for t, p in zip(texts, got.column("p").to_pylist(), strict=True)])
+    y, low, shown = got.column("y").to_numpy(), np.array(got.column("m").to_pylist()), np.array(got.column("p").to_pylist())
+    sample = Sample(pa.concat_arrays(got.column("w").chunks))
+    del got
+    weight = contexts(low)
+    lex = lexicon(sample, y, weight)
+    votes = np.hstack([lex.sample_votes(sample), shown])
     model = label_model(votes, float(y.mean()))
-    return linear(rows, model.posterior(votes), weight), model, lex
+    return linear(sample, model.posterior(votes), weight), model, lex
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
