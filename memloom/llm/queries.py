@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memloom.llm import bpe, exact_dedup, langid, mix, quality, secrets, shard, topk, toxicity
+from memloom.llm import bpe, exact_dedup, jaccard, langid, mix, quality, secrets, shard, topk, toxicity
 from memloom.shared import table
 
 
@@ -41,6 +41,10 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
 
 
+def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_id(table(spark, sf_dir, "documents"))
 
@@ -49,5 +53,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op2_top_k, op3_quality, op4_sharding, op5_mixing, op6_secrets, op7_bpe, op9_language_id, op10_toxicity)}
-ORACLES: dict[str, str] = {"op1_exact_dedup": exact_dedup.ORACLE, "op2_top_k": topk.ORACLE, "op4_sharding": shard.ORACLE, "op5_mixing": mix.ORACLE}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op2_top_k, op3_quality, op4_sharding, op5_mixing, op6_secrets, op7_bpe, op8_jaccard, op9_language_id, op10_toxicity)}
+ORACLES: dict[str, str] = {"op1_exact_dedup": exact_dedup.ORACLE, "op2_top_k": topk.ORACLE, "op4_sharding": shard.ORACLE, "op5_mixing": mix.ORACLE, "op8_jaccard": jaccard.ORACLE}
