@@ -195,7 +195,7 @@ class Lexicon:
         """The lexicon voters' votes, and the clean voter's, on every document of a sample."""
         hit = np.zeros((sample.n, VOTERS), bool)
         for names, _, doc, term in sample.terms():
-            of = np.array([self.voter.get(t, -1) for t in names])
+            of = np.array([self.voter.get(t, -1) for t in names], np.int64)
             some = of[term] >= 0
             hit[doc[some], of[term[some]]] = True
         return np.hstack([np.where(hit, TOXIC, ABSTAIN), np.where(hit.any(axis=1), ABSTAIN, CLEAN)[:, None]])
