@@ -8,20 +8,22 @@ search for the documents that the short ones leave (DivideSkip; Li, Lu and Lu,
 2008); those that reach the required overlap are retained.
 
 A search needs all lists of a document in one place, so documents first meet in
-clusters that no link leaves. For a range of sizes the hash space of shingles is
-cut into more parts than two linked sets can differ in, so linked sets agree
-wholly on some part (the pigeonhole of PartEnum; Arasu et al., 2006). Documents
-with an equal part are joined, in one shuffle of part signatures, and the
-components of that graph are the clusters. Unrelated documents hardly ever agree
-on a whole part, however many passages they share, so clusters stay small.
-
+clusters that no link leaves. All shingles are put into one order, rare ones
+first, and each document sends only its first ``n - ceil(t * n) + 1`` of ``n``
+shingles: linked documents have one of these in common (prefix filter; Chaudhuri
+et al., 2006). The components of the graph that joins documents with a common
+sent shingle are the clusters. As passages that many documents share come last in
+the order, unrelated documents hardly ever meet.
+
+* The order follows a sketch of counters over all documents, gathered in the same
+  pass as the sets' keys: 16 bits each, about one for eight shingles, and
+  ``MOST_COUNTERS`` at most, which bounds the broadcast at 64 MB. Any order gives
+  the same links; where counters are shared, it is less sharp and clusters grow.
 * Documents with equal sets are one class; only its smallest id is searched.
 * A cluster is cut into blocks of ``BLOCK`` classes. Each block is searched with
   the cluster's smallest member added. Only where that leaves a large cluster in
   several pieces are the classes outside its largest piece searched against all
   of its blocks. Classes known to be connected are skipped in every search.
-* A part that is empty in many sets is no evidence: sets with up to ``spare``
-  empty parts don't send them, for which there are ``spare`` parts more.
 
 Shingles are compared by 64-bit hashes, sets by 128 bits of sums of those.
 
@@ -35,6 +37,7 @@ from __future__ import annotations
 
 import heapq
 import math
+import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -48,7 +51,11 @@ from memloom.llm.components import components
 from memloom.shared import cut
 
 BLOCK = 1024
-RATIO = 1.25
+#: Ids that may be broadcast: a hash table of 500,000 longs takes some 16 MB.
+MOST_SENT = 500_000
+MOST_COUNTERS = 1 << 25
+_CHUNK = 1 << 16
+_FULL = 65535
 HOT_SHARE = 256
 MU = 0.01
 _C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -92,50 +99,14 @@ def set_key(h: np.ndarray) -> tuple[int, int]:
     return int(_mix(h ^ _C1).sum(dtype=np.uint64).astype(np.int64)), int((_mix(h + _C3) * _C1).sum(dtype=np.uint64).astype(np.int64))
 
 
-class Scheme:
-    """How sets are cut into parts, for pairs whose larger size lies in an interval."""
-
-    def __init__(self, num: int, den: int, ratio: float = RATIO, most: int = 1 << 40):
-        self.num, self.den = num, den
-        lo, self.bounds = 1, []
-        while lo <= most:
-            hi = max(lo, int(lo * ratio))
-            differ = 2 * hi * (den - num) // (den + num)
-            least = -(-num * lo // den)
-            spare = 0
-            while self._crowded(least, differ + 1 + spare, spare) > 1e-6 and spare < 2 * differ + 6:
-                spare += max(1, spare // 16)
-            parts = differ + 1 + spare
-            self.bounds.append((lo, hi, parts, spare))
-            lo = hi + 1
-        self.tops = np.array([b[1] for b in self.bounds])
-
-    @staticmethod
-    def _crowded(n: int, parts: int, spare: int) -> float:
-        """A bound on the chance that ``n`` hashes leave more than ``spare`` of the parts empty."""
-        none = spare + 1
-        if none >= parts:
-            return 0.0
-        ways = math.lgamma(parts + 1) - math.lgamma(none + 1) - math.lgamma(parts - none + 1)
-        return math.exp(min(0.0, ways + n * math.log1p(-none / parts)))
-
-    def signatures(self, h: np.ndarray) -> np.ndarray:
-        """Signatures of the parts of a sorted set, in the scheme of its own size and those of larger partners."""
-        n, out = len(h), []
-        mixed = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix(h + _C1), dtype=np.uint64)])
-        for i in range(int(np.searchsorted(self.tops, n)), len(self.bounds)):
-            lo, _, parts, spare = self.bounds[i]
-            if self.num * lo > self.den * n:
-                break
-            part = ((h >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-            starts = np.concatenate([[0], np.flatnonzero(part[1:] != part[:-1]) + 1])
-            sums = mixed[np.concatenate([starts[1:], [n]])] - mixed[starts]
-            there = part[starts]
-            if parts - len(starts) > spare:
-                none = np.setdiff1d(np.arange(parts, dtype=np.uint64), there)
-                sums, there = np.concatenate([sums, np.zeros(len(none), np.uint64)]), np.concatenate([there, none])
-            out.append(_mix(_mix(sums + there * _C2) + np.uint64(i * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)))
-        return np.concatenate(out).astype(np.int64)
+def prefix(h: np.ndarray, counts: np.ndarray, num: int, den: int) -> np.ndarray:
+    """The shingles that a sorted set sends: the rarest by the sketch, then by hash."""
+    send = len(h) - -(-num * len(h) // den) + 1
+    return h[np.argsort(counts[_counter(h, len(counts))], kind="stable")[:send]]
+
+
+def _counter(h: np.ndarray, counters: int) -> np.ndarray:
+    return (h >> np.uint64(65 - counters.bit_length())).astype(np.int64) if counters > 1 else np.zeros(len(h), np.int64)
 
 
 def search(sets: list[np.ndarray], num: int, den: int, asked: np.ndarray | None = None, piece: np.ndarray | None = None, mu: float = MU) -> list[tuple[int, int]]:
@@ -205,10 +176,12 @@ def _probe(postings: np.ndarray, lo: np.ndarray, hi: np.ndarray, y: int) -> int:
     return int(((lo < end) & (postings[np.minimum(lo, len(postings) - 1)] == y)).sum())
 
 
-def _profiles(rows: DataFrame, k: int) -> DataFrame:
-    """``id, n, a, b``: the size and the key of every document's set."""
+def _profiles(rows: DataFrame, k: int, counters: int) -> DataFrame:
+    """``id, n, a, b``: the size and the key of every document's set; and, with ``chunk`` set, each task's counters in ``counts``."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(counters, np.uint16)
+        names = ["id", "n", "a", "b", "chunk", "counts"]
         for batch, texts in pieces(batches, 1):
             n, a, b = [], [], []
             for t in texts:
@@ -217,13 +190,38 @@ def _profiles(rows: DataFrame, k: int) -> DataFrame:
                 n.append(len(h))
                 a.append(key[0])
                 b.append(key[1])
-            yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["id", "n", "a", "b"])
+                at = _counter(h, counters)
+                at = at[total[at] < _FULL]
+                np.add.at(total, at, np.uint16(1))
+            yield pa.record_batch([batch.column(0), *(pa.array(x, pa.int64()) for x in (n, a, b)), pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.binary())], names=names)
+        for c in range(0, counters, _CHUNK):
+            part = total[c : c + _CHUNK]
+            if part.any():
+                yield pa.record_batch([*(pa.nulls(1, pa.int64()) for _ in range(4)), pa.array([c], pa.int64()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], names=names)
+
+    return rows.mapInArrow(run, "id long, n long, a long, b long, chunk long, counts binary")
+
 
-    return rows.mapInArrow(run, "id long, n long, a long, b long")
+def _sketch(profiles: DataFrame, counters: int) -> np.ndarray:
+    """The tasks' counters, added up on the executors chunk by chunk."""
 
+    def add(part: pa.Table) -> pa.Table:
+        total = np.zeros(_CHUNK, np.int64)
+        for x in part.column("counts"):
+            got = np.frombuffer(zlib.decompress(x.as_py()), np.uint16)
+            total[: len(got)] += got
+        return pa.table({"chunk": part.column("chunk").slice(0, 1), "counts": pa.array([np.minimum(total, _FULL).astype(np.uint16).tobytes()], pa.binary())})
 
-def _signatures(rows: DataFrame, k: int, scheme: Scheme) -> DataFrame:
-    """``sig, id`` of the parts of each set that a task meets first."""
+    out = np.zeros(max(counters, _CHUNK), np.uint16)
+    # ``counters`` of 16 bits altogether, MOST_COUNTERS at most.
+    for r in profiles.filter("chunk IS NOT NULL").select("chunk", "counts").groupBy("chunk").applyInArrow(add, "chunk long, counts binary").toLocalIterator():
+        out[r["chunk"] : r["chunk"] + _CHUNK] = np.frombuffer(r["counts"], np.uint16)
+    return out[:counters]
+
+
+def _prefixes(rows: DataFrame, k: int, num: int, den: int, counts: np.ndarray) -> DataFrame:
+    """``sig, id``: the shingles that each set sends, unless the task has met its equal."""
+    sent = rows.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
@@ -235,11 +233,11 @@ def _signatures(rows: DataFrame, k: int, scheme: Scheme) -> DataFrame:
                     continue
                 if len(seen) < 1_000_000:
                     seen.add(key)
-                s = scheme.signatures(h)
+                s = prefix(h, sent.value, num, den)
                 sigs.append(s)
                 ids.append(np.full(len(s), i, np.int64))
             if sigs:
-                yield pa.record_batch([pa.array(np.concatenate(sigs)), pa.array(np.concatenate(ids))], names=["sig", "id"])
+                yield pa.record_batch([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(ids))], names=["sig", "id"])
 
     return rows.mapInArrow(run, "sig long, id long")
 
@@ -261,6 +259,11 @@ def _meetings(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array(pairs[0]), pa.array(pairs[1])], names=["u", "v"])
 
 
+def bounded(ids: DataFrame) -> DataFrame:
+    """Marks a table of ids for broadcast if, counted, it has ``MOST_SENT`` rows at most; else texts are shuffled to meet it."""
+    return F.broadcast(ids) if ids.count() <= MOST_SENT else ids
+
+
 def _cells(cells: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """Links ``u, v`` found in every cell of ``cells`` (``label, i, j, rep, asked, piece``)."""
 
@@ -268,7 +271,7 @@ def _cells(cells: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> Da
         for batch, part in pieces(batches, 1):
             yield pa.record_batch([batch.column(0), pa.array([shingles(t, k).tobytes() for t in part], pa.binary())], names=["rep", "set"])
 
-    wanted = cells.select("rep").distinct()
+    wanted = bounded(cells.select("rep").distinct())
     found = texts.select(F.col("id").alias("rep"), "text").join(wanted, "rep", "left_semi").mapInArrow(sets, "rep long, set binary")
 
     def run(cell: pa.Table) -> pa.Table:
@@ -311,12 +314,15 @@ def _links(clusters: DataFrame, texts: DataFrame, k: int, num: int, den: int, bl
     return links.unionByName(cut(_cells(second, texts, k, num, den), "links"))
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, ratio: float = RATIO) -> DataFrame:
+def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row; ``component_id`` is the smallest id that links reach."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    base = cut(_profiles(rows, k), "profiles")
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    counters = min(MOST_COUNTERS, 1 << max(10, (size // 48).bit_length()))
+    profiles = cut(_profiles(rows, k, counters), "profiles")
+    base = profiles.filter("chunk IS NULL").select("id", "n", "a", "b")
     classes = base.filter("n > 0 AND id IS NOT NULL").groupBy("a", "b").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    met = _signatures(rows, k, Scheme(num, den, ratio)).repartition("sig").sortWithinPartitions("sig", "id").mapInArrow(_meetings, "u long, v long")
+    met = _prefixes(rows, k, num, den, _sketch(profiles, counters)).repartition("sig").sortWithinPartitions("sig", "id").mapInArrow(_meetings, "u long, v long")
     labels = components(met)
     nodes = labels.join(base.select(F.col("id").alias("node"), "a", "b"), "node").select("label", "a", "b").distinct()
     clusters = nodes.join(classes, ["a", "b"]).select("label", "rep")
@@ -338,7 +344,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
 def keep_representatives(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose id is their component's smallest, with all columns; rows with a null id stay."""
     found = jaccard_components(docs, k, num, den, id_col, text_col)
-    gone = found.filter("component_id < doc_id").select(F.col("doc_id").alias(id_col)).distinct()
+    gone = bounded(cut(found.filter("component_id < doc_id").select(F.col("doc_id").alias(id_col)).distinct(), "gone"))
     return docs.join(gone, id_col, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
