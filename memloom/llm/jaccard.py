@@ -19,6 +19,12 @@ the order, unrelated documents hardly ever meet.
   pass as the sets' keys: 16 bits each, about one for eight shingles, and
   ``MOST_COUNTERS`` at most, which bounds the broadcast at 64 MB. Any order gives
   the same links; where counters are shared, it is less sharp and clusters grow.
+* Clusters of more than ``BLOCK`` sets are divided once more. For a range of sizes the
+  hash space of shingles is cut into more parts than two linked sets can differ in,
+  so linked sets agree wholly on some part (the pigeonhole of PartEnum; Arasu et al.,
+  2006). Within a cluster, sets with an equal part stay together. A part that is
+  empty in many sets is no evidence: sets with up to ``spare`` empty parts don't send
+  them, for which there are ``spare`` parts more.
 * Documents with equal sets are one class; only its smallest id is searched.
 * A cluster is cut into blocks of ``BLOCK`` classes. Each block is searched with
   the cluster's smallest member added. Only where that leaves a large cluster in
@@ -54,6 +60,7 @@ BLOCK = 1024
 #: Ids that may be broadcast: a hash table of 500,000 longs takes some 16 MB.
 MOST_SENT = 500_000
 MOST_COUNTERS = 1 << 25
+RATIO = 1.25
 _CHUNK = 1 << 16
 _FULL = 65535
 HOT_SHARE = 256
@@ -109,6 +116,52 @@ def _counter(h: np.ndarray, counters: int) -> np.ndarray:
     return (h >> np.uint64(65 - counters.bit_length())).astype(np.int64) if counters > 1 else np.zeros(len(h), np.int64)
 
 
+class Scheme:
+    """How sets are cut into parts, for pairs whose larger size lies in an interval."""
+
+    def __init__(self, num: int, den: int, ratio: float = RATIO, most: int = 1 << 40):
+        self.num, self.den = num, den
+        lo, self.bounds = 1, []
+        while lo <= most:
+            hi = max(lo, int(lo * ratio))
+            differ = 2 * hi * (den - num) // (den + num)
+            least = -(-num * lo // den)
+            spare = 0
+            while self._crowded(least, differ + 1 + spare, spare) > 1e-6 and spare < 2 * differ + 6:
+                spare += max(1, spare // 16)
+            parts = differ + 1 + spare
+            self.bounds.append((lo, hi, parts, spare))
+            lo = hi + 1
+        self.tops = np.array([b[1] for b in self.bounds])
+
+    @staticmethod
+    def _crowded(n: int, parts: int, spare: int) -> float:
+        """A bound on the chance that ``n`` hashes leave more than ``spare`` of the parts empty."""
+        none = spare + 1
+        if none >= parts:
+            return 0.0
+        ways = math.lgamma(parts + 1) - math.lgamma(none + 1) - math.lgamma(parts - none + 1)
+        return math.exp(min(0.0, ways + n * math.log1p(-none / parts)))
+
+    def signatures(self, h: np.ndarray) -> np.ndarray:
+        """Signatures of the parts of a sorted set, in the scheme of its own size and those of larger partners."""
+        n, out = len(h), []
+        mixed = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix(h + _C1), dtype=np.uint64)])
+        for i in range(int(np.searchsorted(self.tops, n)), len(self.bounds)):
+            lo, _, parts, spare = self.bounds[i]
+            if self.num * lo > self.den * n:
+                break
+            part = ((h >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+            starts = np.concatenate([[0], np.flatnonzero(part[1:] != part[:-1]) + 1])
+            sums = mixed[np.concatenate([starts[1:], [n]])] - mixed[starts]
+            there = part[starts]
+            if parts - len(starts) > spare:
+                none = np.setdiff1d(np.arange(parts, dtype=np.uint64), there)
+                sums, there = np.concatenate([sums, np.zeros(len(none), np.uint64)]), np.concatenate([there, none])
+            out.append(_mix(_mix(sums + there * _C2) + np.uint64(i * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)))
+        return np.concatenate(out).astype(np.int64)
+
+
 def search(sets: list[np.ndarray], num: int, den: int, asked: np.ndarray | None = None, piece: np.ndarray | None = None, mu: float = MU) -> list[tuple[int, int]]:
     """Links (positions) that connect what links connect: T-occurrence search by DivideSkip, skipping pairs already connected.
 
@@ -242,6 +295,31 @@ def _prefixes(rows: DataFrame, k: int, num: int, den: int, counts: np.ndarray) -
     return rows.mapInArrow(run, "sig long, id long")
 
 
+def _divided(clusters: DataFrame, texts: DataFrame, k: int, scheme: Scheme, block: int) -> DataFrame:
+    """``clusters`` (``label, rep``) with the large ones divided into sets that are connected by equal parts."""
+    clusters = cut(clusters, "clusters")
+    large = clusters.groupBy("label").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > block)
+    inside = cut(clusters.join(large, "label").select("label", "rep"), "large")
+    ids = bounded(inside)
+    if inside.isEmpty():
+        return clusters
+
+    def parts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, part in pieces(batches, 2):
+            sigs, reps = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for label, rep, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), part, strict=True):
+                # Signatures of one cluster don't meet those of another.
+                s = _mix(scheme.signatures(shingles(t, k)).view(np.uint64) ^ _mix(np.full(1, label, np.int64).view(np.uint64)))
+                sigs.append(s.view(np.int64))
+                reps.append(np.full(len(s), rep, np.int64))
+            yield pa.record_batch([pa.array(np.concatenate(sigs)), pa.array(np.concatenate(reps))], names=["sig", "id"])
+
+    met = texts.select(F.col("id").alias("rep"), "text").join(ids, "rep").select("label", "rep", "text").mapInArrow(parts, "sig long, id long")
+    met = met.repartition("sig").sortWithinPartitions("sig", "id").mapInArrow(_meetings, "u long, v long")
+    found = components(met).select("label", F.col("node").alias("rep"))
+    return clusters.join(large.select("label"), "label", "left_anti").unionByName(found)
+
+
 def _meetings(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Edges from the first id of each run of equal signatures to the others; rows come in order."""
     last_sig, hub = None, None
@@ -325,7 +403,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     met = _prefixes(rows, k, num, den, _sketch(profiles, counters)).repartition("sig").sortWithinPartitions("sig", "id").mapInArrow(_meetings, "u long, v long")
     labels = components(met)
     nodes = labels.join(base.select(F.col("id").alias("node"), "a", "b"), "node").select("label", "a", "b").distinct()
-    clusters = nodes.join(classes, ["a", "b"]).select("label", "rep")
+    clusters = _divided(nodes.join(classes, ["a", "b"]).select("label", "rep"), rows, k, Scheme(num, den), block)
     linked = components(_links(clusters, rows, k, num, den, block))
     found = cut(classes.join(linked.select(F.col("node").alias("rep"), "label"), "rep", "left").select("a", "b", F.coalesce("label", "rep").alias("component"), "copies"), "classes")
     # Back to the documents. Classes with more than 1/256 of all rows, 256 at most, are broadcast.

@@ -127,10 +127,11 @@ def test_empty_table(spark):
     assert jaccard.keep_representatives(df).collect() == []
 
 
-def test_linked_sets_send_a_common_shingle():
+def test_linked_sets_send_a_common_shingle_and_part():
     rng = random.Random(6)
     counts = np.random.default_rng(6).integers(0, 4, 1 << 10).astype(np.uint16)
     for num, den in ((90, 100), (80, 100), (50, 100)):
+        scheme = jaccard.Scheme(num, den)
         for _ in range(400):
             n = rng.choice([1, 2, 5, 9, 20, 60, 300, 3000])
             x = np.unique(np.array([rng.getrandbits(64) for _ in range(n)], np.uint64))
@@ -138,6 +139,7 @@ def test_linked_sets_send_a_common_shingle():
             y = np.unique(np.concatenate([y, np.array([rng.getrandbits(64) for _ in range(rng.randrange(1 + n // 12))], np.uint64)]))
             both = len(np.intersect1d(x, y))
             if len(y) and den * both >= num * (len(x) + len(y) - both):
+                assert set(scheme.signatures(x).tolist()) & set(scheme.signatures(y).tolist())
                 assert set(jaccard.prefix(x, counts, num, den).tolist()) & set(jaccard.prefix(y, counts, num, den).tolist())
 
 
