@@ -1,7 +1,7 @@
 """BPE encoding and decoding of whole texts with a public tokenizer file.
 
 Texts are cut at ASCII white space, which the word-end tokenizers served here
-drop, and equal pieces are encoded once while a worker's bounded cache holds
+drop, and equal pieces are encoded once while a task's bounded cache holds
 them. A piece of plain letters, with or without closing marks, goes to the
 library's merge model as it is, for normalising and splitting would not change
 it; any other piece goes through the whole library. A long unsplit piece goes
@@ -210,9 +210,6 @@ def _agree_right(mid: Tokens, y: Tokens, least: int, hi: int) -> tuple[int, int]
     return None
 
 
-_workers: dict[tuple, Encoder] = {}
-
-
 def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", leaf: int = LEAF, cache: int = CACHE) -> DataFrame:
     """``doc_id, n_tokens, ids_le, decoded`` of every row: ``ids_le`` holds the ids as little-endian unsigned 32-bit integers."""
     sent = docs.sparkSession.sparkContext.broadcast(Path(tokenizer).read_text())
@@ -220,11 +217,9 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     schema = f"doc_id {dict(rows.dtypes)['doc_id']}, n_tokens long, ids_le binary, decoded string"
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = (sent.value, leaf, cache)
-        if key not in _workers:
-            _workers[key] = Encoder(*key)
+        encoder = Encoder(sent.value, leaf, cache)  # a task's own, so that idle workers hold no cache
         for batch, texts in pieces(batches, 1):
-            found = _workers[key].encode(texts)
+            found = encoder.encode(texts)
             yield pa.record_batch(
                 [batch.column(0), pa.array([len(x[0]) // 4 for x in found], pa.int64()), pa.array([x[0] for x in found], pa.binary()), pa.array([x[1] for x in found], pa.binary()).cast(pa.string())],
                 names=["doc_id", "n_tokens", "ids_le", "decoded"],

@@ -85,15 +85,12 @@ class _Words(dict):
         return h
 
 
-_words = _Words()
-
-
-def shingles(text: str | None, k: int) -> np.ndarray:
+def shingles(text: str | None, k: int, known: _Words | None = None) -> np.ndarray:
     """The hashes of a text's distinct ``k``-word shingles, in order."""
     words = (text or "").encode().lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map((_Words() if known is None else known).__getitem__, words), np.uint64, len(words))
     width = min(k, len(h))
     x = np.full(len(h) - width + 1, width, np.uint64)
     for i in range(width):
@@ -233,12 +230,13 @@ def _profiles(rows: DataFrame, k: int, counters: int) -> DataFrame:
     """``id, n, a, b``: the size and the key of every document's set; and, with ``chunk`` set, each task's counters in ``counts``."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Words()
         total = np.zeros(counters, np.uint16)
         names = ["id", "n", "a", "b", "chunk", "counts"]
         for batch, texts in pieces(batches, 1):
             n, a, b = [], [], []
             for t in texts:
-                h = shingles(t, k)
+                h = shingles(t, k, known)
                 key = set_key(h)
                 n.append(len(h))
                 a.append(key[0])
@@ -277,11 +275,12 @@ def _prefixes(rows: DataFrame, k: int, num: int, den: int, counts: np.ndarray) -
     sent = rows.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Words()
         seen = set()
         for batch, texts in pieces(batches, 1):
             sigs, ids = [], []
             for i, t in zip(batch.column(0).to_pylist(), texts, strict=True):
-                h = shingles(t, k)
+                h = shingles(t, k, known)
                 if i is None or not len(h) or (key := set_key(h)) in seen:
                     continue
                 if len(seen) < 1_000_000:
@@ -305,11 +304,12 @@ def _divided(clusters: DataFrame, texts: DataFrame, k: int, scheme: Scheme, bloc
         return clusters
 
     def parts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Words()
         for batch, part in pieces(batches, 2):
             sigs, reps = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for label, rep, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), part, strict=True):
                 # Signatures of one cluster don't meet those of another.
-                s = _mix(scheme.signatures(shingles(t, k)).view(np.uint64) ^ _mix(np.full(1, label, np.int64).view(np.uint64)))
+                s = _mix(scheme.signatures(shingles(t, k, known)).view(np.uint64) ^ _mix(np.full(1, label, np.int64).view(np.uint64)))
                 sigs.append(s.view(np.int64))
                 reps.append(np.full(len(s), rep, np.int64))
             yield pa.record_batch([pa.array(np.concatenate(sigs)), pa.array(np.concatenate(reps))], names=["sig", "id"])
@@ -346,8 +346,9 @@ def _cells(cells: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> Da
     """Links ``u, v`` found in every cell of ``cells`` (``label, i, j, rep, asked, piece``)."""
 
     def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Words()
         for batch, part in pieces(batches, 1):
-            yield pa.record_batch([batch.column(0), pa.array([shingles(t, k).tobytes() for t in part], pa.binary())], names=["rep", "set"])
+            yield pa.record_batch([batch.column(0), pa.array([shingles(t, k, known).tobytes() for t in part], pa.binary())], names=["rep", "set"])
 
     wanted = bounded(cells.select("rep").distinct())
     found = texts.select(F.col("id").alias("rep"), "text").join(wanted, "rep", "left_semi").mapInArrow(sets, "rep long, set binary")

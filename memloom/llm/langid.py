@@ -80,9 +80,9 @@ def bundle(texts: list[str | None], dims: int = DIMS) -> tuple[np.ndarray, np.nd
     out = np.zeros((len(texts), dims), np.float32)
     base = np.stack([letter(c, dims) for c in alphabet])
     once, twice = np.roll(base, 1, axis=1), np.roll(base, 2, axis=1)
-    for a in range(0, len(kinds), 8192):  # so that the vectors of a batch stay small
-        part = kinds[a : a + 8192]
-        some = (inverse >= a) & (inverse < a + 8192) if len(kinds) > 8192 else slice(None)
+    for a in range(0, len(kinds), 4096):  # so that the vectors of a batch stay small
+        part = kinds[a : a + 4096]
+        some = (inverse >= a) & (inverse < a + 4096) if len(kinds) > 4096 else slice(None)
         counts = np.bincount(owner[some] * len(part) + inverse[some] - a, minlength=len(texts) * len(part)).reshape(len(texts), len(part))
         vectors = twice[part // (n * n)] * once[part // n % n] * base[part % n]
         out += counts.astype(np.float32) @ vectors.astype(np.float32)
@@ -118,7 +118,7 @@ def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
 
     def sums(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
-        for batch, texts in pieces(batches, 1):
+        for batch, texts in pieces(batches, 1, 128):
             vectors, _ = bundle(texts, dims)
             langs = batch.column(0).to_pylist()
             for lang in set(langs):
@@ -141,7 +141,7 @@ def predict(docs: DataFrame, model: Profiles, columns: list[str], text_col: str
     schema = f"_row {dict(rows.dtypes)['_row']}, lang_pred string, score double"
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in pieces(batches, 1):
+        for batch, texts in pieces(batches, 1, 128):
             langs, scores = sent.value.predict(texts)
             yield pa.record_batch([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["_row", "lang_pred", "score"])
 
