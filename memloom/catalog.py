@@ -4,17 +4,543 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from memloom.shared import table
+from memloom import fixtures as fx
+from memloom.functions import gates, text
+from memloom.functions.split import split_documents
+from memloom.operators import fulltext, graph, lifecycle, rank, sessions, similarity, store
+from memloom.plans import search
+from memloom.shared import cut, table
+from memloom.sources import files
 
-FLAGSHIP = "live_by_source"
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+FLAGSHIP = "hybrid_search"
 
 
-def live_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
 
+    return register
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"live_by_source": live_by_source}
-ORACLES: dict[str, str] = {"live_by_source": "SELECT source, count(*) AS n FROM documents GROUP BY source"}
+
+# Vectors and graphs
+
+_UNIT = """v AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS e, sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings)"""
+_PAIRS = _UNIT + """, p AS (SELECT a.id AS src, b.id AS dst, list_inner_product(a.e, b.e) / (a.n * b.n) AS weight FROM v a JOIN v b ON a.id < b.id)"""
+_NEAR = _UNIT + """, s AS (SELECT a.id AS query_id, b.id, round(list_inner_product(a.e, b.e) / (a.n * b.n), 12) AS similarity FROM v a JOIN v b ON a.id <> b.id {where}),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id)::INTEGER AS rank FROM s)"""
+
+
+@query("WITH " + _NEAR.format(where="WHERE a.id % 50 = 0") + " SELECT query_id, rank, id, round(similarity, 6) AS similarity FROM r WHERE rank <= 10")
+def vector_topk(spark, sf):
+    """Top 10 by cosine of every fiftieth vector against all."""
+    v = fx.vectors(spark, sf)
+    return similarity.nearest(v.filter("id % 50 = 0"), v, 10).withColumn("similarity", F.round("similarity", 6))
+
+
+@query("WITH " + _UNIT + """ SELECT b.id, round(list_inner_product(a.e, b.e) / (a.n * b.n), 6) AS similarity FROM v a, v b
+WHERE a.id = 0 AND b.label = a.label AND list_inner_product(a.e, b.e) / (a.n * b.n) >= 0.0 ORDER BY list_inner_product(a.e, b.e) / (a.n * b.n) DESC, b.id LIMIT 5""")
+def vector_topk_by_category(spark, sf):
+    """Top 5 for one vector within its category."""
+    v = fx.vectors(spark, sf)
+    q = v.filter("id = 0").first()
+    return similarity.top_k(v, q["embedding"], 5, 0.0, where=F.col("label") == q["label"]).select("id", F.round("similarity", 6).alias("similarity"))
+
+
+@query("WITH " + _NEAR.format(where="") + " SELECT least(query_id, id) AS src, greatest(query_id, id) AS dst, round(max(similarity), 6) AS weight FROM r WHERE rank <= 5 AND similarity >= 0.3 GROUP BY 1, 2")
+def knn_graph(spark, sf):
+    return graph.knn_edges(fx.vectors(spark, sf), 5, 0.3).withColumn("weight", F.round("weight", 6))
+
+
+@query("WITH " + _PAIRS + " SELECT src, dst, round(weight, 4) AS weight FROM p WHERE weight >= 0.28 AND weight < 0.35")
+def band_edges(spark, sf):
+    return graph.band_edges(fx.vectors(spark, sf), 0.28, 0.35)
+
+
+@query("WITH " + _PAIRS + """, e AS (SELECT * FROM p WHERE weight >= 0.3), c AS (SELECT (SELECT count(*) FROM v) AS nodes, (SELECT count(*) FROM e) AS edges)
+SELECT nodes, edges, round(2.0::DOUBLE * edges / (nodes * (nodes - 1)), 9) AS density, round(2.0::DOUBLE * edges / nodes, 9) AS avg_degree FROM c""")
+def graph_stats(spark, sf):
+    v = fx.vectors(spark, sf)
+    out = graph.stats(v, similarity.similar_pairs(v, 0.3))
+    return out.withColumns({c: F.round(c, 9) for c in ("density", "avg_degree")})
+
+
+@query("WITH " + _PAIRS + ", e AS (SELECT * FROM p WHERE weight >= 0.3), b AS (SELECT src AS node, weight FROM e UNION ALL SELECT dst, weight FROM e) SELECT node, count(*) AS degree, round(sum(weight), 6) AS strength FROM b GROUP BY node")
+def degrees(spark, sf):
+    return graph.degrees(similarity.similar_pairs(fx.vectors(spark, sf), 0.3)).withColumn("strength", F.round("strength", 6))
+
+
+@query("WITH RECURSIVE " + _PAIRS + """, e AS (SELECT src, dst FROM p WHERE weight >= 0.33), b AS (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e),
+r AS (SELECT id AS node, id AS other FROM v UNION SELECT r.node, b.dst FROM r JOIN b ON b.src = r.other) SELECT node, min(other) AS community FROM r GROUP BY node""")
+def connected_components(spark, sf):
+    v = fx.vectors(spark, sf)
+    return graph.connected(v, similarity.similar_pairs(v, 0.33))
+
+
+_LABELLED = _PAIRS + """, e AS (SELECT p.*, a.label AS la, b.label AS lb FROM p JOIN v a ON a.id = src JOIN v b ON b.id = dst WHERE weight >= 0.3)"""
+
+
+@query("WITH " + _LABELLED + """, c AS (SELECT label, count(*) AS nodes FROM v GROUP BY label), i AS (SELECT la AS label, count(*) AS edges FROM e WHERE la = lb GROUP BY la)
+SELECT label AS community, nodes, coalesce(edges, 0) AS edges, CASE WHEN nodes > 1 THEN round(2.0::DOUBLE * coalesce(edges, 0) / (nodes * (nodes - 1)), 9) ELSE 0.0 END AS density,
+round(2.0::DOUBLE * coalesce(edges, 0) / nodes, 9) AS avg_degree FROM c LEFT JOIN i USING (label)""")
+def community_stats(spark, sf):
+    v = fx.vectors(spark, sf)
+    out = graph.community_stats(similarity.similar_pairs(v, 0.3), v.select(F.col("id").alias("node"), F.col("label").alias("community")))
+    return out.withColumns({c: F.round(c, 9) for c in ("density", "avg_degree")})
+
+
+@query("WITH " + _LABELLED + """, d AS (SELECT c, sum(weight) AS d FROM (SELECT la AS c, weight FROM e UNION ALL SELECT lb, weight FROM e) GROUP BY c)
+SELECT round((SELECT sum(CASE WHEN la = lb THEN weight ELSE 0 END) / sum(weight) FROM e) - (SELECT sum(d * d) FROM d) / (4 * (SELECT sum(weight) * sum(weight) FROM e)), 6) AS modularity""")
+def modularity(spark, sf):
+    v = fx.vectors(spark, sf)
+    return graph.modularity(similarity.similar_pairs(v, 0.3), v.select(F.col("id").alias("node"), F.col("label").alias("community"))).withColumn("modularity", F.round("modularity", 6))
+
+
+@query()
+def louvain_communities(spark, sf):
+    v = fx.vectors(spark, sf)
+    return graph.louvain(v, similarity.similar_pairs(v, 0.3))
+
+
+@query()
+def leiden_communities(spark, sf):
+    v = fx.vectors(spark, sf)
+    return graph.leiden(v, similarity.similar_pairs(v, 0.3))
+
+
+@query()
+def leader_groups(spark, sf):
+    return lifecycle.leader_groups(fx.vectors(spark, sf), 0.3)
+
+
+@query()
+def semantic_merge(spark, sf):
+    """Facts from id 100 on merge into closer ones before them; ``seen_count`` adds up to all rows."""
+    v = fx.vectors(spark, sf)
+    return lifecycle.merged(v, lifecycle.merge_targets(v.withColumn("existing", F.col("id") < 100), 0.3))
+
+
+@query()
+def consolidation_plan(spark, sf):
+    return lifecycle.consolidation(fx.vectors(spark, sf), max_facts=100, least=0.3, protected=("1", "2"))
+
+
+@query("WITH " + _UNIT + """, s AS (SELECT a.id AS cid, b.id AS bid, round(list_inner_product(a.e, b.e) / (a.n * b.n), 12) AS w FROM v a JOIN v b ON a.id <> b.id WHERE a.id % 50 = 0 AND b.id % 50 <> 0),
+t AS (SELECT *, row_number() OVER (PARTITION BY cid ORDER BY w DESC, bid) AS rn FROM s WHERE w >= 0.3)
+SELECT v.id, bid AS best, round(w, 6) AS similarity, CASE WHEN w > 0.4 THEN 'noop' ELSE 'add' END AS decision FROM v LEFT JOIN t ON t.cid = v.id AND rn = 1 WHERE v.id % 50 = 0""")
+def fact_decisions(spark, sf):
+    """What becomes of every fiftieth vector as a candidate against all others, without a model's answer."""
+    v = fx.vectors(spark, sf)
+    out = lifecycle.decisions(v.filter("id % 50 = 0"), v.filter("id % 50 <> 0"), least=0.3, same=0.4)
+    return out.withColumn("similarity", F.round("similarity", 6))
+
+
+@query("""WITH r AS (SELECT l_partkey AS f, l_suppkey AS t, max(l_quantity) AS w FROM lineitem WHERE l_returnflag = 'R' AND l_suppkey IN (SELECT s_suppkey FROM supplier) AND l_partkey % 50 = 0 AND l_partkey <> l_suppkey GROUP BY ALL)
+SELECT f AS seed, 1 AS hop, t AS id, w AS weight FROM r QUALIFY row_number() OVER (PARTITION BY f ORDER BY w DESC, t) <= 5""")
+def relation_neighbours(spark, sf):
+    """The five heaviest live neighbours of every fiftieth part, one hop along returned deliveries."""
+    live = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.lit(None).cast("timestamp").alias("valid_to"))
+    seeds = table(spark, sf, "part").filter("p_partkey % 50 = 0").select(F.col("p_partkey").alias("id"))
+    return graph.neighbours(fx.relations(spark, sf), live, seeds, "R", 1, 5)
+
+
+@query("""SELECT l_partkey AS from_id, l_suppkey AS to_id, l_returnflag AS kind, l_quantity AS weight FROM lineitem
+QUALIFY row_number() OVER (PARTITION BY l_partkey, l_suppkey, l_returnflag ORDER BY l_shipdate DESC, l_orderkey * 10 + l_linenumber DESC) = 1 AND l_quantity > 2""")
+def current_relations(spark, sf):
+    """The last version of each relation; small last quantities stand for deletions."""
+    log = fx.relations(spark, sf).withColumn("deleted", F.col("weight") <= 2)
+    return store.relations(log).select("from_id", "to_id", "kind", "weight")
+
+
+@query("""SELECT * FROM (
+SELECT 'fact' AS type, count(*) AS kept FROM documents d WHERE source IN (SELECT source FROM documents JOIN labels USING (doc_id) WHERE quality = 0) OR lang = 'es'
+UNION ALL SELECT 'category', count(DISTINCT lang) FROM documents d WHERE source IN (SELECT source FROM documents JOIN labels USING (doc_id) WHERE quality = 0) OR lang = 'es')""")
+def orphan_purge(spark, sf):
+    """Nodes that stay when facts are held against known sources and, as an alias, one language."""
+    d = table(spark, sf, "documents")
+    bad = table(spark, sf, "labels").filter("quality = 0").join(d, "doc_id").select(F.col("source").alias("key"))
+    facts = d.select(F.concat(F.lit("d"), "doc_id").alias("node"), F.lit("fact").alias("type"), F.col("source").alias("content"), F.array("lang").alias("aliases"), F.concat(F.lit("cat_"), "lang").alias("cat"))
+    nodes = facts.drop("cat").unionByName(d.select(F.concat(F.lit("cat_"), "lang").alias("node"), F.lit("category").alias("type"), F.col("lang").alias("content"), F.array().cast("array<string>").alias("aliases")).distinct())
+    edges = facts.select(F.col("node").alias("src"), F.col("cat").alias("dst"))
+    kept, _, _ = graph.without_orphans(nodes, edges, bad.unionByName(spark.range(1).select(F.lit("es").alias("key"))))
+    return kept.groupBy("type").agg(F.count(F.lit(1)).alias("kept"))
+
+
+@query("SELECT lang AS category, list(doc_id ORDER BY doc_id) AS nodes FROM documents GROUP BY lang")
+def category_index(spark, sf):
+    return graph.category_index(table(spark, sf, "documents").withColumnRenamed("lang", "category"), "doc_id")
+
+
+# Full text
+
+_TOK = r"list_filter(regexp_split_to_array(lower({0}), '[^\p{{L}}\p{{N}}]+'), lambda t: t <> '')"
+
+
+@query(f"""WITH m AS (SELECT conv_id * 10000 + turn AS id, {_TOK.format("text")} AS t FROM conversations),
+q AS (SELECT DISTINCT item_id AS query_id, unnest({_TOK.format("text")}) AS term FROM benchmark WHERE item_id % 50 = 0),
+qt AS (SELECT * FROM q WHERE length(term) >= 2), n AS (SELECT count(*) AS n, sum(len(t))::DOUBLE / count(*) AS mean FROM m),
+p AS (SELECT id, len(t) AS d, unnest(t) AS token FROM m),
+h AS (SELECT term, id, d, count(*) AS f FROM (SELECT DISTINCT term FROM qt) x JOIN p ON starts_with(p.token, x.term) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM h GROUP BY term),
+i AS (SELECT term, CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END AS idf FROM df, n),
+s AS (SELECT query_id, id AS doc_id, round(sum(idf * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * d / mean))), 6) AS score FROM qt JOIN h USING (term) JOIN i USING (term), n GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM s)
+SELECT query_id, rank, doc_id, round(score, 4) AS score FROM r WHERE rank <= 20""")
+def bm25_messages(spark, sf):
+    """Top 20 messages for every fiftieth benchmark text as an any-term prefix query."""
+    q = table(spark, sf, "benchmark").filter("item_id % 50 = 0").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return fulltext.bm25(fx.messages(spark, sf), q, 20, doc_texts=("content",)).withColumn("score", F.round("score", 4))
+
+
+@query(f"""WITH d AS (SELECT doc_id, CASE WHEN list_has_any({_TOK.format("text")}, ['pathetic', 'worthless']) THEN 1 WHEN contains(lower(text), 'pathetic') OR contains(lower(text), 'worthless') THEN 2
+WHEN contains(lower(text), 'pathetic worthless') THEN 3 END AS tier FROM documents)
+SELECT doc_id, tier FROM d WHERE tier = (SELECT min(tier) FROM d) ORDER BY doc_id LIMIT 50""")
+def tiered_search(spark, sf):
+    out = fulltext.tiered_search(table(spark, sf, "documents"), "pathetic worthless", ("text",), text.norm_query, [F.col("doc_id")])
+    return out.select("doc_id", "tier")
+
+
+@query("""WITH m AS (SELECT conv_id * 10000 + turn AS id, CASE WHEN contains(text, 'of the the') THEN 1 WHEN contains(text, 'of') AND contains(text, 'the') THEN 2 END AS tier FROM conversations)
+SELECT id, tier FROM m WHERE tier = (SELECT min(tier) FROM m) ORDER BY id DESC LIMIT 5""")
+def phrase_search(spark, sf):
+    return fulltext.phrase_search(fx.messages(spark, sf), "of the the", "content", text.norm_fts, [F.desc("id")]).select("id", "tier")
+
+
+@query("""SELECT doc_id, array_to_string(list_transform(regexp_split_to_array(trim(text, ' \t\n'), '\\s+')[:3], lambda w: w), ' ') AS head FROM documents""".replace("\\\\", "\\"))
+def snippets(spark, sf):
+    """The first three words of each document: a snippet without a hit."""
+    return table(spark, sf, "documents").select("doc_id", fulltext.snippet(F.col("text"), F.array(F.lit("\u0001")), 3).alias("head"))
+
+
+# Ranking
+
+_EV = "unix(e)"
+
+
+@query("""WITH g AS (SELECT user_id AS query_id, event_type AS content, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS r, 0 AS l, NULL::TIMESTAMP AS ts FROM events),
+t AS (SELECT user_id AS query_id, event_type AS content, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS r, 1 AS l, ts FROM events),
+u AS (SELECT *, row_number() OVER (PARTITION BY query_id, content ORDER BY l, r) AS n FROM (SELECT * FROM g UNION ALL SELECT * FROM t)),
+f AS (SELECT *, CASE WHEN ts IS NULL THEN 1.0 ELSE exp(-0.01 * (epoch(TIMESTAMP '2024-01-31 00:00:00') - epoch(ts)) / 86400) END AS fade FROM u),
+s AS (SELECT query_id, content, sum(CASE WHEN l = 0 AND n = 1 THEN 1.5 WHEN l = 0 THEN 0 WHEN n = 1 THEN fade ELSE 0.5 * fade END / (60 + r)) AS s, min({'l': l, 'r': r}) AS at FROM f GROUP BY ALL)
+SELECT query_id, content, round(s, 6) AS rrf_score, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 12) DESC, at)::INTEGER AS rank FROM s""")
+def rrf_fusion(spark, sf):
+    """Each user's event types, ranked by value and by time, fused with decay."""
+    e = table(spark, sf, "events").select(F.col("user_id").alias("query_id"), F.col("event_type").alias("content"), "value", "ts", "event_id")
+    place = lambda o: F.row_number().over(Window.partitionBy("query_id").orderBy(o, "event_id"))
+    out = rank.rrf(e.withColumn("rank", place(F.desc("value"))).drop("ts"), e.withColumn("rank", place(F.desc("ts"))), ts="ts", as_of=fx.as_of(), rate=0.01)
+    return out.withColumn("rrf_score", F.round("rrf_score", 6))
+
+
+@query("SELECT event_id, round(value * exp(-0.01 * (epoch(TIMESTAMP '2024-01-31 00:00:00') - epoch(ts)) / 86400), 6) AS score FROM events")
+def decay_scores(spark, sf):
+    return table(spark, sf, "events").select("event_id", F.round(F.col("value") * rank.decay(F.col("ts"), fx.as_of()), 6).alias("score"))
+
+
+@query("""WITH m AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS q FROM conversations),
+w AS (SELECT conv_id, turn, list_distinct(list_filter(regexp_split_to_array(lower(q), '\\s+'), lambda x: x <> '')) AS a, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '') AS b FROM m WHERE q IS NOT NULL)
+SELECT conv_id, turn, len(a) > 3 AND len(list_intersect(a, b)) / len(a) > 0.25 AS echo FROM w""".replace("\\\\", "\\"))
+def echo_filter(spark, sf):
+    """Messages that repeat over a quarter of the words of the one before."""
+    c = table(spark, sf, "conversations").withColumn("q", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))).filter("q IS NOT NULL")
+    return c.select("conv_id", "turn", rank.is_echo(F.col("text"), F.col("q"), 0.25).alias("echo"))
+
+
+@query("""SELECT event_id FROM events WHERE epoch(TIMESTAMP '2024-01-31 00:00:00') - epoch(ts) BETWEEN 60 AND 7 * 86400""")
+def age_window(spark, sf):
+    return table(spark, sf, "events").filter(rank.in_window(F.col("ts"), fx.as_of(), 7)).select("event_id")
+
+
+@query("SELECT doc_id, text FROM documents WHERE text IS NOT NULL QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1".replace("doc_id, text FROM", "doc_id, md5(text) AS content FROM"))
+def content_dedup(spark, sf):
+    out = rank.keep_first(table(spark, sf, "documents").filter("text IS NOT NULL"), "text", [F.col("doc_id")])
+    return out.select("doc_id", F.md5("text").alias("content"))
+
+
+@query()
+def hybrid_search(spark, sf):
+    """Facts by vector, their neighbours and messages by text, fused by rank, for every query."""
+    out = search.prefetch(fx.memory(spark, sf), fx.queries(spark, sf), fx.as_of(), k=5, least=0.2)
+    return out.select("query_id", "rank", "content", F.round("rrf_score", 9).alias("rrf_score"), "type", "expanded", F.round("similarity", 6).alias("similarity"))
+
+
+@query()
+def unified_search(spark, sf):
+    out = search.unified_search(fx.memory(spark, sf), fx.queries(spark, sf), 5, 0.2)
+    return out.select("query_id", "rank", "content", F.round("similarity", 6).alias("similarity"), "type")
+
+
+@query()
+def graph_search(spark, sf):
+    return search.graph_search(fx.memory(spark, sf), fx.queries(spark, sf), 10, 0.2).withColumn("similarity", F.round("similarity", 6))
+
+
+@query()
+def search_context(spark, sf):
+    return search.context(fx.memory(spark, sf), fx.queries(spark, sf), fx.as_of(), least=0.2)
+
+
+# Text functions
+
+_LITERALS = [
+    "الذَّكاءُ الاصْطِناعي", "الـــعـــربـــي", "أحمد", "إسلام", "آمنوا", "أنا وإنت وأنا", "مؤسسة", "مسؤول", "کتاب", "زیبا", "موسى", "اللغة", "  hello   world  ", "a\tb\nc", "الْكِتَابُ", "مستشفى الى", "",
+    "OPENAI_API_KEY", "Set BOT_TOKEN in env", "The OPENAI_API_KEY is stored in the env file", "a KEY", "漢字 in a fact that is long enough", "13 nodes", "تم التحقق", "some_long_snake_case_name", "the user asked about the weather today",
+    "total memory used was 512 on the server", "the graph has 492 edges, they say so", "it grew by 45 % since the last release", "عدد العقد: 45 في النظام الجديد", "PostgreSQL runs on port 5432 behind nginx", "def hello(): pass", "Telegram bot @helperbot v1.2.3 port 8080 /usr/local/bin/tool",
+]
+
+
+def _lit_sql() -> str:
+    rows = ", ".join(f"({-i - 1}, {chr(39)}{t.replace(chr(39), chr(39) * 2)}{chr(39)})" for i, t in enumerate(_LITERALS))
+    return f"(SELECT doc_id, text FROM documents UNION ALL SELECT * FROM (VALUES {rows}) l(doc_id, text))"
+
+
+def _texts(spark, sf):
+    """Whole documents, and literal cases under negative ids."""
+    lit = spark.createDataFrame([(-i - 1, t) for i, t in enumerate(_LITERALS)], "doc_id long, text string")
+    return table(spark, sf, "documents").select("doc_id", "text").unionByName(lit)
+
+
+_WS = "trim(regexp_replace({0}, '\\s+', ' ', 'g'))"
+_NQ = _WS.format("translate(translate(translate(regexp_replace(text, '[ً-ٰٟـ]', '', 'g'), 'آأإ', 'ااا'), 'ؤئکیء', 'ويكي'), 'ى', 'ي')")
+_NS = _WS.format("translate(regexp_replace({0}, '[ً-ٟؐ-ؚٰ]', '', 'g'), 'إأآٱىة', 'اااايه')")
+_RATIO = "(CASE WHEN length(regexp_replace({0}, '\\s', '', 'g')) > 0 THEN length(regexp_replace({0}, '[^؀-ۿ]', '', 'g')) / length(regexp_replace({0}, '\\s', '', 'g')) ELSE 0 END)"
+
+
+@query(f"""SELECT doc_id, md5({_NQ}) AS query_form, md5({_NS.format("text")}) AS store_form, md5(translate(text, 'ة', 'ه')) AS ta_form, regexp_matches(text, '[؀-ۿ]') AS arabic,
+round({_RATIO.format("text")}, 6) AS ratio FROM {_lit_sql()}""")
+def normalize_text(spark, sf):
+    t = _texts(spark, sf)
+    return t.select("doc_id", F.md5(text.norm_query("text")).alias("query_form"), F.md5(text.norm_store("text")).alias("store_form"), F.md5(text.normalize_ta_marbuta("text")).alias("ta_form"), text.is_arabic("text").alias("arabic"), F.round(text.arabic_ratio("text"), 6).alias("ratio"))
+
+
+@query(f"""WITH c AS (SELECT doc_id, {_WS.format("regexp_replace(regexp_replace(replace(replace(text, '>>>', ''), '<<<', ''), '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f-\\x9f]', '', 'g'), '\\\\r\\\\n|\\\\n|\\\\t', ' ', 'g')")} AS t FROM {_lit_sql()}),
+h AS (SELECT doc_id, CASE WHEN length(t) > 300 THEN regexp_replace(substr(t, 1, 300), ' [^ ]*$', '') || '...' ELSE t END AS t FROM c)
+SELECT doc_id, CASE WHEN length(t) >= 15 THEN t ELSE '' END AS chunk FROM h""")
+def clean_chunk(spark, sf):
+    return _texts(spark, sf).select("doc_id", text.clean_chunk("text").alias("chunk"))
+
+
+@query("""WITH a AS (SELECT event_id, epoch(TIMESTAMP '2024-01-31 00:00:00') - epoch(ts) AS s FROM events)
+SELECT event_id, CASE WHEN s < 60 THEN 'now' WHEN s < 3600 THEN floor(s / 60)::BIGINT || 'm ago' WHEN s < 86400 THEN floor(s / 3600)::BIGINT || 'h ago' ELSE floor(s / 86400)::BIGINT || 'd ago' END AS age FROM a""")
+def format_age(spark, sf):
+    return table(spark, sf, "events").select("event_id", text.format_age(rank.seconds(fx.as_of()) - rank.seconds(F.col("ts"))).alias("age"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN s < 1024 THEN printf('%.1f B', s) WHEN s < 1048576 THEN printf('%.1f KB', s / 1024) WHEN s < 1073741824 THEN printf('%.1f MB', s / 1048576) ELSE printf('%.1f GB', s / 1073741824) END AS size
+FROM (SELECT o_orderkey, floor(o_totalprice)::DOUBLE * (o_orderkey % 7 + 0) * (o_orderkey % 5) AS s FROM orders)""")
+def format_size(spark, sf):
+    s = F.floor("o_totalprice").cast("double") * (F.col("o_orderkey") % 7) * (F.col("o_orderkey") % 5)
+    return table(spark, sf, "orders").select("o_orderkey", text.format_size(s).alias("size"))
+
+
+@query(f"""SELECT doc_id, CASE WHEN regexp_matches(trim(text), '^(def |class |import |from |function |const |let |var )') THEN 'code' WHEN regexp_matches(text, '[{text.ARABIC_SIGNS}]') THEN 'arabic' ELSE 'text' END AS type FROM {_lit_sql()}""")
+def detect_type(spark, sf):
+    return _texts(spark, sf).select("doc_id", text.detect_type("text").alias("type"))
+
+
+def _junk_sql() -> str:
+    alt = lambda ps: "|".join(f"(?:{p})" for p in ps).replace("'", "''")
+    words = "[" + ", ".join(f"'{w}'" for w in gates.STAT_WORDS) + "]"
+    heavy = _RATIO.format("t") + " >= 0.3"
+    return f"""WITH c AS (SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS t FROM {_lit_sql()}), n AS (SELECT *, {_NS.format("lower(t)")} AS s, lower(t) AS l FROM c)
+SELECT doc_id, CASE WHEN t = '' THEN 'empty'
+WHEN regexp_matches(t, '^[A-Z_]{{3,}}$') OR (regexp_matches(t, '{gates.SENSITIVE}') AND len(regexp_split_to_array(t, '\\s+')) <= 5) THEN 'sensitive'
+WHEN regexp_matches(t, '{gates.CJK}') THEN 'cjk'
+WHEN length(t) < CASE WHEN {heavy} THEN 10 ELSE 20 END THEN 'short'
+WHEN regexp_matches(s, '{gates._skip_pattern()}') THEN 'phrase'
+WHEN regexp_matches(t, '^[\\p{{Nd}}]+\\s+[\\p{{L}}\\p{{M}}\\p{{N}}_]+$') THEN 'count'
+WHEN regexp_matches(t, '^تم\\s+[\\p{{L}}\\p{{M}}\\p{{N}}_]+\\s*$') THEN 'passive'
+WHEN regexp_matches(t, '^[a-z][a-z0-9_]{{15,}}$') THEN 'snake'
+WHEN regexp_matches(l, '{alt(gates.STAT_ENGLISH)}') OR regexp_matches(s, '{alt(gates.STAT_ARABIC)}') THEN 'figures'
+WHEN length(regexp_replace(replace(t, ' ', ''), '[^\\p{{Nd}}.,]', '', 'g')) / length(replace(t, ' ', '')) > 0.30 AND list_has_any(regexp_split_to_array(l, '\\s+'), {words}) THEN 'digits' END AS rule FROM n"""
+
+
+@query(_junk_sql())
+def junk_gate(spark, sf):
+    return _texts(spark, sf).select("doc_id", gates.junk_rule("text").alias("rule"))
+
+
+_ENT = " UNION ".join(f"SELECT id, unnest(regexp_extract_all(t, '{p}', 1)) AS name, '{k}' AS type FROM d" for k, p in text.ENTITIES)
+
+
+@query(f"""WITH d AS (SELECT 'd' || doc_id AS id, text AS t FROM {_lit_sql()} UNION ALL SELECT 'p' || page_id, html FROM pages) SELECT DISTINCT id, name, type FROM ({_ENT}) WHERE length(name) >= 2""")
+def entities(spark, sf):
+    d = _texts(spark, sf).select(F.concat(F.lit("d"), "doc_id").alias("id"), F.col("text").alias("t")).unionByName(table(spark, sf, "pages").select(F.concat(F.lit("p"), "page_id").alias("id"), F.col("html").alias("t")))
+    return d.select("id", F.explode(text.entities("t")).alias("e")).select("id", "e.name", "e.type")
+
+
+@query("""SELECT doc_id, {'1': 0.3, '2': 0.5, '3': 0.7, '4': 0.85, '5': 1.0}[(doc_id % 5 + 1)::VARCHAR] AS trust, [2, 2, 4, 4, 5][doc_id % 5 + 1]::INTEGER AS importance FROM documents""".replace("{'1': 0.3, '2': 0.5, '3': 0.7, '4': 0.85, '5': 1.0}[(doc_id % 5 + 1)::VARCHAR]", "[0.3, 0.5, 0.7, 0.85, 1.0][doc_id % 5 + 1]::DOUBLE"))
+def trust_levels(spark, sf):
+    t = table(spark, sf, "documents").select("doc_id", text.trust_of((F.col("doc_id") % 5 + 1).cast("int")).alias("trust"))
+    return t.withColumn("importance", text.importance_of("trust"))
+
+
+@query("SELECT page_id, list_has_any(string_split(url, '/'), ['build', 'dist', 'target', 'env', 'venv', '.git', 'node_modules']) OR strlen(html) > 500000 AS excluded FROM pages")
+def excluded_paths(spark, sf):
+    return table(spark, sf, "pages").select("page_id", files.excluded(F.col("url"), F.octet_length("html")).alias("excluded"))
+
+
+@query("SELECT conv_id, turn, CASE WHEN length(text) > 120 THEN substr(text, 1, 120) || '... [truncated]' ELSE text END AS text FROM conversations")
+def truncated_messages(spark, sf):
+    return table(spark, sf, "conversations").select("conv_id", "turn", text.truncated("text", 120).alias("text"))
+
+
+@query("SELECT item_id FROM benchmark WHERE length(trim(text)) >= 3 AND regexp_matches(text, '[ء-يa-zA-Z0-9]')")
+def query_gate(spark, sf):
+    return table(spark, sf, "benchmark").filter(text.passes_gate("text", 3)).select("item_id")
+
+
+@query()
+def split_chunks(spark, sf):
+    out = split_documents(table(spark, sf, "documents"), "doc_id", "text")
+    return out.select("doc_id", "chunk_no", F.length("chunk").alias("n_chars"), F.md5("chunk").alias("digest"))
+
+
+# Store
+
+_HASH = "md5(" + _NS.format("text") + ")"
+
+
+@query(f"""WITH d AS (SELECT *, {_HASH} AS h FROM documents)
+SELECT h AS fact_hash, arg_min(md5(text), doc_id) AS key_digest, arg_min(lang, doc_id) AS category, arg_min(source, doc_id) AS source, max(doc_id % 5 + 1)::INTEGER AS importance, count(*) AS seen_count, min(doc_id) AS first_doc, max(doc_id) AS last_doc FROM d GROUP BY h""")
+def fact_upsert(spark, sf):
+    """Documents as upserts in order of their ids; equal keys are sighted again."""
+    d = table(spark, sf, "documents")
+    log = d.select(F.col("text").alias("full_key"), F.col("lang").alias("category"), F.lit("s").alias("session_id"), "source", (F.col("doc_id") % 5 + 1).cast("int").alias("importance"), F.timestamp_seconds("doc_id").alias("ts"), F.col("doc_id").alias("seq"))
+    out = store.fold_facts(log)
+    day = lambda c: F.unix_seconds(c)
+    return out.select("fact_hash", F.md5("full_key").alias("key_digest"), "category", "source", "importance", "seen_count", day("created_at").alias("first_doc"), day("last_seen_at").alias("last_doc"))
+
+
+@query("""WITH e AS (SELECT user_id, ts, event_id, event_type = (SELECT min(event_type) FROM events) AS stop, floor(value)::INTEGER % 5 AS imp FROM events),
+p AS (SELECT *, coalesce(sum(stop::INTEGER) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS epoch FROM e)
+SELECT user_id::VARCHAR AS user_key, epoch::BIGINT AS epoch, count(*) FILTER (NOT stop) AS seen_count, max(imp) FILTER (NOT stop) AS importance, max(event_id) FILTER (stop) AS ended_by FROM p GROUP BY ALL HAVING count(*) FILTER (NOT stop) > 0""")
+def invalidation_epochs(spark, sf):
+    """Users as facts that one kind of event ends; what comes later starts anew."""
+    e = table(spark, sf, "events")
+    stop = F.broadcast(e.agg(F.min("event_type").alias("stop")))  # one row
+    log = e.crossJoin(stop).select(F.col("user_id").cast("string").alias("full_key"), F.lit("c").alias("category"), F.lit("s").alias("session_id"), F.lit("x").alias("source"), (F.floor("value").cast("int") % 5).alias("importance"), "ts", F.col("event_id").alias("seq"), F.when(F.col("event_type") == F.col("stop"), "invalidate").otherwise("upsert").alias("op"), F.col("event_id").alias("superseded_by"))
+    return store.fold_facts(log).select(F.col("full_key").alias("user_key"), "epoch", "seen_count", "importance", F.col("superseded_by").alias("ended_by"))
+
+
+@query(f"""WITH d AS (SELECT doc_id, {_HASH} AS h FROM documents), k AS (SELECT h FROM d JOIN labels USING (doc_id))
+SELECT min(doc_id) AS id, h AS fact_hash FROM d WHERE h NOT IN (SELECT h FROM k) GROUP BY h""")
+def new_keys(spark, sf):
+    """Documents whose key no labelled document has, the first of each."""
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("full_key"))
+    known = d.join(table(spark, sf, "labels"), d["id"] == F.col("doc_id"), "left_semi").select(text.fact_hash("full_key").alias("fact_hash"))
+    return store.not_yet_known(d, known).select("id", "fact_hash")
+
+
+@query("""SELECT o_custkey AS key, arg_max(o_orderstatus, (o_orderdate, o_orderkey)) AS value, max(o_orderdate) AS ts FROM orders GROUP BY o_custkey""")
+def state_table(spark, sf):
+    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("key"), F.col("o_orderstatus").alias("value"), F.col("o_orderdate").alias("ts"), F.col("o_orderkey").alias("seq"))
+    return store.latest(o, ["key"]).drop("seq")
+
+
+@query("""SELECT (SELECT count(*) FROM documents) AS total, (SELECT count(*) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)) AS live,
+(SELECT count(*) FROM labels WHERE quality = 0) AS archived, (SELECT count(*) FROM lineitem) AS relations, (SELECT count(DISTINCT conv_id) FROM conversations) AS sessions""")
+def store_stats(spark, sf):
+    bad = table(spark, sf, "labels").filter("quality = 0").select("doc_id", fx.as_of().alias("valid_to"))
+    facts = table(spark, sf, "documents").select("doc_id").join(bad, "doc_id", "left")
+    return store.store_stats(facts, fx.relations(spark, sf), table(spark, sf, "conversations").select("conv_id").distinct())
+
+
+@query("SELECT doc_id AS id, lang AS category, (doc_id % 5 + 1)::INTEGER AS importance FROM documents WHERE lang = 'fr' ORDER BY importance DESC, doc_id LIMIT 100")
+def facts_by_category(spark, sf):
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("category"), (F.col("doc_id") % 5 + 1).cast("int").alias("importance"), F.lit(None).cast("timestamp").alias("valid_to"))
+    return store.by_category(d, "fr").drop("valid_to")
+
+
+_MIST = """m AS (SELECT event_type AS description, user_id AS session_id, arg_min(['config', 'syntax', 'odd'][event_id % 3 + 1], (ts, event_id)) AS c, arg_min(['low', 'high', 'odd'][event_id % 3 + 1], (ts, event_id)) AS s, count(*) AS n, min(ts) AS created_at FROM events GROUP BY ALL),
+f AS (SELECT description, session_id, CASE c WHEN 'odd' THEN 'other' ELSE c END AS category, CASE s WHEN 'odd' THEN 'medium' ELSE s END AS severity, n AS recurrence_count, created_at FROM m)"""
+
+
+def _mistakes(spark, sf):
+    e = table(spark, sf, "events")
+    pick = lambda *names: F.element_at(F.array(*(F.lit(x) for x in names)), (F.col("event_id") % 3 + 1).cast("int"))
+    return store.fold_mistakes(e.select(F.col("event_type").alias("description"), F.col("user_id").alias("session_id"), pick("config", "syntax", "odd").alias("category"), pick("low", "high", "odd").alias("severity"), "ts", F.col("event_id").alias("seq")))
+
+
+@query(f"WITH {_MIST} SELECT * FROM f WHERE recurrence_count >= 3")
+def recurring_mistakes(spark, sf):
+    return store.recurring(_mistakes(spark, sf), 3).select("description", "session_id", "category", "severity", "recurrence_count", "created_at")
+
+
+@query(f"WITH {_MIST} SELECT category, severity, grouping(category, severity)::BIGINT AS level, count(*) AS notes, count(*) FILTER (recurrence_count > 1) AS recurring FROM f GROUP BY GROUPING SETS ((), (category), (severity))")
+def mistake_stats(spark, sf):
+    return store.mistake_stats(_mistakes(spark, sf))
+
+
+# Sessions
+
+
+@query("""SELECT user_id::VARCHAR AS id, count(*) AS message_count FROM events GROUP BY user_id HAVING count(*) >= 2 AND max(ts) <= TIMESTAMP '2024-01-29 12:00:00' AND user_id % 7 <> 0""")
+def idle_sessions(spark, sf):
+    """Users without an event in the last half hour before a moment, as sessions; every seventh is done already."""
+    e = table(spark, sf, "events")
+    s = e.groupBy(F.col("user_id").cast("string").alias("id")).agg(F.count(F.lit(1)).alias("message_count"), F.min("ts").alias("started_at"))
+    done = e.filter("user_id % 7 = 0").select(F.col("user_id").cast("string").alias("session_id")).distinct()
+    m = e.select(F.col("user_id").cast("string").alias("session_id"), F.col("ts").alias("timestamp"))
+    return sessions.idle_sessions(s, m, done, F.lit("2024-01-29 12:30:00").cast("timestamp"), most=None).select("id", "message_count")
+
+
+@query("SELECT conv_id, turn, role FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) <= 3")
+def session_head(spark, sf):
+    return sessions.head(table(spark, sf, "conversations"), 3, "conv_id", "turn").select("conv_id", "turn", "role")
+
+
+_CHARS = "sum(length(regexp_replace({0}, '[^e-t]', '', 'g'))) / sum(length(regexp_replace({0}, '\\s', '', 'g')))"
+
+
+@query(f"""SELECT conv_id AS session_id, round(sum(length(regexp_replace(text, '[^؀-ۿ]', '', 'g'))) / sum(length(regexp_replace(text, '\\s', '', 'g'))), 6) AS ratio FROM conversations WHERE role = 'user' GROUP BY conv_id""")
+def session_language(spark, sf):
+    m = fx.messages(spark, sf)
+    return sessions.user_ratio(m).select(F.col("session_id").cast("long").alias("session_id"), F.round("ratio", 6).alias("ratio"))
+
+
+def _boost_sql(n: int) -> str:
+    return "(" + "|".join(k for k, b in gates.BOOSTS.items() if b == n) + ")"
+
+
+@query(f"""WITH m AS (SELECT conv_id, max(CASE WHEN regexp_matches(lower(text), '{_boost_sql(2)}') THEN 2 WHEN regexp_matches(lower(text), '{_boost_sql(1)}') THEN 1 ELSE 0 END) AS b,
+sum(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> ''))) AS w, max(contains(lower(text), 'ok')) AS ok, max(contains(lower(text), 'thanks')) AS th, max(contains(lower(text), 'done')) AS dn, max(contains(lower(text), 'thank')) AS tk FROM conversations GROUP BY conv_id),
+s AS (SELECT conv_id, CASE WHEN b = 2 THEN 5 WHEN b = 1 THEN 4 ELSE 3 END AS s, w, (ok AND th) OR (dn AND tk) AS thanks FROM m)
+SELECT conv_id AS session_id, (CASE WHEN w < 50 AND thanks THEN least(s, 1) ELSE s END)::INTEGER AS importance FROM s""")
+def session_importance(spark, sf):
+    out = sessions.session_importance(fx.messages(spark, sf), F.lit(3), F.lit(False))
+    return out.select(F.col("session_id").cast("long").alias("session_id"), "importance")
+
+
+@query("""WITH t AS (SELECT conv_id, turn, list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> '')) AS w FROM conversations),
+f AS (SELECT conv_id, list_filter(w, lambda x: length(x) > 2) AS w FROM t WHERE turn = (SELECT max(turn) FROM conversations c WHERE c.conv_id = t.conv_id)),
+h AS (SELECT conv_id, list_distinct(flatten(list(w))) AS h FROM t WHERE turn < (SELECT max(turn) FROM conversations c WHERE c.conv_id = t.conv_id) GROUP BY conv_id)
+SELECT conv_id AS session_id, CASE WHEN len(w) > 0 THEN round(len(list_filter(w, lambda x: len(list_filter(coalesce(h, []), lambda y: contains(y, x) OR contains(x, y))) > 0)) / len(w), 6) ELSE 0 END AS grounding FROM f LEFT JOIN h USING (conv_id)""".replace("\\\\", "\\"))
+def grounding(spark, sf):
+    """How far each conversation's last message rests on the words before it."""
+    m = table(spark, sf, "conversations").withColumn("last", F.max("turn").over(Window.partitionBy("conv_id")) == F.col("turn")).withColumnRenamed("conv_id", "session_id").withColumnRenamed("text", "content")
+    out = sessions.grounded(m.filter("last").select("session_id", F.col("content").alias("key")), m.filter("NOT last"), least=None)
+    return out.select("session_id", F.round("grounding", 6).alias("grounding"))
+
+
+_HAS = lambda c, names: f"regexp_matches({c}, '{'|'.join(names)}')"
+
+
+@query(f"""WITH m AS (SELECT conv_id, turn, lower(text) AS a, lower(lead(text) OVER (PARTITION BY conv_id ORDER BY turn)) AS b FROM conversations)
+SELECT conv_id, turn, CASE WHEN {_HAS("a", gates.FIX_WORDS)} AND {_HAS("b", gates.PROBLEM_WORDS)} THEN 'fixes' WHEN {_HAS("a", gates.CONTRARY_WORDS)} OR {_HAS("b", gates.CONTRARY_WORDS)} THEN 'contradicts'
+WHEN {_HAS("a", gates.CAUSE_WORDS)} OR {_HAS("b", gates.CAUSE_WORDS)} THEN 'causes' WHEN len(list_intersect(list_filter(regexp_split_to_array(a, '\\s+'), lambda w: w <> ''), list_filter(regexp_split_to_array(b, '\\s+'), lambda w: w <> ''))) >= 2 THEN 'related' END AS kind
+FROM m WHERE b IS NOT NULL""")
+def relation_heuristic(spark, sf):
+    """A guessed relation between each message and the next."""
+    c = table(spark, sf, "conversations").withColumn("b", F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))).filter("b IS NOT NULL")
+    return c.select("conv_id", "turn", gates.relation("text", "b")["kind"].alias("kind"))
+
+
+_ = cut

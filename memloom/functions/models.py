@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 Embedder = Callable[[list[str]], np.ndarray]
 Judge = Callable[[list[str]], list[str | None]]
@@ -94,7 +95,7 @@ def repaired_json(text: str | None) -> str | None:
     return None
 
 
-repair_json = F.pandas_udf(lambda s: s.map(repaired_json), "string")
+repair_json = F.pandas_udf(lambda s: s.map(repaired_json), T.StringType())
 
 
 def parse_json(c: Column, schema: str) -> Column:

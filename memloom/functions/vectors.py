@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -22,13 +23,13 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(size > 0, dot(a, b) / size).otherwise(F.lit(0.0))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def pack_half(v: pd.Series) -> pd.Series:
     """Half-precision little-endian bytes, for stores that keep vectors so."""
     return v.map(lambda x: None if x is None else np.asarray(x, "<f2").tobytes())
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(T.ArrayType(T.FloatType()))
 def unpack_half(v: pd.Series) -> pd.Series:
     return v.map(lambda x: None if x is None else np.frombuffer(x, "<f2").astype("f4").tolist())
 
