@@ -12,7 +12,7 @@ from memloom.functions import gates, text
 from memloom.functions.split import split_documents
 from memloom.operators import fulltext, graph, lifecycle, rank, sessions, similarity, store
 from memloom.plans import search
-from memloom.shared import cut, table
+from memloom.shared import table
 from memloom.sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -214,7 +214,7 @@ def phrase_search(spark, sf):
     return fulltext.phrase_search(fx.messages(spark, sf), "of the the", "content", text.norm_fts, [F.desc("id")]).select("id", "tier")
 
 
-@query("""SELECT doc_id, array_to_string(list_transform(regexp_split_to_array(trim(text, ' \t\n'), '\\s+')[:3], lambda w: w), ' ') AS head FROM documents""".replace("\\\\", "\\"))
+@query("""SELECT doc_id, array_to_string(list_transform(regexp_split_to_array(trim(text, ' \t\n'), '\\s+')[:3], lambda w: w), ' ') AS head FROM documents""")
 def snippets(spark, sf):
     """The first three words of each document: a snippet without a hit."""
     return table(spark, sf, "documents").select("doc_id", fulltext.snippet(F.col("text"), F.array(F.lit("\u0001")), 3).alias("head"))
@@ -222,15 +222,12 @@ def snippets(spark, sf):
 
 # Ranking
 
-_EV = "unix(e)"
-
-
 @query("""WITH g AS (SELECT user_id AS query_id, event_type AS content, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS r, 0 AS l, NULL::TIMESTAMP AS ts FROM events),
 t AS (SELECT user_id AS query_id, event_type AS content, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS r, 1 AS l, ts FROM events),
 u AS (SELECT *, row_number() OVER (PARTITION BY query_id, content ORDER BY l, r) AS n FROM (SELECT * FROM g UNION ALL SELECT * FROM t)),
 f AS (SELECT *, CASE WHEN ts IS NULL THEN 1.0 ELSE exp(-0.01 * (epoch(TIMESTAMP '2024-01-31 00:00:00') - epoch(ts)) / 86400) END AS fade FROM u),
-s AS (SELECT query_id, content, sum(CASE WHEN l = 0 AND n = 1 THEN 1.5 WHEN l = 0 THEN 0 WHEN n = 1 THEN fade ELSE 0.5 * fade END / (60 + r)) AS s, min({'l': l, 'r': r}) AS at FROM f GROUP BY ALL)
-SELECT query_id, content, round(s, 6) AS rrf_score, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 12) DESC, at)::INTEGER AS rank FROM s""")
+s AS (SELECT query_id, content, sum(CASE WHEN l = 0 AND n = 1 THEN 1.5 WHEN l = 0 THEN 0 WHEN n = 1 THEN fade ELSE 0.5 * fade END / (60 + r)) AS s, min({'l': l, 'r': r}) AS place FROM f GROUP BY ALL)
+SELECT query_id, content, round(s, 6) AS rrf_score, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 12) DESC, place)::INTEGER AS rank FROM s""")
 def rrf_fusion(spark, sf):
     """Each user's event types, ranked by value and by time, fused with decay."""
     e = table(spark, sf, "events").select(F.col("user_id").alias("query_id"), F.col("event_type").alias("content"), "value", "ts", "event_id")
@@ -246,7 +243,7 @@ def decay_scores(spark, sf):
 
 @query("""WITH m AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS q FROM conversations),
 w AS (SELECT conv_id, turn, list_distinct(list_filter(regexp_split_to_array(lower(q), '\\s+'), lambda x: x <> '')) AS a, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '') AS b FROM m WHERE q IS NOT NULL)
-SELECT conv_id, turn, len(a) > 3 AND len(list_intersect(a, b)) / len(a) > 0.25 AS echo FROM w""".replace("\\\\", "\\"))
+SELECT conv_id, turn, len(a) > 3 AND len(list_intersect(a, b)) / len(a) > 0.25 AS echo FROM w""")
 def echo_filter(spark, sf):
     """Messages that repeat over a quarter of the words of the one before."""
     c = table(spark, sf, "conversations").withColumn("q", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))).filter("q IS NOT NULL")
@@ -258,7 +255,7 @@ def age_window(spark, sf):
     return table(spark, sf, "events").filter(rank.in_window(F.col("ts"), fx.as_of(), 7)).select("event_id")
 
 
-@query("SELECT doc_id, text FROM documents WHERE text IS NOT NULL QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1".replace("doc_id, text FROM", "doc_id, md5(text) AS content FROM"))
+@query("SELECT doc_id, md5(text) AS content FROM documents WHERE text IS NOT NULL QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1")
 def content_dedup(spark, sf):
     out = rank.keep_first(table(spark, sf, "documents").filter("text IS NOT NULL"), "text", [F.col("doc_id")])
     return out.select("doc_id", F.md5("text").alias("content"))
@@ -376,7 +373,7 @@ def entities(spark, sf):
     return d.select("id", F.explode(text.entities("t")).alias("e")).select("id", "e.name", "e.type")
 
 
-@query("""SELECT doc_id, {'1': 0.3, '2': 0.5, '3': 0.7, '4': 0.85, '5': 1.0}[(doc_id % 5 + 1)::VARCHAR] AS trust, [2, 2, 4, 4, 5][doc_id % 5 + 1]::INTEGER AS importance FROM documents""".replace("{'1': 0.3, '2': 0.5, '3': 0.7, '4': 0.85, '5': 1.0}[(doc_id % 5 + 1)::VARCHAR]", "[0.3, 0.5, 0.7, 0.85, 1.0][doc_id % 5 + 1]::DOUBLE"))
+@query("""SELECT doc_id, [0.3, 0.5, 0.7, 0.85, 1.0][doc_id % 5 + 1]::DOUBLE AS trust, [2, 2, 4, 4, 5][doc_id % 5 + 1]::INTEGER AS importance FROM documents""")
 def trust_levels(spark, sf):
     t = table(spark, sf, "documents").select("doc_id", text.trust_of((F.col("doc_id") % 5 + 1).cast("int")).alias("trust"))
     return t.withColumn("importance", text.importance_of("trust"))
@@ -497,9 +494,6 @@ def session_head(spark, sf):
     return sessions.head(table(spark, sf, "conversations"), 3, "conv_id", "turn").select("conv_id", "turn", "role")
 
 
-_CHARS = "sum(length(regexp_replace({0}, '[^e-t]', '', 'g'))) / sum(length(regexp_replace({0}, '\\s', '', 'g')))"
-
-
 @query(f"""SELECT conv_id AS session_id, round(sum(length(regexp_replace(text, '[^؀-ۿ]', '', 'g'))) / sum(length(regexp_replace(text, '\\s', '', 'g'))), 6) AS ratio FROM conversations WHERE role = 'user' GROUP BY conv_id""")
 def session_language(spark, sf):
     m = fx.messages(spark, sf)
@@ -522,7 +516,7 @@ def session_importance(spark, sf):
 @query("""WITH t AS (SELECT conv_id, turn, list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> '')) AS w FROM conversations),
 f AS (SELECT conv_id, list_filter(w, lambda x: length(x) > 2) AS w FROM t WHERE turn = (SELECT max(turn) FROM conversations c WHERE c.conv_id = t.conv_id)),
 h AS (SELECT conv_id, list_distinct(flatten(list(w))) AS h FROM t WHERE turn < (SELECT max(turn) FROM conversations c WHERE c.conv_id = t.conv_id) GROUP BY conv_id)
-SELECT conv_id AS session_id, CASE WHEN len(w) > 0 THEN round(len(list_filter(w, lambda x: len(list_filter(coalesce(h, []), lambda y: contains(y, x) OR contains(x, y))) > 0)) / len(w), 6) ELSE 0 END AS grounding FROM f LEFT JOIN h USING (conv_id)""".replace("\\\\", "\\"))
+SELECT conv_id AS session_id, CASE WHEN len(w) > 0 THEN round(len(list_filter(w, lambda x: len(list_filter(coalesce(h, []), lambda y: contains(y, x) OR contains(x, y))) > 0)) / len(w), 6) ELSE 0 END AS grounding FROM f LEFT JOIN h USING (conv_id)""")
 def grounding(spark, sf):
     """How far each conversation's last message rests on the words before it."""
     m = table(spark, sf, "conversations").withColumn("last", F.max("turn").over(Window.partitionBy("conv_id")) == F.col("turn")).withColumnRenamed("conv_id", "session_id").withColumnRenamed("text", "content")
@@ -542,5 +536,3 @@ def relation_heuristic(spark, sf):
     c = table(spark, sf, "conversations").withColumn("b", F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))).filter("b IS NOT NULL")
     return c.select("conv_id", "turn", gates.relation("text", "b")["kind"].alias("kind"))
 
-
-_ = cut

@@ -101,10 +101,12 @@ def format_age(seconds: Column | str) -> Column:
 
 
 def format_size(size: Column | str) -> Column:
+    """One decimal, halves to even."""
     s = _text(size).cast("double")
-    out = F.format_string("%.1f TB", s / 1024.0**4)
+    told = lambda power, unit: F.format_string(f"%.1f {unit}", F.bround(s / 1024.0**power, 1))
+    out = told(4, "TB")
     for power, unit in reversed(list(enumerate(("B", "KB", "MB", "GB")))):
-        out = F.when(s < 1024.0 ** (power + 1), F.format_string(f"%.1f {unit}", s / 1024.0**power)).otherwise(out)
+        out = F.when(s < 1024.0 ** (power + 1), told(power, unit)).otherwise(out)
     return out
 
 
@@ -178,7 +180,12 @@ OLDER_ENTITIES = [
 
 def entities(c: Column | str, patterns: list[tuple[str, str]] = ENTITIES) -> Column:
     """Distinct structs ``(name, type)`` of all patterns' matches of two characters or more."""
-    found = [F.transform(F.regexp_extract_all(F.coalesce(_text(c), F.lit("")), F.lit(p), F.lit(1)), lambda n, k=kind: F.struct(n.alias("name"), F.lit(k).alias("type"))) for kind, p in patterns]
+
+    def of(kind: str, pattern: str) -> Column:
+        names = F.regexp_extract_all(F.coalesce(_text(c), F.lit("")), F.lit(pattern), F.lit(1))
+        return F.transform(names, lambda n: F.struct(n.alias("name"), F.lit(kind).alias("type")))
+
+    found = [of(kind, p) for kind, p in patterns]
     return F.array_distinct(F.filter(F.concat(*found), lambda e: F.length(e["name"]) >= 2))
 
 

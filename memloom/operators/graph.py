@@ -72,20 +72,18 @@ def connected(nodes: DataFrame, edges: DataFrame, id_col: str = "id") -> DataFra
     return nodes.select(F.col(id_col).alias("node")).join(found, "node", "left").select("node", F.coalesce("label", "node").alias("community"))
 
 
-def _moves(edges: DataFrame, membership: DataFrame, resolution: float, salt: int) -> DataFrame:
+def _moves(links: DataFrame, strength: DataFrame, m2: float, membership: DataFrame, resolution: float, salt: int) -> DataFrame:
     """One synchronous round: nodes of one half, chosen by a hash, take the neighbour community that gains most."""
-    strength = cut(both_ways(edges).groupBy(F.col("src").alias("node")).agg(F.sum("weight").alias("k")), "strength")
-    m2 = strength.agg(F.sum("k")).first()[0] or 1.0
     held = membership.join(strength, "node", "left").withColumn("k", F.coalesce("k", F.lit(0.0)))
     totals = held.groupBy("community").agg(F.sum("k").alias("tot"))
-    links = both_ways(edges).filter("src <> dst").join(membership.select(F.col("node").alias("dst"), F.col("community").alias("to")), "dst").groupBy(F.col("src").alias("node"), "to").agg(F.sum("weight").alias("w"))
-    options = links.join(held, "node").join(totals.select(F.col("community").alias("to"), "tot"), "to")
+    near = links.join(membership.select(F.col("node").alias("dst"), F.col("community").alias("to")), "dst").groupBy(F.col("src").alias("node"), "to").agg(F.sum("weight").alias("w"))
+    options = near.join(held, "node").join(totals.select(F.col("community").alias("to"), "tot"), "to")
     own = F.col("to") == F.col("community")
     gain = F.col("w") - resolution * F.col("k") * (F.col("tot") - F.when(own, F.col("k")).otherwise(F.lit(0.0))) / m2
-    best = options.select("node", "community", "to", own.alias("own"), F.round(gain, 9).alias("gain"))
+    best = options.select("node", "to", own.alias("own"), F.round(gain, 9).alias("gain"))
     stay = F.max(F.when(F.col("own"), F.col("gain")))
     # Alone, a node gains nothing by staying.
-    chosen = best.groupBy("node").agg(F.max_by("to", F.struct("gain", "own", (-F.xxhash64("to") / 2).alias("h"))).alias("to"), F.max("gain").alias("top"), F.coalesce(stay, F.lit(0.0)).alias("stay"))
+    chosen = best.groupBy("node").agg(F.max_by("to", F.struct("gain", "own", (-F.col("to")).alias("h"))).alias("to"), F.max("gain").alias("top"), F.coalesce(stay, F.lit(0.0)).alias("stay"))
     active = F.pmod(F.xxhash64("node", F.lit(salt)), F.lit(2)) == 0
     out = membership.join(chosen, "node", "left")
     return out.select("node", F.when(active & (F.col("top") > F.col("stay") + 1e-9), F.col("to")).otherwise(F.col("community")).alias("community"))
@@ -100,7 +98,7 @@ def _score(edges: DataFrame, membership: DataFrame, resolution: float) -> float:
     return modularity(edges, membership, resolution).first()[0] or 0.0
 
 
-def louvain(nodes: DataFrame, edges: DataFrame, id_col: str = "id", resolution: float = 1.0, levels: int = 6, rounds: int = 8, refine: bool = False) -> DataFrame:
+def louvain(nodes: DataFrame, edges: DataFrame, id_col: str = "id", resolution: float = 1.0, levels: int = 4, rounds: int = 6, refine: bool = False) -> DataFrame:
     """``node, community`` by local moves and contraction, the same at every run.
 
     Every node stands for itself first. Rounds of moves go on while modularity
@@ -114,8 +112,12 @@ def louvain(nodes: DataFrame, edges: DataFrame, id_col: str = "id", resolution:
     best = _score(edges, every, resolution)
     for depth in range(levels):
         moved, began = level, best
+        ways = both_ways(graph)
+        strength = cut(ways.groupBy(F.col("src").alias("node")).agg(F.sum("weight").alias("k")), "strength")
+        m2 = strength.agg(F.sum("k")).first()[0] or 1.0
+        links = cut(ways.filter("src <> dst"), "links")
         for r in range(rounds):
-            step = cut(_moves(graph, moved, resolution, 31 * depth + r), "moves")
+            step = cut(_moves(links, strength, m2, moved, resolution, 31 * depth + r), "moves")
             score = _score(graph, step, resolution)
             if score > best + 1e-9:
                 moved, best = step, score

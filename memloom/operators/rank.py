@@ -12,7 +12,8 @@ ECHO_SECONDS, ECHO_SHARE = 60, 0.85
 
 
 def seconds(ts: Column) -> Column:
-    return F.unix_micros(ts) / 1e6
+    """Epoch seconds of a timestamp with or without a zone (then in the session's)."""
+    return F.unix_micros(ts.cast("timestamp")) / 1e6
 
 
 def decay(ts: Column, as_of: Column, rate: float = 0.01) -> Column:
