@@ -16,9 +16,11 @@ sent shingle are the clusters. As passages that many documents share come last i
 the order, unrelated documents hardly ever meet.
 
 * The order follows a sketch of counters over all documents, gathered in the same
-  pass as the sets' keys: 16 bits each, about one for eight shingles, and
-  ``MOST_COUNTERS`` at most, which bounds the broadcast at 64 MB. Any order gives
-  the same links; where counters are shared, it is less sharp and clusters grow.
+  pass as the sets' keys: two bits each, about one a shingle, so that most unique
+  shingles are known as such (these come first, and need not be sent), and one byte
+  for 32 of them to tell the frequent ones apart. ``MOST_COUNTERS`` bounds the
+  broadcast at 72 MB. Any order gives the same links; where more shingles share a
+  counter, more are sent, a share ``1 - t`` of all at most, and clusters grow.
 * Clusters of more than ``BLOCK`` sets are divided once more. For a range of sizes the
   hash space of shingles is cut into more parts than two linked sets can differ in,
   so linked sets agree wholly on some part (the pigeonhole of PartEnum; Arasu et al.,
@@ -43,7 +45,6 @@ from __future__ import annotations
 
 import heapq
 import math
-import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -59,10 +60,10 @@ from memloom.shared import cut
 BLOCK = 1024
 #: Ids that may be broadcast: a hash table of 500,000 longs takes some 16 MB.
 MOST_SENT = 500_000
-MOST_COUNTERS = 1 << 25
+MOST_COUNTERS = 1 << 28
 RATIO = 1.25
-_CHUNK = 1 << 16
-_FULL = 65535
+_CHUNK = 1 << 18
+_FLUSH = 4_000_000
 HOT_SHARE = 256
 MU = 0.01
 _C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -103,14 +104,24 @@ def set_key(h: np.ndarray) -> tuple[int, int]:
     return int(_mix(h ^ _C1).sum(dtype=np.uint64).astype(np.int64)), int((_mix(h + _C3) * _C1).sum(dtype=np.uint64).astype(np.int64))
 
 
-def prefix(h: np.ndarray, counts: np.ndarray, num: int, den: int) -> np.ndarray:
-    """The shingles that a sorted set sends: the rarest by the sketch, then by hash."""
-    send = len(h) - -(-num * len(h) // den) + 1
-    return h[np.argsort(counts[_counter(h, len(counts))], kind="stable")[:send]]
+class Sketch:
+    """How often hashes occur, roughly: 1, 2 or more for a counter, and a logarithm for 32 counters together."""
 
+    def __init__(self, counters: int, fine: np.ndarray, coarse: np.ndarray):
+        self.shift, self.fine, self.coarse = np.uint64(65 - counters.bit_length()), fine, coarse
 
-def _counter(h: np.ndarray, counters: int) -> np.ndarray:
-    return (h >> np.uint64(65 - counters.bit_length())).astype(np.int64) if counters > 1 else np.zeros(len(h), np.int64)
+    def rarity(self, h: np.ndarray) -> np.ndarray:
+        """0 and 1 for hashes that no two sets have, then more for more frequent ones."""
+        at = (h >> self.shift).astype(np.int64)
+        exact = (self.fine[at >> 2] >> ((at & 3) << 1).astype(np.uint8)) & np.uint8(3)
+        return np.where(exact == 3, np.maximum(self.coarse[at >> 5], np.uint8(3)), exact)
+
+
+def prefix(h: np.ndarray, sketch: Sketch, num: int, den: int) -> np.ndarray:
+    """The shingles that a sorted set sends: the rarest by the sketch, then by hash; those that only it has are left out."""
+    rarity = sketch.rarity(h)
+    first = np.argsort(rarity, kind="stable")[: len(h) - -(-num * len(h) // den) + 1]
+    return h[first[rarity[first] > 1]]
 
 
 class Scheme:
@@ -227,12 +238,23 @@ def _probe(postings: np.ndarray, lo: np.ndarray, hi: np.ndarray, y: int) -> int:
 
 
 def _profiles(rows: DataFrame, k: int, counters: int) -> DataFrame:
-    """``id, n, a, b``: the size and the key of every document's set; and, with ``chunk`` set, each task's counters in ``counts``."""
+    """``id, n, a, b``: the size and the key of every document's set; and, with ``chunk`` set, the gaps between its task's counters in ``gaps``."""
+    shift = np.uint64(65 - counters.bit_length())
+    names = ["id", "n", "a", "b", "chunk", "gaps"]
+
+    def told(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        at = np.sort(np.concatenate(held))
+        bounds = np.searchsorted(at, np.arange(0, counters + 1, _CHUNK, dtype=np.uint64))
+        for c, (lo, hi) in enumerate(zip(bounds, bounds[1:])):
+            if lo < hi:
+                gaps = np.diff(at[lo:hi], prepend=np.uint64(c * _CHUNK)).astype(np.uint32)
+                wide = gaps[gaps >= 255]
+                blob = np.uint32(hi - lo).tobytes() + np.minimum(gaps, 255).astype(np.uint8).tobytes() + wide.tobytes()
+                yield pa.record_batch([*(pa.nulls(1, pa.int64()) for _ in range(4)), pa.array([c], pa.int64()), pa.array([blob], pa.binary())], names=names)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Words()
-        total = np.zeros(counters, np.uint16)
-        names = ["id", "n", "a", "b", "chunk", "counts"]
+        held, size = [], 0
         for batch, texts in pieces(batches, 1):
             n, a, b = [], [], []
             for t in texts:
@@ -241,38 +263,48 @@ def _profiles(rows: DataFrame, k: int, counters: int) -> DataFrame:
                 n.append(len(h))
                 a.append(key[0])
                 b.append(key[1])
-                at = _counter(h, counters)
-                at = at[total[at] < _FULL]
-                np.add.at(total, at, np.uint16(1))
+                held.append(h >> shift)
+                size += len(h)
             yield pa.record_batch([batch.column(0), *(pa.array(x, pa.int64()) for x in (n, a, b)), pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.binary())], names=names)
-        for c in range(0, counters, _CHUNK):
-            part = total[c : c + _CHUNK]
-            if part.any():
-                yield pa.record_batch([*(pa.nulls(1, pa.int64()) for _ in range(4)), pa.array([c], pa.int64()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], names=names)
+            if size >= _FLUSH:
+                yield from told(held)
+                held, size = [], 0
+        if size:
+            yield from told(held)
 
-    return rows.mapInArrow(run, "id long, n long, a long, b long, chunk long, counts binary")
+    return rows.mapInArrow(run, "id long, n long, a long, b long, chunk long, gaps binary")
 
 
-def _sketch(profiles: DataFrame, counters: int) -> np.ndarray:
+def _sketch(profiles: DataFrame, counters: int) -> Sketch:
     """The tasks' counters, added up on the executors chunk by chunk."""
 
     def add(part: pa.Table) -> pa.Table:
-        total = np.zeros(_CHUNK, np.int64)
-        for x in part.column("counts"):
-            got = np.frombuffer(zlib.decompress(x.as_py()), np.uint16)
-            total[: len(got)] += got
-        return pa.table({"chunk": part.column("chunk").slice(0, 1), "counts": pa.array([np.minimum(total, _FULL).astype(np.uint16).tobytes()], pa.binary())})
-
-    out = np.zeros(max(counters, _CHUNK), np.uint16)
-    # ``counters`` of 16 bits altogether, MOST_COUNTERS at most.
-    for r in profiles.filter("chunk IS NOT NULL").select("chunk", "counts").groupBy("chunk").applyInArrow(add, "chunk long, counts binary").toLocalIterator():
-        out[r["chunk"] : r["chunk"] + _CHUNK] = np.frombuffer(r["counts"], np.uint16)
-    return out[:counters]
-
-
-def _prefixes(rows: DataFrame, k: int, num: int, den: int, counts: np.ndarray) -> DataFrame:
+        found = [np.zeros(0, np.int64)]
+        for x in part.column("gaps"):
+            blob = x.as_py()
+            n = int(np.frombuffer(blob, np.uint32, 1)[0])
+            gaps = np.frombuffer(blob, np.uint8, n, 4).astype(np.int64)
+            gaps[gaps == 255] = np.frombuffer(blob, np.uint8, offset=4 + n).view(np.uint32)
+            found.append(np.cumsum(gaps))
+        total = np.bincount(np.concatenate(found), minlength=_CHUNK)
+        fine = np.minimum(total, 3).astype(np.uint8).reshape(-1, 4)
+        fine = fine[:, 0] | fine[:, 1] << 2 | fine[:, 2] << 4 | fine[:, 3] << 6
+        coarse = np.log2(np.maximum(total.reshape(-1, 32).sum(axis=1), 1)).astype(np.uint8)
+        return pa.table({"chunk": part.column("chunk").slice(0, 1), "fine": pa.array([fine.tobytes()], pa.binary()), "coarse": pa.array([coarse.tobytes()], pa.binary())})
+
+    fine, coarse = np.zeros(max(counters, _CHUNK) // 4, np.uint8), np.zeros(max(counters, _CHUNK) // 32, np.uint8)
+    found = profiles.filter("chunk IS NOT NULL").select("chunk", "gaps").groupBy("chunk").applyInArrow(add, "chunk long, fine binary, coarse binary")
+    # ``counters`` of two bits altogether, MOST_COUNTERS at most.
+    for r in found.toLocalIterator():
+        c = r["chunk"]
+        fine[c * _CHUNK // 4 : (c + 1) * _CHUNK // 4] = np.frombuffer(r["fine"], np.uint8)
+        coarse[c * _CHUNK // 32 : (c + 1) * _CHUNK // 32] = np.frombuffer(r["coarse"], np.uint8)
+    return Sketch(counters, fine, coarse)
+
+
+def _prefixes(rows: DataFrame, k: int, num: int, den: int, sketch: Sketch) -> DataFrame:
     """``sig, id``: the shingles that each set sends, unless the task has met its equal."""
-    sent = rows.sparkSession.sparkContext.broadcast(counts)
+    sent = rows.sparkSession.sparkContext.broadcast(sketch)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Words()
@@ -345,22 +377,17 @@ def bounded(ids: DataFrame) -> DataFrame:
 def _cells(cells: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """Links ``u, v`` found in every cell of ``cells`` (``label, i, j, rep, asked, piece``)."""
 
-    def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Words()
-        for batch, part in pieces(batches, 1):
-            yield pa.record_batch([batch.column(0), pa.array([shingles(t, k, known).tobytes() for t in part], pa.binary())], names=["rep", "set"])
-
-    wanted = bounded(cells.select("rep").distinct())
-    found = texts.select(F.col("id").alias("rep"), "text").join(wanted, "rep", "left_semi").mapInArrow(sets, "rep long, set binary")
-
     def run(cell: pa.Table) -> pa.Table:
-        rows = cell.sort_by("rep").to_pydict()
+        rows, known = cell.sort_by("rep").to_pydict(), _Words()
         keep = [i for i in range(len(rows["rep"])) if not i or rows["rep"][i] != rows["rep"][i - 1]]  # ids may repeat
         reps = [rows["rep"][i] for i in keep]
-        got = search([np.frombuffer(rows["set"][i], np.uint64) for i in keep], num, den, None if all(rows["asked"]) else np.array([rows["asked"][i] for i in keep]), np.array([rows["piece"][i] for i in keep]))
+        sets = [shingles(rows["text"][i], k, known) for i in keep]
+        got = search(sets, num, den, None if all(rows["asked"]) else np.array([rows["asked"][i] for i in keep]), np.array([rows["piece"][i] for i in keep]))
         return pa.table({"u": pa.array([reps[x] for x, _ in got], pa.int64()), "v": pa.array([reps[y] for _, y in got], pa.int64())})
 
-    return cells.join(found, "rep").groupBy("label", "i", "j").applyInArrow(run, "u long, v long")
+    # Texts are smaller than the sets of their shingles.
+    meet = texts.select(F.col("id").alias("rep"), "text").join(bounded(cells), "rep")
+    return meet.groupBy("label", "i", "j").applyInArrow(run, "u long, v long")
 
 
 def _links(clusters: DataFrame, texts: DataFrame, k: int, num: int, den: int, block: int) -> DataFrame:
@@ -397,7 +424,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     """``doc_id, n_shingles, component_id`` of every row; ``component_id`` is the smallest id that links reach."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    counters = min(MOST_COUNTERS, 1 << max(10, (size // 48).bit_length()))
+    counters = min(MOST_COUNTERS, 1 << max(18, (size // 12).bit_length()))
     profiles = cut(_profiles(rows, k, counters), "profiles")
     base = profiles.filter("chunk IS NULL").select("id", "n", "a", "b")
     classes = base.filter("n > 0 AND id IS NOT NULL").groupBy("a", "b").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))

@@ -129,7 +129,9 @@ def test_empty_table(spark):
 
 def test_linked_sets_send_a_common_shingle_and_part():
     rng = random.Random(6)
-    counts = np.random.default_rng(6).integers(0, 4, 1 << 10).astype(np.uint16)
+    dice = np.random.default_rng(6)
+    # Both sets have what they have in common, so its counters are at least 2.
+    sketch = jaccard.Sketch(1 << 18, dice.choice(np.array([0b10101010, 0b11101110, 0b11111111], np.uint8), 1 << 16), dice.integers(0, 9, 1 << 13).astype(np.uint8))
     for num, den in ((90, 100), (80, 100), (50, 100)):
         scheme = jaccard.Scheme(num, den)
         for _ in range(400):
@@ -140,7 +142,7 @@ def test_linked_sets_send_a_common_shingle_and_part():
             both = len(np.intersect1d(x, y))
             if len(y) and den * both >= num * (len(x) + len(y) - both):
                 assert set(scheme.signatures(x).tolist()) & set(scheme.signatures(y).tolist())
-                assert set(jaccard.prefix(x, counts, num, den).tolist()) & set(jaccard.prefix(y, counts, num, den).tolist())
+                assert set(jaccard.prefix(x, sketch, num, den).tolist()) & set(jaccard.prefix(y, sketch, num, den).tolist())
 
 
 def test_graph_components(spark):
