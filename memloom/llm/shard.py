@@ -81,11 +81,11 @@ def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: s
 
 ORACLE = f"""
 WITH RECURSIVE d AS (
-  SELECT row_number() OVER () AS rid, doc_id, coalesce(doc_id, 0) AS key, strlen(coalesce(text, '')) + 8 AS size, hex(encode(coalesce(text, ''))) AS hx FROM documents),
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(doc_id, 0) AS key, strlen(coalesce(text, '')) + 8 AS size, string_split(hex(encode(coalesce(text, ''))), '') AS hx, strlen(coalesce(text, '')) AS n FROM documents),
 tab AS (SELECT list(v ORDER BY i) AS t FROM (
   SELECT i, list_reduce([i] || range(8), lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) r(i))),
 crc AS (
-  SELECT rid, xor(4294967295, list_reduce([4294967295] || list_transform(range(1, (length(hx) // 2 + 1)::BIGINT),
+  SELECT rid, xor(4294967295, list_reduce([4294967295] || list_transform(range(1, n + 1),
     lambda i: (ascii(hx[2 * i - 1]) - CASE WHEN hx[2 * i - 1] > '9' THEN 55 ELSE 48 END)::BIGINT * 16 + ascii(hx[2 * i]) - CASE WHEN hx[2 * i] > '9' THEN 55 ELSE 48 END),
     lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8))) AS crc FROM d, tab),
 jumps AS (
