@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from memloom.llm.batches import pieces
 
 LEAF = 2048
-CACHE = 100_000
+CACHE = 60_000
 WINDOW = 32
 #: A pre-token boundary depends on at most so many characters to its right ("'ll").
 LOOK = 3

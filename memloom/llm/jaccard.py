@@ -54,7 +54,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from memloom.llm.batches import pieces
-from memloom.llm.components import components
+from memloom.operators.components import components
 from memloom.shared import cut
 
 BLOCK = 1024
@@ -63,7 +63,7 @@ MOST_SENT = 500_000
 MOST_COUNTERS = 1 << 28
 RATIO = 1.25
 _CHUNK = 1 << 18
-_FLUSH = 4_000_000
+_FLUSH = 1_000_000
 HOT_SHARE = 256
 MU = 0.01
 _C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -80,7 +80,7 @@ class _Words(dict):
     """Hashes of words, kept while there are not too many."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 200_000:
+        if len(self) > 100_000:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word)
         return h

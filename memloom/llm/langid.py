@@ -118,7 +118,7 @@ def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
 
     def sums(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
-        for batch, texts in pieces(batches, 1, 128):
+        for batch, texts in pieces(batches, 1, 64):
             vectors, _ = bundle(texts, dims)
             langs = batch.column(0).to_pylist()
             for lang in set(langs):
@@ -141,7 +141,7 @@ def predict(docs: DataFrame, model: Profiles, columns: list[str], text_col: str
     schema = f"_row {dict(rows.dtypes)['_row']}, lang_pred string, score double"
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in pieces(batches, 1, 128):
+        for batch, texts in pieces(batches, 1, 64):
             langs, scores = sent.value.predict(texts)
             yield pa.record_batch([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["_row", "lang_pred", "score"])
 
