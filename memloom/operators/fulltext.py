@@ -57,11 +57,13 @@ def snippet(text: Column, terms: Column, most: int = 40, mark: tuple[str, str] =
     return F.array_join(F.transform(F.slice(words, start, F.lit(most)), lambda w: F.when(hit(w), F.concat(F.lit(mark[0]), w, F.lit(mark[1]))).otherwise(w)), " ")
 
 
-def _best_tier(rows: DataFrame, tiers: list[Column]) -> DataFrame:
-    """Rows of the first tier that has any, with its number. Both sides pass the same filter, so one scan finds them."""
+def _best_tier(rows: DataFrame, tiers: list[Column], order: list[Column], k: int) -> DataFrame:
+    """The first ``k`` rows of the first tier that has any, with its number, from one scan and one top-k."""
     tier = F.coalesce(*(F.when(t, n) for n, t in enumerate(tiers, 1)))
-    rows = rows.withColumn("tier", tier).filter("tier IS NOT NULL")
-    return rows.join(F.broadcast(rows.agg(F.min("tier").alias("tier"))), "tier")
+    top = rows.withColumn("tier", tier).filter("tier IS NOT NULL").orderBy("tier", *order).limit(k)
+    # At most k rows are left to look at together.
+    first = F.min("tier").over(Window.partitionBy(F.lit(1)))
+    return top.withColumn("_first", first).filter("tier = _first").drop("_first").orderBy(*order)
 
 
 def tiered_search(notes: DataFrame, query: str, columns: tuple[str, ...], normal, order: list[Column], k: int = 50, where: Column | None = None) -> DataFrame:
@@ -69,16 +71,16 @@ def tiered_search(notes: DataFrame, query: str, columns: tuple[str, ...], normal
     rows = notes if where is None else notes.filter(where)
     asked = normal(F.lit(query))
     words = F.filter(F.split(asked, " "), lambda w: w != "")
-    text = F.concat_ws(" ", *(normal(F.col(c)) for c in columns))
-    own = tokens(text)
+    rows = rows.withColumn("_text", F.lower(F.concat_ws(" ", *(normal(F.col(c)) for c in columns))))
+    text, own = F.col("_text"), tokens(F.col("_text"))
     by_word = F.exists(words, lambda w: F.array_contains(own, F.lower(w)))
-    by_part = F.exists(F.filter(words, lambda w: F.length(w) >= 3), lambda w: F.contains(F.lower(text), F.lower(w)))
+    by_part = F.exists(F.filter(words, lambda w: F.length(w) >= 3), lambda w: F.contains(text, F.lower(w)))
     raw = reduce(lambda a, b: a | b, (F.coalesce(F.contains(F.lower(F.col(c)), F.lower(F.lit(query))), F.lit(False)) for c in columns))
-    return _best_tier(rows, [by_word, by_part, raw]).orderBy(*order).limit(k)
+    return _best_tier(rows, [by_word, by_part, raw], order, k).drop("_text")
 
 
 def phrase_search(messages: DataFrame, query: str, text_col: str, normal, order: list[Column], k: int = 5) -> DataFrame:
     """Messages with the whole phrase, else with all of its words, newest first."""
     asked, text = normal(F.lit(query)), normal(F.col(text_col))
     words = F.split(asked, r"(?U)\s+")
-    return _best_tier(messages, [F.contains(text, asked), (F.size(words) > 1) & F.forall(words, lambda w: F.contains(text, w))]).orderBy(*order).limit(k)
+    return _best_tier(messages, [F.contains(text, asked), (F.size(words) > 1) & F.forall(words, lambda w: F.contains(text, w))], order, k)
