@@ -160,9 +160,17 @@ def parse_time(c: Column | str, otherwise: Column | None = None) -> Column:
     return F.coalesce(found, otherwise) if otherwise is not None else found
 
 
-# Entity patterns, by type, of the current and of the older extractor.
+# Platform names, and entity patterns, by type, of the current and of the older extractor.
+PLATFORMS = ["Multica", "Telegram", "OpenClaw", "Claude", "Qwen", "Gemma", "WSL"]
+
+
+def platform_pattern(names: list[str]) -> tuple[str, str]:
+    """The pattern of platform names; add the host agent's own name to the list."""
+    return "platform", rf"\b({'|'.join(names)})\b"
+
+
 ENTITIES = [
-    ("platform", r"\b(Multica|Hermes|Telegram|OpenClaw|Claude|Qwen|Gemma|WSL|Ollama)\b"),
+    platform_pattern([*PLATFORMS, "Ollama"]),
     ("telegram_bot", r"@([A-Za-z0-9_]+bot)"),
     ("version", r"\b(v?\d+\.\d+(?:\.\d+)?)\b"),
     ("port", r"(?:port|gateway)\s+(\d{4,5})"),
@@ -171,7 +179,7 @@ ENTITIES = [
 OLDER_ENTITIES = [
     ("person", r"[@]?([A-Z][a-z]+(?:\s+[A-Z][a-z]+)+)"),
     ("telegram_bot", r"@([A-Za-z0-9_]+bot)"),
-    ("platform", r"\b(Multica|Hermes|Telegram|OpenClaw|Claude|Qwen|Gemma|WSL)\b"),
+    platform_pattern(PLATFORMS),
     ("port", r"(?:port|gateway|api_server)\s+(\d{4,5})"),
     ("file_path", r"(/[^\s]{5,})"),
     ("version", r"\b(v?\d+\.\d+\.\d+)\b"),
