@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from memloom.llm.batches import pieces
 from memloom.llm.quality import held_out, labelled
 
-FIT_ROWS = 20_000
+FIT_ROWS = 12_000
 THRESHOLD = 0.5
 STEMS = (3, 4, 5, 6, 7, 8)
 VOTERS = 12
