@@ -211,7 +211,7 @@ def lexicon(sample: Sample, y: np.ndarray, weight: np.ndarray) -> Lexicon:
         toxic, clean = (np.bincount(term, (weight * k)[doc], len(names)) for k in (y, 1 - y))
         kinds += len(names)
         found += [(-float(toxic[i]), str(names[i])) for i in np.flatnonzero((toxic > 1) & (clean <= 0.02 * toxic))]
-    need = (np.log(kinds) + 2) / np.log(1 / rate)
+    need = 0.65 * (np.log(kinds) + 2) / np.log(1 / rate)
     good = sorted(x for x in found if -x[0] >= need)
     return Lexicon({t: i % VOTERS for i, (_, t) in enumerate(good[:ENTRIES])})
 
@@ -239,7 +239,7 @@ class Linear:
         return 1 / (1 + np.exp(-np.clip(out, -40, 40)))
 
 
-def linear(sample: Sample, post: np.ndarray, weight: np.ndarray, steps: int = 1500, l2: float = 1e-4, sure: float = 5.0, clear: float = 0.9) -> Linear:
+def linear(sample: Sample, post: np.ndarray, weight: np.ndarray, steps: int = 1500, l2: float = 1e-4, sure: float = 4.3, clear: float = 0.9) -> Linear:
     """Logistic regression on posterior labels, over at most ``TERMS`` terms that lie ``sure`` deviations off chance.
 
     Terms that speak for label 1 must do so in the share ``clear`` of their documents, or long texts would gather it from many weak ones.
