@@ -302,15 +302,31 @@ def _sketch(profiles: DataFrame, counters: int) -> Sketch:
     return Sketch(counters, fine, coarse)
 
 
+def _combined(sigs: list[np.ndarray], ids: list[np.ndarray]) -> pa.RecordBatch:
+    """``sig, id`` with one row a signature. Another set with it is tied to the first by a signature of their own, once for all that they share.
+
+    So what many sets of a task share goes to one reducer once, and their ties are dealt evenly.
+    """
+    sig, own = np.concatenate(sigs), np.concatenate(ids)
+    order = np.lexsort((own, sig))
+    sig, own = sig[order], own[order]
+    new = np.concatenate([[True], sig[1:] != sig[:-1]])
+    hub = own[np.maximum.accumulate(np.where(new, np.arange(len(sig)), 0))]
+    tied = ~new & (hub != own)
+    pairs = np.unique(np.stack([own[tied], hub[tied]]), axis=1)
+    tie = _mix(_mix(pairs[0].view(np.uint64)) * _C1 + pairs[1].view(np.uint64))
+    sig, own = np.concatenate([sig[new], tie, tie]), np.concatenate([own[new], pairs[0], pairs[1]])
+    return pa.record_batch([pa.array(sig.view(np.int64)), pa.array(own)], names=["sig", "id"])
+
+
 def _prefixes(rows: DataFrame, k: int, num: int, den: int, sketch: Sketch) -> DataFrame:
     """``sig, id``: the shingles that each set sends, unless the task has met its equal."""
     sent = rows.sparkSession.sparkContext.broadcast(sketch)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Words()
-        seen = set()
+        seen, sigs, ids, size = set(), [], [], 0
         for batch, texts in pieces(batches, 1):
-            sigs, ids = [], []
             for i, t in zip(batch.column(0).to_pylist(), texts, strict=True):
                 h = shingles(t, k, known)
                 if i is None or not len(h) or (key := set_key(h)) in seen:
@@ -320,8 +336,12 @@ def _prefixes(rows: DataFrame, k: int, num: int, den: int, sketch: Sketch) -> Da
                 s = prefix(h, sent.value, num, den)
                 sigs.append(s)
                 ids.append(np.full(len(s), i, np.int64))
-            if sigs:
-                yield pa.record_batch([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(ids))], names=["sig", "id"])
+                size += len(s)
+            if size >= _FLUSH:
+                yield _combined(sigs, ids)
+                sigs, ids, size = [], [], 0
+        if size:
+            yield _combined(sigs, ids)
 
     return rows.mapInArrow(run, "sig long, id long")
 
