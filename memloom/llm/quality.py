@@ -67,17 +67,13 @@ def statistics(text: str | None) -> list[float]:
     ]
 
 
-def kept_for_fitting(id_col: str = "doc_id") -> Column:
-    return ~held_out(id_col)
-
-
 def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 0, F.lit(False))
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, rows: int = FIT_ROWS) -> DataFrame:
     """``text, y`` of at most ``rows`` labelled rows that are not held out."""
-    good = labels.filter(kept_for_fitting() & F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("double").alias("y"))
+    good = labels.filter(~held_out() & F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("double").alias("y"))
     some = good.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(rows)
     # ``rows`` rows at most: a bound that does not follow the input.
     return docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("text", "y")

@@ -89,7 +89,7 @@ def best(queries: np.ndarray, query_ids: np.ndarray, cands: np.ndarray, cand_ids
         qs, ids = queries[a : a + BLOCK], query_ids[a : a + BLOCK]
         acc = scores(qs, postings, n).astype(np.int64)
         own = cand_ids[None, :] == ids[:, None]
-        if acc.dtype == np.int64 and np.abs(acc).max(initial=0) < 1 << 31:
+        if np.abs(acc).max(initial=0) < 1 << 31:
             key = acc * (1 << 32) + (n - 1 - np.arange(n))  # larger score, then smaller id
             key[own] = np.iinfo(np.int64).min
             at = np.argpartition(key, max(0, n - k), axis=1)[:, max(0, n - k) :] if n > k else np.broadcast_to(np.arange(n), (len(qs), n))
@@ -98,7 +98,7 @@ def best(queries: np.ndarray, query_ids: np.ndarray, cands: np.ndarray, cand_ids
         row = np.arange(len(qs))[:, None]
         good = ~own[row, at]
         out.append((np.broadcast_to(ids[:, None], at.shape)[good], cand_ids[at][good], acc[row, at][good]))
-    return tuple(np.concatenate(x) if out else np.zeros(0, np.int64) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
+    return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: float = 64.0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
