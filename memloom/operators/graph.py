@@ -72,21 +72,65 @@ def connected(nodes: DataFrame, edges: DataFrame, id_col: str = "id") -> DataFra
     return nodes.select(F.col(id_col).alias("node")).join(found, "node", "left").select("node", F.coalesce("label", "node").alias("community"))
 
 
-def _moves(links: DataFrame, strength: DataFrame, m2: float, membership: DataFrame, resolution: float, salt: int) -> DataFrame:
-    """One synchronous round: nodes of one half, chosen by a hash, take the neighbour community that gains most."""
+def _proposals(links: DataFrame, strength: DataFrame, m2: float, membership: DataFrame, resolution: float) -> DataFrame:
+    """``node, community, to, delta`` of every node that gains by a move; ``to`` is null where it gains most alone."""
     held = membership.join(strength, "node", "left").withColumn("k", F.coalesce("k", F.lit(0.0)))
     totals = held.groupBy("community").agg(F.sum("k").alias("tot"))
+    held = held.join(totals.withColumnRenamed("tot", "around"), "community")
     near = links.join(membership.select(F.col("node").alias("dst"), F.col("community").alias("to")), "dst").groupBy(F.col("src").alias("node"), "to").agg(F.sum("weight").alias("w"))
     options = near.join(held, "node").join(totals.select(F.col("community").alias("to"), "tot"), "to")
-    own = F.col("to") == F.col("community")
-    gain = F.col("w") - resolution * F.col("k") * (F.col("tot") - F.when(own, F.col("k")).otherwise(F.lit(0.0))) / m2
-    best = options.select("node", "to", own.alias("own"), F.round(gain, 9).alias("gain"))
-    stay = F.max(F.when(F.col("own"), F.col("gain")))
-    # Alone, a node gains nothing by staying.
-    chosen = best.groupBy("node").agg(F.max_by("to", F.struct("gain", "own", (-F.col("to")).alias("h"))).alias("to"), F.max("gain").alias("top"), F.coalesce(stay, F.lit(0.0)).alias("stay"))
-    active = F.pmod(F.xxhash64("node", F.lit(salt)), F.lit(2)) == 0
-    out = membership.join(chosen, "node", "left")
-    return out.select("node", F.when(active & (F.col("top") > F.col("stay") + 1e-9), F.col("to")).otherwise(F.col("community")).alias("community"))
+    own, k = F.col("to") == F.col("community"), F.col("k")
+    gain = F.round(F.col("w") - resolution * k * (F.col("tot") - F.when(own, k).otherwise(F.lit(0.0))) / m2, 9)
+    best = options.select("node", "community", "to", own.alias("own"), gain.alias("gain"), F.round(-resolution * k * (F.col("around") - k) / m2, 9).alias("apart"))
+    other = F.when(~F.col("own"), F.col("gain"))
+    # ``apart`` is what staying gains without a neighbour inside; alone, a node gains nothing.
+    chosen = best.groupBy("node").agg(
+        F.first("community").alias("community"),
+        F.coalesce(F.max(F.when(F.col("own"), F.col("gain"))), F.max("apart")).alias("stay"),
+        F.max(other).alias("top"),
+        F.min_by("to", F.when(~F.col("own"), F.struct(-F.col("gain"), F.col("to")))).alias("to"),
+    )
+    moves = chosen.select("node", "community", F.when(F.col("top") >= 0, F.col("to")).alias("to"), (F.greatest("top", F.lit(0.0)) - F.col("stay")).alias("delta"))
+    return moves.filter("delta > 1e-9")
+
+
+def _apart(moves: DataFrame) -> DataFrame:
+    """Those moves that are the best of both communities they touch: no two share one, so their gains add up exactly."""
+    rated = moves.withColumn("place", F.struct((-F.col("delta")).alias("d"), F.col("node").alias("n")))
+    touched = rated.select(F.col("community").alias("c"), "place").unionByName(rated.filter("to IS NOT NULL").select(F.col("to").alias("c"), "place"))
+    first = touched.groupBy("c").agg(F.min("place").alias("first"))
+    kept = rated.join(first.select(F.col("c").alias("community"), F.col("first").alias("a")), "community").join(first.select(F.col("c").alias("to"), F.col("first").alias("b")), "to", "left")
+    return kept.filter((F.col("place") == F.col("a")) & (F.col("to").isNull() | (F.col("place") == F.col("b")))).select("node", "to")
+
+
+def _moved(membership: DataFrame, moves: DataFrame) -> DataFrame:
+    """The membership after ``moves``; communities are named by their smallest nodes."""
+    at = membership.join(moves.select("node", "to", F.lit(True).alias("on")), "node", "left")
+    at = at.select("node", F.when(F.col("on"), F.col("to")).otherwise(F.col("community")).alias("c"), F.when(F.col("on") & F.col("to").isNull(), F.col("node")).alias("alone"))
+    named = at.groupBy("c", "alone").agg(F.min("node").alias("community")).select(F.col("c").alias("c2"), F.col("alone").alias("alone2"), "community")
+    return at.join(named, F.col("c").eqNullSafe(F.col("c2")) & F.col("alone").eqNullSafe(F.col("alone2"))).select("node", "community")
+
+
+def _settled(graph: DataFrame, membership: DataFrame, resolution: float, rounds: int, salt: int) -> tuple[DataFrame, bool]:
+    """The membership when no move of a single node raises modularity, and whether any was made."""
+    ways = both_ways(graph)
+    strength = cut(ways.groupBy(F.col("src").alias("node")).agg(F.sum("weight").alias("k")), "strength")
+    m2 = strength.agg(F.sum("k")).first()[0] or 1.0
+    links = cut(ways.filter("src <> dst"), "links")
+    best, changed = _score(graph, membership, resolution), False
+    for r in range(rounds):
+        moves = cut(_proposals(links, strength, m2, membership, resolution), "proposals")
+        if moves.isEmpty():
+            return membership, changed
+        # One half of the nodes, chosen by a hash, moves at once; where that does not pay, moves that cannot disturb each other do.
+        half = moves.filter(F.pmod(F.xxhash64("node", F.lit(salt + r)), F.lit(2)) == 0)
+        step = cut(_moved(membership, half), "moves")
+        score = _score(graph, step, resolution)
+        if score <= best + 1e-12:
+            step = cut(_moved(membership, _apart(moves)), "moves")
+            score = _score(graph, step, resolution)
+        membership, best, changed = step, score, True
+    raise RuntimeError(f"communities did not settle in {rounds} rounds")
 
 
 def _contract(edges: DataFrame, membership: DataFrame) -> DataFrame:
@@ -98,42 +142,40 @@ def _score(edges: DataFrame, membership: DataFrame, resolution: float) -> float:
     return modularity(edges, membership, resolution).first()[0] or 0.0
 
 
-def louvain(nodes: DataFrame, edges: DataFrame, id_col: str = "id", resolution: float = 1.0, levels: int = 4, rounds: int = 6, refine: bool = False) -> DataFrame:
+def louvain(nodes: DataFrame, edges: DataFrame, id_col: str = "id", resolution: float = 1.0, levels: int = 200, rounds: int = 1000, refine: bool = False) -> DataFrame:
     """``node, community`` by local moves and contraction, the same at every run.
 
-    Every node stands for itself first. Rounds of moves go on while modularity
-    rises; then communities become the nodes of a smaller graph. A round that
-    lowers it is not taken. ``refine`` splits communities that are not connected
-    inside, as Leiden does, before each contraction.
+    Every node stands for itself first. Rounds of moves go on until no move of a
+    node raises modularity; then communities become the nodes of a smaller graph.
+    When contraction helps no more, the nodes themselves are tried again, until
+    nothing improves. ``levels`` and ``rounds`` are safety limits; to reach one is
+    an error. ``refine`` splits communities that are not connected inside, as
+    Leiden does, before each contraction.
     """
     edges = cut(edges.filter("src <> dst").select("src", "dst", "weight"), "louvain-edges")
     every = cut(nodes.select(F.col(id_col).alias("node")).select("node", F.col("node").alias("community")), "louvain")
-    level, graph = every, edges
+    graph, level, whole = edges, every, True  # ``whole``: the level is that of the nodes themselves
     best = _score(edges, every, resolution)
     for depth in range(levels):
-        moved, began = level, best
-        ways = both_ways(graph)
-        strength = cut(ways.groupBy(F.col("src").alias("node")).agg(F.sum("weight").alias("k")), "strength")
-        m2 = strength.agg(F.sum("k")).first()[0] or 1.0
-        links = cut(ways.filter("src <> dst"), "links")
-        for r in range(rounds):
-            step = cut(_moves(links, strength, m2, moved, resolution, 31 * depth + r), "moves")
-            score = _score(graph, step, resolution)
-            if score > best + 1e-9:
-                moved, best = step, score
-            elif r % 2:
-                break
+        moved, changed = _settled(graph, level, resolution, rounds, 31 * depth)
         if refine:
             inner = labelled(graph, moved).filter("a = b")
             parts = components(inner, "src", "dst")
-            moved = cut(moved.join(parts, "node", "left").select("node", F.when(F.col("label").isNull(), F.when(moved["node"].isNotNull(), F.col("node"))).otherwise(F.col("label")).alias("community")), "refined")
-        every = cut(every.join(moved.select(F.col("node").alias("community"), F.col("community").alias("next")), "community").select("node", F.col("next").alias("community")), "louvain")
-        best = _score(edges, every, resolution)
-        if best <= began + 1e-9:
-            break
-        graph = cut(_contract(graph, moved), "contracted")
-        level = moved.select(F.col("community").alias("node")).distinct().select("node", F.col("node").alias("community"))
-    return every
+            moved = cut(moved.join(parts, "node", "left").select("node", F.coalesce("label", "node").alias("community")), "refined")
+        if whole:
+            every = moved
+        elif changed:
+            every = cut(every.join(moved.select(F.col("node").alias("community"), F.col("community").alias("next")), "community").select("node", F.col("next").alias("community")), "louvain")
+        score = _score(edges, every, resolution)
+        if changed or score > best + 1e-12:
+            best = score
+            graph = cut(_contract(graph, moved), "contracted")
+            level, whole = cut(moved.select(F.col("community").alias("node")).distinct().select("node", F.col("node").alias("community")), "level"), False
+        elif whole:
+            return every
+        else:
+            graph, level, whole = edges, every, True
+    raise RuntimeError(f"communities did not settle in {levels} levels")
 
 
 def leiden(nodes: DataFrame, edges: DataFrame, **how) -> DataFrame:

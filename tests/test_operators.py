@@ -123,6 +123,29 @@ def test_community_detection(spark):
     assert "Community 0: 5 nodes, 10 edges" in told and "hello world" in told
 
 
+def test_communities_settle(spark):
+    # 2,000 nodes in 20 planted groups, four fifths of the edges inside them.
+    dice = random.Random(7)
+    pairs = [(i, i // 100 * 100 + dice.randrange(100) if dice.random() < 0.8 else dice.randrange(2000)) for i in range(2000) for _ in range(5)]
+    e = spark.createDataFrame(sorted({(min(p), max(p), 1.0) for p in pairs if p[0] != p[1]}), "src long, dst long, weight double").cache()
+    nodes = spark.range(2000)
+    got = graph.louvain(nodes, e).cache()
+    planted = nodes.select(F.col("id").alias("node"), F.floor(F.col("id") / 100).alias("community"))
+    assert graph.modularity(e, got).first()[0] >= graph.modularity(e, planted).first()[0] - 0.005
+    ways = graph.both_ways(e)
+    strength = ways.groupBy(F.col("src").alias("node")).agg(F.sum("weight").alias("k"))
+    assert graph._proposals(ways, strength, 2.0 * e.count(), got, 1.0).isEmpty()
+    with pytest.raises(RuntimeError, match="did not settle in 2 rounds"):
+        graph.louvain(nodes, e, rounds=2)
+
+
+def test_a_node_leaves_a_community_it_has_no_part_in(spark):
+    e = spark.createDataFrame([(1, 2, 1.0), (3, 4, 1.0)], "src long, dst long, weight double")
+    held = spark.createDataFrame([(1, 1), (2, 1), (3, 1), (4, 4)], "node long, community long")
+    got, changed = graph._settled(e, held, 1.0, 50, 0)
+    assert changed and sorted(map(tuple, got.collect())) == [(1, 1), (2, 1), (3, 3), (4, 3)]
+
+
 def test_components_of_a_path(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(130)] + [(500, 501)], "u long, v long")
     got = {r["node"]: r["label"] for r in components(e).collect()}
