@@ -51,6 +51,8 @@ _PLAIN = (
 )
 #: Letters below this code point are their own canonical composition.
 _LATIN = "\u0250"
+#: The first bytes of U+0300 to U+037F, which hold every mark that composes with an ASCII letter.
+_COMPOSING = (b"\xcc", b"\xcd")
 #: Marks that form a piece of their own after letters.
 _MARKS = b".,!?;:|$%&#*"
 #: The byte-level alphabet: printable Latin-1 stands for itself, other bytes for code points from 256 on.
@@ -119,7 +121,10 @@ class Encoder:
         if self.plain:
             low = raw.lower()
             if not any(a in low for a in self.low_added):  # those are looked for before lower-casing
-                raw = low
+                if not any(m in raw for m in _COMPOSING):
+                    return low.split()
+                # The file composes before it lower-cases, and a mark may compose with a small letter only.
+                return [p.lower() if p.isascii() else p for p in raw.split()]
         return raw.split()
 
     def _letters(self, piece: bytes) -> tuple[bytes, bytes] | None:

@@ -49,6 +49,11 @@ def test_edges_of_encoding(small, text):
     same(small, text)
 
 
+@pytest.mark.parametrize("text", ["J\u030c", "xH\u0331y HAT", "T\u0308", "T\u0344", "W\u030a.", "Y\u030aJ\u030c", "I\u0307", "J\u0323\u030c", "ÉJ\u030c Plain", "J\u030c" * 40])
+def test_composition_comes_before_lower_case(small, text):
+    same(small, text)
+
+
 def test_bpe_of_a_table(spark):
     rows = [(1, "Hello, world! Thé", "x"), (2, None, None), (None, "", "x"), (3, "long " * 40_000, "x"), (3, "x" * 9000, "x")]
     tok = bpe.Encoder(open(PATH).read()).tok
