@@ -38,7 +38,7 @@ Shingles are compared by 64-bit hashes, sets by 128 bits of sums of those.
 Defined results: null and empty texts have 0 shingles and are linked with nothing;
 with fewer than ``k`` words the whole sequence is the one shingle; null ids are
 linked with nothing and have a null component; rows that repeat an id have its
-component; an empty table gives an empty result.
+component, which the links of all its texts make; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -360,8 +360,10 @@ def _divided(clusters: DataFrame, texts: DataFrame, k: int, scheme: Scheme, bloc
         for batch, part in pieces(batches, 2):
             sigs, reps = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for label, rep, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), part, strict=True):
+                if not len(h := shingles(t, k, known)):  # an id may repeat with an empty text
+                    continue
                 # Signatures of one cluster don't meet those of another.
-                s = _mix(scheme.signatures(shingles(t, k, known)).view(np.uint64) ^ _mix(np.full(1, label, np.int64).view(np.uint64)))
+                s = _mix(scheme.signatures(h).view(np.uint64) ^ _mix(np.full(1, label, np.int64).view(np.uint64)))
                 sigs.append(s.view(np.int64))
                 reps.append(np.full(len(s), rep, np.int64))
             yield pa.record_batch([pa.array(np.concatenate(sigs)), pa.array(np.concatenate(reps))], names=["sig", "id"])
@@ -399,7 +401,8 @@ def _cells(cells: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> Da
 
     def run(cell: pa.Table) -> pa.Table:
         rows, known = cell.sort_by("rep").to_pydict(), _Words()
-        keep = [i for i in range(len(rows["rep"])) if not i or rows["rep"][i] != rows["rep"][i - 1]]  # ids may repeat
+        # An id may repeat: each of its texts is searched, and their equal pieces hold them together.
+        keep = sorted({(r, t): i for i, (r, t) in enumerate(zip(rows["rep"], rows["text"], strict=True))}.values())
         reps = [rows["rep"][i] for i in keep]
         sets = [shingles(rows["text"][i], k, known) for i in keep]
         got = search(sets, num, den, None if all(rows["asked"]) else np.array([rows["asked"][i] for i in keep]), np.array([rows["piece"][i] for i in keep]))
@@ -451,8 +454,16 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     met = _prefixes(rows, k, num, den, _sketch(profiles, counters)).repartition("sig").sortWithinPartitions("sig", "id").mapInArrow(_meetings, "u long, v long")
     labels = components(met)
     nodes = labels.join(base.select(F.col("id").alias("node"), "a", "b"), "node").select("label", "a", "b").distinct()
-    clusters = _divided(nodes.join(classes, ["a", "b"]).select("label", "rep"), rows, k, Scheme(num, den), block)
-    linked = components(_links(clusters, rows, k, num, den, block))
+    clusters = _divided(nodes.join(classes, ["a", "b"]).select("label", "rep").distinct(), rows, k, Scheme(num, den), block)
+    links = _links(clusters, rows, k, num, den, block)
+    # Ids that repeat with different sets tie the classes of these together.
+    several = base.filter("id IS NOT NULL").groupBy("id").agg(F.min(F.struct("a", "b")).alias("least"), F.max(F.struct("a", "b")).alias("most"))
+    several = cut(several.filter("least <> most").select("id"), "several")
+    repeats = not several.isEmpty()
+    if repeats:
+        ties = base.filter("n > 0").join(bounded(several), "id").select("id", "a", "b").distinct().join(classes, ["a", "b"])
+        links = links.unionByName(ties.select(F.col("id").alias("u"), F.col("rep").alias("v")))
+    linked = components(links)
     found = cut(classes.join(linked.select(F.col("node").alias("rep"), "label"), "rep", "left").select("a", "b", F.coalesce("label", "rep").alias("component"), "copies"), "classes")
     # Back to the documents. Classes with more than 1/256 of all rows, 256 at most, are broadcast.
     floor = max(2, base.count() // HOT_SHARE)
@@ -463,7 +474,9 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     loose = F.col("_hot").isNotNull() | (F.col("n") == 0) | F.col("id").isNull()
     out = out.withColumn("_ka", F.when(loose, F.xxhash64("id", "n")).otherwise(F.col("a"))).withColumn("_kb", F.when(loose, F.lit(None)).otherwise(F.col("b")))
     out = out.join(cold, (F.col("_ka") == F.col("_a")) & (F.col("_kb") == F.col("_b")), "left")
-    own = F.when(F.col("n") == 0, F.col("id"))
+    if repeats:  # a row without shingles has the component of its id's other rows
+        out = out.join(bounded(several.join(linked.select(F.col("node").alias("id"), F.col("label").alias("_of_id")), "id")), "id", "left")
+    own = F.when(F.col("n") == 0, F.coalesce("_of_id", "id") if repeats else F.col("id"))
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce(own, "_hot", "_cold", "id")).alias("component_id"))
 
 

@@ -160,3 +160,14 @@ def test_graph_components(spark):
     want = {(x, find(x)) for a, b in edges if a != b for x in (a, b)}
     got = components(spark.createDataFrame(edges, "u long, v long")).collect()
     assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+@pytest.mark.parametrize("block", [jaccard.BLOCK, 2])
+def test_an_id_that_repeats_has_the_links_of_all_its_texts(spark, block):
+    text = lambda name, last="": " ".join([*(f"{name}{i}" for i in range(60)), last])
+    rows = [(5, text("a")), (5, text("b")), (7, text("a", "x")), (9, text("b", "y")), (5, text("c")), (3, text("c")), (9, ""), (11, text("d")), (11, None), (12, "")]
+    for held in (rows, rows[::-1]):
+        df = spark.createDataFrame(held, "doc_id long, text string").repartition(3)
+        got = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(df, block=block).collect()}
+        assert got == {(5, 56, 3), (7, 57, 3), (9, 57, 3), (3, 56, 3), (9, 0, 3), (11, 56, 11), (11, 0, 11), (12, 0, 12)}
+        assert {r["doc_id"] for r in jaccard.keep_representatives(df).collect()} == {3, 11, 12}
