@@ -12,10 +12,11 @@ The groups then go back to the documents by digest. Groups that hold more than
 1/256 of all rows (there are at most 256 of them, whatever the input) are
 broadcast, so no join task receives a whole large group.
 
-Defined results: null texts count as empty and are equal to each other; of rows
-with the smallest id all stay when the id repeats (they are one document); null
-ids lose against any id and stay only in groups that have no other; an empty
-table gives an empty result; other columns pass through untouched.
+Defined results: null texts count as empty and are equal to each other; where the
+smallest id repeats in a group, its rows are one document: all are marked as kept,
+and ``keep_first`` keeps one of them; null ids lose against any id and stay only in
+groups that have no other; an empty table gives an empty result; other columns pass
+through untouched.
 """
 
 from __future__ import annotations
@@ -76,7 +77,7 @@ def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", di
     cold = cold.select(F.col("_dg").alias("_cd"), *(F.col(k).alias("_ct") for k in keys[1:]), F.col("_keep").alias("_ck"), F.col("_n").alias("_cn"))
     on = [F.col("_key") == F.col("_cd")] + [F.col("_t").eqNullSafe(F.col("_ct")) for _ in keys[1:]]
     out = rows.join(cold, on, "left")
-    return out.select("_row", "_id", F.coalesce("_hk", "_ck").alias("_keep"), F.coalesce("_hn", "_cn").alias("_n"), "_dg")
+    return out.select("_row", "_id", F.coalesce("_hk", "_ck").alias("_keep"), F.coalesce("_hn", "_cn").alias("_n"), *keys)
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -86,8 +87,17 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    return annotate(docs, id_col, text_col).filter(F.col("_id").eqNullSafe(F.col("_keep"))).select("_row.*")
+    """The rows of ``docs`` that stay, one of each group of equal texts, with all their columns."""
+    kept = annotate(docs, id_col, text_col).filter(F.col("_id").eqNullSafe(F.col("_keep")))
+    # Only ids that repeat can leave a group with several rows, and these are looked for by their ids alone.
+    again = cut(docs.groupBy(F.col(id_col).alias("_again")).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_again"), "dedup-ids")
+    if again.isEmpty():
+        return kept.select("_row.*")
+    kept = cut(kept.select("_row", "_id", "_dg", *(["_t"] if "_t" in kept.columns else [])), "dedup-kept")
+    keys = [c for c in kept.columns if c != "_row"]
+    same = F.col("_id").eqNullSafe(F.col("_again"))
+    once = kept.join(again, same, "left_semi").groupBy(*keys).agg(F.any_value("_row").alias("_row"))
+    return kept.join(again, same, "left_anti").select("_row.*").unionByName(once.select("_row.*"))
 
 
 ORACLE = r"""

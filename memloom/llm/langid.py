@@ -13,11 +13,19 @@ documents, so the cost follows the batch's distinct trigrams.
 Training rows: text and non-null language of the rows that ``train`` selects, at
 most about ``per_language`` of them each (by a hash of the id; the bound is this
 parameter). Prototypes are summed on the executors; only one vector per language
-reaches the driver and the workers, for at most ``MAX_LANGUAGES`` languages.
+reaches the driver and the workers. All languages are learned; a table that names
+more than ``MOST_LANGUAGES`` of them is refused with an error, for the model would
+not fit a worker.
+
+A prediction takes the text alone to a worker, once, and brings the verdict back;
+all other columns stay where they are.
 
 Defined results: ``und`` with score 0 for null texts and texts without a letter,
 and for all when nothing was learned; equal cosines go to the language that sorts
-first; negative cosines score 0.
+first; negative cosines score 0; null ids are never held out and may train; rows
+that repeat an id are predicted each by its own text; texts of any length count
+whole; an empty table gives an empty result; other columns are passed through,
+and none of their names matters.
 """
 
 from __future__ import annotations
@@ -30,13 +38,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from memloom.llm.batches import pieces
+from memloom.llm.batches import give_back, pieces, text_runs
 
 DIMS = 1024
 SEED = 20240229
 PER_LANGUAGE = 4000
-MAX_LANGUAGES = 1000
+MOST_LANGUAGES = 20_000
 UNKNOWN = "und"
+#: Cells of the table that finds a trigram's place; wider alphabets are sorted instead.
+_TABLE = 1 << 22
+#: A text of ``SHOWN`` trigrams shows its language; what then lies within ``CHANCE`` deviations of a random text's cosine shows none.
+SHOWN, CHANCE = 24, 4.0
 
 _letters: dict[tuple[int, int], np.ndarray] = {}
 
@@ -68,12 +80,11 @@ def bundle(texts: list[str | None], dims: int = DIMS) -> tuple[np.ndarray, np.nd
     n = len(alphabet)
     grams = (x[middle - 1] * n + x[middle]) * n + x[middle + 1]
     owner = owner[middle]
-    if n**3 <= 1 << 24:
-        there = np.zeros(n**3, bool)
-        there[grams] = True
-        kinds = np.flatnonzero(there)
-        at = np.zeros(n**3, np.int64)
-        at[kinds] = np.arange(len(kinds))
+    if n**3 <= _TABLE:
+        at = np.zeros(n**3, np.int32)
+        at[grams] = 1
+        kinds = np.flatnonzero(at)
+        at[kinds] = np.arange(len(kinds), dtype=np.int32)
         inverse = at[grams]
     else:
         kinds, inverse = np.unique(grams, return_inverse=True)
@@ -96,33 +107,37 @@ class Profiles:
     languages: list[str]
     vectors: np.ndarray
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Languages, cosines and numbers of trigrams."""
         sums, n = bundle(texts, self.vectors.shape[1] if self.languages else 8)
         if not self.languages:
-            return [UNKNOWN] * len(texts), [0.0] * len(texts)
+            return [UNKNOWN] * len(texts), np.zeros(len(texts)), n
         length = np.linalg.norm(sums, axis=1)
         cosine = (sums @ self.vectors.T) / np.where(length > 0, length, 1)[:, None]
         best = cosine.argmax(axis=1)
-        score = np.clip(cosine[np.arange(len(texts)), best], 0, 1)
-        return [self.languages[b] if k else UNKNOWN for b, k in zip(best, n, strict=True)], [float(s) if k else 0.0 for s, k in zip(score, n, strict=True)]
+        score = np.where(n > 0, np.clip(cosine[np.arange(len(texts)), best], 0, 1), 0.0)
+        return [self.languages[b] if k else UNKNOWN for b, k in zip(best, n, strict=True)], score, n
 
 
 def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", dims: int = DIMS, per_language: int = PER_LANGUAGE) -> Profiles:
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter(train)
     rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MOST_LANGUAGES + 1).collect()
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     if not counts:
         return Profiles([], np.zeros((0, dims)))
-    share = F.create_map(*(x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, per_language / r["count"])))))
-    rows = rows.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20)).select("lang", "text")
+    # MOST_LANGUAGES rows at most, whatever the input.
+    share = F.broadcast(docs.sparkSession.createDataFrame([(r["lang"], min(1.0, per_language / r["n"])) for r in counts], "lang string, share double"))
+    rows = rows.join(share, "lang").filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < F.col("share") * (1 << 20)).select("lang", "text")
 
     def sums(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
         for batch, texts in pieces(batches, 1, 64):
             vectors, _ = bundle(texts, dims)
-            langs = batch.column(0).to_pylist()
+            langs = np.array(batch.column(0).to_pylist(), object)
             for lang in set(langs):
-                total[lang] = total.get(lang, 0) + vectors[[x == lang for x in langs]].sum(axis=0, dtype=np.float64)
+                total[lang] = total.get(lang, 0) + vectors[langs == lang].sum(axis=0, dtype=np.float64)
         if total:
             yield pa.record_batch([pa.array(list(total)), pa.array([v.tolist() for v in total.values()], pa.list_(pa.float64()))], names=["lang", "v"])
 
@@ -134,18 +149,36 @@ def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
     return Profiles(names, np.array([protos[x] / np.linalg.norm(protos[x]) for x in names]).reshape(len(names), dims))
 
 
-def predict(docs: DataFrame, model: Profiles, columns: list[str], text_col: str = "text") -> DataFrame:
-    """The named columns of ``docs`` in the struct ``_row``, with ``lang_pred`` and ``score``."""
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("_row"), F.col(text_col).alias("_text"))
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # MAX_LANGUAGES vectors at most
-    schema = f"_row {dict(rows.dtypes)['_row']}, lang_pred string, score double"
+def verdict(docs: DataFrame, model: Profiles, text: Column) -> Column:
+    """``struct<lang_pred, score, grams>`` of a text: only it goes to the worker."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # MOST_LANGUAGES vectors at most
+
+    @F.arrow_udf("struct<lang_pred: string, score: double, grams: long>")
+    def judged(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            langs, scores, grams = [], [np.zeros(0)], [np.zeros(0, np.int64)]
+            for _, texts in text_runs(batch, 64):
+                found, s, n = sent.value.predict(texts)
+                langs += found
+                scores.append(s)
+                grams.append(n)
+            yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(np.concatenate(scores)), pa.array(np.concatenate(grams))], names=["lang_pred", "score", "grams"])
+        give_back()
+
+    return judged(text)
+
+
+def accepted(found: Column, dims: int = DIMS) -> Column:
+    """Of ``verdict``'s structs: the text has letters, and is too short to tell or more like a learned language than chance would make it."""
+    return (found["lang_pred"] != UNKNOWN) & ((found["grams"] < SHOWN) | (found["score"] >= CHANCE / dims**0.5))
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in pieces(batches, 1, 64):
-            langs, scores = sent.value.predict(texts)
-            yield pa.record_batch([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["_row", "lang_pred", "score"])
 
-    return rows.mapInArrow(run, schema)
+def keep_known(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` in a language that its labelled rows show, with all their columns. Where no label shows any, all rows with a letter stay."""
+    model = fit(docs, ~held_out("id"), id_col, text_col)
+    if not model.languages:
+        return docs.filter(F.col(text_col).rlike(r"\p{L}"))
+    return docs.filter(accepted(verdict(docs, model, F.col(text_col))))
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -155,5 +188,5 @@ def held_out(id_col: str = "doc_id") -> Column:
 def language_id(docs: DataFrame) -> DataFrame:
     """``doc_id, held_out, lang_pred, score`` of every row; learned from rows that are not held out."""
     model = fit(docs, ~held_out("id"))
-    out = predict(docs.withColumn("_out", held_out()), model, ["doc_id", "_out"])
-    return out.select("_row.doc_id", F.col("_row._out").alias("held_out"), "lang_pred", "score")
+    rows = docs.select("doc_id", held_out().alias("held_out"), verdict(docs, model, F.col("text")).alias("found"))
+    return rows.select("doc_id", "held_out", "found.lang_pred", "found.score")

@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+from brute import languages
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -144,6 +145,22 @@ def test_nothing_to_learn_languages_from(spark):
     assert langid.language_id(docs(spark, []).filter("true")).collect() == []
 
 
+def test_predictions_match_brute_force(spark):
+    rng = random.Random(9)
+    rows = [(i, words(rng, PARTS[lang], rng.choice([1, 2, 8, 60])), lang if i % 5 else None) for i, lang in enumerate(rng.choice(sorted(PARTS)) for _ in range(150))]
+    rows += [(7, "ka lo", "cc"), (7, None, "aa"), (None, "sch ung", "bb"), (500, "1234", "aa"), (501, "Ünd 漢字 x9y", None), (502, "ka\U0001d400lo", "aa"), (503, "İstanbul", None)]
+    got = sorted((repr(r["doc_id"]), r["lang_pred"], r["score"]) for r in langid.language_id(docs(spark, rows)).collect())
+    want = sorted((repr(i), lang, score) for (i, _, _), (lang, score, _) in zip(rows, languages(rows)))
+    assert [x[:2] for x in got] == [x[:2] for x in want]
+    assert np.allclose([x[2] for x in got], [x[2] for x in want], atol=1e-5)
+
+
+def test_too_many_languages_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MOST_LANGUAGES", 2)
+    with pytest.raises(ValueError, match="languages"):
+        langid.language_id(docs(spark, [(i, "text", f"l{i}") for i in range(9)]))
+
+
 def test_bundles_are_sums_of_bound_vectors():
     text = "Abé cab"
     want = np.zeros(64)

@@ -44,7 +44,15 @@ def test_exact_dedup_report_and_kept_rows(spark):
     assert one["text_sha256"] == hashlib.sha256(norm(LONG).encode()).hexdigest()
     kept = exact_dedup.keep_first(df)
     assert kept.columns == df.columns
-    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept.collect()) == [(False, x) for x in (1, 2, 2, 3, 6, 7)] + [(True, 0)]
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept.collect()) == [(False, x) for x in (1, 2, 3, 6, 7)] + [(True, 0)]  # one of the two rows of id 2
+
+
+@pytest.mark.parametrize("digest", [exact_dedup.sha256, lambda t: F.substring(t, 1, 0)], ids=["sha256", "all collide"])
+def test_one_row_of_each_text_stays(spark, monkeypatch, digest):
+    rows = [(3, "a", "s")] * 40 + [(3, "b", "s"), (4, "a", "s"), (None, "a", "s"), (None, "c", "s"), (None, "c ", "t"), (None, None, "s"), (None, "", "s"), (7, "d", "s"), (7, "d", "t"), (8, "e", "s")]
+    monkeypatch.setattr(exact_dedup.annotate, "__defaults__", tuple(digest if x is exact_dedup.sha256 else x for x in exact_dedup.annotate.__defaults__))
+    got = sorted((r["doc_id"] or 0, norm(r["text"])) for r in exact_dedup.keep_first(table(spark, rows)).collect())
+    assert got == [(0, ""), (0, "c"), (0, "c "), (3, "a"), (3, "b"), (7, "d"), (8, "e")]
 
 
 def test_a_large_group_is_broadcast(spark):
