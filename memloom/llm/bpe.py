@@ -1,22 +1,32 @@
 """BPE encoding and decoding of whole texts with a public tokenizer file.
 
-Texts are cut at ASCII white space, which the word-end tokenizers served here
-drop, and equal pieces are encoded once while a task's bounded cache holds
-them. A piece of plain letters, with or without closing marks, goes to the
-library's merge model as it is, for normalising and splitting would not change
-it; any other piece goes through the whole library. A long unsplit piece goes
-through a tree of concatenations: it is halved down to leaves, the leaves of a
-batch are encoded together, and each join re-encodes a window around it, doubled
-until both sides agree with it exactly. To agree means that a whole token, with
-its place, is found in the side and in the window, clear of the window's edges.
-A sequence is the encoding of its text when each two neighbours encode to
-themselves (public result on BPE), and every pair then lies inside one of the
-three encodings, so the joined sequence is the encoding of the whole.
+Every text goes through a tree of concatenations as it is, unsplit. It is halved
+down to leaves of ``LEAF`` characters or less, wherever a half may fall; the
+leaves of a batch, and a window around each place where two of them meet, are
+encoded together, on several threads. Then each join, from the leaves up, takes
+the left side's tokens, the window's, and the right side's, changing over at
+tokens that a side and the window have in common, at the same places and clear
+of the window's edges; a window in which both sides do not agree is doubled and
+encoded again. A sequence is the encoding of its text when each two neighbours
+encode to themselves (public result on BPE), and every pair then lies inside one
+of the three encodings, so the joined sequence is the encoding of the whole.
+
+What a side is made of depends on the tokenizer's file, which is looked at first:
+
+* Where it drops white space and splits there (``_PLAIN``), a token never crosses
+  it, so a side is a list of the runs between white space, each of which stands
+  for its tokens. A task's bounded cache holds the encodings of runs. A run of
+  plain letters, with or without closing marks, goes to the library's merge model
+  as it is, for normalising and splitting would not change it; any other run goes
+  through the whole library. Where runs are longer than ``LONG_RUN`` a text is
+  joined token by token instead, as for any other file.
+* For any other file a side is a list of tokens with their places, from the library.
 
 The tokenizer's file is read on the driver and sent as a broadcast of fixed size.
 
 Defined results: null counts as empty, which has no tokens; texts of any length
-are encoded whole; ids may be null or repeat; other columns are not read.
+are encoded whole; ids may be null or repeat; an empty table gives an empty
+result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -35,9 +45,12 @@ from pyspark.sql import functions as F
 
 from memloom.llm.batches import pieces
 
-LEAF = 2048
+LEAF = 1024
 CACHE = 60_000
 WINDOW = 32
+LONG_RUN = 256
+#: Threads of the library in a worker: the two halves of a text.
+THREADS = 2
 #: A pre-token boundary depends on at most so many characters to its right ("'ll").
 LOOK = 3
 
@@ -55,6 +68,7 @@ _LATIN = "\u0250"
 _COMPOSING = (b"\xcc", b"\xcd")
 #: Marks that form a piece of their own after letters.
 _MARKS = b".,!?;:|$%&#*"
+_RUN = re.compile(rb"\S+")
 #: The byte-level alphabet: printable Latin-1 stands for itself, other bytes for code points from 256 on.
 _KEEP = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTES = {b: b for b in _KEEP} | {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in _KEEP)}
@@ -66,13 +80,14 @@ class Encoder:
     """A tokenizer with a bounded cache of encoded pieces."""
 
     def __init__(self, text: str, leaf: int = LEAF, cache: int = CACHE):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
+        os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_str(text)
         self.tok.no_truncation()
         self.tok.no_padding()
-        self.leaf, self.most = leaf, cache
+        self.leaf, self.most, self.joins = leaf, cache, 0
         self.known: dict[bytes, tuple[bytes, bytes]] = {}
         self.older: dict[bytes, tuple[bytes, bytes]] = {}
         added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
@@ -81,7 +96,9 @@ class Encoder:
         self.names = {i: t for t, i in self.tok.get_vocab().items()}
         spec = json.loads(text)
         # Only where letters in lower case pass the normaliser and the splitter unchanged is there a way past them.
-        self.plain = _PLAIN == (spec.get("normalizer"), spec.get("pre_tokenizer")) and not spec.get("post_processor")
+        self.plain = _PLAIN == (spec.get("normalizer"), spec.get("pre_tokenizer")) and not spec.get("post_processor") and self.tok.decoder is None and spec["model"].get("end_of_word_suffix") == "</w>"
+        # Texts are composed before they are cut, where the file composes them: a cut must not part a letter from its marks.
+        self.composes = '"NFC"' in json.dumps(spec.get("normalizer"))
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
@@ -90,9 +107,9 @@ class Encoder:
         return [[(i, s + k, e + k) for i, (s, e) in zip(x.ids, x.offsets, strict=True)] for x, k in zip(self.tok.encode_batch(texts, add_special_tokens=False), at, strict=True)]
 
     def tree(self, texts: list[str]) -> list[list[int]]:
-        """Ids of long texts; their leaves are encoded in one batch."""
+        """Ids of texts joined token by token; their leaves are encoded in one batch."""
         parts = [[p for p in (self.added.split(t) if self.added else [t]) if p] for t in texts]
-        flat = [unicodedata.normalize("NFC", p) for ps in parts for p in ps]
+        flat = [unicodedata.normalize("NFC", p) if self.composes else p for ps in parts for p in ps]
         cuts = [_halved(0, len(p), self.leaf) for p in flat]
         leaves = iter(self._placed([p[a:b] for p, c in zip(flat, cuts, strict=True) for a, b in zip(c, c[1:])], [a for c in cuts for a in c[:-1]]))
         done = []
@@ -107,6 +124,7 @@ class Encoder:
     def _join(self, text: str, left: tuple[int, int, Tokens], right: tuple[int, int, Tokens]) -> tuple[int, int, Tokens]:
         (a, at, x), (_, b, y) = left, right
         w = WINDOW
+        self.joins += 1
         while True:
             lo, hi = max(a, at - w), min(b, at + w)
             mid = self._placed([text[lo:hi]], [lo])[0]
@@ -116,16 +134,33 @@ class Encoder:
                 return a, b, x[: ends[0]] + mid[ends[1] : starts[0]] + y[starts[1] :]
             w *= 2
 
-    def _pieces(self, text: str | None) -> list[bytes]:
+    def _lowered(self, text: str | None) -> bytes:
+        """The text in UTF-8, in lower case as far as that does not change its encoding by a ``_PLAIN`` file."""
         raw = (text or "").encode()
-        if self.plain:
-            low = raw.lower()
-            if not any(a in low for a in self.low_added):  # those are looked for before lower-casing
-                if not any(m in raw for m in _COMPOSING):
-                    return low.split()
-                # The file composes before it lower-cases, and a mark may compose with a small letter only.
-                return [p.lower() if p.isascii() else p for p in raw.split()]
-        return raw.split()
+        low = raw.lower()
+        if any(a in low for a in self.low_added):  # those are looked for before lower-casing
+            return raw
+        if not any(m in raw for m in _COMPOSING):
+            return low
+        # The file composes before it lower-cases, and a mark may compose with a small letter only.
+        return b" ".join([p.lower() if p.isascii() else p for p in raw.split()])
+
+    def _joined(self, text: bytes, cuts: list[int], leaves: list[list[bytes]]) -> list[bytes] | None:
+        """The runs of a text from those of its leaves; None where a run is too long to be told by its neighbours."""
+        level = list(zip(cuts, cuts[1:], leaves))
+        while len(level) > 1:
+            above = []
+            for (a, at, x), (_, b, y) in zip(level[::2], level[1::2]):
+                w = WINDOW
+                while (mid := _meeting(text, a, at, b, w)) is None:
+                    w *= 2
+                    if w > LONG_RUN:
+                        return None
+                self.joins += 1
+                left, window, right = mid
+                above.append((a, b, x[: len(x) - left] + window + y[right:]))
+            level = above + level[len(above) * 2 :]
+        return level[0][2] if level else []
 
     def _letters(self, piece: bytes) -> tuple[bytes, bytes] | None:
         """The encoding of letters that the normaliser leaves alone, or None."""
@@ -147,52 +182,88 @@ class Encoder:
             if (found := self.older.get(w)) is not None:
                 self.known[w] = found
                 continue
-            if self.plain and len(w) <= self.leaf:
-                body = w.rstrip(_MARKS)
-                if body and (head := self._letters(body)):
-                    if len(body) == len(w):
-                        self.known[w] = head
-                    else:
-                        tails.setdefault(w[len(body) :], []).append((w, head))
-                    continue
+            body = w.rstrip(_MARKS)
+            if body and (head := self._letters(body)):
+                if len(body) == len(w):
+                    self.known[w] = head
+                else:
+                    tails.setdefault(w[len(body) :], []).append((w, head))
+                continue
             rest.append(w)
         rest += [t for t in tails if t not in self.known and t not in new]
-        short = [w for w in rest if len(w) <= self.leaf]
-        long = [w for w in rest if len(w) > self.leaf]
-        for words, ids in ((short, self._encode([w.decode() for w in short])), (long, self.tree([w.decode() for w in long]))):
-            for w, x in zip(words, ids, strict=True):
-                self.known[w] = self._packed(x)
+        for w, x in zip(rest, self._encode([w.decode() for w in rest]), strict=True):
+            self.known[w] = self._packed(x)
         for tail, heads in tails.items():
             ids, names = self.known[tail]
             for w, head in heads:
                 self.known[w] = head[0] + ids, head[1] + b" " + names
 
+    def _need(self, runs: list[list[bytes]]) -> None:
+        """Have the encodings of all these runs in the cache."""
+        new = {w for ws in runs for w in ws if w not in self.known}
+        if new and len(self.known) + len(new) > self.most:
+            new = {w for ws in runs for w in ws}
+        if new:
+            self._learn(new)
+
     def encode(self, texts: list[str | None]) -> list[tuple[bytes, bytes]]:
-        """Per text its ids as little-endian unsigned 32-bit integers, and its tokens' strings joined by spaces, in UTF-8."""
-        split = [self._pieces(t) for t in texts]
-        new = {w for ws in split for w in ws if w not in self.known}
-        if len(self.known) + len(new) > self.most:
-            new = {w for ws in split for w in ws}
-        self._learn(new)
+        """Per text its ids as little-endian unsigned 32-bit integers, and what they decode to, in UTF-8."""
+        if not self.plain:
+            return [self._packed(ids) for ids in self.tree([t or "" for t in texts])]
+        low = [self._lowered(t) for t in texts]
+        cuts = [_halved(0, len(x), self.leaf, x) for x in low]
+        leaves = [[x[a:b].split() for a, b in zip(c, c[1:])] for x, c in zip(low, cuts, strict=True)]
+        meetings = [x[_edge(x, at - WINDOW) : _edge(x, at + WINDOW)].split() for x, c in zip(low, cuts, strict=True) for at in c[1:-1]]
+        self._need([ws for x in leaves for ws in x] + meetings)
+        runs = [self._joined(*x) for x in zip(low, cuts, leaves, strict=True)]
+        self._need([ws for ws in runs if ws is not None])
+        hard = iter(self.tree([t or "" for t, ws in zip(texts, runs, strict=True) if ws is None]))
         out = []
-        for ws in split:
-            found = [self.known[w] for w in ws]
-            out.append((b"".join([x[0] for x in found]), b" ".join([x[1] for x in found if x[0]])))
+        for ws in runs:
+            if ws is None:
+                out.append(self._packed(next(hard)))
+            else:
+                found = [self.known[w] for w in ws]
+                out.append((b"".join([x[0] for x in found]), b" ".join([x[1] for x in found if x[0]])))
         return out
 
     def decode(self, ids: list[int]) -> str:
-        """As the library decodes a file without a decoder: the tokens' strings, joined by spaces."""
+        """As the library decodes; without a decoder that is the tokens' strings, joined by spaces."""
         if self.tok.decoder is not None:
-            raise ValueError("this operator serves tokenizer files without a decoder")
+            return self.tok.decode(ids, skip_special_tokens=False)
         return " ".join([self.names[i] for i in ids if i in self.names])
 
 
-def _halved(a: int, b: int, leaf: int) -> list[int]:
-    """Bounds of the leaves of [a, b), by halving; all have at most ``leaf`` characters."""
+def _edge(text: bytes, at: int) -> int:
+    """``at`` inside the text, and back to the start of its character."""
+    at = min(max(at, 0), len(text))
+    while 0 < at < len(text) and text[at] & 0xC0 == 0x80:
+        at -= 1
+    return at
+
+
+def _halved(a: int, b: int, leaf: int, text: bytes | None = None) -> list[int]:
+    """Bounds of the leaves of [a, b), by halving; all have at most ``leaf`` characters (bytes of a ``text``, give or take a character's)."""
     n = 1
     while (b - a) > n * leaf:
         n *= 2
-    return sorted({a + (b - a) * i // n for i in range(n + 1)}) if b > a else [a]
+    places = {a + (b - a) * i // n for i in range(n + 1)} if b > a else {a}
+    return sorted({_edge(text, x) for x in places} if text is not None else places)
+
+
+def _meeting(text: bytes, a: int, at: int, b: int, w: int) -> tuple[int, list[bytes], int] | None:
+    """How the sides [a, at) and [at, b) join over a window: runs of the left side to drop, the window's, runs of the right side to drop; None unless both sides agree with it."""
+    lo, hi = max(a, _edge(text, at - w)), min(b, _edge(text, at + w))
+    window = [(m.start() + lo, m.end() + lo) for m in _RUN.finditer(text[lo:hi])]
+    whole_left = lo == a
+    common = [i for i, (s, e) in enumerate(window) if e <= at and (s > lo or whole_left)]
+    after = [i for i, (s, e) in enumerate(window) if s >= at and (e < hi or hi == b)]
+    if not (common or whole_left) or not (after or hi == b):
+        return None
+    first, last = common[-1] + 1 if common else 0, after[0] if after else len(window)
+    left = text[window[first - 1][1] if common else a : at].split()
+    right = text[at : window[last][0] if after else b].split()
+    return len(left), [text[s:e] for s, e in window[first:last]], len(right)
 
 
 def _agree_left(x: Tokens, mid: Tokens, lo: int, most: int) -> tuple[int, int] | None:

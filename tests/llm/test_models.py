@@ -1,10 +1,12 @@
 """Learned operators, scans and encoding: held-out accuracy, brute force and round trips."""
 
+import os
 import random
 import re
 import zlib
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from brute import languages
 from hypothesis import given, settings
@@ -45,7 +47,7 @@ def test_long_unsplit_text_equals_the_library(small, text):
     same(small, text)
 
 
-@pytest.mark.parametrize("text", ["", "a" * 5000, "ab" * 3000, "'s" * 900, "!'" * 900, "é" * 500, "<|ENDOFTEXT|>x<|endoftext|>", "The, thé. Thé!", "9" * 999, "😀" * 300])
+@pytest.mark.parametrize("text", ["", "a" * 5000, "ab" * 3000, "'s" * 900, "!'" * 900, "é" * 500, "<|ENDOFTEXT|>x<|endoftext|>", "The, thé. Thé!", "9" * 999, "😀" * 300, "ab " * 90 + "c" * 700 + " é" * 80, "x" * 40 + " " * 300 + "y" * 40, ("w" * 31 + "\n") * 40, "漢字 " * 200])
 def test_edges_of_encoding(small, text):
     same(small, text)
 
@@ -55,6 +57,37 @@ def test_composition_comes_before_lower_case(small, text):
     same(small, text)
 
 
+def test_shipped_documents_go_through_the_tree():
+    path = "/root/testdata/sf0.001/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test tables")
+    texts = pq.read_table(path).column("text").to_pylist()
+    encoder = bpe.Encoder(open(PATH).read())
+    want = encoder.tok.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)
+    got = [x for a in range(0, len(texts), 64) for x in encoder.encode(texts[a : a + 64])]
+    assert [np.frombuffer(x, "<u4").tolist() for x, _ in got] == [e.ids for e in want]
+    assert encoder.plain and encoder.joins == sum(len(bpe._halved(0, len(x), bpe.LEAF, x)) - 2 for t in texts if (x := encoder._lowered(t))) > 200
+
+
+@pytest.fixture(scope="module")
+def other():
+    """A file that keeps white space, composes nothing and decodes by bytes."""
+    return bpe.Encoder(open(public_tokenizers.path("byte_bpe_50k.json")).read(), leaf=16)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(st.one_of(st.sampled_from("abst' .,!?|$0é漢İKßu\u0301\n<|endoftext|>"), st.characters(exclude_categories=["Cs"])), max_size=300))
+def test_another_file_goes_token_by_token(other, text):
+    assert not other.plain
+    same(other, text)
+
+
+@pytest.mark.parametrize("text", [" " * 500 + "x", "a b  c   d    e     " * 40, "\n" * 90, "word " * 900, "e\u0301" * 200, "<|endoftext|>" * 30])
+def test_edges_of_another_file(other, text):
+    same(other, text)
+    assert other.joins
+
+
 def test_bpe_of_a_table(spark):
     rows = [(1, "Hello, world! Thé", "x"), (2, None, None), (None, "", "x"), (3, "long " * 40_000, "x"), (3, "x" * 9000, "x")]
     tok = bpe.Encoder(open(PATH).read()).tok
