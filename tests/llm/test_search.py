@@ -1,6 +1,8 @@
 """Exact top-k search and the Jaccard join against brute force."""
 
+import math
 import random
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -10,19 +12,18 @@ from memloom.llm import jaccard, topk
 from memloom.operators.components import components
 
 
-def brute_top_k(rows, every, k):
-    good = {}
-    for i, v in rows:
-        if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v):
-            good.setdefault(i, []).append([int(np.floor(64 * float(np.float32(x)))) for x in v])
-    out = set()
-    for q in good:
-        if q % every:
-            continue
-        for qv in good[q]:
-            s = sorted((-sum(a * b for a, b in zip(qv, v)), i) for i, vs in good.items() for v in vs if i != q)[:k]
-            out |= {(q, r + 1, i, -x) for r, (x, i) in enumerate(s)}
-    return out
+def exact_weights(v, single=True):
+    return [math.floor(Fraction(float(np.float32(x)) if single else x) * 64) for x in v]
+
+
+def brute_top_k(rows, every, k, single=True):
+    """The k best of each query id, exact; a score beyond a long is shown as the nearest long."""
+    good = [(i, exact_weights(v, single)) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    out = []
+    for q in sorted({i for i, _ in good if i % every == 0}):
+        s = sorted((-sum(a * b for a, b in zip(x, v)), i) for j, x in good if j == q for i, v in good if i != q)[:k]
+        out += [(q, r + 1, i, max(-(1 << 63), min((1 << 63) - 1, -x))) for r, (x, i) in enumerate(s)]
+    return sorted(out)
 
 
 @pytest.mark.parametrize("n, dims, zero", [(60, 8, 0.0), (150, 5, 0.8), (3, 4, 0.5)])
@@ -32,23 +33,40 @@ def test_top_k_matches_brute_force(spark, n, dims, zero):
     rows += [(1000, None), (1005, [0.1] * (dims - 1) + [None]), (1010, [float("nan")] * dims), (1015, [float("inf")] + [0.0] * (dims - 1)), (None, [0.5] * dims), (1020, [0.5]), (1025, [])]
     df = spark.createDataFrame([(i, v, 0, 1) for i, v in rows], "vec_id long, embedding array<float>, label int, cell int")
     got = topk.top_k(df, F.col("vec_id") % 5 == 0, k=7).collect()
-    assert {tuple(r) for r in got} == brute_top_k(rows, 5, 7)
+    assert sorted(map(tuple, got)) == brute_top_k(rows, 5, 7)
 
 
 def test_cells_of_any_size_give_the_same(spark, monkeypatch):
     rng = random.Random(4)
     df = spark.createDataFrame([(i, [rng.gauss(0, 0.2) for _ in range(6)]) for i in range(300)], "vec_id long, embedding array<float>").cache()
     one = sorted(map(tuple, topk.top_k(df, F.col("vec_id") % 3 == 0).collect()))
-    for name, size in (("CELL", 32), ("FINE", 16), ("QUERIES", 20), ("BLOCK", 3)):
+    for name, size in (("CELL", 32), ("FINE", 16), ("QUERIES", 20), ("BLOCK", 3), ("ENTRIES", 100)):
         monkeypatch.setattr(topk, name, size)
     assert sorted(map(tuple, topk.top_k(df, F.col("vec_id") % 3 == 0).collect())) == one
 
 
-def test_large_weights_are_held_and_empty_tables_stay_empty(spark):
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_scores_are_exact_at_any_size(spark, kind):
+    rng = random.Random(12)
+    scales = [1.0, 2.0**20, 2.0**21 + 3, 1e9, 1e17] + ([1e38] if kind == "float" else [1e160, 1.7e308])
+    rows = [(i, [rng.uniform(-1, 1) * rng.choice(scales[: 1 + i % len(scales)]) for _ in range(rng.randrange(1, 7))]) for i in range(90)]
+    rows += [(100, [3.0e6]), (101, [2.0e6]), (102, [4.0]), (200, [])]
+    for some in (rows, [r for r in rows if max(map(abs, r[1]), default=0) < 2e7]):
+        got = topk.top_k(spark.createDataFrame(some, f"vec_id long, embedding array<{kind}>").repartition(3), F.col("vec_id") % 5 == 0, k=9).collect()
+        assert sorted(map(tuple, got)) == brute_top_k(some, 5, 9, kind == "float")
+
+
+def test_ids_that_repeat_are_dealt_apart(spark):
+    rng = random.Random(13)
+    rows = [(i % 40, [float(rng.randrange(-3, 4)) for _ in range(5)]) for i in range(120)] + [(5, [1.0] * 5)] * 60 + [(7, [2.0] * 5)] * 60 + [(7, [1.0] * 4)]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(5), F.col("vec_id") % 5 == 0, k=8).collect()
+    assert sorted(map(tuple, got)) == brute_top_k(rows, 5, 8)
+
+
+def test_no_vectors(spark):
     schema = "vec_id long, embedding array<float>"
-    df = spark.createDataFrame([(0, [3e38, 1.0]), (20, [3e38, -1.0]), (1, [-3e38, 0.0])], schema)
-    assert [r["vec_id"] for r in topk.top_k(df, F.col("vec_id") == 0).orderBy("rank").collect()] == [20, 1]
     assert topk.top_k(spark.createDataFrame([], schema), F.col("vec_id") == 0).collect() == []
+    assert topk.top_k(spark.createDataFrame([(1, [1.0]), (3, [1.0])], schema), F.col("vec_id") % 2 == 0).collect() == []
 
 
 def brute_components(rows, k, num, den):
