@@ -11,12 +11,20 @@ as three limbs of 24, 24 and 16 bits, whose products fit in a long.
 
 Slots number the rows of a shard from 0 without gaps. Each shard is cut into
 ``BUCKETS`` buckets by the generator's state and the text's checksum; rows are
-numbered inside a bucket and start at the sum of the buckets before it. That
-table of counts has ``shards * BUCKETS`` rows at most, so it may be broadcast.
+numbered inside a bucket, by id, checksum and size, and start at the sum of the
+buckets before it. That table of counts has ``shards * BUCKETS`` rows at most, so
+it may be broadcast.
+
+Rows are counted by id, checksum and size first, so an id with more than 1/256 of
+all rows in a bucket is known (there are 256 of them at most, whatever the input).
+Its rows are numbered apart, in ``PARTS`` ranges of the checksum, and equal rows
+beyond that share in chunks, by their places in a written table: no task numbers
+more than a bucket, a part or a chunk.
 
 Defined results: a null id counts as 0, a null text as empty (size 8, checksum
 0); rows that repeat an id share its shard and get slots of their own, ordered
-by checksum and size; an empty table gives an empty result.
+by checksum and size; an empty table gives an empty result; other columns are
+not read.
 """
 
 from __future__ import annotations
@@ -24,7 +32,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from memloom.shared import cut
+
 BUCKETS = 1024
+PARTS = 256
+HOT_SHARE = 256
 #: Fixed value: the multiplier of the jump hash's generator, 2862933555777941757, as limbs from low to high.
 MULTIPLIER = 2862933555777941757
 _A = [MULTIPLIER & 0xFFFFFF, MULTIPLIER >> 24 & 0xFFFFFF, MULTIPLIER >> 48]
@@ -70,13 +82,70 @@ def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: s
     rows = docs.select(F.col(id_col).alias("doc_id"), key.alias("_key"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), jump(key, shards).alias("_j"), first["k0"].alias("_k0"))
     bucket = (F.pmod("_k0", F.lit(buckets // 8)) * 8 + F.pmod("text_crc32", F.lit(8))).cast("int")
     rows = rows.select("doc_id", "_key", "size", "text_crc32", F.col("_j.shard").alias("shard"), F.col("_j.grown").alias("grown_shard"), bucket.alias("_b"))
-    counts = rows.groupBy("shard", "_b").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy("shard").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
-    starts = counts.select("shard", "_b", F.coalesce(before, F.lit(0)).alias("_start"))
-    place = F.row_number().over(Window.partitionBy("shard", "_b").orderBy("_key", "text_crc32", "size"))
+    group = ["shard", "_b", "_key", "text_crc32", "size"]
+    groups = cut(rows.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")), "shard-groups")
+    counts = groups.groupBy("shard", "_b").agg(F.sum("_n").alias("_n"))
     # shards * buckets rows at most, whatever the input.
-    out = rows.withColumn("_place", place).join(F.broadcast(starts), ["shard", "_b"])
-    return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("_start") + F.col("_place") - 1).cast("long").alias("slot"), "grown_shard")
+    starts = F.broadcast(_before(counts, ["shard"], ["_b"]).select("shard", "_b", F.col("_before").alias("_start")))
+    floor = max(2, (groups.agg(F.sum("_n")).first()[0] or 0) // HOT_SHARE)
+    hot = cut(groups.groupBy("shard", "_b", "_key").agg(F.sum("_n").alias("_n")).filter(F.col("_n") > floor), "shard-hot")
+    if hot.isEmpty():
+        out = rows.withColumn("_place", _numbered("shard", "_b")).join(starts, ["shard", "_b"])
+    else:
+        out = _with_hot(rows, groups, hot, starts, floor)
+    return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("_start") + F.col("_place")).cast("long").alias("slot"), "grown_shard")
+
+
+def _numbered(*by: str) -> Column:
+    """Numbers from 0 in the order of a bucket's rows."""
+    return F.row_number().over(Window.partitionBy(*by).orderBy("_key", "text_crc32", "size")) - 1
+
+
+def _before(counts: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """``counts`` with ``_before``, the sum of ``_n`` before each row."""
+    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return counts.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0)))
+
+
+def _with_hot(rows: DataFrame, groups: DataFrame, hot: DataFrame, starts: DataFrame, floor: int) -> DataFrame:
+    """Rows with ``_start`` and ``_place``, where the keys in ``hot`` (256 at most) are numbered apart."""
+    key, equal = ["shard", "_b", "_key"], ["shard", "_b", "_key", "text_crc32", "size"]
+    part = F.shiftright(F.col("text_crc32"), 32 - PARTS.bit_length() + 1).alias("_part")
+    keys = F.broadcast(hot.select(*key))
+    # Other rows: those of smaller hot keys in the bucket come before them.
+    lower = F.broadcast(hot.groupBy("shard", "_b").agg(F.collect_list(F.struct("_key", "_n")).alias("_hots")))
+    cold = rows.join(keys, key, "left_anti").withColumn("_own", _numbered("shard", "_b")).join(lower, ["shard", "_b"], "left")
+    skipped = F.aggregate(F.coalesce("_hots", F.array()), F.lit(0).cast("long"), lambda s, h: s + F.when(h["_key"] < F.col("_key"), h["_n"]).otherwise(0))
+    cold = cold.join(starts, ["shard", "_b"]).withColumn("_place", F.col("_own") + skipped)
+    # Hot keys: what is smaller in the bucket, then the parts before.
+    near = groups.join(F.broadcast(hot.select("shard", "_b", F.col("_key").alias("_hot"))), ["shard", "_b"])
+    smaller = near.groupBy("shard", "_b", F.col("_hot").alias("_key")).agg(F.sum(F.when(F.col("_key") < F.col("_hot"), F.col("_n")).otherwise(0)).alias("_less"))
+    parts = groups.join(keys, key).groupBy(*key, part).agg(F.sum("_n").alias("_n"))
+    # 256 keys of PARTS parts at most.
+    firsts = F.broadcast(_before(parts, key, ["_part"]).join(smaller, key).select(*key, "_part", (F.col("_before") + F.col("_less")).alias("_first")))
+    large = cut(groups.filter(F.col("_n") > floor), "shard-large")
+    marks = F.broadcast(large.select(*equal))
+    held = rows.join(keys, key).select("*", part)
+    above = F.broadcast(large.groupBy(*key, part).agg(F.collect_list(F.struct(F.struct("text_crc32", "size").alias("at"), "_n")).alias("_larges")))
+    single = held.join(marks, equal, "left_anti").withColumn("_own", _numbered(*key, "_part")).join(above, [*key, "_part"], "left")
+    own = F.struct("text_crc32", "size")
+    skipped = F.aggregate(F.coalesce("_larges", F.array()), F.lit(0).cast("long"), lambda s, x: s + F.when(x["at"] < own, x["_n"]).otherwise(0))
+    single = single.join(firsts, [*key, "_part"]).withColumn("_at", F.col("_own") + skipped)
+    # Equal rows: any order will do, so they are dealt by their places in a written table, which stay the same.
+    within = groups.join(F.broadcast(large.select(*key, part, F.struct("text_crc32", "size").alias("_large"))), key).filter(part == F.col("_part"))
+    within = within.groupBy(*key, "_part", "_large").agg(F.sum(F.when(F.struct("text_crc32", "size") < F.col("_large"), F.col("_n")).otherwise(0)).alias("_within"))
+    within = F.broadcast(within.select(*key, "_part", "_large.text_crc32", "_large.size", "_within"))
+    same = cut(held.join(F.broadcast(large.select(*equal, F.ceil(F.col("_n") / floor).alias("_chunks"))), equal), "shard-equal")
+    same = same.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    same = same.withColumn("_chunk", F.pmod(F.xxhash64("_file", "_row"), F.col("_chunks")))
+    # 256 groups of at most 256 chunks, and a few.
+    chunks = F.broadcast(_before(same.groupBy(*equal, "_chunk").agg(F.count(F.lit(1)).alias("_n")), equal, ["_chunk"]).select(*equal, "_chunk", "_before"))
+    number = F.row_number().over(Window.partitionBy(*equal, "_chunk").orderBy("_file", "_row")) - 1
+    same = same.withColumn("_own", number).join(chunks, [*equal, "_chunk"]).join(within, [*key, "_part", "text_crc32", "size"]).join(firsts, [*key, "_part"])
+    same = same.withColumn("_at", F.col("_own") + F.col("_before") + F.col("_within"))
+    columns = ["doc_id", "size", "text_crc32", "shard", "grown_shard", "_start", "_place"]
+    placed = lambda df: df.join(starts, ["shard", "_b"]).withColumn("_place", F.col("_first") + F.col("_at")).select(*columns)
+    return cold.select(*columns).unionByName(placed(single)).unionByName(placed(same))
 
 
 ORACLE = f"""

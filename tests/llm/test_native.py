@@ -87,6 +87,27 @@ def test_shards_match_the_published_algorithm(spark):
     assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in out) == want
 
 
+def brute_slots(rows, buckets=shard.BUCKETS):
+    """Shard, slot, checksum and size of all rows, in order; equal rows are alike."""
+    placed = defaultdict(list)
+    for i, t, _ in rows:
+        key = i or 0
+        raw = (t or "").encode()
+        first = ((key & ((1 << 64) - 1)) * 2862933555777941757 + 1) & ((1 << 64) - 1)
+        crc = zlib.crc32(raw)
+        placed[jump(key, 24)].append(((first & 0xFFFFFF) % (buckets // 8) * 8 + crc % 8, key, crc, len(raw) + 8))
+    return sorted((s, slot, crc, size) for s, held in placed.items() for slot, (_, _, crc, size) in enumerate(sorted(held)))
+
+
+@pytest.mark.parametrize("buckets", [shard.BUCKETS, 8])
+def test_hot_ids_are_numbered_apart(spark, buckets):
+    rows = [(i, f"t{i}", "s") for i in range(400)]
+    rows += [(None, f"n{i}", "s") for i in range(300)] + [(None, "same", "s")] * 90 + [(7, "one", "s")] * 200 + [(7, f"s{i}", "s") for i in range(150)] + [(9, "two", "s"), (9, None, "s")] * 30
+    out = shard.shard(table(spark, rows).repartition(5), buckets=buckets).collect()
+    assert sorted((r["shard"], r["slot"], r["text_crc32"], r["size"]) for r in out) == brute_slots(rows, buckets)
+    assert Counter((r["doc_id"], r["text_crc32"]) for r in out) == Counter((i, zlib.crc32((t or "").encode())) for i, t, _ in rows)
+
+
 def filled(sizes, weights=(3, 1, 2), share=1.5, cap=2.0):
     """Targets by sharing the excess again and again."""
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
