@@ -6,22 +6,33 @@ Base spans, per kind leftmost and without overlap:
 * ``access``: AKIA and capitals or digits, 20 characters or more,
 * ``hex``: lower-case hexadecimal digits, 24 or more.
 
-Learned spans come on top, never instead. Labelled credentials (examples of
-public formats, drawn from ``FORMATS`` by a seed) are put into a prefix tree per
-format, over classes of characters. States whose next-symbol and ending
-frequencies agree by the Hoeffding bound are merged, with what follows them
-(ALERGIA; Carrasco and Oncina, 1994), which leaves a probabilistic automaton per
-format. Each run of token characters in a text that no base span covers is scored
-by its log-likelihood a character under every automaton, against that of ordinary
-words; the best format names the span if the run lies above ``LEVEL``. A run's
-closing full stops are not part of it.
+Learned spans come on top, never instead. They are learned from labelled tokens:
+
+* credentials: what the base patterns mark in the documents themselves (the value of an
+  ``assign``), labelled by the pattern, and examples of public formats, drawn from
+  ``FORMATS`` by a seed;
+* ordinary tokens: runs of token characters in the documents that no base pattern
+  touches, and examples of plain ones, drawn from ``ORDINARY``.
+
+The tokens of a label are put into a prefix tree over classes of characters. States
+whose next-symbol and ending frequencies agree by the Hoeffding bound are merged, with
+what follows them (ALERGIA; Carrasco and Oncina, 1994), which leaves a probabilistic
+automaton per label. All candidates are then scored: each value of a base span, and
+each run of ``LEAST`` token characters or more. The likeliest credential format names a
+candidate if it is ``LEVEL`` nats likelier than an ordinary token. A run's closing full
+stops are not part of it.
+
+Fitting reads about ``FIT_ROWS`` documents, by a hash of id and text, and takes
+``EXAMPLES`` tokens of each label, of ``MOST`` characters at most (the bounds are these
+parameters); scanning reads every document and whole texts.
 
 The scan works on UTF-8 bytes, in which every pattern is ASCII, and turns the
-places of its hits into code points. Whole texts are scanned; an absent start
-sign is found by substring search, so ordinary prose costs no regular expression.
+places of its hits into code points. An absent start sign is found by substring
+search, so ordinary prose costs no regular expression.
 
 Defined results: null and empty texts have no spans, the digest of nothing and an
-empty list; ids may be null or repeat; an empty table gives an empty result.
+empty list; ids may be null or repeat; an empty table gives an empty result; where the
+documents hold no credential only public formats are learned; other columns are not read.
 """
 
 from __future__ import annotations
@@ -34,7 +45,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from memloom.llm.batches import pieces
@@ -50,11 +61,34 @@ FORMATS: dict[str, list] = {
     "jwt": ["eyJ", (_AZ + _az + _09, 33), ".eyJ", (_AZ + _az + _09, 60), ".", (_AZ + _az + _09 + "_-", 43)],
     "base64": [(_AZ + _az + _09 + "+/", 42), "="],
 }
+#: Tokens that are no credentials, in the same form. An alphabet may hold whole parts.
+_SYLLABLES = ["ab", "con", "de", "en", "er", "ing", "la", "men", "na", "or", "per", "re", "ro", "son", "ta", "ter", "ti", "tion", "un", "ver"]
+ORDINARY: dict[str, list] = {
+    "word": [(_SYLLABLES, 7)],
+    "name": [(_AZ, 1), (_SYLLABLES, 4), (_AZ, 1), (_SYLLABLES, 4)],
+    "shout": [(_AZ, 18)],
+    "snake": [(_SYLLABLES, 3), "_", (_SYLLABLES, 3), "_", (_SYLLABLES, 2)],
+    "kebab": [(_AZ, 1), (_SYLLABLES, 3), "-", (_AZ, 1), (_SYLLABLES, 2), "-", (_09, 4), "-", (_SYLLABLES, 2)],
+    "path": ["/", (_SYLLABLES, 2), "/", (_SYLLABLES, 3), "/", (_SYLLABLES, 2), ".", (_az, 3)],
+    "host": ["www.", (_SYLLABLES, 3), ".com/", (_SYLLABLES, 2), "/", (_SYLLABLES, 2), "-", (_SYLLABLES, 2), "-", (_09, 4), "/", (_SYLLABLES, 2)],
+    "number": [(_09, 20)],
+    "figures": [(_09, 9), ".", (_09, 9)],
+    "numbered": [(_SYLLABLES, 6), (_09, 2)],
+    "coded": [(_09, 20), (_az, 1)],
+    "date": [(_09, 4), "-", (_09, 2), "-", (_09, 2), "T", (_09, 6)],
+    "rule": ["-" * 20],
+    "line": ["=" * 20],
+    "dots": ["." * 20],
+}
 EXAMPLES = 400
-LEAST = 20
-LEVEL = 0.25
+FIT_ROWS = 20_000
+LEAST = 16
+MOST = 200
+#: Log odds that a candidate must reach: one run in 10,000 is taken to be a credential.
+LEVEL = math.log(10_000)
 ALPHA = 0.05
 SEED = 11
+PLAIN = "ordinary"
 
 _ASSIGN = re.compile(rb"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
 _WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
@@ -83,8 +117,8 @@ def _runs(mapped: bytes, least: int) -> Iterator[tuple[int, int]]:
         at = mapped.find(want, end)
 
 
-def base_spans(raw: bytes) -> list[tuple[int, int, str]]:
-    """Start, end and kind of the fixed patterns' spans, in bytes, ordered by start and then kind."""
+def _based(raw: bytes) -> list[tuple[int, int, int, int]]:
+    """Start, end, kind and start of the value of the fixed patterns' spans, in bytes, ordered by start and then kind."""
     out = []
     low = raw.lower()
     starts = set()
@@ -98,11 +132,28 @@ def base_spans(raw: bytes) -> list[tuple[int, int, str]]:
         if at >= end and (m := _ASSIGN.match(raw, at)):
             end = m.end()
             if len(m[1]) >= 6:
-                out.append((at, end, 0))
+                out.append((at, end, 0, m.start(1)))
     if b"AKIA" in raw:
-        out += [(m.start(), m.end(), 1) for m in _ACCESS.finditer(raw) if m.end() - m.start() >= 20]
-    out += [(a, b, 2) for a, b in _runs(raw.translate(_HEX_MAP), 24)]
-    return [(a, b, BASE[k]) for a, b, k in sorted(out, key=lambda x: (x[0], x[2]))]
+        out += [(m.start(), m.end(), 1, m.start()) for m in _ACCESS.finditer(raw) if m.end() - m.start() >= 20]
+    out += [(a, b, 2, a) for a, b in _runs(raw.translate(_HEX_MAP), 24)]
+    return sorted(out, key=lambda x: (x[0], x[2]))
+
+
+def candidates(raw: bytes, based: list[tuple[int, int, int, int]], least: int = LEAST) -> list[tuple[int, int, str]]:
+    """Start, end and label of all that is scored: the values of base spans, and other runs of token characters (``PLAIN`` where no base span touches them)."""
+    found: dict[tuple[int, int], str] = {}
+    for _, b, k, at in based:
+        found.setdefault((at, b), BASE[k])
+    i, reach = 0, 0  # spans in order of their starts; ``reach`` is how far those before ``i`` go
+    for a, b in _runs(raw.translate(_TOKEN_MAP), least):
+        b = a + len(raw[a:b].rstrip(b"."))
+        if b - a < least:
+            continue
+        while i < len(based) and based[i][0] < b:
+            reach = max(reach, based[i][1])
+            i += 1
+        found.setdefault((a, b), "" if reach > a else PLAIN)
+    return [(a, b, label) for (a, b), label in sorted(found.items())]
 
 
 class Automaton:
@@ -125,21 +176,21 @@ class Automaton:
                 at = nxt[at][s]
             ends[at] += 1
         self.nxt, self.seen, self.ends, self.bound = nxt, seen, ends, math.sqrt(0.5 * math.log(2 / alpha))
-        red, blue = [0], sorted(nxt[0].values())
-        while blue:
-            b = blue.pop(0)
+        red = [0]
+        while blue := [(x, r, s) for r in red for s, x in nxt[r].items() if x not in red]:
+            b, before, s = min(blue)
             for r in red:
                 if self._alike(r, b):
-                    self._point(b, r)
+                    nxt[before][s] = r
                     self._fold(r, b)
                     break
             else:
                 red.append(b)
-            blue = sorted({x for r in red for x in nxt[r].values()} - set(red))
-        self.chance = {}
+        self.chance, self.end = {}, {}
         for r in red:
             total = sum(seen[r].values()) + ends[r]
             self.chance[r] = {s: (math.log((c + 0.01) / (total + 0.2)), nxt[r][s]) for s, c in seen[r].items()}
+            self.end[r] = math.log((ends[r] + 0.01) / (total + 0.2))
         del self.nxt, self.seen, self.ends
 
     def _total(self, q: int) -> int:
@@ -163,12 +214,6 @@ class Automaton:
                     todo.append((self.nxt[p][s], self.nxt[q][s]))
         return True
 
-    def _point(self, old: int, new: int) -> None:
-        for q in self.nxt:
-            for s, x in q.items():
-                if x == old:
-                    q[s] = new
-
     def _fold(self, a: int, b: int) -> None:
         """Add the subtree at ``b`` to the states from ``a`` on."""
         todo = [(a, b)]
@@ -185,73 +230,109 @@ class Automaton:
                     self.nxt[p][s] = x
 
     def score(self, word: str) -> float:
-        """Mean log-likelihood a character; a symbol that its state never saw costs as much as 1 in 5000."""
+        """The log-likelihood of a token and its end; a symbol that its state never saw costs as much as 1 in 5000."""
         at, total = 0, 0.0
         for s in map(symbol, word):
             p, to = self.chance[at].get(s, (-8.5, at))
             total += p - math.log(_WIDTH.get(s, 1))
             at = to
-        return total / max(1, len(word))
+        return total + self.end[at]
+
+
+class Chain(Automaton):
+    """The coarsest automaton: a state for each symbol that came last."""
+
+    def __init__(self, examples: list[str]):
+        seen: dict[str, dict[str, int]] = defaultdict(lambda: defaultdict(int))
+        for word in examples:
+            told = ["", *map(symbol, word), ""]
+            for a, b in zip(told, told[1:]):
+                seen[a][b] += 1
+        names = {a: i for i, a in enumerate(sorted(seen))}
+        logs = {a: {b: math.log((c + 0.01) / (sum(n.values()) + 0.2)) for b, c in n.items()} for a, n in seen.items()}
+        self.chance = {names[a]: {b: (p, names[b]) for b, p in n.items() if b} for a, n in logs.items()}
+        self.end = {names[a]: n.get("", -8.5) for a, n in logs.items()}
+
+
+class Plain:
+    """Ordinary tokens: a merged automaton, and for what it has not seen the chain of their symbols, half and half."""
+
+    def __init__(self, examples: list[str]):
+        self.fine, self.coarse = Automaton(examples), Chain(examples)
+
+    def score(self, word: str) -> float:
+        a, b = self.fine.score(word), self.coarse.score(word)
+        return max(a, b) + math.log1p(math.exp(-abs(a - b))) - math.log(2)
 
 
 @dataclass
 class Formats:
-    """Automata by name, and a first-order model of ordinary words over the same classes."""
+    """Automata of credential formats by name, and the model of ordinary tokens over the same classes."""
 
     automata: dict[str, Automaton]
-    plain: dict[tuple[str, str], float]
-
-    def ordinary(self, word: str) -> float:
-        before, total = "^", 0.0
-        for s in map(symbol, word):
-            total += self.plain.get((before, s), -7.0) - math.log(_WIDTH.get(s, 1))
-            before = s
-        return total / max(1, len(word))
+    plain: Plain
 
     def classify(self, word: str) -> tuple[str, float]:
-        """The likeliest format, and by how much a character it beats ordinary words."""
+        """The likeliest format, and how much likelier than an ordinary token it makes the word, in nats."""
         name, best = max(((n, a.score(word)) for n, a in self.automata.items()), key=lambda x: x[1])
-        return name, best - self.ordinary(word)
+        return name, best - self.plain.score(word)
 
 
 def examples(parts: list, n: int, rng: np.random.Generator) -> list[str]:
     return ["".join(p if isinstance(p, str) else "".join(rng.choice(list(p[0]), p[1])) for p in parts) for _ in range(n)]
 
 
-def learn(formats: dict[str, list] = FORMATS, n: int = EXAMPLES, seed: int = SEED) -> Formats:
+def learn(labelled: dict[str, list[str]] | None = None, formats: dict[str, list] = FORMATS, n: int = EXAMPLES, seed: int = SEED) -> Formats:
+    """Automata of public formats and of ``labelled`` tokens; base kinds get names of their own, ``PLAIN`` joins the ordinary ones."""
     rng = np.random.Generator(np.random.PCG64(seed))
     automata = {name: Automaton(examples(parts, n, rng)) for name, parts in formats.items()}
-    # Ordinary words: letters, or digits, in runs; a change of class is rare, and so are signs.
-    plain = {}
-    for a in "^0hlHU+/_.=-":
-        for b in "0hlHU+/_.=-":
-            alike = (a in "hl" and b in "hl") or (a in "HU" and b in "HU") or (a in "HU" and b in "hl") or a == b == "0" or a == "^"
-            share = {"h": 0.3, "l": 0.6, "H": 0.2, "U": 0.4, "0": 0.8}.get(b, 0.05) if alike else {"h": 0.02, "l": 0.04, "0": 0.02}.get(b, 0.01)
-            plain[a, b] = math.log(share)
-    return Formats(automata, plain)
-
-
-def learned_spans(raw: bytes, base: list[tuple[int, int, str]], formats: Formats, least: int = LEAST, level: float = LEVEL) -> list[tuple[int, int, str]]:
-    """Spans of token runs beside the base spans that look like a learned format."""
-    out = []
-    for a, b in _runs(raw.translate(_TOKEN_MAP), least):
-        word = raw[a:b].decode().rstrip(".")
-        b = a + len(word)
-        if len(word) < least or any(x < b and a < y for x, y, _ in base):
-            continue
-        if not (any(map(str.isdigit, word)) and any(map(str.isalpha, word))):
-            continue
-        name, gain = formats.classify(word)
-        if gain >= level:
-            out.append((a, b, name))
-    return out
+    plain = [w for parts in ORDINARY.values() for w in examples(parts, n // len(ORDINARY) + 1, rng)]
+    public = Formats(automata, Plain(plain))
+    shown = labelled or {}
+    # A public format that nobody marked is not an ordinary token.
+    more = [w for w in shown.get(PLAIN, []) if public.classify(w)[1] < LEVEL]
+    learned = {f"like_{kind}": Automaton(shown[kind]) for kind in BASE if shown.get(kind)}
+    return Formats(learned | automata, Plain(plain + more) if more else public.plain)
 
 
-def scan_text(text: str | None, formats: Formats) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
-    """Base spans and all spans of a text, in code points."""
+def labelled_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = FIT_ROWS, each: int = EXAMPLES) -> dict[str, list[str]]:
+    """At most ``each`` distinct tokens of every label, by hash, from about ``rows`` documents."""
+    n = docs.count()
+    some = docs.select(F.col(text_col).alias("text"), F.pmod(F.xxhash64(id_col, text_col), F.lit(1 << 30)).alias("h"))
+    some = some.filter(F.col("h") < int(min(1.0, rows / max(n, 1)) * (1 << 30))).select("text")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, texts in pieces(batches, 0):
+            found = set()
+            for t in texts:
+                raw = (t or "").encode()
+                found.update((label, raw[a:b].decode()) for a, b, label in candidates(raw, _based(raw)) if label and b - a <= MOST)
+            yield pa.record_batch([pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.string())], names=["label", "token"])
+
+    got = some.mapInArrow(run, "label string, token string").distinct()
+    place = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("token"), "token"))
+    out: dict[str, list[str]] = defaultdict(list)
+    for r in got.withColumn("place", place).filter(F.col("place") <= each).orderBy("label", "place").collect():  # ``each`` of four labels
+        out[r["label"]].append(r["token"])
+    return dict(out)
+
+
+def scan_text(text: str | None, formats: Formats, known: dict[bytes, str | None] | None = None, least: int = LEAST, level: float = LEVEL) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
+    """Base spans and all spans of a text, in code points. ``known`` keeps the verdicts on tokens between calls."""
     raw = (text or "").encode()
-    base = base_spans(raw)
-    every = base + learned_spans(raw, base, formats)
+    known = {} if known is None else known
+    based = _based(raw)
+    base = [(a, b, BASE[k]) for a, b, k, _ in based]
+    every = list(base)
+    for a, b, _ in candidates(raw, based, least):
+        word = raw[a:b]
+        if word not in known:
+            if len(known) > 50_000:
+                known.clear()
+            name, gain = formats.classify(word.decode())
+            known[word] = name if gain >= level else None
+        if known[word]:
+            every.append((a, b, known[word]))
     if len(raw) != len(text or "") and every:
         lead = np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)
         place = lambda b: int(lead[b - 1]) if b else 0
@@ -259,7 +340,7 @@ def scan_text(text: str | None, formats: Formats) -> tuple[list[tuple[int, int,
         place = lambda b: b
     base = [(place(a), place(b), k) for a, b, k in base]
     order = {k: i for i, k in enumerate([*BASE, *formats.automata])}
-    return base, sorted(((place(a), place(b), k) for a, b, k in every), key=lambda x: (x[0], order[x[2]]))
+    return base, sorted(((place(a), place(b), k) for a, b, k in every), key=lambda x: (x[0], order[x[2]], x[1]))
 
 
 def joined(spans: list[tuple[int, int, str]]) -> str:
@@ -267,15 +348,17 @@ def joined(spans: list[tuple[int, int, str]]) -> str:
 
 
 def scan(docs: DataFrame, formats: Formats | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, base, spans``: arrays of structs ``kind, start, end`` of every row."""
-    sent = docs.sparkSession.sparkContext.broadcast(formats or learn())  # as many states as the labelled examples allow
+    """``doc_id, base, spans``: arrays of structs ``kind, start, end`` of every row. Without ``formats``, the documents' own credentials are learned first."""
+    formats = formats or learn(labelled_tokens(docs, id_col, text_col))
+    sent = docs.sparkSession.sparkContext.broadcast(formats)  # as many states as the labelled examples allow
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         told = lambda spans: [{"kind": k, "start": a, "end": b} for a, b, k in spans]
+        known: dict[bytes, str | None] = {}
         for batch, texts in pieces(batches, 1):
-            found = [scan_text(t, sent.value) for t in texts]
+            found = [scan_text(t, sent.value, known) for t in texts]
             yield pa.record_batch([batch.column(0), pa.array([told(b) for b, _ in found], span), pa.array([told(e) for _, e in found], span)], names=["doc_id", "base", "spans"])
 
     kind = "array<struct<kind: string, start: bigint, end: bigint>>"
