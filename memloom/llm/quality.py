@@ -8,8 +8,10 @@ or id are inputs of a score.
 
 Defined results: null and empty texts have statistics of 0 and get a score like
 any other; labels that are null or not 0 or 1 are left out; with no usable label
-every score is 0.5, and with one class only it is near that class; ids may
-repeat; an empty table gives an empty result.
+every score is 0.5, and with one class only it is near that class; null ids are
+never held out; ids may repeat, each row is scored by its own text, and of a labelled
+id's texts the least one is learned from, with each of its labels; an empty table
+gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memloom.llm import trees
@@ -72,19 +74,21 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, rows: int = FIT_ROWS) -> DataFrame:
-    """``text, y`` of at most ``rows`` labelled rows that are not held out."""
+    """``r, text, y`` of at most ``rows`` labelled rows that are not held out, numbered from 1; of an id's texts the least one."""
     good = labels.filter(~held_out() & F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("double").alias("y"))
-    some = good.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(rows)
-    # ``rows`` rows at most: a bound that does not follow the input.
-    return docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("text", "y")
+    by_hash = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("y")]
+    # ``rows`` rows at most, in one task and in the broadcast: a bound that does not follow the input.
+    some = good.orderBy(*by_hash).limit(rows).withColumn("r", F.row_number().over(Window.orderBy(*by_hash)))
+    found = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")
+    return found.groupBy("r").agg(F.min("text").alias("text"), F.first("y").alias("y"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = FIT_ROWS, **how) -> trees.Forest:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in pieces(batches, 0):
-            yield pa.record_batch([pa.array([statistics(t) for t in texts], pa.list_(pa.float64())), batch.column(1)], names=["x", "y"])
+        for batch, texts in pieces(batches, 1):
+            yield pa.record_batch([batch.column(0), pa.array([statistics(t) for t in texts], pa.list_(pa.float64())), batch.column(2)], names=["r", "x", "y"])
 
-    got = labelled(docs, labels, label, rows).mapInArrow(run, "x array<double>, y double").orderBy("y", "x").toArrow()
+    got = labelled(docs, labels, label, rows).mapInArrow(run, "r int, x array<double>, y double").toArrow().sort_by("r")
     if not got.num_rows:
         return trees.constant(0.5)
     return trees.fit(np.array(got.column("x").to_pylist()), got.column("y").to_numpy(), **how)

@@ -1,5 +1,6 @@
 """Learned operators, scans and encoding: held-out accuracy, brute force and round trips."""
 
+import math
 import os
 import random
 import re
@@ -11,6 +12,7 @@ import pytest
 from brute import languages
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from memloom.llm import bpe, langid, quality, secrets, toxicity, trees
 
@@ -346,6 +348,177 @@ def test_toxicity_of_held_out_documents(spark):
     assert by[900]["predicted"] == by[901]["predicted"] == by[902]["predicted"] == 0
 
 
+def plain_statistics(text):
+    """The statistics of a text, one byte and one word at a time."""
+    raw = (text or "").encode()
+    words, word = [], b""
+    for b in [*raw, 32]:
+        if b in b" \t\n\r\x0b\x0c":
+            words, word = words + [word] * bool(word), b""
+        else:
+            word += bytes([b])
+    if not words:
+        return [0.0] * 24
+    n, size = len(words), len(raw)
+    lines = [x for x in raw.split(b"\n") if x.strip()]
+    count = lambda group: sum(b in group for b in raw)
+    upper, lower, high = count(range(65, 91)), count(range(97, 123)), count(range(128, 256))
+    letters = max(1, upper + lower + high)
+    kinds = sorted(set(words))
+    top = sorted((words.count(w) for w in kinds), reverse=True)
+    lengths = [len(w) for w in words]
+    mean = sum(lengths) / n
+    entropy = -sum(raw.count(bytes([b])) / size * math.log2(raw.count(bytes([b])) / size) for b in set(raw))
+    return [
+        math.log(1 + n), math.log(1 + len(lines)), size / n, max(lengths), math.sqrt(sum((x - mean) ** 2 for x in lengths) / n),
+        len(kinds) / n, top[0] / n, sum(top[:3]) / n, sum(a == b for a, b in zip(words, words[1:])) / n,
+        len(set(lines)) / len(lines), n / len(lines),
+        upper / letters, count(range(48, 58)) / size, count(b".,;:!?") / n, count(b"!") / n, count(b".") / n, count(b",") / n,
+        count(b"#$%&*|@~^<>{}[]\\/=+_") / n, count(b"|") / n, high / size, entropy,
+        sum(x.isalpha() or x[:-1].isalpha() for x in kinds) / len(kinds), sum(x.isupper() for x in kinds) / len(kinds), sum(x[-1] in b"#$%&*|!" for x in kinds) / len(kinds),
+    ]
+
+
+def walked(model, x):
+    total = model.base
+    for r in model.roots:
+        while model.left[r] != r:
+            r = model.left[r] if x[model.feature[r]] <= model.limit[r] else model.right[r]
+        total += model.value[r]
+    return 1 / (1 + math.exp(-total))
+
+
+def test_quality_scores_match_brute_force(spark):
+    df, labels = labelled_corpus(spark, lambda rng, t: re.sub(r"(\w+)", r"\1$$% ÄB\n", t))
+    labels = spark.createDataFrame([(i, y, 0) for i, y in labels], "doc_id long, quality int, toxic int")
+    df = df.filter("length(text) < 10000 OR text IS NULL")
+    text_of = {}
+    for r in df.filter("doc_id IS NOT NULL").collect():
+        text_of[r["doc_id"]] = min(text_of.get(r["doc_id"], r["text"] or ""), r["text"] or "")
+    train = sorted((r["doc_id"], r["quality"]) for r in labels.collect() if r["doc_id"] in text_of and r["quality"] in (0, 1) and zlib.crc32(str(r["doc_id"]).encode()) % 5)
+    got = sorted((r["text"] or "", r["y"]) for r in quality.labelled(df, labels, "quality").collect())
+    assert got == sorted((text_of[i], y) for i, y in train)
+    model = quality.fit(df, labels)
+    scored = quality.quality(df.withColumn("key", F.monotonically_increasing_id()), labels).collect()
+    want = sorted((repr(r["doc_id"]), walked(model, plain_statistics(r["text"]))) for r in df.collect())
+    got = sorted((repr(r["doc_id"]), r["score"]) for r in scored)
+    assert [x[0] for x in got] == [x[0] for x in want]
+    assert np.allclose([x[1] for x in got], [x[1] for x in want], atol=1e-9)
+
+
+def test_the_first_split_is_the_best(spark):
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 9, (300, 4)).astype(float)
+    y = ((x[:, 1] > 4) ^ (rng.random(300) < 0.2)).astype(float)
+    model = trees.fit(x, y, trees=1, depth=1, least=1e-9)
+    p = y.mean()
+
+    def gain(f, cut):
+        left, right = (y[x[:, f] <= cut] - p), (y[x[:, f] > cut] - p)
+        h = p * (1 - p)
+        return left.sum() ** 2 / (len(left) * h + 1) + right.sum() ** 2 / (len(right) * h + 1)
+
+    best = max(((gain(f, c), f, c) for f in range(4) for c in range(8)))
+    root = model.roots[0]
+    assert (model.feature[root], model.limit[root]) == best[1:]
+
+
+def test_a_repeated_label_stays_within_the_bound(spark):
+    df = docs(spark, [(5, f"text {i}", "aa") for i in range(200)] + [(0, "b", "aa"), (7, "c", "aa")])
+    labels = spark.createDataFrame([(5, 1), (5, 1), (5, 0), (0, 0), (7, 1)], "doc_id long, toxic int")
+    got = [(r["text"], r["y"]) for r in quality.labelled(df, labels, "toxic", 4).collect()]
+    assert len(got) == 4 and {t for t, _ in got} <= {"text 0", "b", "c"}
+    assert len(quality.labelled(df, labels, "toxic", 9).collect()) == 5
+
+
+def plain_terms(text):
+    found = set()
+    for w in re.findall(r"[^\W\d_]+", (text or "").lower()):
+        found |= {w} | {w[:n] + "*" for n in range(3, 9) if len(w) > n}
+    return found
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_toxicity_matches_brute_force(spark, seed):
+    rng = random.Random(seed)
+    rude = ["grumlish", "grumlox", "blarfous", "snorvile", "vexumpt"]
+    rows, labels = [], []
+    for i in range(500):
+        text, y = words(rng, PARTS["aa"], rng.randrange(5, 40)), int(rng.random() < 0.25)
+        rows.append((i, f"{text} {rng.choice(rude)} {rng.choice(rude)}" if y else text, "aa"))
+        labels.append((i, 1, y))
+    rows += [(600, rows[3][1] + " lo", "aa"), (601, None, None), (None, "GRUMLISH!!!", None), (9, "ka", "aa"), (602, "", "x")]
+    df, table = docs(spark, rows), spark.createDataFrame([*labels, (600, 1, 1), (601, 1, 0), (None, 1, 1), (3, 1, None), (4, 1, 9)], "doc_id long, quality int, toxic int")
+
+    # Labelled rows, their near copies and weights.
+    train = sorted((r["r"], r["text"], r["y"]) for r in quality.labelled(df, table, "toxic").collect())
+    y = np.array([x[2] for x in train])
+    held = [plain_terms(t) for _, t, _ in train]
+    group = toxicity.contexts(np.array([toxicity.minima(t) for _, t, _ in train]))
+    whole = toxicity.UNIT // np.bincount(group, minlength=len(group))[group]
+    weight, fold = whole / toxicity.UNIT, group % toxicity.FOLDS
+    every = sorted(set().union(*held))
+
+    def counted(rows_of):
+        t, c = {x: 0.0 for x in every}, {x: 0.0 for x in every}
+        for i in rows_of:
+            for x in held[i]:
+                (t if y[i] else c)[x] += weight[i]
+        return t, c
+
+    def chosen(rows_of, factor):
+        t, c = counted(rows_of)
+        rate = sum(weight[i] * y[i] for i in rows_of) / sum(weight[i] for i in rows_of)
+        least = factor * (math.log(len(every)) + 2) / math.log(1 / rate)
+        return sorted((x for x in every if t[x] > 1 and t[x] >= least and c[x] <= 0.02 * t[x]), key=lambda x: (-t[x], x))
+
+    wrong = {}
+    for factor in toxicity.FACTORS:
+        wrong[factor] = 0.0
+        for f in range(toxicity.FOLDS):
+            good = set(chosen([i for i in range(len(y)) if fold[i] != f], factor))
+            wrong[factor] += sum(weight[i] for i in range(len(y)) if fold[i] == f and bool(held[i] & good) != bool(y[i]))
+    factor = max(f for f in wrong if wrong[f] <= min(wrong.values()) + 1e-9)
+    lexicon = chosen(range(len(y)), factor)
+
+    model, label_model, lex = toxicity.fit(df, table)
+    assert list(lex.voter) == lexicon and list(lex.voter.values()) == [i % toxicity.VOTERS for i in range(len(lexicon))]
+    votes = np.array([lex.votes(t) for _, t, _ in train])
+    again = toxicity.label_model(votes, float(y.mean()))
+    post = again.posterior(votes)
+    assert np.allclose(again.accuracy, label_model.accuracy)
+
+    # Terms far from chance, and the regression over them.
+    rate = float(post @ weight / weight.sum())
+    kept = []
+    for x in every:
+        rows_of = [i for i in range(len(y)) if x in held[i]]
+        n, t = sum(weight[i] for i in rows_of), sum(weight[i] * post[i] for i in rows_of)
+        if abs(t - n * rate) / math.sqrt(n * rate * (1 - rate) + 0.25) > 4.3 and (t >= 0.9 * n or t < n * rate):
+            kept.append(x)
+    pairs = [(i, k) for i in range(len(y)) for k, x in enumerate(kept) if x in held[i]]
+    want = toxicity.linear(kept, tuple(np.array(pairs, np.int64).reshape(-1, 2).T), post, weight)
+    assert want.weights.keys() == model.weights.keys()
+    assert all(abs(want.weights[x] - model.weights[x]) < 1e-4 for x in want.weights)
+
+    # All documents, one term at a time.
+    got = sorted((repr(r["doc_id"]), r["score"], r["predicted"], r["held_out"]) for r in toxicity.toxicity(df, table).collect())
+    for (i, score, predicted, out), (j, t) in zip(got, sorted((repr(i), t) for i, t, _ in rows if True)):
+        assert i == j and predicted == int(score >= 0.5)
+        assert out == (i != "None" and zlib.crc32(i.encode()) % 5 == 0)
+    plain = sorted((repr(i), 1 / (1 + math.exp(-max(-40, min(40, model.base + sum(model.weights.get(x, 0) for x in plain_terms(t))))))) for i, t, _ in rows)
+    assert np.allclose([x[1] for x in plain], [x[1] for x in got], atol=1e-9)
+    by = {x[0]: x[2] for x in got}
+    assert by["None"] == 1 and by["601"] == by["602"] == 0
+
+
+def test_one_kind_of_label(spark):
+    df, _ = labelled_corpus(spark, lambda rng, t: t)
+    for kind in (0, 1):
+        got = toxicity.toxicity(df, spark.createDataFrame([(i, 1, kind) for i in range(50)], "doc_id long, quality int, toxic int")).collect()
+        assert len(got) == 605 and all(0 <= r["score"] <= 1 for r in got)
+
+
 def test_no_labels(spark):
     df, _ = labelled_corpus(spark, lambda rng, t: t)
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
