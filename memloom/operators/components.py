@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memloom.shared import cut
+from memloom.shared import cut, drop
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -34,7 +34,8 @@ def components(edges: DataFrame, a: str = "u", b: str = "v", rounds: int = 60) -
     e = cut(e, "edges")
     before = None
     for _ in range(rounds):
-        e = cut(_star(_star(e, True), False), "star")
+        former, e = e, cut(_star(_star(e, True), False), "star")
+        drop(former)
         # The pairs' number and a sum over them; they stay the same when no pair changes.
         now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:

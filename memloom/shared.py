@@ -8,12 +8,15 @@ test) gets a folder of its own.
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN = "spark.memloom.scratch"
+_paths: dict[int, str] = {}
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -21,7 +24,7 @@ def scratch_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(_OWN, None)
     if found:
         return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):  # local-cluster is a cluster
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     own = tempfile.TemporaryDirectory(prefix="memloom-")
     atexit.register(own.cleanup)
@@ -39,7 +42,34 @@ def cut(df: DataFrame, name: str = "step") -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/memloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[id(out)] = path
+    weakref.finalize(out, _paths.pop, id(out), None)
+    return out
+
+
+def drop(*tables: DataFrame | None) -> None:
+    """Delete tables of ``cut`` that nothing reads any more: what was made of them has been written."""
+    for df in tables:
+        path = _paths.pop(id(df), None) if df is not None else None
+        if path:
+            remove(df.sparkSession, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder through the file system that Spark uses for it."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def write_bytes(spark: SparkSession, name: str, content: bytes) -> str:
+    """Write a small file into the shared folder and return its place."""
+    path = f"{scratch_dir(spark)}/memloom/{name}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = folder.getFileSystem(spark._jsc.hadoopConfiguration()).create(folder)
+    out.write(bytearray(content))
+    out.close()
+    return path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

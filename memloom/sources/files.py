@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from memloom.functions.gates import is_junk, is_sensitive
 from memloom.functions.text import fact_hash, norm_fts
 from memloom.schema import JSONL_FACT
+from memloom.shared import remove
 
 # What is not indexed, and the default patterns.
 EXCLUDED = [".git", "node_modules", ".venv", "venv", "env", "__pycache__", ".tox", ".mypy_cache", ".pytest_cache", "build", "dist", ".next", "target", ".idea", ".vscode", ".eggs"]
@@ -79,10 +80,8 @@ def list_projects(spark: SparkSession, path: str) -> DataFrame:
 
 def delete_project(spark: SparkSession, path: str, project: str) -> None:
     """Removes a project's folders through the file system that Spark uses for ``path``."""
-    jvm = spark._jvm
     for name in ("nodes", "edges", "communities"):
-        folder = jvm.org.apache.hadoop.fs.Path(f"{path}/{name}/project={project}")
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        remove(spark, f"{path}/{name}/project={project}")
 
 
 def import_node_link(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
