@@ -50,12 +50,13 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from memloom.llm.batches import pieces
 from memloom.operators.components import components
-from memloom.shared import cut
+from memloom.shared import cut, drop
 
 BLOCK = 1024
 #: Ids that may be broadcast: a hash table of 500,000 longs takes some 16 MB.
@@ -319,9 +320,8 @@ def _combined(sigs: list[np.ndarray], ids: list[np.ndarray]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(sig.view(np.int64)), pa.array(own)], names=["sig", "id"])
 
 
-def _prefixes(rows: DataFrame, k: int, num: int, den: int, sketch: Sketch) -> DataFrame:
-    """``sig, id``: the shingles that each set sends, unless the task has met its equal."""
-    sent = rows.sparkSession.sparkContext.broadcast(sketch)
+def _prefixes(rows: DataFrame, k: int, num: int, den: int, sent: Broadcast) -> DataFrame:
+    """``sig, id``: the shingles that each set sends, by the sketch that was ``sent``, unless the task has met its equal."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Words()
@@ -357,20 +357,26 @@ def _divided(clusters: DataFrame, texts: DataFrame, k: int, scheme: Scheme, bloc
 
     def parts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Words()
+        sigs, reps, size = [], [], 0
         for batch, part in pieces(batches, 2):
-            sigs, reps = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for label, rep, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), part, strict=True):
                 if not len(h := shingles(t, k, known)):  # an id may repeat with an empty text
                     continue
                 # Signatures of one cluster don't meet those of another.
                 s = _mix(scheme.signatures(h).view(np.uint64) ^ _mix(np.full(1, label, np.int64).view(np.uint64)))
-                sigs.append(s.view(np.int64))
+                sigs.append(s)
                 reps.append(np.full(len(s), rep, np.int64))
-            yield pa.record_batch([pa.array(np.concatenate(sigs)), pa.array(np.concatenate(reps))], names=["sig", "id"])
+                size += len(s)
+            if size >= _FLUSH:
+                yield _combined(sigs, reps)
+                sigs, reps, size = [], [], 0
+        if size:
+            yield _combined(sigs, reps)
 
     met = texts.select(F.col("id").alias("rep"), "text").join(ids, "rep").select("label", "rep", "text").mapInArrow(parts, "sig long, id long")
     met = met.repartition("sig").sortWithinPartitions("sig", "id").mapInArrow(_meetings, "u long, v long")
     found = components(met).select("label", F.col("node").alias("rep"))
+    drop(inside)
     return clusters.join(large.select("label"), "label", "left_anti").unionByName(found)
 
 
@@ -451,8 +457,10 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     profiles = cut(_profiles(rows, k, counters), "profiles")
     base = profiles.filter("chunk IS NULL").select("id", "n", "a", "b")
     classes = base.filter("n > 0 AND id IS NOT NULL").groupBy("a", "b").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    met = _prefixes(rows, k, num, den, _sketch(profiles, counters)).repartition("sig").sortWithinPartitions("sig", "id").mapInArrow(_meetings, "u long, v long")
+    sent = docs.sparkSession.sparkContext.broadcast(_sketch(profiles, counters))
+    met = _prefixes(rows, k, num, den, sent).repartition("sig").sortWithinPartitions("sig", "id").mapInArrow(_meetings, "u long, v long")
     labels = components(met)
+    sent.destroy()  # the components are written
     nodes = labels.join(base.select(F.col("id").alias("node"), "a", "b"), "node").select("label", "a", "b").distinct()
     clusters = _divided(nodes.join(classes, ["a", "b"]).select("label", "rep").distinct(), rows, k, Scheme(num, den), block)
     links = _links(clusters, rows, k, num, den, block)
