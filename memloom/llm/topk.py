@@ -85,40 +85,56 @@ class Rows:
         return {t: self.over[i, t] if math.isinf(w) else int(w) for t, w in zip(self.term[some].tolist(), self.weight[some].tolist())}
 
 
-def postings(rows: Rows, plain: np.ndarray, kind: type) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Per term the rows that have it, of the ``plain`` ones, and their weights."""
+def postings(rows: Rows, plain: np.ndarray, kind: type) -> dict[int, tuple[np.ndarray | None, np.ndarray]]:
+    """Per term the rows that have it, of the ``plain`` ones, and their weights; a long list is kept with its zeros, as the weights of all rows."""
     some = plain[rows.row]
     row, term, weight = rows.row[some], rows.term[some], rows.weight[some].astype(kind)
     order = np.argsort(term.astype(np.uint16) if rows.width <= 1 << 16 else term, kind="stable")
     row, term, weight = row[order], term[order], weight[order]
-    heads = np.concatenate([[0], np.flatnonzero(term[1:] != term[:-1]) + 1, [len(term)]]) if len(term) else np.zeros(1, np.int64)
-    return {int(term[a]): (row[a:b], weight[a:b]) for a, b in zip(heads, heads[1:])}
+    out = {}
+    for t, a, b in _groups(term):
+        if 2 * (b - a) > rows.n:
+            column = np.zeros(rows.n, kind)
+            column[row[a:b]] = weight[a:b]
+            out[t] = None, column
+        else:
+            out[t] = row[a:b], weight[a:b]
+    return out
+
+
+def _groups(ordered: np.ndarray) -> list[tuple[int, int, int]]:
+    """Value, start and end of each run of equal values."""
+    if not len(ordered):
+        return []
+    heads = np.concatenate([[0], np.flatnonzero(ordered[1:] != ordered[:-1]) + 1, [len(ordered)]])
+    return [(int(ordered[a]), int(a), int(b)) for a, b in zip(heads, heads[1:])]
 
 
-def scores(queries: Rows, block: np.ndarray, lists: dict[int, tuple[np.ndarray, np.ndarray]], n: int, kind: type) -> np.ndarray:
+def scores(queries: Rows, block: np.ndarray, lists: dict[int, tuple[np.ndarray | None, np.ndarray]], n: int, kind: type) -> np.ndarray:
     """Dense scores of a block of query rows, gathered term at a time."""
     acc = np.zeros((len(block), n), kind)
     lo, hi = queries.bounds[block[0]], queries.bounds[block[-1] + 1]
-    place = np.full(queries.n, -1)
-    place[block] = np.arange(len(block))
-    at, term, weight = place[queries.row[lo:hi]], queries.term[lo:hi], queries.weight[lo:hi]
-    order = np.argsort(term, kind="stable")
+    place = np.full(block[-1] + 1 - block[0], -1)
+    place[block - block[0]] = np.arange(len(block))
+    at = place[queries.row[lo:hi] - block[0]]
+    order = np.argsort(queries.term[lo:hi], kind="stable")
     order = order[at[order] >= 0]
-    heads = np.concatenate([[0], np.flatnonzero(np.diff(term[order])) + 1, [len(order)]]) if len(order) else np.zeros(1, np.int64)
-    for a, b in zip(heads, heads[1:]):
-        some = order[a:b]
-        found = lists.get(int(term[some[0]]))
-        if found is None:
+    at, term, weight = at[order], queries.term[lo:hi][order], queries.weight[lo:hi][order].astype(kind)
+    for t, a, b in _groups(term):
+        if (found := lists.get(t)) is None:
             continue
-        rows, weights = found
-        q, w = at[some], weight[some].astype(kind)
-        if len(rows) == n:  # every candidate has the term
-            if len(q) == len(block):
-                acc += w[np.argsort(q), None] * weights
+        (rows, weights), q, w = found, at[a:b], weight[a:b]
+        if 2 * len(q) > len(block):
+            every = np.zeros(len(block), kind)
+            every[q] = w
+            q, w = None, every
+        if rows is None:
+            if q is None:
+                acc += w[:, None] * weights
             else:
                 acc[q] += w[:, None] * weights
         else:
-            acc[np.ix_(q, rows)] += w[:, None] * weights
+            acc[np.ix_(np.arange(len(block)) if q is None else q, rows)] += w[:, None] * weights
     return acc
 
 
