@@ -1,10 +1,17 @@
-"""Splitting of long texts into overlapping chunks that respect sentences."""
+"""Splitting of long texts into overlapping chunks that respect sentences.
+
+A text is never taken apart: separators, strongest first, cut it at offsets, one
+pass over the stretches that are still too long for each of them. Stretches are then
+packed by binary search in their running length, and chunks are slices of the text.
+"""
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,41 +20,54 @@ SIZE, OVERLAP = 512, 96
 SEPARATORS = ["\n\n", "\n", "۔", "؟", "!", ". ", "? ", "! ", "،", ", ", "؛", "; ", ":", " "]
 
 
-def segments(text: str, size: int = SIZE, level: int = 0) -> Iterator[str]:
-    """Parts of at most ``size`` characters and their separator. A part that had to be split further, and the last one, go without it."""
-    if level == len(SEPARATORS):
-        yield from (text[i : i + size] for i in range(0, len(text), size))
-        return
-    sign = SEPARATORS[level]
-    *inner, last = text.split(sign)
-    for part, tail in [*((p, sign) for p in inner), (last, "")]:
-        if len(part) > size:
-            yield from segments(part, size, level + 1)
-        elif part:
-            yield part + tail
+def stretches(text: str, size: int) -> list[tuple[int, int]]:
+    """Offsets, in order, of what separators leave of the text: up to ``size`` characters and the separator behind them.
+
+    A stretch that a weaker separator had to divide, and the last one, have none behind them.
+    """
+    done, wide = [], [(0, len(text))]
+    for sign in SEPARATORS:
+        wider = []
+        for a, b in wide:
+            while a < b:
+                end = text.find(sign, a, b)
+                cut, after = (b, b) if end < 0 else (end, end + len(sign))
+                if cut - a > size:
+                    wider.append((a, cut))
+                elif cut > a:
+                    done.append((a, after))
+                a = after
+        wide = wider
+    done += [(i, min(i + size, b)) for a, b in wide for i in range(a, b, size)]
+    return sorted(done)
 
 
 def split(text: str | None, size: int = SIZE, overlap: int = OVERLAP) -> list[str]:
-    """Chunks of packed segments; each but the first begins with the end of the one before."""
-    if not (text or "").strip():
-        return []
+    """Chunks of ``size`` characters at most, blank ones left out; each but the first begins with ``overlap`` characters of the one before."""
+    text = text or ""
     if len(text) <= size:
-        return [text.strip()]
-    packed, held = [], ""
-    for part in segments(text, size):
-        if len(held) + len(part) > size:
-            packed.append(held.strip())
-            held = ""
-        held += part
-    packed = [c for c in [*packed, held.strip()] if c]
-    if overlap <= 0:
-        return packed
-    return packed[:1] + [f"{before[-overlap:]} {chunk}" for before, chunk in zip(packed, packed[1:])]
+        return [text.strip()] if text.strip() else []
+    parts = stretches(text, size)
+    ends = list(accumulate((b - a for a, b in parts), initial=0))
+    chunks, i = [], 0
+    while i < len(parts):
+        j = max(i + 1, bisect_right(ends, ends[i] + size) - 1)
+        chunks.append("".join([text[a:b] for a, b in parts[i:j]]).strip())
+        i = j
+    chunks = [c for c in chunks if c]
+    lead = [""] + [f"{c[-overlap:]} " if overlap > 0 else "" for c in chunks]
+    return [x + c for x, c in zip(lead, chunks)]
 
 
 def split_column(text: Column, size: int = SIZE, overlap: int = OVERLAP) -> Column:
     """``array<string>`` of chunks, in Arrow batches."""
-    return F.pandas_udf(lambda s: s.map(lambda t: split(t, size, overlap)), "array<string>")(text)
+
+    @F.arrow_udf("array<string>")
+    def chunks(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.array([split(t, size, overlap) for t in texts.to_pylist()], pa.list_(pa.string()))
+
+    return chunks(text)
 
 
 def split_documents(docs: DataFrame, id_col: str, text_col: str, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:

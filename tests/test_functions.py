@@ -1,7 +1,9 @@
 """Column functions on literal cases, and the splitter and JSON repair on their own."""
 
 import math
+import random
 
+import column_split
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -162,6 +164,17 @@ def test_splitter():
     assert split.split("أهلا؟ نعم! " * 30, 50, 0)[0].endswith("؟")
 
 
+@pytest.mark.parametrize("size, overlap", [(split.SIZE, split.OVERLAP), (20, 0), (30, 5), (7, 3)])
+def test_splitter_equals_the_one_of_column_expressions(spark, size, overlap):
+    rng = random.Random(size)
+    signs = ["a", "bb ", "ccc. ", "\n", "\n\n", "! ", "؟", "،", ", ", "dd:", " ", "é", "x" * 32, "ab " * 60]
+    rows = [(i, "".join(rng.choice(signs) for _ in range(rng.randrange(90)))) for i in range(600)] + [(-1, None), (-2, "y" * 3000)]
+    df = spark.createDataFrame(rows, "i int, t string")
+    want = {r["i"]: r["c"] for r in df.select("i", column_split.split_column(F.col("t"), size, overlap).alias("c")).collect()}
+    got = {r["i"]: r["c"] for r in df.select("i", split.split_column(F.col("t"), size, overlap).alias("c")).collect()}
+    assert got == want
+
+
 @pytest.mark.parametrize("given, want", [('{"a": 1}', {"a": 1}), ('```json\n{"a": [1, 2,],}\n```', {"a": [1, 2]}), ("Sure: {'a': 'b'} ok?", {"a": "b"}), ('x {"a": {"b": "}"}} y', {"a": {"b": "}"}}), ("{“a”: 2}", {"a": 2}), ("none", None), (None, None)])
 def test_json_repair(given, want):
     import json
