@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from memloom.functions.vectors import cosine
+from memloom.operators import local
 from memloom.operators.components import components
 from memloom.operators.similarity import nearest, similar_pairs
 from memloom.shared import cut
 
+#: Edges of a graph that one task may hold: some 100 MB.
+MOST_LOCAL = 200_000
+
 
 def knn_edges(vectors: DataFrame, k: int = 10, least: float = 0.4, id_col: str = "id", vector_col: str = "embedding", **how) -> DataFrame:
     """Undirected edges between each node and its k nearest that are close enough, with the larger weight."""
@@ -142,23 +151,51 @@ def _score(edges: DataFrame, membership: DataFrame, resolution: float) -> float:
     return modularity(edges, membership, resolution).first()[0] or 0.0
 
 
-def louvain(nodes: DataFrame, edges: DataFrame, id_col: str = "id", resolution: float = 1.0, levels: int = 200, rounds: int = 1000, refine: bool = False) -> DataFrame:
+def _finished(graph: DataFrame, membership: DataFrame, resolution: float, refine: bool) -> DataFrame:
+    """The communities of a graph of ``MOST_LOCAL`` edges at most, found in one task."""
+
+    def solve(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        edges = pa.Table.from_batches(list(batches), schema=pa.schema([("src", node), ("dst", node), ("weight", pa.float64())]))
+        src, dst, weight = (edges.column(c).to_numpy() for c in ("src", "dst", "weight"))
+        nodes, at = np.unique(np.concatenate([src, dst]), return_inverse=True)
+        order = np.lexsort((at[len(src) :], at[: len(src)]))
+        part = local.communities(local.Net(len(nodes), at[: len(src)][order], at[len(src) :][order], weight[order]), resolution, refine)
+        name: dict[int, int] = {}
+        for v, c in enumerate(part):
+            name.setdefault(c, v)  # by its smallest node
+        yield pa.record_batch([pa.array(nodes, node), pa.array(nodes[[name[c] for c in part]], node)], names=["node", "community"])
+
+    kind = dict(membership.dtypes)["node"]
+    node = to_arrow_type(membership.schema["node"].dataType)
+    held = graph.select(F.col("src").cast(kind), F.col("dst").cast(kind), F.col("weight").cast("double"))
+    found = held.coalesce(1).mapInArrow(solve, f"node {kind}, community {kind}")
+    return cut(membership.select("node").join(found, "node", "left").select("node", F.coalesce("community", "node").alias("community")), "finished")
+
+
+def louvain(nodes: DataFrame, edges: DataFrame, id_col: str = "id", resolution: float = 1.0, levels: int = 200, rounds: int = 1000, refine: bool = False, most: int = MOST_LOCAL) -> DataFrame:
     """``node, community`` by local moves and contraction, the same at every run.
 
     Every node stands for itself first. Rounds of moves go on until no move of a
     node raises modularity; then communities become the nodes of a smaller graph.
     When contraction helps no more, the nodes themselves are tried again, until
-    nothing improves. ``levels`` and ``rounds`` are safety limits; to reach one is
-    an error. ``refine`` splits communities that are not connected inside, as
-    Leiden does, before each contraction.
+    nothing improves. A graph, or what contraction has left of one, that has ``most``
+    edges or fewer is finished in one task. ``levels`` and ``rounds`` are safety
+    limits; to reach one is an error. ``refine`` asks for Leiden's refinement: in one
+    task by its own rule, in rounds by splitting communities that are not connected
+    inside before each contraction.
     """
     edges = cut(edges.filter("src <> dst").select("src", "dst", "weight"), "louvain-edges")
     every = cut(nodes.select(F.col(id_col).alias("node")).select("node", F.col("node").alias("community")), "louvain")
+    if edges.count() <= most:
+        return _finished(edges, every, resolution, refine)
     graph, level, whole = edges, every, True  # ``whole``: the level is that of the nodes themselves
     best = _score(edges, every, resolution)
     for depth in range(levels):
-        moved, changed = _settled(graph, level, resolution, rounds, 31 * depth)
-        if refine:
+        if not whole and graph.count() <= most:
+            moved, changed = _finished(graph, level, resolution, refine), True
+        else:
+            moved, changed = _settled(graph, level, resolution, rounds, 31 * depth)
+        if refine and whole:
             inner = labelled(graph, moved).filter("a = b")
             parts = components(inner, "src", "dst")
             moved = cut(moved.join(parts, "node", "left").select("node", F.coalesce("label", "node").alias("community")), "refined")
@@ -167,8 +204,8 @@ def louvain(nodes: DataFrame, edges: DataFrame, id_col: str = "id", resolution:
         elif changed:
             every = cut(every.join(moved.select(F.col("node").alias("community"), F.col("community").alias("next")), "community").select("node", F.col("next").alias("community")), "louvain")
         score = _score(edges, every, resolution)
-        if changed or score > best + 1e-12:
-            best = score
+        if score > best + 1e-12 or (whole and changed):
+            best = max(best, score)
             graph = cut(_contract(graph, moved), "contracted")
             level, whole = cut(moved.select(F.col("community").alias("node")).distinct().select("node", F.col("node").alias("community")), "level"), False
         elif whole:
@@ -179,7 +216,7 @@ def louvain(nodes: DataFrame, edges: DataFrame, id_col: str = "id", resolution:
 
 
 def leiden(nodes: DataFrame, edges: DataFrame, **how) -> DataFrame:
-    """Louvain with communities that are connected inside."""
+    """Louvain with refinement: communities are connected inside."""
     return louvain(nodes, edges, refine=True, **how)
 
 

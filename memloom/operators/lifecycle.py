@@ -11,32 +11,72 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memloom.functions.gates import relation
+from memloom.operators import local
+from memloom.operators.components import components
 from memloom.operators.similarity import nearest, similar_pairs
-from memloom.shared import cut
+from memloom.shared import cut, drop
 
+#: Edges of a component that one task may scan.
+MOST_LOCAL = 500_000
 
-def leaders(nodes: DataFrame, edges: DataFrame, id_col: str = "id", fixed: str | None = None, rounds: int = 200) -> DataFrame:
-    """``id, leads`` over edges ``src < dst``. Nodes with ``fixed`` lead from the start and before all others."""
+
+def leaders(nodes: DataFrame, edges: DataFrame, id_col: str = "id", fixed: str | None = None, rounds: int = 3, most: int = MOST_LOCAL) -> DataFrame:
+    """``id, leads`` over edges ``src < dst``. Nodes with ``fixed`` lead from the start and before all others.
+
+    A round settles all nodes whose smaller neighbours are settled, and the
+    neighbours of those that lead. After every ``rounds`` of them the parts that are
+    still open fall into components; those of ``most`` edges or fewer are scanned in
+    order, one task each, so long chains cost no rounds. Each round settles a node at
+    least, so the end is always reached.
+    """
     first = F.coalesce(F.col(fixed), F.lit(False)) if fixed else F.lit(False)
-    state = nodes.select(F.col(id_col).alias("id"), first.alias("_f"), F.when(first, F.lit(True)).alias("leads"))
+    state = nodes.select(F.col(id_col).alias("id"), first.alias("first"), F.when(first, F.lit(True)).alias("leads"))
     state = cut(state, "leaders")
     if fixed:  # edges go from what comes earlier; those between fixed nodes decide nothing
-        is_fixed = lambda side: state.select(F.col("id").alias(side), F.col("_f").alias(f"{side}_f"))
+        is_fixed = lambda side: state.select(F.col("id").alias(side), F.col("first").alias(f"{side}_f"))
         e = edges.join(is_fixed("src"), "src").join(is_fixed("dst"), "dst").filter("NOT (src_f AND dst_f)")
         edges = e.select(F.when(F.col("dst_f"), F.col("dst")).otherwise(F.col("src")).alias("src"), F.when(F.col("dst_f"), F.col("src")).otherwise(F.col("dst")).alias("dst"))
     edges = cut(edges.select("src", "dst"), "leader-edges")
-    for _ in range(rounds):
-        before = edges.join(state.select(F.col("id").alias("src"), F.col("leads").alias("_l")), "src")
-        seen = before.groupBy(F.col("dst").alias("id")).agg(F.max(F.coalesce("_l", F.lit(False))).alias("_led"), F.count_if(F.col("_l").isNull()).alias("_open"))
-        now = F.when(F.col("leads").isNotNull(), F.col("leads")).when(F.coalesce("_led", F.lit(False)), F.lit(False)).when(F.coalesce("_open", F.lit(0)) == 0, F.lit(True))
-        state = cut(state.join(seen, "id", "left").select("id", "_f", now.alias("leads")), "leaders")
-        if state.filter(F.col("leads").isNull()).isEmpty():
-            return state.select("id", "leads")
-    raise RuntimeError(f"leaders did not settle in {rounds} rounds")
+
+    def told(state: DataFrame) -> DataFrame:
+        before = edges.join(state.select(F.col("id").alias("src"), F.col("leads").alias("l")), "src")
+        return before.groupBy(F.col("dst").alias("id")).agg(F.max(F.coalesce("l", F.lit(False))).alias("led"), F.count_if(F.col("l").isNull()).alias("open"))
+
+    def replaced(state: DataFrame, seen: DataFrame, leads: Column) -> DataFrame:
+        after = cut(state.join(seen, "id", "left").select("id", "first", F.coalesce("leads", leads).alias("leads")), "leaders")
+        drop(state)
+        return after
+
+    led, free = F.coalesce("led", F.lit(False)), F.coalesce("open", F.lit(0)) == 0
+    while True:
+        for _ in range(rounds):
+            state = replaced(state, told(state), F.when(~led & free, F.lit(True)).when(led, F.lit(False)))
+            state = replaced(state, told(state), F.when(led, F.lit(False)))
+            if state.filter(F.col("leads").isNull()).isEmpty():
+                drop(edges)
+                return state.select("id", "leads")
+        # Leaders' neighbours are settled, so only open nodes decide about open nodes.
+        still = state.filter(F.col("leads").isNull()).select("id")
+        live = edges.join(still.select(F.col("id").alias("src")), "src", "left_semi").join(still.select(F.col("id").alias("dst")), "dst", "left_semi")
+        live = cut(live, "leader-open")
+        part = components(live, "src", "dst").select(F.col("node").alias("src"), "label")
+        held = live.join(part, "src")
+        small = held.groupBy("label").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= most).select("label")
+
+        def scan(group: pa.Table) -> pa.Table:
+            src, dst = group.column("src").to_numpy(), group.column("dst").to_numpy()
+            ids = np.unique(np.concatenate([src, dst]))
+            return pa.table({"id": ids, "now": local.greedy_leaders(ids, src, dst)})
+
+        found = held.join(small, "label", "left_semi").groupBy("label").applyInArrow(scan, f"id {dict(state.dtypes)['id']}, now boolean")
+        state = replaced(state, found, F.col("now"))
+        drop(live)
 
 
 def leader_groups(vectors: DataFrame, least: float = 0.85, id_col: str = "id", vector_col: str = "embedding") -> DataFrame:
@@ -67,19 +107,20 @@ def merged(facts: DataFrame, targets: DataFrame, most_aliases: int = 10) -> Data
     """Facts after the merge: the target's own fields, the largest importance (5 at most) and trust, all sightings and up to ten other wordings."""
     rows = facts.join(targets, "id")
     own = F.col("id") == F.col("target")
-    other = F.when(~own, F.struct("id", "full_key"))
     offered = F.greatest(F.col("importance"), F.bround(F.col("trust") * 5, 0).cast("int"))
-    # Only the first wordings are kept, so they are ranked before they are gathered.
-    rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("target").orderBy(own, "id")))
-    wording = F.when(F.col("_n") <= most_aliases, other)
-    return rows.groupBy(F.col("target").alias("id")).agg(
+    whole = rows.groupBy("target").agg(
         F.max(F.when(own, F.col("full_key"))).alias("full_key"),
         F.max(F.when(own, F.col("category"))).alias("category"),
         F.least(F.lit(5), F.max(F.when(own, F.col("importance")).otherwise(offered))).alias("importance"),
         F.max("trust").alias("trust"),
         F.count(F.lit(1)).alias("seen_count"),
-        F.transform(F.sort_array(F.collect_list(wording)), lambda x: x["full_key"]).alias("aliases"),
     )
+    # Only the first wordings are kept: each task ranks its own before they meet, however many a target has.
+    place = F.row_number().over(Window.partitionBy("target").orderBy("id"))
+    first = rows.filter(~own).select("target", "id", "full_key").withColumn("place", place).filter(F.col("place") <= most_aliases)
+    aliases = first.groupBy("target").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "full_key"))), lambda x: x["full_key"]).alias("aliases"))
+    none = F.array().cast("array<string>")
+    return whole.join(aliases, "target", "left").select(F.col("target").alias("id"), "full_key", "category", "importance", "trust", "seen_count", F.coalesce("aliases", none).alias("aliases"))
 
 
 def decisions(candidates: DataFrame, facts: DataFrame, label: Callable[[DataFrame], DataFrame] | None = None, least: float = 0.5, same: float = 0.95, k: int = 3, **how) -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from memloom.operators import fulltext, graph, lifecycle, rank, sessions, similarity, store
+from memloom.operators import fulltext, graph, lifecycle, local, rank, sessions, similarity, store
 from memloom.operators.components import components
 
 
@@ -123,20 +123,77 @@ def test_community_detection(spark):
     assert "Community 0: 5 nodes, 10 edges" in told and "hello world" in told
 
 
-def test_communities_settle(spark):
-    # 2,000 nodes in 20 planted groups, four fifths of the edges inside them.
-    dice = random.Random(7)
-    pairs = [(i, i // 100 * 100 + dice.randrange(100) if dice.random() < 0.8 else dice.randrange(2000)) for i in range(2000) for _ in range(5)]
-    e = spark.createDataFrame(sorted({(min(p), max(p), 1.0) for p in pairs if p[0] != p[1]}), "src long, dst long, weight double").cache()
-    nodes = spark.range(2000)
-    got = graph.louvain(nodes, e).cache()
-    planted = nodes.select(F.col("id").alias("node"), F.floor(F.col("id") / 100).alias("community"))
-    assert graph.modularity(e, got).first()[0] >= graph.modularity(e, planted).first()[0] - 0.005
+def planted(n, size, inside=0.8, seed=7):
+    """Edges of a graph with groups of ``size`` nodes, the share ``inside`` of them within."""
+    dice = random.Random(seed)
+    pairs = [(i, i // size * size + dice.randrange(size) if dice.random() < inside else dice.randrange(n)) for i in range(n) for _ in range(5)]
+    return sorted({(min(p), max(p), 1.0) for p in pairs if p[0] != p[1]})
+
+
+def settled(spark, e, got):
     ways = graph.both_ways(e)
     strength = ways.groupBy(F.col("src").alias("node")).agg(F.sum("weight").alias("k"))
-    assert graph._proposals(ways, strength, 2.0 * e.count(), got, 1.0).isEmpty()
-    with pytest.raises(RuntimeError, match="did not settle in 2 rounds"):
-        graph.louvain(nodes, e, rounds=2)
+    return graph._proposals(ways, strength, 2.0 * e.agg(F.sum("weight")).first()[0], got, 1.0).isEmpty()
+
+
+@pytest.mark.parametrize("find", [graph.louvain, graph.leiden])
+def test_communities_settle(spark, find):
+    e = spark.createDataFrame(planted(2000, 100), "src long, dst long, weight double").cache()
+    nodes = spark.range(2000)
+    got = find(nodes, e).cache()
+    truth = nodes.select(F.col("id").alias("node"), F.floor(F.col("id") / 100).alias("community"))
+    assert graph.modularity(e, got).first()[0] >= graph.modularity(e, truth).first()[0] - 0.005
+    assert settled(spark, e, got)
+
+
+def test_communities_settle_in_rounds(spark):
+    e = spark.createDataFrame(planted(160, 20, 0.9), "src long, dst long, weight double").cache()
+    nodes = spark.range(160)
+    truth = nodes.select(F.col("id").alias("node"), F.floor(F.col("id") / 20).alias("community"))
+    got = graph.louvain(nodes, e, most=100).cache()  # what contraction leaves is finished in one task
+    assert settled(spark, e, got)
+    assert graph.modularity(e, got).first()[0] >= graph.modularity(e, truth).first()[0] - 0.01
+    with pytest.raises(RuntimeError, match="did not settle in 1 rounds"):
+        graph.louvain(nodes, e, most=0, rounds=1)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_refined_communities_are_connected_and_no_worse(seed):
+    e = planted(300, 15, 0.6, seed)
+    src, dst, w = (np.array(x) for x in zip(*e))
+    net = local.Net(300, src, dst, w)
+
+    def score(part):
+        inner, total = 0.0, {}
+        for a, b, x in e:
+            inner += x * (part[a] == part[b])
+            for v in (a, b):
+                total[part[v]] = total.get(part[v], 0.0) + x
+        m = sum(x for _, _, x in e)
+        return inner / m - sum(t * t for t in total.values()) / (4 * m * m)
+
+    plain, fine = local.communities(net), local.communities(net, refine=True)
+    assert score(fine) >= score(plain) - 0.01 and score(plain) > 0.3
+    for c in set(fine):
+        members = {v for v in range(300) if fine[v] == c}
+        seen, todo = set(), [min(members)]
+        while todo:
+            v = todo.pop()
+            seen.add(v)
+            todo += [u for u in net.near[v] if u in members and u not in seen]
+        assert seen == members
+
+
+@pytest.mark.parametrize("most", [10, 10**6])
+def test_leaders_of_long_chains(spark, most):
+    n = 1000 if most > 10 else 40
+    path = [(i, i + 1) for i in range(n - 1)] + [(n + i, n + j) for i in range(60) for j in (i + 1, i + 2, i + 3) if j < 60]
+    lead = {}
+    for v in range(n + 60):
+        lead[v] = not any(lead[a] for a, b in path if b == v)
+    df = spark.range(n + 60)
+    got = {r["id"]: r["leads"] for r in lifecycle.leaders(df, spark.createDataFrame(path, "src long, dst long"), most=most).collect()}
+    assert got == lead
 
 
 def test_a_node_leaves_a_community_it_has_no_part_in(spark):
