@@ -12,7 +12,7 @@ from memloom.functions import gates, text
 from memloom.functions.split import split_documents
 from memloom.operators import fulltext, graph, lifecycle, rank, sessions, similarity, store
 from memloom.plans import search
-from memloom.shared import table
+from memloom.shared import dealt, table
 from memloom.sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -301,7 +301,7 @@ def _lit_sql() -> str:
 def _texts(spark, sf):
     """Whole documents, and literal cases under negative ids."""
     lit = spark.createDataFrame([(-i - 1, t) for i, t in enumerate(_LITERALS)], "doc_id long, text string")
-    return table(spark, sf, "documents").select("doc_id", "text").unionByName(lit)
+    return dealt(table(spark, sf, "documents").select("doc_id", "text"), "doc_id").unionByName(lit)
 
 
 _WS = "trim(regexp_replace({0}, '\\s+', ' ', 'g'))"

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from memloom.functions.text import _text, arabic_ratio, is_arabic_heavy, norm_store, normalize_whitespace
+from memloom.functions.text import _text, is_arabic_heavy, norm_store, normalize_whitespace
 from memloom.schema import FACT_CATEGORIES, RELATION_KINDS
 
 # Phrases that say nothing.
@@ -89,21 +90,33 @@ def _skip_pattern() -> str:
 
 
 def junk_rule(c: Column | str) -> Column:
-    """Which gate rejects a fact, or null if none does: the first that applies."""
+    """Which gate rejects a fact, or null if none does: the first that applies.
+
+    The trimmed, lower-cased and stored forms are made once and bound for all rules.
+    """
     c = normalize_edges(F.coalesce(_text(c), F.lit("")))
-    low = F.lower(c)
-    stored = norm_store(low)
-    heavy = is_arabic_heavy(c)
+    forms = bound(c, lambda t: bound(F.struct(t.alias("t"), F.lower(t).alias("low")), lambda x: F.struct(x["t"].alias("t"), x["low"].alias("low"), norm_store(x["low"]).alias("stored"))))
+    return bound(forms, lambda x: _first_rule(x["t"], x["low"], x["stored"]))
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once a row, however often ``use`` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _first_rule(c: Column, low: Column, stored: Column) -> Column:
+    any_of = lambda col, patterns: F.coalesce(col.rlike("|".join(f"(?:{p})" for p in patterns)), F.lit(False))
+    unicode = lambda patterns: ["(?U)" + p for p in patterns]
+    length = F.length(c)
+    # Figures weigh only beside a word that goes with them, which is looked for where they do.
     solid = F.replace(c, F.lit(" "), F.lit(""))
     figures = F.length(F.regexp_replace(solid, r"(?U)[^\d.,]", "")) / F.length(solid)
     stat_word = F.arrays_overlap(words(low), F.array(*(F.lit(w) for w in STAT_WORDS)))
-    any_of = lambda col, patterns: F.coalesce(col.rlike("|".join(f"(?:{p})" for p in patterns)), F.lit(False))
-    unicode = lambda patterns: ["(?U)" + p for p in patterns]
     return (
         F.when(c == "", "empty")
         .when(is_sensitive(c), "sensitive")
         .when(is_cjk(c), "cjk")
-        .when(F.length(c) < F.when(heavy, LEAST_ARABIC).otherwise(LEAST_OTHER), "short")
+        .when((length < LEAST_ARABIC) | ((length < LEAST_OTHER) & ~is_arabic_heavy(c)), "short")
         .when(stored.rlike(_skip_pattern()), "phrase")
         .when(c.rlike(r"(?U)^\d+\s+\w+$"), "count")
         .when(c.rlike(r"(?U)^تم\s+\w+\s*$"), "passive")
@@ -215,6 +228,3 @@ def decision(similarity: Column, label: Column, same: float = 0.95) -> Column:
 
 def session_is_arabic(ratio: Column, more: float = 0.30) -> Column:
     return ratio > more
-
-
-__all__ = [n for n in dir() if not n.startswith("_")] + ["arabic_ratio"]

@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -95,7 +96,9 @@ def repaired_json(text: str | None) -> str | None:
     return None
 
 
-repair_json = F.pandas_udf(lambda s: s.map(repaired_json), T.StringType())
+@F.arrow_udf(T.StringType())
+def repair_json(answers: pa.Array) -> pa.Array:
+    return pa.array([repaired_json(t) for t in answers.to_pylist()], pa.string())
 
 
 def parse_json(c: Column, schema: str) -> Column:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 K1, B = 1.2, 0.75
@@ -28,17 +29,43 @@ def query_terms(queries: DataFrame, id_col: str, text_col: str, least: int = 2)
     return queries.select(F.col(id_col).alias("query_id"), F.explode(parts).alias("term"))
 
 
+#: Query terms that may be broadcast, after counting them.
+MOST_TERMS = 100_000
+
+
+def _matches(tokens_of: DataFrame, terms: DataFrame, *more: str) -> DataFrame:
+    """Rows of ``token`` and ``more`` columns joined with the distinct ``term`` that each token begins with.
+
+    A token meets terms by its beginnings of the lengths that terms have, so the join is
+    on whole terms: a frequent beginning is no hot key unless it is a term, and
+    counted terms are broadcast, so no token moves.
+    """
+    asked = terms.select("term").distinct()
+    lengths = sorted(r[0] for r in asked.select(F.length("term")).distinct().collect())  # as many as terms have lengths
+    asked = F.broadcast(asked) if asked.count() <= MOST_TERMS else asked
+    starts = F.filter(F.array(*(F.lit(n) for n in lengths)), lambda n: n <= F.length("token")) if lengths else F.array().cast("array<int>")
+    rows = tokens_of.select("*", F.explode(starts).alias("n")).withColumn("term", F.substring(F.col("token"), F.lit(1), F.col("n")))
+    return rows.join(asked, "term").select("term", *more)
+
+
 def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, doc_id: str = "id", doc_texts: tuple[str, ...] = ("text",), query_id: str = "query_id", query_text: str = "query") -> DataFrame:
     """``query_id, rank, doc_id, score``: any-term prefix search, best first; scores are positive.
 
-    Terms meet the index on their first two characters. A term's matches are
-    aggregated to one row a document before documents are counted.
+    A term's matches are aggregated to one row a document before documents are counted.
     """
-    index = postings(docs, doc_id, *doc_texts).withColumn("head", F.substring("token", 1, 2))
+    every = F.concat(*(tokens(F.col(c)) for c in doc_texts))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), every.alias("t")).withColumn("n_tokens", F.size("t"))
     terms = query_terms(queries, query_id, query_text)
-    asked = terms.select("term", F.substring("term", 1, 2).alias("head")).distinct()
-    hits = index.join(asked, "head").filter(F.col("token").startswith(F.col("term"))).groupBy("term", "doc_id", "n_tokens").agg(F.sum("tf").alias("f"))
-    whole = docs.select(F.sum(F.size(F.concat(*(tokens(F.col(c)) for c in doc_texts)))).alias("all"), F.count(F.lit(1)).alias("n"))
+    hits = _matches(rows.select("doc_id", "n_tokens", F.explode("t").alias("token")), terms, "doc_id", "n_tokens")
+    hits = hits.groupBy("term", "doc_id", "n_tokens").agg(F.count(F.lit(1)).alias("f"))
+    # All tokens are counted without being made.
+    n_tokens = sum(F.coalesce(F.regexp_count(F.lower(F.col(c)), F.lit(r"[\p{L}\p{N}]+")), F.lit(0)) for c in doc_texts)
+    whole = docs.agg(F.sum(n_tokens).alias("all"), F.count(F.lit(1)).alias("n"))
+    return _ranked(terms, hits, whole, k)
+
+
+def _ranked(terms: DataFrame, hits: DataFrame, whole: DataFrame, k: int) -> DataFrame:
+    """The k best documents of each query, from ``term, doc_id, n_tokens, f`` and the one row ``all, n``."""
     df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     df = df.crossJoin(F.broadcast(whole)).select("term", F.when(idf <= 0, 1e-6).otherwise(idf).alias("idf"), (F.col("all") / F.col("n")).alias("mean"))
@@ -48,6 +75,46 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, doc_id: str = "id", d
     return scored.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
 
 
+# A stored index: postings by the hash of a token's first two characters, documents with their lengths.
+
+HEADS = 64
+
+
+def _head(c: Column) -> Column:
+    return F.pmod(F.xxhash64(F.substring(c, 1, 2)), F.lit(HEADS)).cast("int")
+
+
+def build_index(docs: DataFrame, path: str, id_col: str = "id", *text_cols: str) -> None:
+    """Write the index of ``docs``: a search reads only the folders that its terms can be in."""
+    index = postings(docs, id_col, *text_cols)
+    # Sorted within a folder, so that row groups of other tokens are skipped by their bounds.
+    index.withColumn("head", _head(F.col("token"))).repartition("head", F.pmod(F.xxhash64("token"), F.lit(16))).sortWithinPartitions("head", "token").write.mode("overwrite").partitionBy("head").parquet(f"{path}/postings")
+    every = F.concat(*(tokens(F.col(c)) for c in text_cols))
+    docs.select(F.col(id_col).alias("doc_id"), F.size(every).alias("n_tokens")).write.mode("overwrite").parquet(f"{path}/documents")
+
+
+def check_index(docs: DataFrame, path: str, id_col: str = "id") -> DataFrame:
+    """One row ``documents, indexed, missing, stray``: an index is whole when the last two are 0."""
+    have, held = docs.select(F.col(id_col).alias("doc_id")), docs.sparkSession.read.parquet(f"{path}/documents").select("doc_id")
+    counts = [d.agg(F.count(F.lit(1)).alias(n)) for d, n in ((have, "documents"), (held, "indexed"), (have.join(held, "doc_id", "left_anti"), "missing"), (held.join(have, "doc_id", "left_anti"), "stray"))]
+    return counts[0].crossJoin(counts[1]).crossJoin(counts[2]).crossJoin(counts[3])  # one row each
+
+
+def search_index(spark: SparkSession, path: str, queries: DataFrame, k: int = 10, query_id: str = "query_id", query_text: str = "query") -> DataFrame:
+    """``bm25`` by a stored index: only postings that begin like a term are read."""
+    terms = query_terms(queries, query_id, query_text)
+    found = terms.select("term").distinct().limit(MOST_TERMS + 1).collect()
+    index = spark.read.parquet(f"{path}/postings")
+    if len(found) <= MOST_TERMS:
+        heads = terms.select(_head(F.col("term")).alias("head")).distinct().collect()  # HEADS at most
+        index = index.filter(F.col("head").isin([r["head"] for r in heads]))
+        if len(found) <= 200:  # few terms: the scan itself is bounded by them
+            index = index.filter(reduce(lambda a, b: a | b, (F.col("token").startswith(r["term"]) for r in found), F.lit(False)))
+    hits = _matches(index.select("doc_id", "n_tokens", "token", "tf"), terms, "doc_id", "n_tokens", "tf").groupBy("term", "doc_id", "n_tokens").agg(F.sum("tf").alias("f"))
+    whole = spark.read.parquet(f"{path}/documents").agg(F.sum("n_tokens").alias("all"), F.count(F.lit(1)).alias("n"))
+    return _ranked(terms, hits, whole, k)
+
+
 def snippet(text: Column, terms: Column, most: int = 40, mark: tuple[str, str] = ("<b>", "</b>")) -> Column:
     """Up to ``most`` words around the first match, with words that begin with a term marked."""
     words = F.split(F.trim(F.coalesce(text, F.lit(""))), r"\s+")
@@ -57,30 +124,37 @@ def snippet(text: Column, terms: Column, most: int = 40, mark: tuple[str, str] =
     return F.array_join(F.transform(F.slice(words, start, F.lit(most)), lambda w: F.when(hit(w), F.concat(F.lit(mark[0]), w, F.lit(mark[1]))).otherwise(w)), " ")
 
 
-def _best_tier(rows: DataFrame, tiers: list[Column], order: list[Column], k: int) -> DataFrame:
+def _best_tier(rows: DataFrame, tier: Column, order: list[Column], k: int) -> DataFrame:
     """The first ``k`` rows of the first tier that has any, with its number, from one scan and one top-k."""
-    tier = F.coalesce(*(F.when(t, n) for n, t in enumerate(tiers, 1)))
     top = rows.withColumn("tier", tier).filter("tier IS NOT NULL").orderBy("tier", *order).limit(k)
     # At most k rows are left to look at together.
-    first = F.min("tier").over(Window.partitionBy(F.lit(1)))
-    return top.withColumn("_first", first).filter("tier = _first").drop("_first").orderBy(*order)
+    best = top.withColumn("tier", F.struct("tier", F.min("tier").over(Window.partitionBy(F.lit(1))).alias("first")))
+    return best.filter("tier.tier = tier.first").withColumn("tier", F.col("tier.tier")).orderBy(*order)
 
 
 def tiered_search(notes: DataFrame, query: str, columns: tuple[str, ...], normal, order: list[Column], k: int = 50, where: Column | None = None) -> DataFrame:
-    """Notes by whole words, else by substrings of three characters or more, else by the raw query; both sides normalised for the first two."""
+    """Notes by whole words, else by substrings of three characters or more, else by the raw query; both sides normalised for the first two.
+
+    Whole words are a part of the text with none of their letters beside it, so one pass
+    of a pattern tells them, and no text is taken apart.
+    """
     rows = notes if where is None else notes.filter(where)
     asked = normal(F.lit(query))
-    words = F.filter(F.split(asked, " "), lambda w: w != "")
-    rows = rows.withColumn("_text", F.lower(F.concat_ws(" ", *(normal(F.col(c)) for c in columns))))
-    text, own = F.col("_text"), tokens(F.col("_text"))
-    by_word = F.exists(words, lambda w: F.array_contains(own, F.lower(w)))
-    by_part = F.exists(F.filter(words, lambda w: F.length(w) >= 3), lambda w: F.contains(text, F.lower(w)))
+    spoken = rows.sparkSession.range(1).select(F.array_distinct(F.filter(F.split(F.lower(asked), " "), lambda w: w != ""))).first()[0]  # the query's own words
+    text = F.lower(F.concat_ws(" ", *(normal(F.col(c)) for c in columns)))
+    plain = [w for w in spoken if w == "".join(c for c in w if c.isalnum())]
+    part = [w for w in spoken if len(w) >= 3]
+    held = lambda t, words: reduce(lambda a, b: a | b, (F.contains(t, F.lit(w)) for w in words), F.lit(False))
+    alone = rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(map(re.escape, plain))})(?![\p{{L}}\p{{N}}])"
+    by_word = lambda t: held(t, plain) & t.rlike(alone) if plain else F.lit(False)
     raw = reduce(lambda a, b: a | b, (F.coalesce(F.contains(F.lower(F.col(c)), F.lower(F.lit(query))), F.lit(False)) for c in columns))
-    return _best_tier(rows, [by_word, by_part, raw], order, k).drop("_text")
+    tier = F.element_at(F.transform(F.array(text), lambda t: F.when(by_word(t), 1).when(held(t, part), 2)), 1)
+    return _best_tier(rows, F.coalesce(tier, F.when(raw, 3)), order, k)
 
 
 def phrase_search(messages: DataFrame, query: str, text_col: str, normal, order: list[Column], k: int = 5) -> DataFrame:
     """Messages with the whole phrase, else with all of its words, newest first."""
     asked, text = normal(F.lit(query)), normal(F.col(text_col))
     words = F.split(asked, r"(?U)\s+")
-    return _best_tier(messages, [F.contains(text, asked), (F.size(words) > 1) & F.forall(words, lambda w: F.contains(text, w))], order, k)
+    both = F.element_at(F.transform(F.array(text), lambda t: F.when(F.contains(t, asked), 1).when((F.size(words) > 1) & F.forall(words, lambda w: F.contains(t, w)), 2)), 1)
+    return _best_tier(messages, both, order, k)

@@ -14,7 +14,7 @@ from memloom.functions.vectors import cosine
 from memloom.operators import local
 from memloom.operators.components import components
 from memloom.operators.similarity import nearest, similar_pairs
-from memloom.shared import cut
+from memloom.shared import cut, first_rows
 
 #: Edges of a graph that one task may hold: some 100 MB.
 MOST_LOCAL = 200_000
@@ -235,8 +235,7 @@ def neighbours(relations: DataFrame, facts: DataFrame, seeds: DataFrame, kind: s
         step = frontier.join(links.withColumnRenamed("id", "to"), F.col("id") == F.col("from_id")).groupBy("seed", F.col("to").alias("id")).agg(F.max("weight").alias("weight"))
         step = step.join(met, ["seed", "id"], "left_anti").select("seed", F.lit(hop).alias("hop"), "id", "weight")
         if per_hop:
-            best = F.row_number().over(Window.partitionBy("seed").orderBy(F.desc("weight"), "id"))
-            step = step.withColumn("_n", best).filter(F.col("_n") <= per_hop).drop("_n")
+            step = first_rows(step, [F.col("seed")], [F.desc("weight"), F.col("id")], per_hop)
         if hops > 1:
             step = cut(step, "hop")
         out = step if out is None else out.unionByName(step)
@@ -260,35 +259,36 @@ def belongs_to(facts: DataFrame, weight: float = 0.9) -> DataFrame:
     return facts.select(F.col("node").alias("src"), F.concat(F.lit("cat_"), "category").alias("dst"), F.lit(weight).alias("weight"), F.lit("belongs_to").alias("type")).distinct()
 
 
-def category_index(facts: DataFrame, node: str = "node") -> DataFrame:
-    """``category, nodes``. Lists are as long as categories; use it for graphs that are listed by hand."""
-    return facts.groupBy("category").agg(F.sort_array(F.collect_list(node)).alias("nodes"))
+def category_index(facts: DataFrame, node: str = "node", most: int = 100_000) -> DataFrame:
+    """``category, part, nodes``: the sorted nodes of a category, in one list while it has about ``most`` of them, else in as many by hash."""
+    sizes = facts.groupBy(F.col("category").alias("of")).agg(F.ceil(F.count(F.lit(1)) / most).alias("parts"))
+    held = facts.select("category", F.col(node).alias("node")).join(sizes.filter("parts > 1"), F.col("category").eqNullSafe(F.col("of")), "left")
+    part = F.coalesce(F.pmod(F.xxhash64("node"), F.col("parts")), F.lit(0)).cast("int")
+    return held.groupBy("category", part.alias("part")).agg(F.sort_array(F.collect_list("node")).alias("nodes"))
 
 
 def without_orphans(nodes: DataFrame, edges: DataFrame, truth: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Nodes, edges and the removed facts, after those whose content and aliases are all unknown are gone, and then whatever has no edge left but facts."""
-    keys = truth.select(F.col("key").alias("_key")).distinct()
-    names = nodes.filter("type = 'fact'").select("node", F.explode(F.concat(F.array("content"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("_key"))
-    kept_facts = names.join(keys, "_key", "left_semi").select("node").distinct()
+    names = nodes.filter("type = 'fact'").select("node", F.explode(F.concat(F.array("content"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("key"))
+    kept_facts = names.join(truth.select("key"), "key", "left_semi").select("node").distinct()
     gone = nodes.filter("type = 'fact'").join(kept_facts, "node", "left_anti")
     rest = nodes.join(gone.select("node"), "node", "left_anti")
     alive = lambda side: rest.select(F.col("node").alias(side))
     links = edges.join(alive("src"), "src", "left_semi").join(alive("dst"), "dst", "left_semi")
-    touched = links.select(F.col("src").alias("node")).unionByName(links.select(F.col("dst").alias("node"))).distinct().withColumn("_on", F.lit(True))
-    rest = rest.join(touched, "node", "left").filter((F.col("type") == "fact") | F.col("_on")).drop("_on")
-    return rest, links, gone
+    touched = links.select(F.col("src").alias("node")).unionByName(links.select(F.col("dst").alias("node")))
+    lone = rest.filter("type <> 'fact'").select("node").join(touched, "node", "left_anti")
+    return rest.join(lone, "node", "left_anti"), links, gone
 
 
 def report(nodes: DataFrame, edges: DataFrame, membership: DataFrame, name: str, most: int = 10, shown: int = 5) -> str:
     """A Markdown summary of the ``most`` largest communities; everything is cut to that size before it is collected."""
     whole = stats(nodes, edges).first()
     top = community_stats(edges, membership).orderBy(F.desc("nodes"), "community").limit(most)
-    place = F.row_number().over(Window.partitionBy("community").orderBy("node"))
-    members = membership.join(F.broadcast(top.select("community")), "community").withColumn("_n", place).filter(F.col("_n") <= shown)
-    lines = members.join(nodes, "node").select("community", "_n", "node", "type", F.translate(F.substring("content", 1, 100), "\n", " ").alias("content")).collect()
+    members = first_rows(membership.join(F.broadcast(top.select("community")), "community"), [F.col("community")], [F.col("node")], shown)
+    lines = members.join(nodes, "node").select("community", "node", "type", F.translate(F.substring("content", 1, 100), "\n", " ").alias("content")).collect()
     out = [f"# Graph report: {name}", "", f"- nodes: {whole['nodes']}", f"- edges: {whole['edges']}", f"- density: {whole['density']:.4f}", f"- average degree: {whole['avg_degree']:.2f}", ""]
     for c in top.collect():
         out += [f"## Community {c['community']}: {c['nodes']} nodes, {c['edges']} edges", ""]
-        out += [f"- `{r['node']}` ({r['type']}): {r['content']}" for r in sorted((r for r in lines if r["community"] == c["community"]), key=lambda r: r["_n"])]
+        out += [f"- `{r['node']}` ({r['type']}): {r['content']}" for r in sorted((r for r in lines if r["community"] == c["community"]), key=lambda r: r["node"])]
         out.append("")
     return "\n".join(out)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memloom.functions.text import format_age
+from memloom.shared import first_rows
 
 K, GRAPH_WEIGHT, TEXT_WEIGHT, REPEAT = 60, 1.5, 1.0, 0.5
 ECHO_SECONDS, ECHO_SHARE = 60, 0.85
@@ -46,8 +47,7 @@ def place_score(place: Column, top: float, step: float = 0.03) -> Column:
 
 def keep_first(rows: DataFrame, content: str, order: list[Column], by: list[str] | None = None) -> DataFrame:
     """The first row of each content."""
-    w = Window.partitionBy(*(by or []), F.md5(content)).orderBy(*order)
-    return rows.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+    return first_rows(rows, [*(F.col(c) for c in by or []), F.md5(content)], order)
 
 
 def in_window(ts: Column, as_of: Column, max_age_days: float, echo: float = ECHO_SECONDS) -> Column:

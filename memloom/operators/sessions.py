@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from memloom.functions.gates import boost_of, grounding, importance, normalize_whitespace, words
 from memloom.functions.text import ARABIC
+from memloom.shared import first_rows
 
 IDLE_MINUTES, MOST_MESSAGES = 30, 100
 
@@ -21,7 +22,7 @@ def idle_sessions(sessions: DataFrame, messages: DataFrame, done: DataFrame, as_
 
 def head(messages: DataFrame, most: int = MOST_MESSAGES, by: str = "session_id", order: str = "id") -> DataFrame:
     """The first ``most`` messages of every session."""
-    return messages.withColumn("_n", F.row_number().over(Window.partitionBy(by).orderBy(order))).filter(F.col("_n") <= most).drop("_n")
+    return first_rows(messages, [F.col(by)], [F.col(order)], most)
 
 
 def _ratio(text: Column) -> Column:

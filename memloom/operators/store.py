@@ -1,24 +1,43 @@
 """The fact store as an append-only log of events, and the folds that read it.
 
 Stock Spark has no MERGE over Parquet, so nothing is updated in place: facts,
-invalidations, relations and state are appended, and the present is a fold.
-Folds are plain aggregates; a key with any number of events costs one partial
-row a task.
+invalidations, relations and state are appended, and the present is a fold. Folds
+are plain aggregates: a key with any number of events costs one partial row a task.
+Only where a log has invalidations are events put in order, and a key's events are
+divided by days for that.
 """
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memloom.functions.text import fact_hash
 from memloom.schema import MISTAKE_CATEGORIES, SEVERITIES
+from memloom.shared import first_rows
 
 
 def epochs(log: DataFrame, key: str = "fact_hash", ts: str = "ts", op: str = "op") -> DataFrame:
-    """The log with ``epoch``: how many invalidations of the key came before. An upsert after one starts a new fact."""
-    before = Window.partitionBy(key).orderBy(ts, "seq").rowsBetween(Window.unboundedPreceding, -1)
-    return log.withColumn("epoch", F.coalesce(F.sum(F.when(F.col(op) == "invalidate", 1).otherwise(0)).over(before), F.lit(0)))
+    """The log with ``epoch``: how many invalidations of the key came before. An upsert after one starts a new fact.
+
+    Those of earlier days are counted once a day, those of the same day in order, so
+    no task orders more than a key's events of one day.
+    """
+    ends = F.col(op) == "invalidate"
+    day = F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / 86_400_000_000)
+    kept = F.struct(*(F.col(f"`{c}`") for c in log.columns))
+    rows = log.select(kept.alias("row"), F.col(key).alias("k"), day.alias("d"), F.col(ts).alias("t"), F.col("seq").alias("s"), ends.cast("long").alias("e"))
+    by_day = rows.filter("e = 1").groupBy("k", "d").agg(F.count(F.lit(1)).alias("n"))
+    # From the day of its invalidations on, a key has an epoch more for each.
+    later = Window.partitionBy("k").orderBy("d")
+    spans = by_day.select("k", F.col("d").alias("since"), F.sum("n").over(later).alias("before"), F.lead("d").over(later).alias("until"))
+    before = Window.partitionBy("k", "d").orderBy("t", "s").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("here", F.coalesce(F.sum("e").over(before), F.lit(0)))
+    spans = spans.withColumnRenamed("k", "of")
+    held = rows.join(spans, (F.col("k") == F.col("of")) & (F.col("d") > F.col("since")) & (F.col("until").isNull() | (F.col("d") <= F.col("until"))), "left")
+    return held.select("row.*", (F.col("here") + F.coalesce("before", F.lit(0))).alias("epoch"))
 
 
 def fold_facts(log: DataFrame) -> DataFrame:
@@ -27,9 +46,8 @@ def fold_facts(log: DataFrame) -> DataFrame:
     The first upsert of an epoch gives category, session and source; importance is
     the largest, vector and aliases the latest that are not null.
     """
-    if "op" not in log.columns:
-        log = log.withColumn("op", F.lit("upsert"))
-    log = epochs(log.withColumn("fact_hash", fact_hash("full_key")))
+    log = log.withColumn("fact_hash", fact_hash("full_key"))
+    log = epochs(log) if "op" in log.columns else log.withColumn("op", F.lit("upsert")).withColumn("epoch", F.lit(0).cast("long"))
     up = F.col("op") == "upsert"
     at = F.struct("ts", "seq")
     first = lambda c: F.min_by(c, F.when(up, at)).alias(c)
@@ -52,10 +70,18 @@ def live(facts: DataFrame) -> DataFrame:
     return facts.filter(F.col("valid_to").isNull())
 
 
+def by_id(facts: DataFrame, *ids: int) -> DataFrame:
+    """Live facts by their ids."""
+    return live(facts).filter(F.col("id").isin(*ids))
+
+
+def by_session(facts: DataFrame, session: str) -> DataFrame:
+    return live(facts).filter(F.col("session_id") == session)
+
+
 def latest(rows: DataFrame, keys: list[str], ts: str = "ts", gone: Column | None = None) -> DataFrame:
     """The last row of each key; keys whose last row is ``gone`` (a delete) are left out."""
-    w = Window.partitionBy(*keys).orderBy(F.desc(ts), F.desc("seq") if "seq" in rows.columns else F.lit(1))
-    out = rows.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+    out = first_rows(rows, [F.col(k) for k in keys], [F.desc(ts), F.desc("seq") if "seq" in rows.columns else F.lit(1)])
     return out if gone is None else out.filter(~gone)
 
 
@@ -66,16 +92,36 @@ def relations(log: DataFrame) -> DataFrame:
 
 def insert_or_ignore(old: DataFrame, new: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """``old`` and, of the rows of ``new``, the first of each key that ``old`` lacks."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    fresh = new.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n").join(old.select(*keys), keys, "left_anti")
+    fresh = first_rows(new, [F.col(k) for k in keys], order).join(old.select(*keys), keys, "left_anti")
     return old.unionByName(fresh.select(*old.columns))
 
 
 def not_yet_known(new: DataFrame, known: DataFrame, key: str = "full_key", hashes: str = "fact_hash") -> DataFrame:
     """Rows whose normalised key was not indexed before, the first of each."""
-    w = Window.partitionBy(hashes).orderBy(*(c for c in ("ts", "seq", "id", key) if c in new.columns))
     rows = new.withColumn(hashes, fact_hash(key)).join(known.select(hashes), hashes, "left_anti")
-    return rows.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+    return first_rows(rows, [F.col(hashes)], [F.col(c) for c in ("ts", "seq", "id", key) if c in new.columns])
+
+
+def forgotten(known: DataFrame, gone: DataFrame, hashes: str = "fact_hash") -> DataFrame:
+    """What is left of the known hashes after those of removed facts are taken out, so these may come again."""
+    return known.join(gone.select(hashes), hashes, "left_anti")
+
+
+def audit(log: DataFrame) -> DataFrame:
+    """Audit rows ``event_type, details, created_at`` of a fact log: one for every invalidation."""
+    end = log.filter(F.col("op") == "invalidate")
+    details = F.to_json(F.struct(fact_hash("full_key").alias("fact_hash"), F.col("superseded_by")))
+    return end.select(F.lit("fact_invalidated").alias("event_type"), details.alias("details"), F.col("ts").alias("created_at"))
+
+
+def append_audit(rows: DataFrame, path: str) -> bool:
+    """Append audit rows. An audit never stops what it tells of: a failure is logged, and False is returned."""
+    try:
+        rows.write.mode("append").parquet(path)
+    except Exception:
+        logging.getLogger(__name__).exception("audit rows were not written")
+        return False
+    return True
 
 
 def by_category(facts: DataFrame, category: str, most: int = 100) -> DataFrame:
@@ -99,9 +145,11 @@ def enriched(facts: DataFrame, stored: DataFrame, fact_entities: DataFrame, enti
 
 def with_trust(nodes: DataFrame, stored: DataFrame) -> DataFrame:
     """Nodes take over the stored trust where it differs, and the larger importance."""
-    known = stored.groupBy("content").agg(F.max("trust_score").alias("_t"))
-    out = nodes.join(known, "content", "left")
-    return out.withColumn("importance", F.greatest("importance", F.bround(F.col("_t") * 5, 0).cast("int"))).withColumn("trust", F.coalesce("_t", "trust")).drop("_t")
+    known = stored.groupBy(F.col("content").alias("known_content")).agg(F.max("trust_score").alias("known_trust"))
+    out = nodes.alias("n").join(known.alias("k"), F.col("n.content") == F.col("k.known_content"), "left")
+    trust = F.col("k.known_trust")
+    new = {"importance": F.greatest("n.importance", F.bround(trust * 5, 0).cast("int")), "trust": F.coalesce(trust, F.col("n.trust"))}
+    return out.select(*(new[c].alias(c) if c in new else F.col(f"n.`{c}`") for c in nodes.columns))
 
 
 # Mistakes: another log with its own fold.
@@ -131,11 +179,19 @@ def recurring(notes: DataFrame, least: int = 2) -> DataFrame:
 
 def verified(notes: DataFrame, ids: DataFrame, id_col: str = "id") -> DataFrame:
     """Notes with ``fix_verified`` set where ``ids`` has them."""
-    known = ids.select(id_col).distinct().withColumn("_v", F.lit(True))
-    return notes.join(known, id_col, "left").withColumn("fix_verified", F.coalesce("_v", "fix_verified")).drop("_v")
+    known = ids.select(F.col(id_col).alias("known")).distinct()
+    out = notes.alias("n").join(known.alias("k"), F.col(f"n.{id_col}") == F.col("k.known"), "left")
+    told = F.col("k.known").isNotNull() | F.coalesce(F.col("n.fix_verified"), F.lit(False))
+    return out.select(*(told.alias(c) if c == "fix_verified" else F.col(f"n.`{c}`") for c in notes.columns))
+
+
+def without(notes: DataFrame, ids: DataFrame, id_col: str = "id") -> DataFrame:
+    """Notes without those that ``ids`` names."""
+    return notes.join(ids.select(id_col), id_col, "left_anti")
 
 
 def mistake_stats(notes: DataFrame) -> DataFrame:
-    """``category, severity, notes, recurring``: the whole, each category and each severity in one pass of grouping sets."""
+    """``category, severity, level, notes, recurring, verified``: the whole, each category and each severity in one pass of grouping sets."""
     cube = notes.groupingSets([[], ["category"], ["severity"]], "category", "severity")
-    return cube.agg(F.grouping_id().alias("level"), F.count(F.lit(1)).alias("notes"), F.count_if(F.col("recurrence_count") > 1).alias("recurring"))
+    told = F.coalesce(F.col("fix_verified"), F.lit(False)) if "fix_verified" in notes.columns else F.lit(False)
+    return cube.agg(F.grouping_id().alias("level"), F.count(F.lit(1)).alias("notes"), F.count_if(F.col("recurrence_count") > 1).alias("recurring"), F.count_if(told).alias("verified"))

@@ -11,6 +11,7 @@ from memloom.functions.models import embed
 from memloom.functions.split import split_documents
 from memloom.functions.text import clean_chunk, detect_type, norm_query, normalize_whitespace, passes_gate
 from memloom.operators import fulltext, graph, rank, similarity
+from memloom.shared import cut, first_rows
 from memloom.sources.files import load_directory, save_graph
 
 
@@ -40,8 +41,7 @@ def one_hop(memory: Memory, hits: DataFrame, queries: DataFrame, kind: str = "si
     live = memory.facts.filter(F.col("valid_to").isNull())
     links = memory.relations.filter(F.col("kind") == kind).join(live.select(F.col("id").alias("to_id")), "to_id", "left_semi")
     many = hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2").select("query_id")
-    best = F.row_number().over(Window.partitionBy("from_id").orderBy(F.desc("weight"), "to_id"))
-    links = links.withColumn("_n", best).filter(F.col("_n") <= each)
+    links = first_rows(links, [F.col("from_id")], [F.desc("weight"), F.col("to_id")], each)
     found = hits.filter(F.col("place") <= seeds).join(many, "query_id", "left_semi").join(links, F.col("id") == F.col("from_id")).select("query_id", F.col("to_id").alias("id")).distinct()
     found = found.join(hits.select("query_id", "id"), ["query_id", "id"], "left_anti").join(live.select("id", "full_key", "embedding"), "id")
     scored = found.join(queries.select("query_id", F.col("embedding").alias("_q")), "query_id").withColumn("similarity", F.round(cosine(F.col("embedding"), F.col("_q")), 12))
@@ -110,8 +110,7 @@ def graph_search(memory: Memory, queries: DataFrame, limit: int = 10, least: flo
     by_text = fulltext.bm25(live, q.select("query_id", "query"), texts, doc_id="id", doc_texts=("full_key", "category")).select("query_id", F.col("doc_id").alias("id"), F.lit(0.6).alias("similarity"), F.lit(1).alias("_l"))
     near = hits.filter(F.col("place") <= seeds).join(memory.relations, F.col("id") == F.col("from_id")).groupBy("query_id", F.col("to_id").alias("id")).agg(F.max("weight").alias("similarity")).withColumn("_l", F.lit(2))
     rows = hits.select("query_id", "id", "similarity", F.lit(0).alias("_l")).unionByName(by_text).unionByName(near)
-    first = F.row_number().over(Window.partitionBy("query_id", "id").orderBy("_l"))
-    rows = rows.withColumn("_n", first).filter("_n = 1").join(live.select("id", clean_chunk("full_key").alias("content")), "id")
+    rows = first_rows(rows, [F.col("query_id"), F.col("id")], [F.col("_l")]).join(live.select("id", clean_chunk("full_key").alias("content")), "id")
     best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("similarity", 12)), "_l", "id"))
     whole = F.count(F.lit(1)).over(Window.partitionBy("query_id"))
     return rows.select("query_id", best.alias("rank"), "id", "content", "similarity", whole.alias("total")).filter(F.col("rank") <= limit)
@@ -123,8 +122,6 @@ def graph_index(spark: SparkSession, path: str, store: str, project: str, k: int
     chunks = split_documents(docs, "source", "text", size, overlap)
     nodes = chunks.select(F.xxhash64("doc_id", "chunk_no").alias("id"), F.concat_ws("#", "doc_id", F.col("chunk_no").cast("string")).alias("node"), F.col("chunk").alias("content"), detect_type("chunk").alias("type"), F.create_map(F.lit("source"), F.col("doc_id")).alias("metadata"))
     nodes = embed(nodes, F.when(F.col("type") == "arabic", norm_query("content")).otherwise(normalize_whitespace("content")))
-    from memloom.shared import cut
-
     nodes = cut(nodes, "index-nodes")
     edges = cut(graph.knn_edges(nodes, k, least), "index-edges")
     divide = {"leiden": graph.leiden, "louvain": graph.louvain, "components": graph.connected}[communities]

@@ -13,7 +13,8 @@ import tempfile
 import uuid
 import weakref
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 _OWN = "spark.memloom.scratch"
 _paths: dict[int, str] = {}
@@ -75,3 +76,20 @@ def write_bytes(spark: SparkSession, name: str, content: bytes) -> str:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """A scan whose files give fewer parts than there are cores, dealt over these by ``keys``; others stay as they are.
+
+    Work on whole texts then runs on all cores. Few parts mean a small table, so the
+    texts that move are bounded by the cores, not by the data.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+
+
+def first_rows(df: DataFrame, by: list[Column], order: list[Column], k: int = 1) -> DataFrame:
+    """The first ``k`` rows of each group, with their columns as they are. Each task keeps its own first rows before they meet."""
+    row = F.struct(*(F.col(f"`{c}`") for c in df.columns))
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    return df.select(row.alias("row"), place.alias("place")).filter(F.col("place") <= k).select("row.*")
