@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+# The columns of the data model's tables.
 FACTS = (
     "id long, fact_hash string, full_key string, category string, importance int, valid_from timestamp, valid_to timestamp, superseded_by long, session_id string, source string,"
     "aliases array<string>, embedding array<float>, created_at timestamp, last_seen_at timestamp, seen_count long"
@@ -23,6 +24,9 @@ JSONL_FACT = "key string, category string, session_id string, extracted_at strin
 SUMMARY = "summary array<string>, facts array<struct<key: string, category: string>>, language string, importance int, session_id string, summarized_at string"
 HIT = "similarity double, content string, type string, project string, expanded boolean, timestamp timestamp, agent_id string"
 
+#: The tables that the store keeps itself.
+TABLES = ("FACTS", "RELATIONS", "SESSIONS_DONE", "STATE", "AUDIT", "MISTAKES", "ARCHIVE")
+
 # The enumerations of the data model.
 FACT_CATEGORIES = ["preference", "fact", "decision", "correction", "project", "technical", "personal", "service", "general"]
 MISTAKE_CATEGORIES = ["syntax", "logic", "config", "api", "security", "performance", "data", "deployment", "communication", "other"]

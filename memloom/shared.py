@@ -59,15 +59,52 @@ def drop(*tables: DataFrame | None) -> None:
 
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder through the file system that Spark uses for it."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    place, fs = file_system(spark, path)
+    fs.delete(place, True)
+
+
+def file_system(spark: SparkSession, path: str):
+    """The Hadoop path and the file system that Spark uses for it."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def names(spark: SparkSession, path: str) -> list[str]:
+    """What a folder holds, in order; nothing if it isn't there."""
+    place, fs = file_system(spark, path)
+    return sorted(x.getPath().getName() for x in fs.listStatus(place)) if fs.exists(place) else []
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small file, or None if there is none."""
+    place, fs = file_system(spark, path)
+    if not fs.exists(place):
+        return None
+    stream = fs.open(place)
+    try:
+        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+    finally:
+        stream.close()
+
+
+def replace_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file and put it in the place of the former one in one step: readers see the one or the other."""
+    place, fs = file_system(spark, path)
+    staged = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
+    out = fs.create(staged)
+    out.write(bytearray(text.encode()))
+    out.close()
+    rename = spark._jvm.org.apache.hadoop.fs.Options.Rename
+    how = spark.sparkContext._gateway.new_array(rename, 1)
+    how[0] = rename.OVERWRITE
+    spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration()).rename(fs.makeQualified(staged), fs.makeQualified(place), how)
 
 
 def write_bytes(spark: SparkSession, name: str, content: bytes) -> str:
     """Write a small file into the shared folder and return its place."""
     path = f"{scratch_dir(spark)}/memloom/{name}"
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    out = folder.getFileSystem(spark._jsc.hadoopConfiguration()).create(folder)
+    place, fs = file_system(spark, path)
+    out = fs.create(place)
     out.write(bytearray(content))
     out.close()
     return path

@@ -5,20 +5,25 @@ Paths go to Spark's readers as they are, so any store that Spark reads will do.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from memloom import schema
 from memloom.functions.gates import is_junk, is_sensitive
 from memloom.functions.text import fact_hash, norm_fts
-from memloom.schema import JSONL_FACT
-from memloom.shared import remove
+from memloom.schema import JSONL_FACT, TABLES
+from memloom.shared import file_system, names, read_text, remove, replace_text
 
 # What is not indexed, and the default patterns.
 EXCLUDED = [".git", "node_modules", ".venv", "venv", "env", "__pycache__", ".tox", ".mypy_cache", ".pytest_cache", "build", "dist", ".next", "target", ".idea", ".vscode", ".eggs"]
 MOST_BYTES = 500_000
 PATTERNS = ["*.md", "*.py", "*.txt"]
+PARTS = ("nodes", "edges", "communities")
+#: The file that names a project's version.
+CURRENT = "CURRENT"
 
 
 def excluded(path: Column, size: Column | None = None) -> Column:
@@ -39,9 +44,10 @@ def load_directory(spark: SparkSession, path: str, patterns: list[str] | None =
 
 
 def load_file(spark: SparkSession, path: str, **how) -> DataFrame:
-    """One file; an excluded one raises."""
+    """One file; an excluded or too large one raises."""
     name = path.split("://", 1)[-1]
-    if any(part in EXCLUDED for part in name.split("/")):
+    place, fs = file_system(spark, path)
+    if any(part in EXCLUDED for part in name.split("/")) or (fs.exists(place) and fs.getFileStatus(place).getLen() > MOST_BYTES):
         raise ValueError(f"{path} is excluded")
     return load_directory(spark, path, patterns=["*"], **how)
 
@@ -65,34 +71,86 @@ def append_facts(facts: DataFrame, path: str) -> None:
 
 
 def save_graph(path: str, project: str, nodes: DataFrame, edges: DataFrame, communities: DataFrame) -> None:
-    """Nodes, edges and communities of a project; each save replaces that project alone."""
-    for name, df in (("nodes", nodes), ("edges", edges), ("communities", communities)):
-        df.withColumn("project", F.lit(project)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("project").parquet(f"{path}/{name}")
+    """Nodes, edges and communities of a project; each save replaces that project alone, all three at once.
+
+    A save writes a version of its own; one small file, put in place in one step, says
+    which version holds. Nodes that were there before keep their ``created_at``. The
+    version before stays for those who are reading it, older ones go.
+    """
+    spark, home = nodes.sparkSession, f"{path}/{project}"
+    former = read_text(spark, f"{home}/{CURRENT}")
+    if former and "created_at" in nodes.columns:
+        old = spark.read.parquet(f"{home}/{former}/nodes").select(F.col("node").alias("old_node"), F.col("created_at").alias("old_time"))
+        kept = nodes.alias("n").join(old, F.col("n.node") == F.col("old_node"), "left")
+        nodes = kept.select(*(F.coalesce("old_time", "n.created_at").alias(c) if c == "created_at" else F.col(f"n.`{c}`") for c in nodes.columns))
+    version = f"v-{uuid.uuid4().hex}"
+    for name, df in zip(PARTS, (nodes, edges, communities), strict=True):
+        df.write.parquet(f"{home}/{version}/{name}")
+    replace_text(spark, f"{home}/{CURRENT}", version)
+    for other in names(spark, home):
+        if other.startswith("v-") and other not in (version, former):
+            remove(spark, f"{home}/{other}")
 
 
 def load_graph(spark: SparkSession, path: str, project: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    return tuple(spark.read.parquet(f"{path}/{name}").filter(F.col("project") == project).drop("project") for name in ("nodes", "edges", "communities"))
+    """What ``save_graph`` saved last; an unknown project raises."""
+    version = read_text(spark, f"{path}/{project}/{CURRENT}")
+    if version is None:
+        raise FileNotFoundError(f"no project {project} in {path}")
+    return tuple(spark.read.parquet(f"{path}/{project}/{version}/{name}") for name in PARTS)
 
 
 def list_projects(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/nodes").select("project").distinct().filter(~F.col("project").startswith(".")).orderBy("project")
+    """``project`` of all that were saved whole, in order; hidden ones are left out."""
+    found = [(p,) for p in names(spark, path) if not p.startswith(".") and CURRENT in names(spark, f"{path}/{p}")]
+    return spark.createDataFrame(found, "project string")
 
 
 def delete_project(spark: SparkSession, path: str, project: str) -> None:
-    """Removes a project's folders through the file system that Spark uses for ``path``."""
-    for name in ("nodes", "edges", "communities"):
-        remove(spark, f"{path}/{name}/project={project}")
+    remove(spark, f"{path}/{project}")
 
 
-def import_node_link(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges of a node-link JSON document."""
+def import_node_link(spark: SparkSession, path: str, repair: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of a node-link JSON document. A missing one raises; one that can't be read too, or, to ``repair``, it is set aside and an empty graph comes back."""
+    place, fs = file_system(spark, path)
+    if not fs.exists(place):
+        raise FileNotFoundError(path)
     doc = spark.read.option("multiLine", "true").json(path)
     links = "links" if "links" in doc.columns else "edges"
+    if "nodes" not in doc.columns or links not in doc.columns:
+        if not repair:
+            raise ValueError(f"{path} is no node-link document")
+        fs.rename(place, file_system(spark, f"{path}.bak-{uuid.uuid4().hex[:8]}")[0])
+        return spark.createDataFrame([], "id string"), spark.createDataFrame([], "src string, dst string, weight double")
     nodes, edges = doc.select(F.explode("nodes").alias("n")).select("n.*"), doc.select(F.explode(links).alias("e")).select("e.*")
     ends = edges.select(F.least("source", "target").alias("src"), F.greatest("source", "target").alias("dst"), *(c for c in edges.columns if c not in ("source", "target")))
     return nodes, ends
 
 
+def create_tables(spark: SparkSession, path: str) -> list[str]:
+    """Empty tables of the store where there are none yet; those that are there stay. Returns the names of the new ones."""
+    made = []
+    for name in TABLES:
+        place, fs = file_system(spark, f"{path}/{name.lower()}")
+        if not fs.exists(place):
+            spark.createDataFrame([], getattr(schema, name)).write.parquet(f"{path}/{name.lower()}")
+            made.append(name.lower())
+    return made
+
+
+def compact(spark: SparkSession, path: str, file_bytes: int = 256 << 20) -> int:
+    """Rewrite a folder of many small files as few of about ``file_bytes``. The new folder takes the old one's place when it is whole. Returns the number of files."""
+    place, fs = file_system(spark, path)
+    parts = max(1, -(-fs.getContentSummary(place).getLength() // file_bytes))
+    staged, aside = (f"{path}.{kind}-{uuid.uuid4().hex}" for kind in ("staged", "aside"))
+    rows = spark.read.parquet(path)
+    (rows.coalesce(parts) if parts < rows.rdd.getNumPartitions() else rows.repartition(parts)).write.parquet(staged)
+    fs.rename(place, file_system(spark, aside)[0])
+    fs.rename(file_system(spark, staged)[0], place)
+    remove(spark, aside)
+    return len([n for n in names(spark, path) if n.endswith(".parquet")])
+
+
 def without_secrets(facts: DataFrame, nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Facts, nodes and edges after the names of secrets are gone, with the edges of what went."""
     gone = nodes.filter(is_sensitive("content")).select("node")

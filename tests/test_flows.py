@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from memloom import schema
 from memloom.functions.models import embed
+from memloom.operators import fulltext, store
 from memloom.plans import search
 from memloom.sources import files
 from memloom.streaming import incremental
@@ -24,6 +25,8 @@ def test_directories(spark, tmp_path):
     assert files.load_file(spark, str(tmp_path / "in/a.md")).count() == 1
     with pytest.raises(ValueError):
         files.load_file(spark, "/x/node_modules/d.md")
+    with pytest.raises(ValueError, match="excluded"):
+        files.load_file(spark, str(tmp_path / "in/big.txt"))
     with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
         files.load_directory(spark, str(tmp_path / "missing")).collect()
 
@@ -52,9 +55,72 @@ def test_graph_files(spark, tmp_path):
     assert [r[0] for r in files.list_projects(spark, str(tmp_path / "g")).collect()] == ["one", "two"]
     files.delete_project(spark, str(tmp_path / "g"), "one")
     assert [r[0] for r in files.list_projects(spark, str(tmp_path / "g")).collect()] == ["two"]
+    with pytest.raises(FileNotFoundError):
+        files.load_graph(spark, str(tmp_path / "g"), "one")
     (tmp_path / "graph.json").write_text(json.dumps({"nodes": [{"id": "a"}, {"id": "b"}], "links": [{"source": "b", "target": "a", "weight": 1.0}]}))
     n, e = files.import_node_link(spark, str(tmp_path / "graph.json"))
     assert n.count() == 2 and tuple(e.select("src", "dst").first()) == ("a", "b")
+    (tmp_path / "bad.json").write_text("{ not json")
+    with pytest.raises(ValueError):
+        files.import_node_link(spark, str(tmp_path / "bad.json"))
+    assert [df.count() for df in files.import_node_link(spark, str(tmp_path / "bad.json"), repair=True)] == [0, 0]
+    assert not (tmp_path / "bad.json").exists() and list(tmp_path.glob("bad.json.bak-*"))
+    with pytest.raises(FileNotFoundError):
+        files.import_node_link(spark, str(tmp_path / "bad.json"))
+
+
+def test_saves_keep_times_and_switch_at_once(spark, tmp_path):
+    path = str(tmp_path / "g")
+    nodes = lambda *rows: spark.createDataFrame(rows, "node string, created_at string")
+    edges, member = spark.createDataFrame([], "src string, dst string, weight double"), spark.createDataFrame([], "node string, community long")
+    files.save_graph(path, "p", nodes(("a", "monday"), ("b", "monday")), edges, member)
+    before = files.load_graph(spark, path, "p")[0]
+    files.save_graph(path, "p", nodes(("b", "friday"), ("c", "friday")), edges, member)
+    assert sorted(map(tuple, files.load_graph(spark, path, "p")[0].collect())) == [("b", "monday"), ("c", "friday")]
+    assert before.count() == 2  # who reads the version before is not disturbed
+
+    class Broken(Exception):
+        pass
+
+    def fail(*_):
+        raise Broken
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(files, "replace_text", fail)
+        with pytest.raises(Broken):
+            files.save_graph(path, "p", nodes(("z", "never")), edges, member)
+    assert sorted(r["node"] for r in files.load_graph(spark, path, "p")[0].collect()) == ["b", "c"]
+    files.save_graph(path, "p", nodes(("d", "x")), edges, member)
+    assert len([x for x in (tmp_path / "g/p").iterdir() if x.name.startswith("v-")]) == 2
+
+
+def test_tables_and_compaction(spark, tmp_path):
+    path = str(tmp_path / "store")
+    assert len(files.create_tables(spark, path)) == 7 and files.create_tables(spark, path) == []
+    assert spark.read.parquet(f"{path}/facts").columns[:3] == ["id", "fact_hash", "full_key"]
+    many = str(tmp_path / "many")
+    spark.range(1000).repartition(20).write.parquet(many)
+    assert files.compact(spark, many) == 1 and spark.read.parquet(many).count() == 1000
+    assert [x.name for x in tmp_path.iterdir() if "many." in x.name] == []
+
+
+def test_audit_and_index(spark, tmp_path):
+    log = spark.createDataFrame([("upsert", "Key A", None, 1), ("invalidate", "Key  A", 7, 2)], "op string, full_key string, superseded_by long, seq long").withColumn("ts", F.timestamp_seconds("seq"))
+    rows = store.audit(log)
+    assert store.append_audit(rows, str(tmp_path / "audit")) and store.append_audit(rows, str(tmp_path / "audit"))
+    got = spark.read.parquet(str(tmp_path / "audit")).collect()
+    assert len(got) == 2 and json.loads(got[0]["details"])["superseded_by"] == 7
+    (tmp_path / "file").write_text("x")
+    assert store.append_audit(rows, str(tmp_path / "file/below")) is False
+    docs = spark.createDataFrame([(i, f"alpha{i % 7} beta gamma{i}") for i in range(50)], "id long, text string")
+    index = str(tmp_path / "index")
+    fulltext.build_index(docs, index, "id", "text")
+    q = spark.createDataFrame([(0, "alpha3 gamma1"), (1, "beta"), (2, "zz"), (3, "!")], "query_id long, query string")
+    want = sorted(map(tuple, fulltext.bm25(docs, q, 9).collect()))
+    assert sorted(map(tuple, fulltext.search_index(spark, index, q, 9).collect())) == want and len(want) > 15
+    assert tuple(fulltext.check_index(docs, index).first()) == (50, 50, 0, 0)
+    assert tuple(fulltext.check_index(docs.filter("id > 0").unionByName(spark.createDataFrame([(99, "x")], docs.schema)), index).first()) == (50, 50, 1, 1)
+    assert fulltext.search_index(spark, index, q.filter("false"), 9).collect() == []
 
 
 def test_purge_and_migrations(spark):
