@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from memloom import schema
 from memloom.functions.models import embed
-from memloom.operators import fulltext, store
-from memloom.plans import search
+from memloom.operators import fulltext, store, summaries
+from memloom.plans import search, tools
 from memloom.sources import files
 from memloom.streaming import incremental
 
@@ -191,3 +191,82 @@ def test_streams(spark, tmp_path):
     # A second run finds nothing new.
     run(incremental.new_facts(stream()), "facts")
     assert spark.read.parquet(str(tmp_path / "facts")).count() == 3
+
+
+def test_summaries(spark):
+    said = [("s1", "user", "hello there, please set the port"), ("s1", "assistant", "the port is set to 8080 now"), ("s2", "user", "مرحبا أريد ضبط المنفذ"), ("s2", "assistant", "done"), ("s3", "user", "أهلا وسهلا بكم"), ("s4", "user", "broken"), ("s5", "user", "  "), ("s6", "user", "done before")]
+    m = spark.createDataFrame([(i, *r) for i, r in enumerate(said)], "id long, session_id string, role string, content string")
+
+    def model():
+        tries = {}
+
+        def ask(prompts):
+            out = []
+            for p in prompts:
+                body = p.partition("\n\n")[2]
+                tries[body] = tries.get(body, 0) + 1
+                if "broken" in body:
+                    out.append(None if tries[body] == 1 else "no json")
+                elif "وسهلا" in body:
+                    out.append('{"summary": ["english only"], "facts": []}')
+                elif "مرحبا" in body:
+                    out.append('{"summary": ["ضبط المنفذ"], "facts": [{"key": "المنفذ مضبوط", "category": "odd"}], "importance": 9}' if "آخر" in p else '{"summary": ["wrong"]}')
+                else:
+                    out.append(None if tries[body] < 3 else "```json\n{'summary': ['port'], 'facts': [{'key': 'the port is 8080', 'category': 'technical'}, {'key': ''}],}\n```")
+            return out
+
+        return ask
+
+    done = spark.createDataFrame([("s6",)], "session_id string")
+    got = {r["session_id"]: r for r in summaries.summarise(m, model, done).collect()}
+    assert got.keys() == {"s1", "s2"}
+    assert (got["s1"]["language"], got["s1"]["tries"], got["s1"]["importance"]) == ("en", 1, 3)
+    assert [tuple(f) for f in got["s1"]["facts"]] == [("the port is 8080", "technical")]
+    assert (got["s2"]["language"], got["s2"]["tries"], got["s2"]["importance"], got["s2"]["facts"][0]["category"]) == ("ar", 3, 5, "general")
+    told = {r["session_id"]: r for r in summaries.transcripts(m, chars=5).collect()}
+    assert told["s1"]["transcript"] == "[user]: hello... [truncated]\n[assistant]: the p... [truncated]" and "s5" not in told
+    assert [told[s]["arabic"] for s in ("s1", "s2", "s3")] == [False, True, True]
+
+
+def test_tools(spark, memory, tmp_path):
+    now = [0.0]
+    kit = tools.Tools(memory, F.lit("2024-01-31").cast("timestamp"), str(tmp_path / "store"), agent="me", least=0.2, results=tools.Results(clock=lambda: now[0]))
+    ask = lambda name, **args: json.loads(kit.call(name, args))
+    found = ask("unified_search", query="cat sat mat", limit=3)
+    assert found["total"] == 3 and [r["type"] for r in found["results"]] == ["session", "fact", "fact"] and {r["agent_id"] for r in found["results"]} == {"me"}
+    assert json.loads(kit.call("unified_search", '{"query": "cat sat mat", "limit": 3}')) == found and len(kit.results) == 1
+    assert ask("unified_search", query="cat sat mat", limit=3, agent_id="you")["total"] == 0
+    assert ask("unified_search", query="!!!") == {"query": "!!!", "results": [], "total": 0}
+    near = ask("graph_search", query="cat sat mat", project="p", top_k=2)
+    assert len(near["results"]) == 2 and near["total"] >= 2
+    assert ask("graph_search", query="x", project="p") == {"query": "x", "project": "p", "results": [], "total": 0}
+    assert ask("nothing") == {"error": "Unknown tool: nothing"}
+    assert json.loads(kit.call("unified_search", "{")) == {"error": "Internal error occurred"}
+    assert ask("graph_index") == {"error": "Internal error occurred"}
+    assert kit.context("cat sat mat").startswith("## Memory Context") and kit.context("x") == ""
+    assert len(kit.results) == 3
+    now[0] = 301.0
+    assert kit.results.get(tools.Results.key("unified", "cat sat mat", 3)) is None
+    (tmp_path / "in").mkdir()
+    for i, t in enumerate(["apples and pears", "engines burn fuel"]):
+        (tmp_path / f"in/{i}.txt").write_text(t)
+    assert ask("graph_index", path=str(tmp_path / "in"))["project"] == "in" and len(kit.results) == 0
+    arabic = search.Memory(memory.facts, memory.relations, spark.createDataFrame([(1, "s1", "user", "قرأنا الكتابَ أمس", "2024-01-29")], "id long, session_id string, role string, content string, timestamp string").withColumn("timestamp", F.col("timestamp").cast("timestamp")))
+    kit.refresh(arabic)
+    assert ("قرأنا الكتابَ أمس", 0.7) in [(r["content"], r["similarity"]) for r in ask("unified_search", query="الكتاب امس")["results"]]
+    assert {t["name"] for t in kit.schemas()} == {"unified_search", "graph_index", "graph_search"} and "graph_search" in kit.prompt_block()
+    with kit:
+        assert kit.available
+    assert ask("unified_search", query="cat") == {"error": "Memory not initialized"}
+
+
+def test_results_are_bounded():
+    now = [0.0]
+    held = tools.Results(ttl=10, most=2, clock=lambda: now[0])
+    for k in "abc":
+        held.put(k, k)
+    assert held.get("a") is None and held.get("b") == "b" and len(held) == 2
+    held.put("d", "d")
+    assert held.get("c") is None and held.get("b") == "b"
+    now[0] = 10.0
+    assert held.get("b") is None and held.get("d") is None and len(held) == 0
