@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from memloom import fixtures as fx
@@ -12,23 +10,13 @@ from memloom.functions import gates, text
 from memloom.functions.split import split_documents
 from memloom.operators import fulltext, graph, lifecycle, rank, sessions, similarity, store
 from memloom.plans import search
-from memloom.shared import dealt, table
+from memloom.registry import ORACLES, QUERIES, folder, query
+from memloom.shared import cut, dealt, table
 from memloom.sources import files
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-FLAGSHIP = "hybrid_search"
-
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def register(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return register
+FLAGSHIP = "hybrid_search"
 
 
 # Vectors and graphs
@@ -46,10 +34,17 @@ def vector_topk(spark, sf):
     return similarity.nearest(v.filter("id % 50 = 0"), v, 10).withColumn("similarity", F.round("similarity", 6))
 
 
+@query("WITH " + _NEAR.format(where="AND a.label = b.label WHERE a.id % 50 = 0") + " SELECT query_id, rank, id, round(similarity, 6) AS similarity FROM r WHERE rank <= 5 AND similarity >= 0.0")
+def vector_topk_by_category(spark, sf):
+    """Top 5 of every fiftieth vector within its category."""
+    v = fx.vectors(spark, sf)
+    return similarity.nearest(v.filter("id % 50 = 0"), v, 5, 0.0, by="label").withColumn("similarity", F.round("similarity", 6))
+
+
 @query("WITH " + _UNIT + """ SELECT b.id, round(list_inner_product(a.e, b.e) / (a.n * b.n), 6) AS similarity FROM v a, v b
 WHERE a.id = 0 AND b.label = a.label AND list_inner_product(a.e, b.e) / (a.n * b.n) >= 0.0 ORDER BY list_inner_product(a.e, b.e) / (a.n * b.n) DESC, b.id LIMIT 5""")
-def vector_topk_by_category(spark, sf):
-    """Top 5 for one vector within its category."""
+def vector_topk_of_one(spark, sf):
+    """The literal form for one vector: filters are pushed to the scan, and nothing is joined."""
     v = fx.vectors(spark, sf)
     q = v.filter("id = 0").first()
     return similarity.top_k(v, q["embedding"], 5, 0.0, where=F.col("label") == q["label"]).select("id", F.round("similarity", 6).alias("similarity"))
@@ -110,37 +105,127 @@ def louvain_communities(spark, sf):
     return graph.louvain(v, similarity.similar_pairs(v, 0.3))
 
 
+@query("SELECT a AS algorithm, (SELECT count(*) FROM embeddings) AS nodes, true AS better, 0 AS broken FROM (VALUES ('leiden'), ('louvain'), ('similar only')) x(a)")
+def community_checks(spark, sf):
+    """Of each way to divide the graph: nodes with a community, whether it beats the labels' modularity, and communities that fall apart inside."""
+    v = fx.vectors(spark, sf)
+    edges = cut(similarity.similar_pairs(v, 0.3), "checks")
+    labels = v.select(F.col("id").alias("node"), F.col("label").alias("community"))
+    rows = []
+    for name, found in (("louvain", graph.louvain(v, edges)), ("leiden", graph.leiden(v, edges)), ("similar only", graph.leiden_similar(v, edges.withColumn("type", F.lit("similar"))))):
+        inner = graph.labelled(edges, found).filter("a = b")
+        parts = found.join(graph.connected(v, inner).withColumnRenamed("community", "part"), "node")
+        split = parts.groupBy("community").agg(F.countDistinct("part").alias("parts")).filter("parts > 1").agg(F.count(F.lit(1)).cast("int").alias("broken"))
+        better = graph.modularity(edges, found).crossJoin(graph.modularity(edges, labels).withColumnRenamed("modularity", "least")).select((F.col("modularity") >= F.col("least")).alias("better"))
+        rows.append(found.agg(F.count(F.lit(1)).alias("nodes")).crossJoin(better).crossJoin(split).select(F.lit(name).alias("algorithm"), "nodes", "better", "broken"))  # one row each
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
 @query()
 def leiden_communities(spark, sf):
     v = fx.vectors(spark, sf)
     return graph.leiden(v, similarity.similar_pairs(v, 0.3))
 
 
-@query()
+def _scan_sql(rows: str, start: str = "SELECT 0::BIGINT AS n, []::BIGINT[] AS ls") -> str:
+    """``led``: the leaders of a scan of ``rows`` (a condition on ids) in order; pairs ``p`` must be there."""
+    return f""", o AS (SELECT id, row_number() OVER (ORDER BY id) AS n FROM v WHERE {rows}), e AS (SELECT src, dst, weight FROM p JOIN o a ON a.id = src JOIN o b ON b.id = dst WHERE weight >= 0.3),
+nb AS (SELECT o.id, o.n, coalesce(list(e.src) FILTER (e.src IS NOT NULL), []) AS below FROM o LEFT JOIN e ON e.dst = o.id GROUP BY ALL),
+scan AS ({start} UNION ALL SELECT s.n + 1, CASE WHEN list_has_any(nb.below, s.ls) THEN s.ls ELSE list_append(s.ls, nb.id) END FROM scan s JOIN nb ON nb.n = s.n + 1),
+led AS (SELECT unnest(ls) AS id FROM (SELECT ls FROM scan ORDER BY n DESC LIMIT 1))"""
+
+
+_GROUPS = """, g AS (SELECT min(src) AS leader, dst AS id FROM e JOIN led ON led.id = src WHERE dst NOT IN (SELECT id FROM led) GROUP BY dst), gs AS (SELECT * FROM g UNION ALL SELECT DISTINCT leader, leader FROM g)"""
+
+
+@query("WITH RECURSIVE " + _PAIRS + _scan_sql("true") + _GROUPS + " SELECT leader, id FROM gs")
 def leader_groups(spark, sf):
     return lifecycle.leader_groups(fx.vectors(spark, sf), 0.3)
 
 
-@query()
+_FACT = "'stored fact about topic ' || label || ' number ' || (id % 97)"
+_LEVEL = "(label % 5 + 1)::INTEGER"
+
+
+@query("WITH RECURSIVE " + _PAIRS + _scan_sql("true", "SELECT 100::BIGINT AS n, range(100)::BIGINT[] AS ls") + f""", b AS (SELECT dst AS id, src, row_number() OVER (PARTITION BY dst ORDER BY round(weight, 9) DESC, src) AS r FROM e JOIN led ON led.id = src WHERE dst NOT IN (SELECT id FROM led)),
+t AS (SELECT id, coalesce(src, id) AS target, {_FACT} AS k, label, {_LEVEL} AS i, label % 10 / 10.0 AS trust FROM v LEFT JOIN (SELECT id AS bid, src FROM b WHERE r = 1) ON bid = id)
+SELECT target AS id, max(k) FILTER (id = target) AS full_key, max(label::VARCHAR) FILTER (id = target) AS category, least(5, max(CASE WHEN id = target THEN i ELSE greatest(i, round_even(trust * 5, 0)) END))::INTEGER AS importance,
+max(trust)::DOUBLE AS trust, count(*) AS seen_count, coalesce(list(k ORDER BY id) FILTER (id <> target), [])[:10] AS aliases FROM t GROUP BY target""")
 def semantic_merge(spark, sf):
     """Facts from id 100 on merge into closer ones before them; ``seen_count`` adds up to all rows."""
     v = fx.vectors(spark, sf)
     return lifecycle.merged(v, lifecycle.merge_targets(v.withColumn("existing", F.col("id") < 100), 0.3))
 
 
-@query()
-def consolidation_plan(spark, sf):
+_PLAN = "WITH RECURSIVE " + _PAIRS + _scan_sql("label NOT IN (1, 2)") + _GROUPS + f""", m AS (SELECT leader, id, label, {_FACT} AS k FROM gs JOIN v USING (id)),
+plan AS (SELECT leader, list(id ORDER BY id) AS source_ids, substr(arg_max(k, (length(k), -id)), 1, 200) AS summary, max(label::VARCHAR) FILTER (id = leader) AS category FROM m GROUP BY leader)"""
+
+
+def _plan(spark, sf):
     return lifecycle.consolidation(fx.vectors(spark, sf), max_facts=100, least=0.3, protected=("1", "2"))
 
 
-@query("WITH " + _UNIT + """, s AS (SELECT a.id AS cid, b.id AS bid, round(list_inner_product(a.e, b.e) / (a.n * b.n), 12) AS w FROM v a JOIN v b ON a.id <> b.id WHERE a.id % 50 = 0 AND b.id % 50 <> 0),
-t AS (SELECT *, row_number() OVER (PARTITION BY cid ORDER BY w DESC, bid) AS rn FROM s WHERE w >= 0.3)
-SELECT v.id, bid AS best, round(w, 6) AS similarity, CASE WHEN w > 0.4 THEN 'noop' ELSE 'add' END AS decision FROM v LEFT JOIN t ON t.cid = v.id AND rn = 1 WHERE v.id % 50 = 0""")
+@query(_PLAN + " SELECT * FROM plan")
+def consolidation_plan(spark, sf):
+    return _plan(spark, sf)
+
+
+@query(_PLAN + f""", s AS (SELECT leader, unnest(source_ids) AS id FROM plan)
+SELECT id, md5({_FACT}) AS digest FROM v WHERE id NOT IN (SELECT id FROM s) UNION ALL SELECT leader, md5(summary) FROM plan""")
+def consolidated_facts(spark, sf):
+    """The facts after consolidation: a summary in place of each group."""
+    after, _ = lifecycle.apply_consolidation(fx.vectors(spark, sf), _plan(spark, sf), fx.as_of())
+    return after.select("id", F.md5("full_key").alias("digest"))
+
+
+@query(_PLAN + f""", s AS (SELECT leader, summary, category, unnest(source_ids) AS source FROM plan)
+SELECT 'archive_' || leader || '_' || source AS id, md5(summary) AS digest, v.label::VARCHAR AS category, [source] AS source_ids FROM s JOIN v ON v.id = source""")
+def consolidation_archive(spark, sf):
+    """The originals that consolidation put aside."""
+    _, archive = lifecycle.apply_consolidation(fx.vectors(spark, sf), _plan(spark, sf), fx.as_of())
+    return archive.select("id", F.md5("compressed_content").alias("digest"), F.get_json_object("original_content", "$.category").alias("category"), "source_ids")
+
+
+@query(f"SELECT vec_id AS id, label::VARCHAR AS category FROM embeddings WHERE label NOT IN (1, 2) AND (SELECT count(*) FROM embeddings) > 100 ORDER BY vec_id LIMIT 50")
+def consolidation_candidates(spark, sf):
+    """What may be consolidated once there are many facts, oldest first."""
+    return lifecycle.candidates(fx.vectors(spark, sf), 100, ("1", "2"), 50).select("id", "category")
+
+
+_BEST = "WITH " + _NEAR.format(where="WHERE a.id % 50 = 0") + """, t AS (SELECT v.id, r.id AS best, r.similarity AS w FROM v LEFT JOIN r ON query_id = v.id AND rank = 1 AND similarity >= 0.3 WHERE v.id % 50 = 0)"""
+
+
+@query(_BEST + " SELECT id, best, round(w, 6) AS similarity, CASE WHEN w > 0.4 THEN 'noop' ELSE 'add' END AS decision FROM t")
 def fact_decisions(spark, sf):
     """What becomes of every fiftieth vector as a candidate against all others, without a model's answer."""
     v = fx.vectors(spark, sf)
-    out = lifecycle.decisions(v.filter("id % 50 = 0"), v.filter("id % 50 <> 0"), least=0.3, same=0.4)
-    return out.withColumn("similarity", F.round("similarity", 6))
+    return lifecycle.decisions(v.filter("id % 50 = 0"), v, least=0.3, same=0.4).withColumn("similarity", F.round("similarity", 6))
+
+
+_ANSWERS = ["New", " refine ", "delete", "what?"]
+
+
+def _labelled(spark, sf):
+    answer = F.element_at(F.array(*(F.lit(a) for a in _ANSWERS), F.lit(None)), (F.col("best") % 5 + 1).cast("int"))
+    v = fx.vectors(spark, sf)
+    return v, lifecycle.decisions(v.filter("id % 50 = 0"), v, label=lambda df: df.withColumn("label", answer), least=0.3, same=0.5)
+
+
+_LABELLED_SQL = _BEST + """, l AS (SELECT *, CASE WHEN w IS NULL THEN 'add' WHEN w > 0.5 THEN 'noop' ELSE ['add', 'update', 'contradict', 'noop', 'add'][best % 5 + 1] END AS decision FROM t)"""
+
+
+@query(_LABELLED_SQL + " SELECT id, best, decision FROM l")
+def labelled_decisions(spark, sf):
+    """Decisions where a model answers, rightly, loosely or not at all."""
+    return _labelled(spark, sf)[1].select("id", "best", "decision")
+
+
+@query(_LABELLED_SQL + """ SELECT 'upsert' AS op, CASE WHEN decision = 'update' THEN best ELSE id END AS fact_id, NULL::BIGINT AS superseded_by FROM l WHERE decision IN ('add', 'update', 'contradict')
+UNION ALL SELECT 'invalidate', best, id FROM l WHERE decision = 'contradict'""")
+def decision_events(spark, sf):
+    """What the decisions write into the store's log."""
+    v, decided = _labelled(spark, sf)
+    return lifecycle.decision_events(decided, v, fx.as_of()).select("op", "fact_id", "superseded_by")
 
 
 @query("""WITH r AS (SELECT l_partkey AS f, l_suppkey AS t, max(l_quantity) AS w FROM lineitem WHERE l_returnflag = 'R' AND l_suppkey IN (SELECT s_suppkey FROM supplier) AND l_partkey % 50 = 0 AND l_partkey <> l_suppkey GROUP BY ALL)
@@ -174,37 +259,61 @@ def orphan_purge(spark, sf):
     return kept.groupBy("type").agg(F.count(F.lit(1)).alias("kept"))
 
 
-@query("SELECT lang AS category, list(doc_id ORDER BY doc_id) AS nodes FROM documents GROUP BY lang")
+@query("SELECT lang AS category, 0 AS part, list(doc_id ORDER BY doc_id) AS nodes FROM documents GROUP BY lang")
 def category_index(spark, sf):
     return graph.category_index(table(spark, sf, "documents").withColumnRenamed("lang", "category"), "doc_id")
 
 
 # Full text
 
+_WS = "trim(regexp_replace({0}, '\\s+', ' ', 'g'))"
 _TOK = r"list_filter(regexp_split_to_array(lower({0}), '[^\p{{L}}\p{{N}}]+'), lambda t: t <> '')"
 
 
-@query(f"""WITH m AS (SELECT conv_id * 10000 + turn AS id, {_TOK.format("text")} AS t FROM conversations),
-q AS (SELECT DISTINCT item_id AS query_id, unnest({_TOK.format("text")}) AS term FROM benchmark WHERE item_id % 50 = 0),
-qt AS (SELECT * FROM q WHERE length(term) >= 2), n AS (SELECT count(*) AS n, sum(len(t))::DOUBLE / count(*) AS mean FROM m),
-p AS (SELECT id, len(t) AS d, unnest(t) AS token FROM m),
-h AS (SELECT term, id, d, count(*) AS f FROM (SELECT DISTINCT term FROM qt) x JOIN p ON starts_with(p.token, x.term) GROUP BY ALL),
-df AS (SELECT term, count(*) AS df FROM h GROUP BY term),
-i AS (SELECT term, CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END AS idf FROM df, n),
-s AS (SELECT query_id, id AS doc_id, round(sum(idf * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * d / mean))), 6) AS score FROM qt JOIN h USING (term) JOIN i USING (term), n GROUP BY ALL),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM s)
-SELECT query_id, rank, doc_id, round(score, 4) AS score FROM r WHERE rank <= 20""")
+def _bm25_sql(n: str, docs: str, queries: str, k: int) -> str:
+    """CTEs that end in ``{n}``: ``query_id, rank, doc_id, score`` over ``docs`` (id, t) and ``queries`` (query_id, text)."""
+    return f"""{n}_d AS ({docs}), {n}_q AS (SELECT DISTINCT query_id, unnest({_TOK.format("text")}) AS term FROM ({queries})),
+{n}_qt AS (SELECT * FROM {n}_q WHERE length(term) >= 2), {n}_n AS (SELECT count(*) AS n, sum(len(t))::DOUBLE / count(*) AS mean FROM {n}_d),
+{n}_p AS (SELECT id, len(t) AS d, unnest(t) AS token FROM {n}_d),
+{n}_h AS (SELECT term, id, d, count(*) AS f FROM (SELECT DISTINCT term FROM {n}_qt) x JOIN {n}_p p ON starts_with(p.token, x.term) GROUP BY ALL),
+{n}_f AS (SELECT term, count(*) AS df FROM {n}_h GROUP BY term),
+{n}_i AS (SELECT term, CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END AS idf FROM {n}_f, {n}_n),
+{n}_s AS (SELECT query_id, id AS doc_id, round(sum(idf * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * d / mean))), 6) AS score FROM {n}_qt JOIN {n}_h USING (term) JOIN {n}_i USING (term), {n}_n GROUP BY ALL),
+{n}_r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM {n}_s), {n} AS (SELECT query_id, rank, doc_id, score FROM {n}_r WHERE rank <= {k})"""
+
+
+_BM25 = "WITH " + _bm25_sql("m", f"SELECT conv_id * 10000 + turn AS id, {_TOK.format('text')} AS t FROM conversations", "SELECT item_id AS query_id, text FROM benchmark WHERE item_id % 50 = 0", 20) + " SELECT query_id, rank, doc_id, round(score, 4) AS score FROM m"
+
+
+@query(_BM25)
 def bm25_messages(spark, sf):
     """Top 20 messages for every fiftieth benchmark text as an any-term prefix query."""
     q = table(spark, sf, "benchmark").filter("item_id % 50 = 0").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     return fulltext.bm25(fx.messages(spark, sf), q, 20, doc_texts=("content",)).withColumn("score", F.round("score", 4))
 
 
+@query(_BM25)
+def indexed_search(spark, sf):
+    """The same by an index that is stored first."""
+    path = folder(spark, "index")
+    fulltext.build_index(fx.messages(spark, sf), path, "id", "content")
+    q = table(spark, sf, "benchmark").filter("item_id % 50 = 0").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return fulltext.search_index(spark, path, q, 20).withColumn("score", F.round("score", 4))
+
+
+@query("SELECT count(*) AS documents, count(*) FILTER (turn < 5) AS indexed, count(*) FILTER (turn >= 5) AS missing, 0 AS stray FROM conversations")
+def index_check(spark, sf):
+    """A stored index that lacks the later turns, held against the messages."""
+    path, m = folder(spark, "index"), fx.messages(spark, sf)
+    fulltext.build_index(m.filter("id % 10000 < 5"), path, "id", "content")
+    return fulltext.check_index(m, path)
+
+
 @query(f"""WITH d AS (SELECT doc_id, CASE WHEN list_has_any({_TOK.format("text")}, ['pathetic', 'worthless']) THEN 1 WHEN contains(lower(text), 'pathetic') OR contains(lower(text), 'worthless') THEN 2
 WHEN contains(lower(text), 'pathetic worthless') THEN 3 END AS tier FROM documents)
 SELECT doc_id, tier FROM d WHERE tier = (SELECT min(tier) FROM d) ORDER BY doc_id LIMIT 50""")
 def tiered_search(spark, sf):
-    out = fulltext.tiered_search(table(spark, sf, "documents"), "pathetic worthless", ("text",), text.norm_query, [F.col("doc_id")])
+    out = fulltext.tiered_search(dealt(table(spark, sf, "documents").select("doc_id", "text"), "doc_id"), "pathetic worthless", ("text",), text.norm_query, [F.col("doc_id")])
     return out.select("doc_id", "tier")
 
 
@@ -214,10 +323,18 @@ def phrase_search(spark, sf):
     return fulltext.phrase_search(fx.messages(spark, sf), "of the the", "content", text.norm_fts, [F.desc("id")]).select("id", "tier")
 
 
-@query("""SELECT doc_id, array_to_string(list_transform(regexp_split_to_array(trim(text, ' \t\n'), '\\s+')[:3], lambda w: w), ' ') AS head FROM documents""")
+_MARKED = ["token", "pathetic", "mail"]
+_HIT = "(" + " OR ".join(f"starts_with(regexp_replace(lower(w), '^[^\\p{{L}}\\p{{N}}]+', ''), '{t}')" for t in _MARKED) + ")"
+
+
+@query(f"""WITH d AS (SELECT doc_id, regexp_split_to_array(trim(coalesce(text, '')), '\\s+') AS ws FROM documents),
+h AS (SELECT *, list_transform(ws, lambda w: {_HIT}) AS hits FROM d),
+f AS (SELECT *, greatest(1, least(CASE WHEN list_contains(hits, true) THEN list_position(hits, true) ELSE 1 END - 10, len(ws) - 39)) AS start FROM h)
+SELECT doc_id, array_to_string(list_transform(ws[start:start + 39], lambda w: CASE WHEN {_HIT} THEN '<b>' || w || '</b>' ELSE w END), ' ') AS snippet FROM f""")
 def snippets(spark, sf):
-    """The first three words of each document: a snippet without a hit."""
-    return table(spark, sf, "documents").select("doc_id", fulltext.snippet(F.col("text"), F.array(F.lit("\u0001")), 3).alias("head"))
+    """Forty words around each document's first hit, with all hits in them marked."""
+    d = dealt(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    return d.select("doc_id", fulltext.snippet(F.col("text"), F.array(*(F.lit(t) for t in _MARKED))).alias("snippet"))
 
 
 # Ranking
@@ -261,29 +378,83 @@ def content_dedup(spark, sf):
     return out.select("doc_id", F.md5("text").alias("content"))
 
 
-@query()
+def _clean_sql(c: str) -> str:
+    """The display form of a text: see ``clean_chunk``."""
+    t = _WS.format(f"regexp_replace(regexp_replace(replace(replace({c}, '>>>', ''), '<<<', ''), '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f-\\x9f]', '', 'g'), '\\\\r\\\\n|\\\\n|\\\\t', ' ', 'g')")
+    h = f"CASE WHEN length({t}) > 300 THEN regexp_replace(substr({t}, 1, 300), ' [^ ]*$', '') || '...' ELSE {t} END"
+    return f"CASE WHEN length({h}) >= 15 THEN {h} ELSE '' END"
+
+
+_WORDS = "list_distinct(list_filter(regexp_split_to_array(lower({0}), '\\s+'), lambda x: x <> ''))"
+_ASKED = """asked AS (SELECT vec_id AS query_id, text FROM embeddings, (SELECT max(item_id) + 1 AS n FROM benchmark) JOIN benchmark ON vec_id // 50 % n = item_id WHERE vec_id % 50 = 0 AND length(trim(text)) >= {0} AND regexp_matches(text, '[ء-يa-zA-Z0-9]'))"""
+_SAID = "said AS (SELECT conv_id * 10000 + turn AS id, conv_id::VARCHAR AS session_id, text, TIMESTAMP '2024-01-28 00:00:00' + to_seconds(turn * 60 + conv_id % 1000) AS ts FROM conversations WHERE role IN ('user', 'assistant'))"
+_COS = "round(list_inner_product(a.e, b.e) / (a.n * b.n), 12)"
+
+
+def _hits_sql(k: int) -> str:
+    return f"""near AS (SELECT a.id AS query_id, b.id, {_COS} AS similarity FROM asked JOIN v a ON a.id = query_id, v b),
+hits AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS place FROM near WHERE similarity >= 0.2 QUALIFY place <= {k})"""
+
+
+def _messages_sql(where: str = "true") -> str:
+    """``texts``: ``query_id, place, content, ts`` of full-text hits without echoes."""
+    found = _bm25_sql("b", f"SELECT id, {_TOK.format('text')} AS t FROM said", "SELECT query_id, text FROM asked", 5)
+    echo = f"len({_WORDS.format('q.text')}) > 3 AND len(list_intersect({_WORDS.format('q.text')}, {_WORDS.format('s.text')})) / len({_WORDS.format('q.text')}) > 0.85"
+    return f"""{_SAID}, {found}, texts AS (SELECT * FROM (SELECT q.query_id, b.rank AS place, {_clean_sql("s.text")} AS content, s.ts, s.session_id FROM b JOIN said s ON s.id = b.doc_id JOIN asked q ON q.query_id = b.query_id WHERE NOT ({echo}) AND {where}) WHERE content <> '')"""
+
+
+def _prefetch_sql(k: int) -> str:
+    """``fused`` and ``told``: what ``prefetch`` finds and how it ranks it."""
+    return f"""WITH {_UNIT}, {_ASKED.format(3)}, {_hits_sql(3 * k)}, rel AS (SELECT id AS from_id, (id * 7 + 3) % 499 AS to_id FROM v WHERE (id * 7 + 3) % 499 IN (SELECT id FROM v)),
+hop AS (SELECT DISTINCT h.query_id, to_id AS id FROM hits h JOIN rel ON from_id = h.id WHERE place <= 2 AND (SELECT count(*) FROM hits x WHERE x.query_id = h.query_id) >= 2 AND NOT EXISTS (SELECT 1 FROM hits y WHERE y.query_id = h.query_id AND y.id = to_id)),
+more AS (SELECT query_id, hop.id, {_COS} AS similarity FROM hop JOIN v a ON a.id = query_id JOIN v b ON b.id = hop.id),
+facts AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS r FROM (SELECT query_id, id, similarity, false AS expanded FROM hits UNION ALL SELECT query_id, id, similarity, true FROM more WHERE similarity >= 0.2) QUALIFY r <= {k}),
+{_messages_sql("epoch(TIMESTAMP '2024-01-31 00:00:00') - epoch(s.ts) BETWEEN 60 AND 7 * 86400")},
+every AS (SELECT query_id, {_FACT} AS content, 0 AS l, r, similarity, 'fact' AS type, expanded, NULL::TIMESTAMP AS ts FROM facts JOIN v USING (id)
+UNION ALL SELECT query_id, content, 1, row_number() OVER (PARTITION BY query_id ORDER BY place), 0.75 - 0.03 * (place - 1), 'session', false, ts FROM texts),
+nth AS (SELECT *, row_number() OVER (PARTITION BY query_id, content ORDER BY l, r) AS n FROM every),
+sums AS (SELECT query_id, content, sum(CASE WHEN l = 0 AND n = 1 THEN 1.5::DOUBLE WHEN l = 0 THEN 0 WHEN n = 1 THEN 1 ELSE 0.5 END / (60 + r)) AS s, min({{'l': l, 'r': r}}) AS place FROM nth GROUP BY ALL),
+fused AS (SELECT query_id, content, s, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 12) DESC, place)::INTEGER AS rank FROM sums)"""
+
+
+@query(_prefetch_sql(5) + " SELECT query_id, rank, content, round(s, 9) AS rrf_score, type, expanded, round(similarity, 6) AS similarity FROM fused JOIN (SELECT * FROM nth WHERE n = 1) USING (query_id, content)")
 def hybrid_search(spark, sf):
     """Facts by vector, their neighbours and messages by text, fused by rank, for every query."""
     out = search.prefetch(fx.memory(spark, sf), fx.queries(spark, sf), fx.as_of(), k=5, least=0.2)
     return out.select("query_id", "rank", "content", F.round("rrf_score", 9).alias("rrf_score"), "type", "expanded", F.round("similarity", 6).alias("similarity"))
 
 
-@query()
+@query(f"""WITH {_UNIT}, {_ASKED.format(2)}, {_hits_sql(15)}, {_messages_sql()},
+every AS (SELECT query_id, {_FACT} AS content, similarity, 'fact' AS type, place, 0 AS l FROM hits JOIN v USING (id) UNION ALL SELECT query_id, content, 0.70 - 0.03 * (place - 1), 'session', place, 1 FROM texts),
+once AS (SELECT * FROM every QUALIFY row_number() OVER (PARTITION BY query_id, content ORDER BY l, place) = 1)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(similarity, 12) DESC, l, place)::INTEGER AS rank, content, round(similarity, 6) AS similarity, type FROM once QUALIFY rank <= 5""")
 def unified_search(spark, sf):
     out = search.unified_search(fx.memory(spark, sf), fx.queries(spark, sf), 5, 0.2)
     return out.select("query_id", "rank", "content", F.round("similarity", 6).alias("similarity"), "type")
 
 
-@query()
+@query(f"""WITH {_UNIT}, {_ASKED.format(2)}, {_hits_sql(10)}, {_bm25_sql("b", f"SELECT id, list_concat({_TOK.format(_FACT)}, {_TOK.format('label::VARCHAR')}) AS t FROM v", "SELECT query_id, text FROM asked", 3)},
+every AS (SELECT query_id, id, similarity, 0 AS l FROM hits UNION ALL SELECT query_id, doc_id, 0.6, 1 FROM b UNION ALL SELECT query_id, (id * 7 + 3) % 499, 0.83, 2 FROM hits WHERE place <= 3),
+once AS (SELECT * FROM every WHERE id IN (SELECT id FROM v) QUALIFY row_number() OVER (PARTITION BY query_id, id ORDER BY l) = 1)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(similarity, 12) DESC, l, id)::INTEGER AS rank, id, {_FACT} AS content, round(similarity, 6) AS similarity, count(*) OVER (PARTITION BY query_id) AS total FROM once JOIN v USING (id) QUALIFY rank <= 10""")
 def graph_search(spark, sf):
     return search.graph_search(fx.memory(spark, sf), fx.queries(spark, sf), 10, 0.2).withColumn("similarity", F.round("similarity", 6))
 
 
-@query()
+@query(_prefetch_sql(2) + """, lines AS (SELECT query_id, rank, '- [' || printf('%.2f', s) || '][' || CASE WHEN type = 'fact' THEN 'graph:facts' || CASE WHEN expanded THEN '·1hop' ELSE '' END
+ELSE 'session:' || floor((epoch(TIMESTAMP '2024-01-31 00:00:00') - epoch(ts)) / 86400)::BIGINT || 'd ago' END || '] ' || content AS line FROM fused JOIN (SELECT * FROM nth WHERE n = 1) USING (query_id, content) WHERE rank <= 5)
+SELECT query_id, '## Memory Context' || chr(10) || chr(10) || string_agg(line, chr(10) ORDER BY rank) AS context FROM lines GROUP BY query_id""")
 def search_context(spark, sf):
     return search.context(fx.memory(spark, sf), fx.queries(spark, sf), fx.as_of(), least=0.2)
 
 
+@query(f"""WITH {_ASKED.format(2)}, {_messages_sql("s.session_id <> (q.query_id % 7)::VARCHAR")} SELECT query_id, place, md5(content) AS digest FROM texts""")
+def session_search(spark, sf):
+    """Messages of users and assistants by text, without those of the session that asks."""
+    q = search.asked(fx.queries(spark, sf), 2).withColumn("session_id", (F.col("query_id") % 7).cast("string"))
+    return search.message_hits(fx.memory(spark, sf), q).select("query_id", "place", F.md5("content").alias("digest"))
+
+
 # Text functions
 
 _LITERALS = [
@@ -304,17 +475,17 @@ def _texts(spark, sf):
     return dealt(table(spark, sf, "documents").select("doc_id", "text"), "doc_id").unionByName(lit)
 
 
-_WS = "trim(regexp_replace({0}, '\\s+', ' ', 'g'))"
 _NQ = _WS.format("translate(translate(translate(regexp_replace(text, '[ً-ٰٟـ]', '', 'g'), 'آأإ', 'ااا'), 'ؤئکیء', 'ويكي'), 'ى', 'ي')")
 _NS = _WS.format("translate(regexp_replace({0}, '[ً-ٟؐ-ؚٰ]', '', 'g'), 'إأآٱىة', 'اااايه')")
+_NF = "trim(translate(regexp_replace(nfc_normalize(text), '[ً-ٰٟۖ-ۜ۟-۪ۨ-ۭ]', '', 'g'), 'أإآٱىئة', 'ااااييه'))"
 _RATIO = "(CASE WHEN length(regexp_replace({0}, '\\s', '', 'g')) > 0 THEN length(regexp_replace({0}, '[^؀-ۿ]', '', 'g')) / length(regexp_replace({0}, '\\s', '', 'g')) ELSE 0 END)"
 
 
-@query(f"""SELECT doc_id, md5({_NQ}) AS query_form, md5({_NS.format("text")}) AS store_form, md5(translate(text, 'ة', 'ه')) AS ta_form, regexp_matches(text, '[؀-ۿ]') AS arabic,
+@query(f"""SELECT doc_id, md5({_NQ}) AS query_form, md5({_NS.format("text")}) AS store_form, md5(translate(text, 'ة', 'ه')) AS ta_form, md5({_NF}) AS index_form, regexp_matches(text, '[؀-ۿ]') AS arabic,
 round({_RATIO.format("text")}, 6) AS ratio FROM {_lit_sql()}""")
 def normalize_text(spark, sf):
     t = _texts(spark, sf)
-    return t.select("doc_id", F.md5(text.norm_query("text")).alias("query_form"), F.md5(text.norm_store("text")).alias("store_form"), F.md5(text.normalize_ta_marbuta("text")).alias("ta_form"), text.is_arabic("text").alias("arabic"), F.round(text.arabic_ratio("text"), 6).alias("ratio"))
+    return t.select("doc_id", F.md5(text.norm_query("text")).alias("query_form"), F.md5(text.norm_store("text")).alias("store_form"), F.md5(text.normalize_ta_marbuta("text")).alias("ta_form"), F.md5(text.norm_fts("text")).alias("index_form"), text.is_arabic("text").alias("arabic"), F.round(text.arabic_ratio("text"), 6).alias("ratio"))
 
 
 @query(f"""WITH c AS (SELECT doc_id, {_WS.format("regexp_replace(regexp_replace(replace(replace(text, '>>>', ''), '<<<', ''), '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f-\\x9f]', '', 'g'), '\\\\r\\\\n|\\\\n|\\\\t', ' ', 'g')")} AS t FROM {_lit_sql()}),
@@ -342,11 +513,11 @@ def detect_type(spark, sf):
     return _texts(spark, sf).select("doc_id", text.detect_type("text").alias("type"))
 
 
-def _junk_sql() -> str:
+def _junk_sql(source: str | None = None) -> str:
     alt = lambda ps: "|".join(f"(?:{p})" for p in ps).replace("'", "''")
     words = "[" + ", ".join(f"'{w}'" for w in gates.STAT_WORDS) + "]"
     heavy = _RATIO.format("t") + " >= 0.3"
-    return f"""WITH c AS (SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS t FROM {_lit_sql()}), n AS (SELECT *, {_NS.format("lower(t)")} AS s, lower(t) AS l FROM c)
+    return f"""WITH c AS (SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS t FROM {source or _lit_sql()}), n AS (SELECT *, {_NS.format("lower(t)")} AS s, lower(t) AS l FROM c)
 SELECT doc_id, CASE WHEN t = '' THEN 'empty'
 WHEN regexp_matches(t, '^[A-Z_]{{3,}}$') OR (regexp_matches(t, '{gates.SENSITIVE}') AND len(regexp_split_to_array(t, '\\s+')) <= 5) THEN 'sensitive'
 WHEN regexp_matches(t, '{gates.CJK}') THEN 'cjk'
@@ -463,7 +634,7 @@ f AS (SELECT description, session_id, CASE c WHEN 'odd' THEN 'other' ELSE c END
 def _mistakes(spark, sf):
     e = table(spark, sf, "events")
     pick = lambda *names: F.element_at(F.array(*(F.lit(x) for x in names)), (F.col("event_id") % 3 + 1).cast("int"))
-    return store.fold_mistakes(e.select(F.col("event_type").alias("description"), F.col("user_id").alias("session_id"), pick("config", "syntax", "odd").alias("category"), pick("low", "high", "odd").alias("severity"), "ts", F.col("event_id").alias("seq")))
+    return store.fold_mistakes(e.select(F.col("event_type").alias("description"), F.col("user_id").alias("session_id"), pick("config", "syntax", "odd").alias("category"), pick("low", "high", "odd").alias("severity"), "ts", F.col("event_id").alias("seq"), F.lit(False).alias("fix_verified"))).withColumn("id", F.concat_ws("-", "description", "session_id"))
 
 
 @query(f"WITH {_MIST} SELECT * FROM f WHERE recurrence_count >= 3")
@@ -471,9 +642,18 @@ def recurring_mistakes(spark, sf):
     return store.recurring(_mistakes(spark, sf), 3).select("description", "session_id", "category", "severity", "recurrence_count", "created_at")
 
 
-@query(f"WITH {_MIST} SELECT category, severity, grouping(category, severity)::BIGINT AS level, count(*) AS notes, count(*) FILTER (recurrence_count > 1) AS recurring FROM f GROUP BY GROUPING SETS ((), (category), (severity))")
+@query(f"WITH {_MIST} SELECT category, severity, grouping(category, severity)::BIGINT AS level, count(*) AS notes, count(*) FILTER (recurrence_count > 1) AS recurring, count(*) FILTER (category = 'config' AND session_id % 2 = 0) AS verified FROM f GROUP BY GROUPING SETS ((), (category), (severity))")
 def mistake_stats(spark, sf):
-    return store.mistake_stats(_mistakes(spark, sf))
+    notes = _mistakes(spark, sf)
+    return store.mistake_stats(store.verified(notes, store.filtered(notes, category="config").filter("session_id % 2 = 0")))
+
+
+@query(f"WITH {_MIST} SELECT description || '-' || session_id AS id, category = 'config' AS fix_verified FROM f WHERE severity = 'high' AND recurrence_count < 13")
+def verified_mistakes(spark, sf):
+    """Mistakes of one severity with their fixes marked, without those deleted for coming back too often."""
+    notes = _mistakes(spark, sf)
+    kept = store.without(notes, store.recurring(notes, 13))
+    return store.filtered(store.verified(kept, store.filtered(notes, category="config")), severity="high").select("id", "fix_verified")
 
 
 # Sessions
@@ -489,6 +669,24 @@ def idle_sessions(spark, sf):
     return sessions.idle_sessions(s, m, done, F.lit("2024-01-29 12:30:00").cast("timestamp"), most=None).select("id", "message_count")
 
 
+@query("""SELECT user_id::VARCHAR AS id FROM events GROUP BY user_id HAVING count(*) >= 2 AND max(ts) <= TIMESTAMP '2024-01-30 18:00:00' AND user_id % 7 <> 0 ORDER BY min(ts) DESC, id LIMIT 5""")
+def newest_idle_sessions(spark, sf):
+    """The five that began last, as a run would take them."""
+    e = table(spark, sf, "events")
+    s = e.groupBy(F.col("user_id").cast("string").alias("id")).agg(F.count(F.lit(1)).alias("message_count"), F.min("ts").alias("started_at"))
+    done = e.filter("user_id % 7 = 0").select(F.col("user_id").cast("string").alias("session_id")).distinct()
+    m = e.select(F.col("user_id").cast("string").alias("session_id"), F.col("ts").alias("timestamp"))
+    return sessions.idle_sessions(s, m, done, F.lit("2024-01-30 18:30:00").cast("timestamp")).select("id")
+
+
+@query("""WITH h AS (SELECT conv_id, substr(text, 1, 200) AS t FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) <= 10)
+SELECT conv_id AS session_id, round(sum(length(regexp_replace(t, '[^؀-ۿ]', '', 'g'))) / sum(length(regexp_replace(t, '\\s', '', 'g'))), 6) AS ratio FROM h GROUP BY conv_id""")
+def opening_language(spark, sf):
+    """The older measure: the beginnings of a session's first messages, whoever wrote them."""
+    out = sessions.opening_ratio(fx.messages(spark, sf))
+    return out.select(F.col("session_id").cast("long").alias("session_id"), F.round("ratio", 6).alias("ratio"))
+
+
 @query("SELECT conv_id, turn, role FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) <= 3")
 def session_head(spark, sf):
     return sessions.head(table(spark, sf, "conversations"), 3, "conv_id", "turn").select("conv_id", "turn", "role")
@@ -536,3 +734,5 @@ def relation_heuristic(spark, sf):
     c = table(spark, sf, "conversations").withColumn("b", F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))).filter("b IS NOT NULL")
     return c.select("conv_id", "turn", gates.relation("text", "b")["kind"].alias("kind"))
 
+
+from memloom import catalog_files  # noqa: E402, F401  (registers the rest)

@@ -220,6 +220,12 @@ def leiden(nodes: DataFrame, edges: DataFrame, **how) -> DataFrame:
     return louvain(nodes, edges, refine=True, **how)
 
 
+def leiden_similar(nodes: DataFrame, edges: DataFrame, least: int = 10, **how) -> DataFrame:
+    """``leiden`` over the edges of type ``similar`` alone; every node stays alone where these are fewer than ``least``."""
+    similar = edges.filter("type = 'similar'")
+    return leiden(nodes, similar if similar.limit(least).count() >= least else similar.limit(0), **how)
+
+
 def neighbours(relations: DataFrame, facts: DataFrame, seeds: DataFrame, kind: str | None = None, hops: int = 1, per_hop: int | None = None) -> DataFrame:
     """``seed, hop, id, weight``: live facts reached from each seed along directed relations, heaviest first.
 

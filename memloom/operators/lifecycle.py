@@ -146,14 +146,20 @@ def longest(group: Column) -> Column:
     return F.element_at(F.array_sort(group, lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0)), 1)
 
 
+def candidates(facts: DataFrame, max_facts: int = 10_000, protected: tuple[str, ...] = ("preference", "identity"), most: int | None = None) -> DataFrame:
+    """Facts that may be consolidated, none while there are ``max_facts`` or fewer; with ``most``, the oldest of them in order."""
+    plenty = facts.limit(max_facts + 1).count() > max_facts
+    rows = facts.filter(~F.col("category").isin(*protected)) if plenty else facts.limit(0)
+    return rows if most is None else rows.orderBy("created_at", "id").limit(most)
+
+
 def consolidation(facts: DataFrame, max_facts: int = 10_000, least: float = 0.85, protected: tuple[str, ...] = ("preference", "identity"), most: int = 200) -> DataFrame:
     """The plan ``leader, source_ids, summary, category``; empty while there are few facts. Nothing is changed: see ``apply_consolidation``.
 
     A group's summary is the longest of its texts, cut to ``most`` characters; to
     let a model write it, judge the plan's column ``texts`` instead.
     """
-    plenty = facts.limit(max_facts + 1).count() > max_facts
-    rows = facts.filter(~F.col("category").isin(*protected)) if plenty else facts.limit(0)
+    rows = candidates(facts, max_facts, protected)
     groups = leader_groups(rows, least)
     own = groups.join(rows.select("id", "full_key", "category"), "id")
     best = F.max_by("full_key", F.struct(F.length("full_key"), (-F.col("id")).alias("i")))

@@ -34,9 +34,9 @@ def _units(rows: pa.Table, dims: int) -> tuple[np.ndarray, np.ndarray]:
     return rows.column("id").to_numpy(), out / np.where(length > 0, length, 1)
 
 
-def _rows(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+def _rows(vectors: DataFrame, id_col: str, vector_col: str, by: str | None = None) -> DataFrame:
     good = F.col(vector_col).isNotNull() & F.forall(vector_col, lambda x: x.isNotNull() & ~F.isnan(x))
-    return vectors.filter(good & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>").alias("v"))
+    return vectors.filter(good & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>").alias("v"), *([F.col(by).alias("of")] if by else []))
 
 
 def _measure(rows: DataFrame, block: int) -> tuple[int, int]:
@@ -70,9 +70,11 @@ def similar_pairs(vectors: DataFrame, least: float, below: float = 2.0, id_col:
     return cells.groupBy("i", "j").applyInArrow(multiply, "src long, dst long, weight double")
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int, least: float = -2.0, id_col: str = "id", vector_col: str = "embedding", block: int = BLOCK, own_too: bool = False) -> DataFrame:
-    """``query_id, rank, id, similarity``: each query's k closest rows, its own left out unless ``own_too``."""
-    q, rows = _rows(queries, id_col, vector_col), _rows(vectors, id_col, vector_col)
+def nearest(
+    queries: DataFrame, vectors: DataFrame, k: int, least: float = -2.0, id_col: str = "id", vector_col: str = "embedding", block: int = BLOCK, own_too: bool = False, by: str | None = None
+) -> DataFrame:
+    """``query_id, rank, id, similarity``: each query's k closest rows, its own left out unless ``own_too``; with ``by``, among the rows that are equal to it there."""
+    q, rows = _rows(queries, id_col, vector_col, by), _rows(vectors, id_col, vector_col, by)
     many, dims = _measure(rows, block)
     groups, other = _measure(q, block)
     dims = max(dims, other)
@@ -99,7 +101,8 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, least: float = -2.0,
         u, v, w = (np.concatenate(z) for z in zip(*out))
         return pa.table({"query_id": u, "id": v, "similarity": w})
 
-    found = left.groupBy("g", "c").cogroup(right.groupBy("g", "c")).applyInArrow(search, "query_id long, id long, similarity double")
+    cell = ["g", "c"] if by is None else ["of", "g", "c"]
+    found = left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(search, "query_id long, id long, similarity double")
     # Rounded before ranking, so that equal vectors tie whatever block they were in.
     found = found.withColumn("similarity", F.round("similarity", 12))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id"))

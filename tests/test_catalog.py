@@ -1,12 +1,17 @@
 """Every registered query of the core runs on the smallest tables and equals its DuckDB SQL."""
 
+import hashlib
 import math
 import os
 
+import column_split
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from memloom import catalog
+from memloom import fixtures as fx
+from memloom.operators import similarity
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -38,15 +43,57 @@ def test_oracle(spark, duck, name):
     assert got == want
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES)))
-def test_runs(spark, name):
-    assert catalog.QUERIES[name](spark, SF).count() >= 0
+def test_what_has_no_sql():
+    assert set(catalog.QUERIES) - set(catalog.ORACLES) <= {"louvain_communities", "leiden_communities", "split_chunks"}
+
+
+@pytest.mark.parametrize("name", ["louvain_communities", "leiden_communities"])
+def test_communities_beat_a_greedy_run(spark, name):
+    """Every node has one community, and modularity is not below that of merging the best pair again and again."""
+    v = fx.vectors(spark, SF)
+    edges = [tuple(r) for r in similarity.similar_pairs(v, 0.3).collect()]
+    found = {r["node"]: r["community"] for r in catalog.QUERIES[name](spark, SF).collect()}
+    assert len(found) == v.count()
+
+    def modularity(member):
+        m, inner, total = sum(w for *_, w in edges), 0.0, {}
+        for a, b, w in edges:
+            inner += w * (member[a] == member[b])
+            for x in (a, b):
+                total[member[x]] = total.get(member[x], 0.0) + w
+        return inner / m - sum(t * t for t in total.values()) / (4 * m * m)
+
+    member, m = {x: x for x in found}, sum(w for *_, w in edges)
+    between, strength = {}, {}
+    for a, b, w in edges:
+        between[a, b] = between.get((a, b), 0.0) + w
+        for x in (a, b):
+            strength[x] = strength.get(x, 0.0) + w
+    while between:
+        (a, b), gain = max(((p, w / m - strength[p[0]] * strength[p[1]] / (2 * m * m)) for p, w in between.items()), key=lambda x: (x[1], x[0]))
+        if gain <= 0:
+            break
+        member = {x: a if c == b else c for x, c in member.items()}
+        strength[a] += strength.pop(b)
+        merged = {}
+        for (x, y), w in between.items():
+            x, y = sorted((a if x == b else x, a if y == b else y))
+            if x != y:
+                merged[x, y] = merged.get((x, y), 0.0) + w
+        between = merged
+    assert modularity(found) >= modularity(member) - 1e-9
+
+
+def test_chunks_equal_those_of_column_expressions(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", F.posexplode(column_split.split_column(F.col("text"))).alias("n", "c"))
+    want = {(r["doc_id"], r["n"], len(r["c"]), hashlib.md5(r["c"].encode()).hexdigest()) for r in docs.collect()}
+    assert {tuple(r) for r in catalog.QUERIES["split_chunks"](spark, SF).collect()} == want
 
 
 def test_pushdown(spark):
     """Scans read only the columns that a query needs, and filters reach them."""
     plan = lambda name: catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
-    assert "ReadSchema: struct<doc_id:bigint,lang:string>" in plan("category_index")
+    assert "ReadSchema: struct<doc_id:bigint,lang:string>" in plan("category_index") and "text" not in plan("category_index")
     assert "PushedFilters: [IsNotNull(lang), EqualTo(lang,fr)]" in plan("facts_by_category")
     assert "TakeOrderedAndProject" in plan("facts_by_category")
 
