@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from memloom import fixtures as fx
 from memloom.functions import gates, text
-from memloom.functions.split import split_documents
+from memloom.functions.split import OVERLAP, SEPARATORS, SIZE, split_documents
 from memloom.operators import fulltext, graph, lifecycle, rank, sessions, similarity, store
 from memloom.plans import search
 from memloom.registry import ORACLES, QUERIES, folder, query
@@ -565,10 +565,28 @@ def query_gate(spark, sf):
     return table(spark, sf, "benchmark").filter(text.passes_gate("text", 3)).select("item_id")
 
 
-@query()
+def _split_sql(size: int = SIZE, overlap: int = OVERLAP) -> str:
+    """Segments as lists: a CTE opens the long ones at each separator, then they are packed."""
+    quoted = lambda sign: "chr(10)" if sign == "\n" else "chr(10) || chr(10)" if sign == "\n\n" else f"'{sign}'"
+    steps = [f"s0 AS (SELECT doc_id, [{{'t': text, 'l': true, 'k': true}}] AS s FROM documents WHERE length(text) > {size})"]
+    for n, sign in enumerate(map(quoted, SEPARATORS), 1):
+        parts = f"string_split(x.t, {sign})"
+        part = f"{{'t': CASE WHEN length(p) > {size} OR i = len({parts}) THEN p ELSE p || {sign} END, 'l': length(p) > {size}, 'k': p <> ''}}"
+        steps.append(f"s{n} AS (SELECT doc_id, flatten(list_transform(s, lambda x: CASE WHEN x.l THEN list_filter(list_transform({parts}, lambda p, i: {part}), lambda y: y.k) ELSE [x] END)) AS s FROM s{n - 1})")
+    pieces = f"flatten(list_transform(s, lambda x: CASE WHEN x.l THEN list_transform(range(0, length(x.t), {size}), lambda i: substr(x.t, i + 1, {size})) ELSE [x.t] END))"
+    pack = f"list_reduce(list_transform({pieces}, lambda x: {{'d': []::VARCHAR[], 'h': x}}), lambda a, x: CASE WHEN length(a.h) + length(x.h) > {size} THEN {{'d': list_append(a.d, a.h), 'h': x.h}} ELSE {{'d': a.d, 'h': a.h || x.h}} END)"
+    strip = "regexp_replace({0}, '^\\s+|\\s+$', '', 'g')"
+    last = len(SEPARATORS)
+    return f"""WITH {", ".join(steps)}, r AS (SELECT doc_id, {pack} AS r FROM s{last}),
+c AS (SELECT doc_id, list_filter(list_transform(list_append(r.d, r.h), lambda x: {strip.format("x")}), lambda x: x <> '') AS c FROM r UNION ALL SELECT doc_id, list_filter([{strip.format("text")}], lambda x: x <> '') FROM documents WHERE length(text) <= {size}),
+o AS (SELECT doc_id, unnest(list_transform(c, lambda x, i: CASE WHEN i = 1 THEN x ELSE right(c[i - 1], {overlap}) || ' ' || x END)) AS chunk, generate_subscripts(c, 1) - 1 AS n FROM c)
+SELECT doc_id, n::INTEGER AS chunk_no, length(chunk)::INTEGER AS n_chars, md5(chunk) AS digest FROM o"""
+
+
+@query(_split_sql())
 def split_chunks(spark, sf):
-    out = split_documents(table(spark, sf, "documents"), "doc_id", "text")
-    return out.select("doc_id", "chunk_no", F.length("chunk").alias("n_chars"), F.md5("chunk").alias("digest"))
+    d = dealt(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    return split_documents(d, "doc_id", "text").select("doc_id", "chunk_no", F.length("chunk").alias("n_chars"), F.md5("chunk").alias("digest"))
 
 
 # Store
