@@ -598,7 +598,7 @@ _HASH = "md5(" + _NS.format("text") + ")"
 SELECT h AS fact_hash, arg_min(md5(text), doc_id) AS key_digest, arg_min(lang, doc_id) AS category, arg_min(source, doc_id) AS source, max(doc_id % 5 + 1)::INTEGER AS importance, count(*) AS seen_count, min(doc_id) AS first_doc, max(doc_id) AS last_doc FROM d GROUP BY h""")
 def fact_upsert(spark, sf):
     """Documents as upserts in order of their ids; equal keys are sighted again."""
-    d = table(spark, sf, "documents")
+    d = dealt(table(spark, sf, "documents").drop("n_chars"), "doc_id")
     log = d.select(F.col("text").alias("full_key"), F.col("lang").alias("category"), F.lit("s").alias("session_id"), "source", (F.col("doc_id") % 5 + 1).cast("int").alias("importance"), F.timestamp_seconds("doc_id").alias("ts"), F.col("doc_id").alias("seq"))
     out = store.fold_facts(log)
     day = lambda c: F.unix_seconds(c)
@@ -620,7 +620,7 @@ def invalidation_epochs(spark, sf):
 SELECT min(doc_id) AS id, h AS fact_hash FROM d WHERE h NOT IN (SELECT h FROM k) GROUP BY h""")
 def new_keys(spark, sf):
     """Documents whose key no labelled document has, the first of each."""
-    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("full_key"))
+    d = dealt(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("full_key")), "id")
     known = d.join(table(spark, sf, "labels"), d["id"] == F.col("doc_id"), "left_semi").select(text.fact_hash("full_key").alias("fact_hash"))
     return store.not_yet_known(d, known).select("id", "fact_hash")
 

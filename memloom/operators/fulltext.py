@@ -41,8 +41,8 @@ def _matches(tokens_of: DataFrame, terms: DataFrame, *more: str) -> DataFrame:
     counted terms are broadcast, so no token moves.
     """
     asked = terms.select("term").distinct()
-    lengths = sorted(r[0] for r in asked.select(F.length("term")).distinct().collect())  # as many as terms have lengths
-    asked = F.broadcast(asked) if asked.count() <= MOST_TERMS else asked
+    many, lengths = asked.agg(F.count(F.lit(1)), F.sort_array(F.collect_set(F.length("term")))).first()  # as many as terms have lengths
+    asked = F.broadcast(asked) if many <= MOST_TERMS else asked
     starts = F.filter(F.array(*(F.lit(n) for n in lengths)), lambda n: n <= F.length("token")) if lengths else F.array().cast("array<int>")
     rows = tokens_of.select("*", F.explode(starts).alias("n")).withColumn("term", F.substring(F.col("token"), F.lit(1), F.col("n")))
     return rows.join(asked, "term").select("term", *more)

@@ -9,12 +9,13 @@ whose smaller neighbours are settled.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from memloom.functions.gates import relation
 from memloom.operators import local
@@ -29,7 +30,8 @@ MOST_LOCAL = 500_000
 def leaders(nodes: DataFrame, edges: DataFrame, id_col: str = "id", fixed: str | None = None, rounds: int = 3, most: int = MOST_LOCAL) -> DataFrame:
     """``id, leads`` over edges ``src < dst``. Nodes with ``fixed`` lead from the start and before all others.
 
-    A round settles all nodes whose smaller neighbours are settled, and the
+    A graph of ``most`` edges or fewer is scanned in one task. In a larger one, a
+    round settles all nodes whose smaller neighbours are settled, and the
     neighbours of those that lead. After every ``rounds`` of them the parts that are
     still open fall into components; those of ``most`` edges or fewer are scanned in
     order, one task each, so long chains cost no rounds. Each round settles a node at
@@ -43,6 +45,9 @@ def leaders(nodes: DataFrame, edges: DataFrame, id_col: str = "id", fixed: str |
         e = edges.join(is_fixed("src"), "src").join(is_fixed("dst"), "dst").filter("NOT (src_f AND dst_f)")
         edges = e.select(F.when(F.col("dst_f"), F.col("dst")).otherwise(F.col("src")).alias("src"), F.when(F.col("dst_f"), F.col("src")).otherwise(F.col("dst")).alias("dst"))
     edges = cut(edges.select("src", "dst"), "leader-edges")
+    if edges.count() <= most:
+        found = _scanned(edges, state)
+        return state.join(found, "id", "left").select("id", F.coalesce("leads", "now", F.lit(True)).alias("leads"))
 
     def told(state: DataFrame) -> DataFrame:
         before = edges.join(state.select(F.col("id").alias("src"), F.col("leads").alias("l")), "src")
@@ -79,6 +84,25 @@ def leaders(nodes: DataFrame, edges: DataFrame, id_col: str = "id", fixed: str |
         drop(live)
 
 
+def _scanned(edges: DataFrame, state: DataFrame) -> DataFrame:
+    """``id, now``: which ends of the edges lead, from one scan in one task."""
+    marked = edges.join(state.filter("first").select(F.col("id").alias("src"), F.lit(True).alias("fixed")), "src", "left")
+    kind, arrow = dict(state.dtypes)["id"], to_arrow_type(state.schema["id"].dataType)
+
+    def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = pa.Table.from_batches(list(batches), schema=pa.schema([("src", arrow), ("dst", arrow), ("fixed", pa.bool_())]))
+        src, dst, fixed = held.column("src").to_numpy(), held.column("dst").to_numpy(), held.column("fixed").is_valid().to_numpy(zero_copy_only=False)
+        ids, below = np.unique(np.concatenate([src, dst])), np.unique(dst[fixed])
+        led = np.isin(ids, below)
+        free = ~np.isin(src, np.concatenate([below, src[fixed]])) & ~np.isin(dst, below)
+        rest = ids[~led]
+        leads = np.zeros(len(ids), bool)
+        leads[~led] = local.greedy_leaders(rest, src[free], dst[free])
+        yield pa.record_batch([pa.array(ids, arrow), pa.array(leads)], names=["id", "now"])
+
+    return cut(marked.select(F.col("src").cast(kind), F.col("dst").cast(kind), "fixed").coalesce(1).mapInArrow(scan, f"id {kind}, now boolean"), "scanned")
+
+
 def leader_groups(vectors: DataFrame, least: float = 0.85, id_col: str = "id", vector_col: str = "embedding") -> DataFrame:
     """``leader, id`` of groups of two or more: each member with the smallest leader that it is close to."""
     edges = cut(similar_pairs(vectors, least, id_col=id_col, vector_col=vector_col).select("src", "dst"), "pairs")

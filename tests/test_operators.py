@@ -70,8 +70,9 @@ def test_leader_groups_are_those_of_the_scan(spark, seed):
     assert got == greedy_groups(cosines(x), 0.8)
 
 
-@pytest.mark.parametrize("seed", [4, 5, 6])
-def test_merges_are_those_of_the_scan(spark, seed):
+@pytest.mark.parametrize("seed, most", [(4, 10**6), (5, 10**6), (6, 10**6), (7, 0)])
+def test_merges_are_those_of_the_scan(spark, monkeypatch, seed, most):
+    monkeypatch.setattr(lifecycle.leaders, "__defaults__", (*lifecycle.leaders.__defaults__[:-1], most))
     x = unit(70, 6, seed, groups=12, spread=0.45)
     old = [bool(v) for v in np.random.default_rng(seed).random(70) < 0.25]
     s, lead, want = cosines(x), [i for i in range(70) if old[i]], {i: i for i in range(70) if old[i]}
@@ -203,9 +204,10 @@ def test_a_node_leaves_a_community_it_has_no_part_in(spark):
     assert changed and sorted(map(tuple, got.collect())) == [(1, 1), (2, 1), (3, 3), (4, 3)]
 
 
-def test_components_of_a_path(spark):
+@pytest.mark.parametrize("most", [0, 10**6])
+def test_components_of_a_path(spark, most):
     e = spark.createDataFrame([(i, i + 1) for i in range(130)] + [(500, 501)], "u long, v long")
-    got = {r["node"]: r["label"] for r in components(e).collect()}
+    got = {r["node"]: r["label"] for r in components(e, most=most).collect()}
     assert got == {i: 0 for i in range(131)} | {500: 500, 501: 500}
 
 
