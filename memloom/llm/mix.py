@@ -42,26 +42,40 @@ def draw(id_: Column, seed: str) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
-def targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0) -> DataFrame:
+def _running(rows: DataFrame, order: list[Column], sums: dict[str, Column], most: int) -> DataFrame:
+    """``rows`` with sums over the rows before each, in ``order``.
+
+    Up to ``most`` rows, which are counted, one task adds them up; more are dealt by ranges of the order, and each
+    range adds the sums of the ranges before it, of which there are as many as shuffle partitions.
+    """
+    before = lambda w: {n: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) for n, c in sums.items()}
+    if rows.limit(most + 1).count() <= most:
+        return rows.withColumns(before(Window.orderBy(*order)))
+    held = cut(rows.repartitionByRange(*order).withColumn("range", F.spark_partition_id()), "mix-ranges")
+    part = held.groupBy("range").agg(*(F.sum(c).alias(f"part_{n}") for n, c in sums.items()))
+    earlier = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = part.select("range", *(F.coalesce(F.sum(f"part_{n}").over(earlier), F.lit(0)).alias(f"start_{n}") for n in sums))
+    out = held.withColumns(before(Window.partitionBy("range").orderBy(*order))).join(F.broadcast(starts), "range")
+    return out.select(*rows.columns, *((F.col(n) + F.col(f"start_{n}")).alias(n) for n in sums))
+
+
+def targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, most: int = BROADCAST_SOURCES) -> DataFrame:
     """``source, source_size, target`` from ``source, source_size``: one row per source."""
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    turn = F.row_number().over(by_name) - 1
-    w = F.element_at(F.array(*(F.lit(x) for x in weights)), (turn % len(weights) + 1).cast("int")).cast("double")
-    s = sizes.select("source", "source_size", w.alias("w"), turn.alias("turn")).withColumn("limit", F.col("source_size") * F.lit(cap))
-    full = Window.orderBy((F.col("limit") / F.col("w")).asc(), F.col("turn")).rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    left = F.sum("source_size").over(every) * F.lit(share) - F.coalesce(F.sum("limit").over(full), F.lit(0.0))
-    rest = F.sum("w").over(every) - F.coalesce(F.sum("w").over(full), F.lit(0.0))
-    s = s.withColumn("level", left / rest)
+    s = _running(sizes.select("source", "source_size"), [F.col("source").asc_nulls_last()], {"turn": F.lit(1)}, most)
+    w = F.element_at(F.array(*(F.lit(x) for x in weights)), (F.col("turn") % len(weights) + 1).cast("int")).cast("double")
+    s = s.withColumns({"w": w, "limit": F.col("source_size") * F.lit(cap)})
+    s = _running(s, [(F.col("limit") / F.col("w")).asc(), F.col("turn").asc()], {"full": F.col("limit"), "taken_w": F.col("w")}, most)
+    whole = s.agg((F.sum("source_size") * F.lit(share)).alias("all"), F.sum("w").alias("all_w"))  # one row
+    s = s.crossJoin(F.broadcast(whole)).withColumn("level", (F.col("all") - F.col("full")) / (F.col("all_w") - F.col("taken_w")))
     # The first source below its limit sets the level for all after it.
-    level = F.max(F.when(F.col("limit") >= F.col("level") * F.col("w"), F.col("level"))).over(every)
-    s = s.withColumn("level", level)
+    level = s.agg(F.max(F.when(F.col("limit") >= F.col("level") * F.col("w"), F.col("level"))).alias("level"))  # one row
+    s = s.drop("level").crossJoin(F.broadcast(level))
     return s.select("source", "source_size", F.when(F.col("level").isNull(), F.col("limit")).otherwise(F.least("limit", F.col("level") * F.col("w"))).alias("target"))
 
 
 def _rated(rows: DataFrame, seed: str, **how) -> DataFrame:
     """``_id, _size, _source`` rows with their source's figures and ``_copies``."""
-    sizes = rows.groupBy(F.col("_source").alias("source")).agg(F.sum("_size").alias("source_size"))
+    sizes = cut(rows.groupBy(F.col("_source").alias("source")).agg(F.sum("_size").alias("source_size")), "mix-sizes-of-sources")
     rates = cut(targets(sizes, **how), "mix-sources")
     if rates.count() <= BROADCAST_SOURCES:
         rates = F.broadcast(rates)

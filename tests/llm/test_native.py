@@ -128,10 +128,11 @@ def filled(sizes, weights=(3, 1, 2), share=1.5, cap=2.0):
 @pytest.mark.parametrize("sizes", [{"a": 10, "b": 1000, "c": 20}, {"a": 1, "b": 1, "c": 1, None: 5}, {"x": 0, "y": 7}, {"only": 9}, {f"s{i}": (i * 7919) % 101 for i in range(40)}])
 def test_targets_are_those_of_sharing_again_and_again(spark, sizes):
     df = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
-    got = {r["source"]: r["target"] for r in mix.targets(df).collect()}
     want = filled(sizes)
-    assert got.keys() == want.keys()
-    assert all(abs(got[s] - want[s]) < 1e-6 * max(1, want[s]) for s in want)
+    for most in (mix.BROADCAST_SOURCES, 1):  # in one task, and by ranges
+        got = {r["source"]: r["target"] for r in mix.targets(df, most=most).collect()}
+        assert got.keys() == want.keys()
+        assert all(abs(got[s] - want[s]) < 1e-6 * max(1, want[s]) for s in want)
 
 
 def test_the_mix_comes_near_its_targets_and_reruns_agree(spark):
