@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from memloom import fixtures as fx
 from memloom.functions import gates, text
 from memloom.functions.split import OVERLAP, SEPARATORS, SIZE, split_documents
-from memloom.operators import fulltext, graph, lifecycle, rank, sessions, similarity, store
+from memloom.operators import fulltext, graph, lifecycle, rank, sessions, similarity, store, vector_index
 from memloom.plans import search
 from memloom.registry import ORACLES, QUERIES, folder, query
 from memloom.shared import cut, dealt, table
@@ -50,6 +50,16 @@ def vector_topk_of_one(spark, sf):
     return similarity.top_k(v, q["embedding"], 5, 0.0, where=F.col("label") == q["label"]).select("id", F.round("similarity", 6).alias("similarity"))
 
 
+@query("SELECT count(*) FILTER (vec_id % 50 = 0) AS asked, true AS near_enough FROM embeddings")
+def indexed_nearest(spark, sf):
+    """Every fiftieth vector by an index of cells: whether it finds nine tenths of the ten closest."""
+    v = fx.vectors(spark, sf)
+    q, cells = v.filter("id % 50 = 0"), vector_index.fit(v)
+    exact, found = similarity.nearest(q, v, 10), vector_index.nearest(q, v, cells, 10)
+    both = exact.select("query_id", "id").join(found.select("query_id", "id", F.lit(1).alias("hit")), ["query_id", "id"], "left")
+    return both.agg(F.countDistinct("query_id").alias("asked"), (F.sum(F.coalesce("hit", F.lit(0))) >= 0.9 * F.count(F.lit(1))).alias("near_enough"))
+
+
 @query("WITH " + _NEAR.format(where="") + " SELECT least(query_id, id) AS src, greatest(query_id, id) AS dst, round(max(similarity), 6) AS weight FROM r WHERE rank <= 5 AND similarity >= 0.3 GROUP BY 1, 2")
 def knn_graph(spark, sf):
     return graph.knn_edges(fx.vectors(spark, sf), 5, 0.3).withColumn("weight", F.round("weight", 6))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from memloom.functions.vectors import cosine
-from memloom.operators import local
+from memloom.operators import local, vector_index
 from memloom.operators.components import components
 from memloom.operators.similarity import nearest, similar_pairs
 from memloom.shared import cut, first_rows
@@ -20,9 +20,12 @@ from memloom.shared import cut, first_rows
 MOST_LOCAL = 200_000
 
 
-def knn_edges(vectors: DataFrame, k: int = 10, least: float = 0.4, id_col: str = "id", vector_col: str = "embedding", **how) -> DataFrame:
-    """Undirected edges between each node and its k nearest that are close enough, with the larger weight."""
-    near = nearest(vectors, vectors, k, least, id_col, vector_col, **how)
+def knn_edges(vectors: DataFrame, k: int = 10, least: float = 0.4, id_col: str = "id", vector_col: str = "embedding", index: vector_index.Cells | None = None, **how) -> DataFrame:
+    """Undirected edges between each node and its k nearest that are close enough, with the larger weight. With an ``index`` only its cells are searched."""
+    if index is None:
+        near = nearest(vectors, vectors, k, least, id_col, vector_col, **how)
+    else:
+        near = vector_index.nearest(vectors, vectors, index, k, least, id_col, vector_col, **how)
     return near.groupBy(F.least("query_id", "id").alias("src"), F.greatest("query_id", "id").alias("dst")).agg(F.max("similarity").alias("weight"))
 
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from memloom.operators import fulltext, graph, lifecycle, local, rank, sessions, similarity, store
+from memloom.operators import fulltext, graph, lifecycle, local, rank, sessions, similarity, store, vector_index
 from memloom.operators.components import components
 
 
@@ -41,6 +41,25 @@ def test_pairs_nearest_and_knn(spark, block):
     assert edges == {(min(i, j), max(i, j)) for (i, _), j in near.items() if s[i, j] >= 0.5}
 
 
+@pytest.mark.parametrize("block", [4096, 13])
+def test_index_of_cells(spark, block):
+    x = unit(900, 16, 3, groups=30, spread=0.4)
+    df = frame(spark, x)
+    index = vector_index.fit(df, k=8, sample=400)
+    assert index.recall >= 0.95 and 1 <= index.probes < len(index.centroids) == 30
+    exact = {(r["query_id"], r["id"]): r["similarity"] for r in similarity.nearest(df.filter("id % 9 = 0"), df, 8).collect()}
+    found = {(r["query_id"], r["id"]): r["similarity"] for r in vector_index.nearest(df.filter("id % 9 = 0"), df, index, 8, block=block).collect()}
+    assert len(exact.keys() & found.keys()) >= 0.9 * len(exact) and len(found) == len(exact)
+    assert all(abs(exact[p] - found[p]) < 1e-9 for p in exact.keys() & found.keys())
+    every = vector_index.Cells(index.centroids, 30, 1.0)
+    assert {tuple(r) for r in vector_index.nearest(df, df, every, 4, 0.5).collect()} == {tuple(r) for r in similarity.nearest(df, df, 4, 0.5).collect()}
+    assert sum(r["n"] for r in vector_index.assigned(df, index, 1).groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()) == 900
+    edges = graph.knn_edges(df, 4, 0.5, index=every)
+    assert {tuple(r) for r in edges.collect()} == {tuple(r) for r in graph.knn_edges(df, 4, 0.5).collect()}
+    none = vector_index.fit(df.filter("false"))
+    assert vector_index.nearest(df, df.filter("false"), none, 3).collect() == []
+
+
 def test_small_graphs(spark):
     two = frame(spark, np.array([[1, 0], [1, 0]], "f4"))
     assert [(r["src"], r["dst"], round(r["weight"], 6)) for r in graph.knn_edges(two, 10, 0.4).collect()] == [(0, 1, 1.0)]
