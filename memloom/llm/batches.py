@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 
@@ -23,11 +23,20 @@ def text_runs(texts: pa.Array, rows: int = 256, size: int = 1_000_000) -> Iterat
 
 
 def pieces(batches: Iterable[pa.RecordBatch], text_at: int, rows: int = 256, size: int = 1_000_000) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
-    """Slices of the batches as ``text_runs`` cuts them, with their texts. What the worker held is given back at the end."""
+    """Slices of the batches as ``text_runs`` cuts them, with their texts."""
     for batch in batches:
         for start, texts in text_runs(batch.column(text_at), rows, size):
             yield batch.slice(start, len(texts)), texts
-    give_back()
+
+
+def tidied(run: Callable[[Iterable], Iterator]) -> Callable[[Iterable], Iterator]:
+    """``run``, after which what its task held is given back: the inner frame is gone by then, with all that it named."""
+
+    def whole(batches: Iterable) -> Iterator:
+        yield from run(batches)
+        give_back()
+
+    return whole
 
 
 def give_back() -> None:

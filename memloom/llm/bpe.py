@@ -43,10 +43,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memloom.llm.batches import pieces
+from memloom.llm.batches import pieces, tidied
 
 LEAF = 1024
-CACHE = 60_000
+CACHE = 120_000
 WINDOW = 32
 LONG_RUN = 256
 #: Threads of the library in a worker: the two halves of a text.
@@ -76,10 +76,20 @@ _BYTES = {b: b for b in _KEEP} | {b: 256 + i for i, b in enumerate(x for x in ra
 Tokens = list[tuple[int, int, int]]  # id, start, end
 
 
+def kind(text: str) -> tuple[bool, bool]:
+    """Whether a tokenizer file leaves letters in lower case as they are and drops white space, and whether it composes.
+
+    Texts are composed before they are cut, where the file composes them: a cut must not part a letter from its marks.
+    """
+    spec = json.loads(text)
+    plain = _PLAIN == (spec.get("normalizer"), spec.get("pre_tokenizer")) and not spec.get("post_processor") and spec.get("decoder") is None and spec["model"].get("end_of_word_suffix") == "</w>"
+    return plain, '"NFC"' in json.dumps(spec.get("normalizer"))
+
+
 class Encoder:
     """A tokenizer with a bounded cache of encoded pieces."""
 
-    def __init__(self, text: str, leaf: int = LEAF, cache: int = CACHE):
+    def __init__(self, text: str, leaf: int = LEAF, cache: int = CACHE, known: tuple[bool, bool] | None = None):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
         os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))
         from tokenizers import Tokenizer
@@ -93,12 +103,7 @@ class Encoder:
         added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.added = re.compile("(" + "|".join(map(re.escape, added)) + ")") if added else None
         self.low_added = [a.lower().encode() for a in added]
-        self.names = {i: t for t, i in self.tok.get_vocab().items()}
-        spec = json.loads(text)
-        # Only where letters in lower case pass the normaliser and the splitter unchanged is there a way past them.
-        self.plain = _PLAIN == (spec.get("normalizer"), spec.get("pre_tokenizer")) and not spec.get("post_processor") and self.tok.decoder is None and spec["model"].get("end_of_word_suffix") == "</w>"
-        # Texts are composed before they are cut, where the file composes them: a cut must not part a letter from its marks.
-        self.composes = '"NFC"' in json.dumps(spec.get("normalizer"))
+        self.plain, self.composes = kind(text) if known is None else known
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
@@ -164,10 +169,17 @@ class Encoder:
 
     def _letters(self, piece: bytes) -> tuple[bytes, bytes] | None:
         """The encoding of letters that the normaliser leaves alone, or None."""
-        word = piece.decode()
-        if not word.isalpha() or max(word) >= _LATIN or word != word.lower():
-            return None
-        return self._packed([t.id for t in self.tok.model.tokenize(word if word.isascii() else piece.decode("latin-1").translate(_BYTES))])
+        if piece.isalpha():  # of ASCII
+            if not piece.islower():
+                return None
+            word = piece.decode()
+        else:
+            word = piece.decode()
+            if not word.isalpha() or max(word) >= _LATIN or word != word.lower():
+                return None
+            word = piece.decode("latin-1").translate(_BYTES)
+        tokens = self.tok.model.tokenize(word)
+        return array("I", [t.id for t in tokens]).tobytes(), " ".join([t.value for t in tokens]).encode()
 
     def _packed(self, ids: list[int]) -> tuple[bytes, bytes]:
         return array("I", ids).tobytes(), self.decode(ids).encode()
@@ -182,7 +194,7 @@ class Encoder:
             if (found := self.older.get(w)) is not None:
                 self.known[w] = found
                 continue
-            body = w.rstrip(_MARKS)
+            body = w if w.isalpha() else w.rstrip(_MARKS)
             if body and (head := self._letters(body)):
                 if len(body) == len(w):
                     self.known[w] = head
@@ -231,7 +243,7 @@ class Encoder:
         """As the library decodes; without a decoder that is the tokens' strings, joined by spaces."""
         if self.tok.decoder is not None:
             return self.tok.decode(ids, skip_special_tokens=False)
-        return " ".join([self.names[i] for i in ids if i in self.names])
+        return " ".join([t for t in map(self.tok.id_to_token, ids) if t is not None])
 
 
 def _edge(text: bytes, at: int) -> int:
@@ -288,12 +300,13 @@ def _agree_right(mid: Tokens, y: Tokens, least: int, hi: int) -> tuple[int, int]
 
 def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", leaf: int = LEAF, cache: int = CACHE) -> DataFrame:
     """``doc_id, n_tokens, ids_le, decoded`` of every row: ``ids_le`` holds the ids as little-endian unsigned 32-bit integers."""
-    sent = docs.sparkSession.sparkContext.broadcast(Path(tokenizer).read_text())
+    text = Path(tokenizer).read_text()
+    sent = docs.sparkSession.sparkContext.broadcast((text, kind(text)))  # the file is parsed here, once
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     schema = f"doc_id {dict(rows.dtypes)['doc_id']}, n_tokens long, ids_le binary, decoded string"
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(sent.value, leaf, cache)  # a task's own, so that idle workers hold no cache
+        encoder = Encoder(sent.value[0], leaf, cache, sent.value[1])  # a task's own, so that idle workers hold no cache
         for batch, texts in pieces(batches, 1):
             found = encoder.encode(texts)
             yield pa.record_batch(
@@ -301,7 +314,7 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
                 names=["doc_id", "n_tokens", "ids_le", "decoded"],
             )
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidied(run), schema)
 
 
 def digests(encoded: DataFrame) -> DataFrame:

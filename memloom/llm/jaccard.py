@@ -54,7 +54,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memloom.llm.batches import pieces
+from memloom.llm.batches import pieces, tidied
 from memloom.operators.components import components
 from memloom.shared import cut, drop
 
@@ -273,7 +273,7 @@ def _profiles(rows: DataFrame, k: int, counters: int) -> DataFrame:
         if size:
             yield from told(held)
 
-    return rows.mapInArrow(run, "id long, n long, a long, b long, chunk long, gaps binary")
+    return rows.mapInArrow(tidied(run), "id long, n long, a long, b long, chunk long, gaps binary")
 
 
 def _sketch(profiles: DataFrame, counters: int) -> Sketch:
@@ -343,7 +343,7 @@ def _prefixes(rows: DataFrame, k: int, num: int, den: int, sent: Broadcast) -> D
         if size:
             yield _combined(sigs, ids)
 
-    return rows.mapInArrow(run, "sig long, id long")
+    return rows.mapInArrow(tidied(run), "sig long, id long")
 
 
 def _divided(clusters: DataFrame, texts: DataFrame, k: int, scheme: Scheme, block: int) -> DataFrame:
@@ -373,7 +373,7 @@ def _divided(clusters: DataFrame, texts: DataFrame, k: int, scheme: Scheme, bloc
         if size:
             yield _combined(sigs, reps)
 
-    met = texts.select(F.col("id").alias("rep"), "text").join(ids, "rep").select("label", "rep", "text").mapInArrow(parts, "sig long, id long")
+    met = texts.select(F.col("id").alias("rep"), "text").join(ids, "rep").select("label", "rep", "text").mapInArrow(tidied(parts), "sig long, id long")
     met = met.repartition("sig").sortWithinPartitions("sig", "id").mapInArrow(_meetings, "u long, v long")
     found = components(met).select("label", F.col("node").alias("rep"))
     drop(inside)

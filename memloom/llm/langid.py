@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from memloom.llm.batches import give_back, pieces, text_runs
+from memloom.llm.batches import pieces, text_runs, tidied
 
 DIMS = 1024
 SEED = 20240229
@@ -141,7 +141,7 @@ def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
         if total:
             yield pa.record_batch([pa.array(list(total)), pa.array([v.tolist() for v in total.values()], pa.list_(pa.float64()))], names=["lang", "v"])
 
-    parts = rows.mapInArrow(sums, "lang string, v array<double>").select("lang", F.posexplode("v"))
+    parts = rows.mapInArrow(tidied(sums), "lang string, v array<double>").select("lang", F.posexplode("v"))
     # Whole numbers below 2**53: their sum does not depend on the order.
     found = parts.groupBy("lang", "pos").agg(F.sum("col").alias("s")).groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("pos", "s"))).alias("v")).collect()
     protos = {r["lang"]: np.array([x["s"] for x in r["v"]]) for r in found}
@@ -153,8 +153,7 @@ def verdict(docs: DataFrame, model: Profiles, text: Column) -> Column:
     """``struct<lang_pred, score, grams>`` of a text: only it goes to the worker."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # MOST_LANGUAGES vectors at most
 
-    @F.arrow_udf("struct<lang_pred: string, score: double, grams: long>")
-    def judged(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def judge(batches: Iterable[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             langs, scores, grams = [], [np.zeros(0)], [np.zeros(0, np.int64)]
             for _, texts in text_runs(batch, 64):
@@ -163,7 +162,10 @@ def verdict(docs: DataFrame, model: Profiles, text: Column) -> Column:
                 scores.append(s)
                 grams.append(n)
             yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(np.concatenate(scores)), pa.array(np.concatenate(grams))], names=["lang_pred", "score", "grams"])
-        give_back()
+
+    @F.arrow_udf("struct<lang_pred: string, score: double, grams: long>")
+    def judged(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from tidied(judge)(batches)
 
     return judged(text)
 

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memloom.llm import trees
-from memloom.llm.batches import pieces
+from memloom.llm.batches import pieces, tidied
 
 FIT_ROWS = 20_000
 THRESHOLD = 0.3
@@ -88,7 +88,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int =
         for batch, texts in pieces(batches, 1):
             yield pa.record_batch([batch.column(0), pa.array([statistics(t) for t in texts], pa.list_(pa.float64())), batch.column(2)], names=["r", "x", "y"])
 
-    got = labelled(docs, labels, label, rows).mapInArrow(run, "r int, x array<double>, y double").toArrow().sort_by("r")
+    got = labelled(docs, labels, label, rows).mapInArrow(tidied(run), "r int, x array<double>, y double").toArrow().sort_by("r")
     if not got.num_rows:
         return trees.constant(0.5)
     return trees.fit(np.array(got.column("x").to_pylist()), got.column("y").to_numpy(), **how)
@@ -104,7 +104,7 @@ def score(docs: DataFrame, model: trees.Forest) -> DataFrame:
             p = sent.value.score(np.array([statistics(t) for t in texts]))
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(p, pa.float64())], names=["doc_id", "held_out", "score"])
 
-    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, held_out boolean, score double")
+    return rows.mapInArrow(tidied(run), f"doc_id {dict(rows.dtypes)['doc_id']}, held_out boolean, score double")
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:

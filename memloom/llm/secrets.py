@@ -48,7 +48,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from memloom.llm.batches import pieces
+from memloom.llm.batches import pieces, tidied
 
 BASE = ("assign", "access", "hex")
 #: Public credential formats, as literal beginnings and (alphabet, count) runs.
@@ -309,7 +309,7 @@ def labelled_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 found.update((label, raw[a:b].decode()) for a, b, label in candidates(raw, _based(raw)) if label and b - a <= MOST)
             yield pa.record_batch([pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.string())], names=["label", "token"])
 
-    got = some.mapInArrow(run, "label string, token string").distinct()
+    got = some.mapInArrow(tidied(run), "label string, token string").distinct()
     place = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("token"), "token"))
     out: dict[str, list[str]] = defaultdict(list)
     for r in got.withColumn("place", place).filter(F.col("place") <= each).orderBy("label", "place").collect():  # ``each`` of four labels
@@ -362,7 +362,7 @@ def scan(docs: DataFrame, formats: Formats | None = None, id_col: str = "doc_id"
             yield pa.record_batch([batch.column(0), pa.array([told(b) for b, _ in found], span), pa.array([told(e) for _, e in found], span)], names=["doc_id", "base", "spans"])
 
     kind = "array<struct<kind: string, start: bigint, end: bigint>>"
-    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, base {kind}, spans {kind}")
+    return rows.mapInArrow(tidied(run), f"doc_id {dict(rows.dtypes)['doc_id']}, base {kind}, spans {kind}")
 
 
 def report(scanned: DataFrame) -> DataFrame:

@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memloom.llm.batches import give_back, pieces
+from memloom.llm.batches import pieces, tidied
 from memloom.llm.quality import held_out, labelled
 from memloom.shared import cut
 
@@ -256,7 +256,7 @@ def _told(sample: DataFrame) -> DataFrame:
             columns = [pa.array([sorted(words(t)) for t in texts], pa.list_(pa.string())), pa.array([patterns(t) for t in texts], pa.list_(pa.int32())), pa.array([minima(t) for t in texts], pa.list_(pa.int64()))]
             yield pa.record_batch([batch.column(0), batch.column(2), *columns], names=["r", "y", "w", "p", "m"])
 
-    return sample.mapInArrow(run, "r int, y double, w array<string>, p array<int>, m array<long>")
+    return sample.mapInArrow(tidied(run), "r int, y double, w array<string>, p array<int>, m array<long>")
 
 
 def _counted(told: DataFrame, parts: np.ndarray) -> DataFrame:
@@ -286,9 +286,8 @@ def _counted(told: DataFrame, parts: np.ndarray) -> DataFrame:
                             total[:] = 0
         if place:
             yield out()
-        give_back()
 
-    found = told.select("r", "w").mapInArrow(run, ", ".join(["term string", *(f"{c} long" for c in names)]))
+    found = told.select("r", "w").mapInArrow(tidied(run), ", ".join(["term string", *(f"{c} long" for c in names)]))
     return found.groupBy("term").agg(*(F.sum(c).alias(c) for c in names))
 
 
@@ -302,9 +301,8 @@ def _holding(told: DataFrame, names: list[str]) -> tuple[np.ndarray, np.ndarray]
                 some = batch.slice(a, 64)
                 found = [sorted({sent.value[t] for w in held for t in terms(w) if t in sent.value}) for held in some.column(1).to_pylist()]
                 yield pa.record_batch([some.column(0), pa.array(found, pa.list_(pa.int32()))], names=["r", "t"])
-        give_back()
 
-    got = told.select("r", "w").mapInArrow(run, "r int, t array<int>").toArrow().sort_by("r")
+    got = told.select("r", "w").mapInArrow(tidied(run), "r int, t array<int>").toArrow().sort_by("r")
     lists = got.column("t").combine_chunks()
     lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
     r = got.column("r").to_numpy()
@@ -384,5 +382,5 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
         for batch, texts in pieces(batches, 2):
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(sent.value.scores(texts, known), pa.float64())], names=["doc_id", "held_out", "score"])
 
-    out = rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, held_out boolean, score double")
+    out = rows.mapInArrow(tidied(run), f"doc_id {dict(rows.dtypes)['doc_id']}, held_out boolean, score double")
     return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
