@@ -357,3 +357,18 @@ def test_sessions(spark):
     assert got == {"s1": 5, "s2": 1, "s3": 3}
     facts = spark.createDataFrame([("s3", "plain words"), ("s3", "nothing heard"), ("s9", "x")], "session_id string, key string")
     assert [r["key"] for r in sessions.grounded(facts, m).collect()] == ["plain words"]
+
+
+def test_helper_columns_clash_with_nothing(spark):
+    names = ["_n", "_t", "_h", "_on", "_first", "row", "place", "k", "e", "s", "t", "d"]
+    df = spark.createDataFrame([(1, 1, "a", 1, "upsert", *range(12)), (1, 2, "a", 2, "invalidate", *range(12)), (2, 1, "b", 3, "upsert", *range(12))], "id long, ts long, content string, seq long, op string, " + ", ".join(f"{n} int" for n in names))
+    same = lambda out, n: out.columns[: len(df.columns)] == df.columns and all([r[c] for c in names] == list(range(12)) for r in out.collect()) and out.count() == n
+    assert same(store.latest(df, ["id"]), 2)
+    assert same(rank.keep_first(df, "content", [F.col("seq")]), 2)
+    assert same(store.insert_or_ignore(df.limit(0), df, ["id"], [F.col("seq")]), 2)
+    assert same(sessions.head(df, 1, "id", "seq"), 2)
+    assert same(store.epochs(df.withColumn("ts", F.timestamp_seconds("ts")), key="content"), 3)
+    trusted = store.with_trust(df.withColumn("importance", F.lit(1)).withColumn("trust", F.lit(0.5)), spark.createDataFrame([("a", 0.9)], "content string, trust_score double"))
+    assert same(trusted, 3) and {r["trust"] for r in trusted.collect()} == {0.9, 0.5}
+    checked = store.verified(df.withColumn("fix_verified", F.lit(False)), df.filter("id = 1").select("id"))
+    assert same(checked, 3) and [r["fix_verified"] for r in checked.orderBy("seq").collect()] == [True, True, False]
