@@ -48,7 +48,7 @@ UNKNOWN = "und"
 #: Cells of the table that finds a trigram's place; wider alphabets are sorted instead.
 _TABLE = 1 << 22
 #: A text of ``SHOWN`` trigrams shows its language; what then lies within ``CHANCE`` deviations of a random text's cosine shows none.
-SHOWN, CHANCE = 24, 4.0
+SHOWN, CHANCE = 48, 2.0
 
 _letters: dict[tuple[int, int], np.ndarray] = {}
 

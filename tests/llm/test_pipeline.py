@@ -31,7 +31,7 @@ def brute(rows):
     from tokenizers import Tokenizer
 
     known = languages([(r[0], r[1], r[2]) for r in rows])
-    rows = [r for r, (lang, score, n) in zip(rows, known) if lang != "und" and (n < 24 or score >= 4 / langid.DIMS**0.5)]
+    rows = [r for r, (lang, score, n) in zip(rows, known) if lang != "und" and (n < 48 or score >= 2 / langid.DIMS**0.5)]
     assert not {900, 901, 902, 905} & {r[0] for r in rows} and {904, 906} <= {r[0] for r in rows}
     first = {}
     for r in sorted(rows, key=lambda r: r[0]):
