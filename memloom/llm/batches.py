@@ -33,7 +33,6 @@ def tidied(run: Callable[[Iterable], Iterator]) -> Callable[[Iterable], Iterator
     """``run``, after which what its task held is given back: the inner frame is gone by then, with all that it named."""
 
     def whole(batches: Iterable) -> Iterator:
-        pa.set_memory_pool(pa.system_memory_pool())  # whose freed blocks can be given back, those of the last batch too
         yield from run(batches)
         give_back()
 

@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 from memloom.llm.batches import pieces, tidied
 
 LEAF = 1024
-CACHE = 30_000
+CACHE = 60_000
 WINDOW = 32
 LONG_RUN = 256
 #: Threads of the library in a worker: the two halves of a text.
