@@ -54,7 +54,7 @@ FACTORS = (0.4, 0.65, 1.0, 1.5, 2.25)
 BANDS = 6
 #: A document's weight as a whole number: this over the number of its near copies.
 UNIT = 1 << 20
-_FLUSH = 300_000
+_FLUSH = 100_000
 _SALT = np.random.Generator(np.random.PCG64(7)).integers(1, 1 << 62, (BANDS * 4, 2), np.uint64) * np.uint64(2) + np.uint64(1)
 _WORD = re.compile(r"[^\W\d_]+")
 TOXIC, CLEAN, ABSTAIN = 1, -1, 0
