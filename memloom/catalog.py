@@ -311,7 +311,7 @@ def indexed_search(spark, sf):
     return fulltext.search_index(spark, path, q, 20).withColumn("score", F.round("score", 4))
 
 
-@query("SELECT count(*) AS documents, count(*) FILTER (turn < 5) AS indexed, count(*) FILTER (turn >= 5) AS missing, 0 AS stray FROM conversations")
+@query("SELECT count(*) AS documents, count(*) FILTER (turn < 5) AS indexed, count(*) FILTER (turn >= 5) AS missing, 0::BIGINT AS stray FROM conversations")
 def index_check(spark, sf):
     """A stored index that lacks the later turns, held against the messages."""
     path, m = folder(spark, "index"), fx.messages(spark, sf)
