@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memloom.llm import bpe, exact_dedup, jaccard, langid, mix, quality, secrets, shard, suffix, topk, toxicity
+from memloom.llm import bpe, exact_dedup, hard_negatives, jaccard, langid, mix, quality, secrets, shard, suffix, topk, toxicity
 from memloom.shared import table
 
 
@@ -57,5 +57,10 @@ def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.remove_repeats(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op2_top_k, op3_quality, op4_sharding, op5_mixing, op6_secrets, op7_bpe, op8_jaccard, op9_language_id, op10_toxicity, op11_suffix_dedup)}
-ORACLES: dict[str, str] = {"op1_exact_dedup": exact_dedup.ORACLE, "op2_top_k": topk.ORACLE, "op4_sharding": shard.ORACLE, "op5_mixing": mix.ORACLE, "op8_jaccard": jaccard.ORACLE, "op11_suffix_dedup": suffix.ORACLE}
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", label), F.col("vec_id") % 50 == 0)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op2_top_k, op3_quality, op4_sharding, op5_mixing, op6_secrets, op7_bpe, op8_jaccard, op9_language_id, op10_toxicity, op11_suffix_dedup, op12_hard_negatives)}
+ORACLES: dict[str, str] = {"op1_exact_dedup": exact_dedup.ORACLE, "op2_top_k": topk.ORACLE, "op4_sharding": shard.ORACLE, "op5_mixing": mix.ORACLE, "op8_jaccard": jaccard.ORACLE, "op11_suffix_dedup": suffix.ORACLE, "op12_hard_negatives": hard_negatives.ORACLE}
