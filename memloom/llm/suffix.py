@@ -394,53 +394,89 @@ def _bits(x: np.ndarray) -> np.ndarray:
     return np.where(high > 0, 32 + np.frexp(high)[1], np.frexp(low)[1])
 
 
-def intervals(common: list[int], size: list[int], left: list[int], often: list[bool]) -> Iterator[tuple[int, int, int]]:
-    """``first, last, length`` of the maximal repeats among suffixes in order, by a scan with a stack.
+def scan(common: list[int], size: list[int], left: list[int], often: list[bool]) -> Iterator[tuple[int, int, int, bool]]:
+    """``first, last, length, maximal`` of the intervals of suffixes in order that share a prefix, inner ones first, by a scan with a stack.
 
     ``common[i]`` is what suffix i shares with the one before, ``left`` the byte before each (below 0:
-    the start of its text, unlike all others) and ``often`` tells whether a suffix's text is found at several places.
+    the start of its text, unlike all others) and ``often`` tells whether a suffix's text is found at several
+    places. An interval is maximal if its left neighbours differ.
     """
     many = object()  # several left neighbours
     met = lambda a, b: a if a is b or (a == b and a is not many) else many
     stack: list[list] = []  # length, first suffix, its left neighbours; the common prefixes that are open
-    for i in range(len(size) + 1):
-        now = common[i] if 0 < i < len(size) else 0
-        if i:
-            first, left_of = i - 1, left[i - 1] if left[i - 1] >= 0 else many
-            if often[i - 1] and left_of is many and size[i - 1] > max(now, common[i - 1] if i > 1 else 0):
-                yield i - 1, i - 1, size[i - 1]
-            while stack and stack[-1][0] > now:
-                length, first, before = stack.pop()
-                left_of = met(before, left_of)
-                if left_of is many:
-                    yield first, i - 1, length
-            if now and stack and stack[-1][0] == now:
-                stack[-1][2] = met(stack[-1][2], left_of)
-            elif now:
-                stack.append([now, first, left_of])
-
-
-def repeats(texts: list[bytes], value: np.ndarray, heads: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, int, bytes]]:
-    """Maximal repeats of a cell: the places (as numbers of ``value``) of their texts, the offsets in these, the length and the bytes.
-
-    ``value`` are the places of all texts, those of text t from ``heads[t]`` to ``heads[t + 1]``.
-    """
-    s = Suffixes(texts, length)
-    n = len(s.text)
-    if not n:
+    for i in range(1, len(size) + 1):
+        now = common[i] if i < len(size) else 0
+        first, left_of = i - 1, left[i - 1] if left[i - 1] >= 0 else many
+        if often[i - 1] and size[i - 1] > max(now, common[i - 1] if i > 1 else 0):
+            yield i - 1, i - 1, size[i - 1], left_of is many
+        while stack and stack[-1][0] > now:
+            length, first, before = stack.pop()
+            left_of = met(before, left_of)
+            yield first, i - 1, length, left_of is many
+        if now and stack and stack[-1][0] == now:
+            stack[-1][2] = met(stack[-1][2], left_of)
+        elif now:
+            stack.append([now, first, left_of])
+
+
+def _blocks(s: Suffixes, times: np.ndarray, length: int, least: int) -> Iterator[tuple[int, list[int], list[int], list[int], list[bool]]]:
+    """Runs of ``least`` suffixes or more that share ``length`` bytes, with what ``scan`` takes; whole runs with one left neighbour hold no maximal repeat."""
+    if not len(s.text):
         return
-    times = np.diff(heads)
     lead = np.flatnonzero(np.concatenate([[True], s.common[1:] < length]))
-    last = np.append(lead[1:], n)
-    # Whole blocks with one left neighbour hold no maximal repeat, nor do those of a single place.
+    last = np.append(lead[1:], len(s.text))
     low, high = np.minimum.reduceat(s.left, lead), np.maximum.reduceat(s.left, lead)
-    good = ((low < 0) | (low != high)) & (np.add.reduceat(times[s.text], lead) > 1)
+    good = ((low < 0) | (low != high)) & (np.add.reduceat(times[s.text], lead) > 1) & (last - lead >= least)
     for a, b in zip(lead[good].tolist(), last[good].tolist()):
-        for i, j, size in intervals(s.common[a:b].tolist(), s.size[a:b].tolist(), s.left[a:b].tolist(), (times[s.text[a:b]] > 1).tolist()):
-            which = s.text[a + i : a + j + 1]
-            at = np.concatenate([np.arange(heads[t], heads[t + 1]) for t in which.tolist()])
-            offset = int(s.offset[a + i])
-            yield at, np.repeat(s.offset[a + i : a + j + 1], times[which]), size, texts[which[0]][offset : offset + size]
+        yield a, s.common[a:b].tolist(), s.size[a:b].tolist(), s.left[a:b].tolist(), (times[s.text[a:b]] > 1).tolist()
+
+
+def repeats(texts: list[bytes], heads: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, int, bytes]]:
+    """Maximal repeats of a cell: all places of their texts, the offsets in these, the length and the bytes. Those of text t go from ``heads[t]`` to ``heads[t + 1]``."""
+    s, times = Suffixes(texts, length), np.diff(heads)
+    for a, *run in _blocks(s, times, length, 1):
+        for i, j, size, maximal in scan(*run):
+            if maximal:
+                which, offset = s.text[a + i : a + j + 1], int(s.offset[a + i])
+                at = np.concatenate([np.arange(heads[t], heads[t + 1]) for t in which.tolist()])
+                yield at, np.repeat(s.offset[a + i : a + j + 1], times[which]), size, texts[which[0]][offset : offset + size]
+
+
+def late(texts: list[bytes], value: np.ndarray, heads: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places, as numbers, and lengths of occurrences that cover what all occurrences but the first of all maximal repeats of a cell cover.
+
+    Inner intervals come first and share more. Of each only the first occurrence goes on to the interval
+    around it, for the others are covered already: here, or, where the interval is not maximal, by the
+    longer repeat to its left. So every place is told once, however deep intervals nest.
+    """
+    first = np.minimum.reduceat(value, heads[:-1]) if len(texts) else value
+    sizes = np.array([len(t) for t in texts], np.int64)
+    # The interval of a whole text that is found at several places.
+    again = value != np.repeat(first, np.diff(heads))
+    starts, lengths = [value[again]], [np.repeat(sizes, np.diff(heads))[again]]
+    s = Suffixes(texts, length)
+    places = first[s.text] + s.offset
+    out: list[tuple[int, int]] = []
+    for a, common, size, left, _ in _blocks(s, np.diff(heads), length, 2):
+        own, open_, told = places[a : a + len(size)].tolist(), [], 0
+        for i, j, shared, maximal in scan(common, size, left, [False] * len(size)):
+            while told <= j:
+                open_.append((told, own[told]))
+                told += 1
+            lead = own[j]
+            inner = len(open_)
+            while inner and open_[inner - 1][0] >= i:
+                inner -= 1
+                lead = min(lead, open_[inner][1])
+            if maximal:
+                out += [(v, shared) for _, v in open_[inner:] if v != lead]
+            del open_[inner:]
+            open_.append((i, lead))
+    if out:
+        found = np.array(out, np.int64)
+        starts.append(found[:, 0])
+        lengths.append(found[:, 1])
+    return np.concatenate(starts), np.concatenate(lengths)
 
 
 def _cell(length: int):
@@ -450,18 +486,15 @@ def _cell(length: int):
         texts, text, by, where = _gathered(group.to_pylist())
         where = where.take(by)
         value = where.values()
-        heads = np.searchsorted(text, np.arange(len(texts) + 1))
-        at, start, end = [], [], []
-        for place, offset, size, _ in repeats(texts, value, heads, length):
-            v = value[place] + offset
-            late = v != v.min()
-            at.append(place[late])
-            start.append(where.start[place[late]] + offset[late])
-            end.append(start[-1] + size)
-        if not at:
-            return _covered_batch([])
-        at, start, end = (np.concatenate(x) for x in (at, start, end))
-        return _covered_batch(_coverage(where.chunk[at], where.row[at], start, end))
+        found, size = late(texts, value, np.searchsorted(text, np.arange(len(texts) + 1)), length)
+        # Rows that repeat id and text are one document: what is covered in it is covered in each.
+        doc = value >> 40
+        rows = np.unique(np.stack([doc, where.chunk, where.row]), axis=1)
+        low, high = (np.searchsorted(rows[0], found >> 40, side) for side in ("left", "right"))
+        n = high - low
+        at = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        start = np.repeat(found & ((1 << 40) - 1), n)
+        return _covered_batch(_coverage(rows[1][at], rows[2][at], start, start + np.repeat(size, n)))
 
     return run
 
@@ -475,7 +508,7 @@ def _listed(length: int):
         value = where.values()
         heads = np.searchsorted(text, np.arange(len(texts) + 1))
         out = {c: [] for c in ("group", "length", "doc", "start", "first")}
-        for place, offset, size, content in repeats(texts, value, heads, length):
+        for place, offset, size, content in repeats(texts, heads, length):
             v = value[place] + offset
             _, one = np.unique(v, return_index=True)
             out["group"] += [xxhash.xxh3_128_hexdigest(content)] * len(one)

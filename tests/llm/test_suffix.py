@@ -114,13 +114,32 @@ def test_intervals_are_the_maximal_repeats(seed):
         if len(places) > 1 and (len(before) > 1) and len(after) > 1:
             expected[string] = sorted(places)
     got = {}
-    value = np.arange(len(texts)) << 40
-    for at, offset, _, content in suffix.repeats(texts, value, np.arange(len(texts) + 1), length):
+    for at, offset, _, content in suffix.repeats(texts, np.arange(len(texts) + 1), length):
         assert content not in got
         got[content] = sorted(zip(at.tolist(), offset.tolist()))
     assert got == expected
 
 
+def test_near_copies_are_told_once_a_place():
+    """Of many copies with an edit each, every place is told once at most, and what is told covers what brute force covers."""
+    rng = random.Random(8)
+    base = words(rng, 60).encode()
+    texts = sorted({base[:i] + bytes([rng.choice(b"XYZ")]) + base[i + 1 :] for i in range(0, len(base), 2)} | {base})
+    heads = np.arange(len(texts) + 1)
+    found, size = suffix.late(texts, np.arange(len(texts)) << 40, heads, 50)
+    assert len(found) == len(set(found.tolist()))
+    covered = np.zeros((len(texts), len(base)), bool)
+    for v, n in zip(found.tolist(), size.tolist()):
+        covered[v >> 40, v & ((1 << 40) - 1) : (v & ((1 << 40) - 1)) + n] = True
+    seen, expected = set(), np.zeros_like(covered)
+    for t, text in enumerate(texts):
+        for p in range(len(text) - 49):
+            if text[p : p + 50] in seen:
+                expected[t, p : p + 50] = True
+            seen.add(text[p : p + 50])
+    assert (covered == expected).all()
+
+
 def test_groups_hold_all_occurrences(spark):
     rng = random.Random(5)
     shared = words(rng, 30)[:120]
