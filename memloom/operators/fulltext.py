@@ -80,7 +80,7 @@ def _ranked(terms: DataFrame, hits: DataFrame, whole: DataFrame, k: int) -> Data
 HEADS = 64
 
 
-def _head(c: Column) -> Column:
+def head(c: Column) -> Column:
     return F.pmod(F.xxhash64(F.substring(c, 1, 2)), F.lit(HEADS)).cast("int")
 
 
@@ -88,7 +88,7 @@ def build_index(docs: DataFrame, path: str, id_col: str = "id", *text_cols: str)
     """Write the index of ``docs``: a search reads only the folders that its terms can be in."""
     index = postings(docs, id_col, *text_cols)
     # Sorted within a folder, so that row groups of other tokens are skipped by their bounds.
-    index.withColumn("head", _head(F.col("token"))).repartition("head", F.pmod(F.xxhash64("token"), F.lit(16))).sortWithinPartitions("head", "token").write.mode("overwrite").partitionBy("head").parquet(f"{path}/postings")
+    index.withColumn("head", head(F.col("token"))).repartition("head", F.pmod(F.xxhash64("token"), F.lit(16))).sortWithinPartitions("head", "token").write.mode("overwrite").partitionBy("head").parquet(f"{path}/postings")
     every = F.concat(*(tokens(F.col(c)) for c in text_cols))
     docs.select(F.col(id_col).alias("doc_id"), F.size(every).alias("n_tokens")).write.mode("overwrite").parquet(f"{path}/documents")
 
@@ -106,7 +106,7 @@ def search_index(spark: SparkSession, path: str, queries: DataFrame, k: int = 10
     found = terms.select("term").distinct().limit(MOST_TERMS + 1).collect()
     index = spark.read.parquet(f"{path}/postings")
     if len(found) <= MOST_TERMS:
-        heads = terms.select(_head(F.col("term")).alias("head")).distinct().collect()  # HEADS at most
+        heads = terms.select(head(F.col("term")).alias("head")).distinct().collect()  # HEADS at most
         index = index.filter(F.col("head").isin([r["head"] for r in heads]))
         if len(found) <= 200:  # few terms: the scan itself is bounded by them
             index = index.filter(reduce(lambda a, b: a | b, (F.col("token").startswith(r["term"]) for r in found), F.lit(False)))
