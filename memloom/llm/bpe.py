@@ -14,8 +14,9 @@ of the three encodings, so the joined sequence is the encoding of the whole.
 What a side is made of depends on the tokenizer's file, which is looked at first:
 
 * Where it drops white space and splits there (``_PLAIN``), a token never crosses
-  it, so a side is a list of the runs between white space, each of which stands
-  for its tokens. A task's bounded cache holds the encodings of runs. A run of
+  it, so a side is a list of the encodings of the runs between white space; both sides
+  agree with a window where a run lies at the same place and has the same tokens. A
+  task's bounded cache holds the encodings of runs, for leaves and windows alike. A run of
   plain letters, with or without closing marks, goes to the library's merge model
   as it is, for normalising and splitting would not change it; any other run goes
   through the whole library. Where runs are longer than ``LONG_RUN`` a text is
@@ -150,23 +151,50 @@ class Encoder:
         # The file composes before it lower-cases, and a mark may compose with a small letter only.
         return b" ".join([p.lower() if p.isascii() else p for p in raw.split()])
 
-    def _joined(self, text: bytes, cuts: list[int], leaves: list[list[bytes]]) -> list[bytes] | None:
-        """The runs of a text from those of its leaves; None where a run is too long to be told by its neighbours."""
+    def _token(self, run: bytes) -> tuple[bytes, bytes]:
+        """The encoding of a run, from the cache or the library."""
+        if (found := self.known.get(run) or self.older.get(run)) is None:
+            self._learn({run})
+            found = self.known[run]
+        return found
+
+    def _joined(self, text: bytes, cuts: list[int], leaves: list[list[tuple[bytes, bytes]]]) -> list[tuple[bytes, bytes]] | None:
+        """The encoding of a text from those of its leaves, run by run; None where a run is too long to be told by its neighbours.
+
+        At each join a window is encoded. The left side's tokens hold up to the last run that the window
+        has at the same place with the same tokens, the right side's from the first such run on.
+        """
         level = list(zip(cuts, cuts[1:], leaves))
         while len(level) > 1:
             above = []
             for (a, at, x), (_, b, y) in zip(level[::2], level[1::2]):
                 w = WINDOW
-                while (mid := _meeting(text, a, at, b, w)) is None:
+                while (found := self._met(text, a, at, b, w, x, y)) is None:
                     w *= 2
                     if w > LONG_RUN:
                         return None
                 self.joins += 1
-                left, window, right = mid
-                above.append((a, b, x[: len(x) - left] + window + y[right:]))
+                above.append((a, b, found))
             level = above + level[len(above) * 2 :]
         return level[0][2] if level else []
 
+    def _met(self, text: bytes, a: int, at: int, b: int, w: int, x: list[tuple[bytes, bytes]], y: list[tuple[bytes, bytes]]) -> list[tuple[bytes, bytes]] | None:
+        """The sides [a, at) and [at, b) joined over a window; None unless both agree with it, or it holds them from their ends on."""
+        lo, hi = max(a, _edge(text, at - w)), min(b, _edge(text, at + w))
+        window = [(m.start() + lo, m.end() + lo) for m in _RUN.finditer(text[lo:hi])]
+        mid = [self._token(text[s:e]) for s, e in window]
+        left, right = (0, 0) if lo == a else None, (len(window), len(y)) if hi == b else None
+        for i in range(len(window) - 1, -1, -1):
+            s, e = window[i]
+            if e <= at and (s > lo or lo == a) and (keep := len(x) - len(text[e:at].split())) > 0 and x[keep - 1] == mid[i]:
+                left = keep, i + 1
+                break
+        for i, (s, e) in enumerate(window):
+            if s >= at and (e < hi or hi == b) and (skip := len(text[at:s].split())) < len(y) and y[skip] == mid[i]:
+                right = i, skip
+                break
+        return x[: left[0]] + mid[left[1] : right[0]] + y[right[1] :] if left and right and left[1] <= right[0] else None
+
     def _letters(self, piece: bytes) -> tuple[bytes, bytes] | None:
         """The encoding of letters that the normaliser leaves alone, or None."""
         if piece.isalpha():  # of ASCII
@@ -225,19 +253,12 @@ class Encoder:
         low = [self._lowered(t) for t in texts]
         cuts = [_halved(0, len(x), self.leaf, x) for x in low]
         leaves = [[x[a:b].split() for a, b in zip(c, c[1:])] for x, c in zip(low, cuts, strict=True)]
-        meetings = [x[_edge(x, at - WINDOW) : _edge(x, at + WINDOW)].split() for x, c in zip(low, cuts, strict=True) for at in c[1:-1]]
-        self._need([ws for x in leaves for ws in x] + meetings)
-        runs = [self._joined(*x) for x in zip(low, cuts, leaves, strict=True)]
-        self._need([ws for ws in runs if ws is not None])
-        hard = iter(self.tree([t or "" for t, ws in zip(texts, runs, strict=True) if ws is None]))
-        out = []
-        for ws in runs:
-            if ws is None:
-                out.append(self._packed(next(hard)))
-            else:
-                found = [self.known[w] for w in ws]
-                out.append((b"".join([x[0] for x in found]), b" ".join([x[1] for x in found if x[0]])))
-        return out
+        windows = [x[_edge(x, at - WINDOW) : _edge(x, at + WINDOW)].split() for x, c in zip(low, cuts, strict=True) for at in c[1:-1]]
+        self._need([ws for x in leaves for ws in x] + windows)
+        known = self.known  # a window that grows may start another
+        done = [self._joined(x, c, [[known[w] for w in ws] for ws in parts]) for x, c, parts in zip(low, cuts, leaves, strict=True)]
+        hard = iter(self.tree([t or "" for t, x in zip(texts, done, strict=True) if x is None]))
+        return [self._packed(next(hard)) if x is None else (b"".join([ids for ids, _ in x]), b" ".join([said for ids, said in x if ids])) for x in done]
 
     def decode(self, ids: list[int]) -> str:
         """As the library decodes; without a decoder that is the tokens' strings, joined by spaces."""
@@ -263,21 +284,6 @@ def _halved(a: int, b: int, leaf: int, text: bytes | None = None) -> list[int]:
     return sorted({_edge(text, x) for x in places} if text is not None else places)
 
 
-def _meeting(text: bytes, a: int, at: int, b: int, w: int) -> tuple[int, list[bytes], int] | None:
-    """How the sides [a, at) and [at, b) join over a window: runs of the left side to drop, the window's, runs of the right side to drop; None unless both sides agree with it."""
-    lo, hi = max(a, _edge(text, at - w)), min(b, _edge(text, at + w))
-    window = [(m.start() + lo, m.end() + lo) for m in _RUN.finditer(text[lo:hi])]
-    whole_left = lo == a
-    common = [i for i, (s, e) in enumerate(window) if e <= at and (s > lo or whole_left)]
-    after = [i for i, (s, e) in enumerate(window) if s >= at and (e < hi or hi == b)]
-    if not (common or whole_left) or not (after or hi == b):
-        return None
-    first, last = common[-1] + 1 if common else 0, after[0] if after else len(window)
-    left = text[window[first - 1][1] if common else a : at].split()
-    right = text[at : window[last][0] if after else b].split()
-    return len(left), [text[s:e] for s, e in window[first:last]], len(right)
-
-
 def _agree_left(x: Tokens, mid: Tokens, lo: int, most: int) -> tuple[int, int] | None:
     """Counts of tokens up to the last common one that ends at or before ``most`` and starts after the window does."""
     ends = {x[i][2]: i for i in range(len(x)) if i + 1 == len(x) or x[i + 1][1] >= x[i][2]}

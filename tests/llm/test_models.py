@@ -71,6 +71,22 @@ def test_shipped_documents_go_through_the_tree():
     assert encoder.plain and encoder.joins == sum(len(bpe._halved(0, len(x), bpe.LEAF, x)) - 2 for t in texts if (x := encoder._lowered(t))) > 200
 
 
+def test_sides_join_only_where_their_tokens_agree():
+    """A side whose tokens differ from the window's next to a cut makes the window grow; one that never agrees is left to the whole text."""
+    encoder = bpe.Encoder(open(PATH).read())
+    text = b"some words of a text " * 30
+    cuts = bpe._halved(0, len(text), 200, text)
+    good = [[encoder._token(w) for w in text[a:b].split()] for a, b in zip(cuts, cuts[1:])]
+    ids = lambda x: b"".join(i for i, _ in x)
+    want = ids([encoder._token(w) for w in text.split()])
+    assert ids(encoder._joined(text, cuts, good)) == want
+    odd = (b"\0\0\0\0", b"odd")
+    near = [x[:-4] + [odd] * 4 if i == 0 else x for i, x in enumerate(good)]  # wrong within the first window alone
+    assert ids(encoder._joined(text, cuts, near)) == want
+    long = text * 2  # its sides are longer than any window
+    assert encoder._joined(long, [0, len(text), len(long)], [[odd] * len(text.split())] * 2) is None
+
+
 @pytest.fixture(scope="module")
 def other():
     """A file that keeps white space, composes nothing and decodes by bytes."""
