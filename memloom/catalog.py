@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from memloom import fixtures as fx
 from memloom.functions import gates, text
 from memloom.functions.split import OVERLAP, SEPARATORS, SIZE, split_documents
-from memloom.operators import fulltext, graph, lifecycle, rank, sessions, similarity, store, vector_index
+from memloom.operators import fulltext, graph, lifecycle, rank, sessions, similarity, snapshot, store, text_index, vector_index
 from memloom.plans import search
 from memloom.registry import ORACLES, QUERIES, folder, query
 from memloom.shared import cut, dealt, table
@@ -60,6 +60,21 @@ def indexed_nearest(spark, sf):
     return both.agg(F.countDistinct("query_id").alias("asked"), (F.sum(F.coalesce("hit", F.lit(0))) >= 0.9 * F.count(F.lit(1))).alias("near_enough"))
 
 
+@query("SELECT count(*) FILTER (vec_id % 50 = 0) AS asked, true AS near_enough, 0::BIGINT AS missing FROM embeddings")
+def stored_nearest(spark, sf):
+    """The same by a stored index to which a third of the rows came later; and how many rows no cell holds."""
+    path, v = folder(spark, "cells"), fx.vectors(spark, sf)
+    cells = vector_index.fit(v)
+    vector_index.store(v.filter("id % 3 <> 0"), cells, path)
+    vector_index.append(v.filter("id % 3 = 0"), path)
+    q = v.filter("id % 50 = 0")
+    exact, found = similarity.nearest(q, v, 10), vector_index.stored_nearest(q, path, 10)
+    both = exact.select("query_id", "id").join(found.select("query_id", "id", F.lit(1).alias("hit")), ["query_id", "id"], "left")
+    held = spark.read.parquet(f"{path}/cells").select("id")
+    told = both.agg(F.countDistinct("query_id").alias("asked"), (F.sum(F.coalesce("hit", F.lit(0))) >= 0.9 * F.count(F.lit(1))).alias("near_enough"))
+    return told.crossJoin(v.join(held, "id", "left_anti").agg(F.count(F.lit(1)).alias("missing")))  # one row each
+
+
 @query("WITH " + _NEAR.format(where="") + " SELECT least(query_id, id) AS src, greatest(query_id, id) AS dst, round(max(similarity), 6) AS weight FROM r WHERE rank <= 5 AND similarity >= 0.3 GROUP BY 1, 2")
 def knn_graph(spark, sf):
     return graph.knn_edges(fx.vectors(spark, sf), 5, 0.3).withColumn("weight", F.round("weight", 6))
@@ -311,6 +326,18 @@ def indexed_search(spark, sf):
     return fulltext.search_index(spark, path, q, 20).withColumn("score", F.round("score", 4))
 
 
+@query("WITH " + _bm25_sql("m", f"SELECT conv_id * 10000 + turn AS id, {_TOK.format('text')} AS t FROM conversations WHERE NOT (conv_id % 4 = 1 AND turn >= 3)", "SELECT item_id AS query_id, text FROM benchmark WHERE item_id % 50 = 0", 20) + " SELECT query_id, rank, doc_id, round(score, 4) AS score FROM m")
+def kept_index(spark, sf):
+    """The same by an index that is kept up to date: conversations come in three updates, the last of which takes late turns of some out again."""
+    path, m = folder(spark, "kept"), fx.messages(spark, sf)
+    conv = F.floor(F.col("id") / 10_000)
+    late = m.filter((conv % 4 == 1) & (F.col("id") % 10_000 >= 3)).select(F.col("id").alias("doc_id"))
+    for new, gone in ((m.filter(conv % 2 == 1), None), (m.filter(conv % 4 == 2), None), (m.filter(conv % 4 == 0), late)):
+        text_index.update(spark, path, new, "id", ["content"], gone, span=500_000)
+    q = table(spark, sf, "benchmark").filter("item_id % 50 = 0").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return fulltext.search_index(spark, path, q, 20).withColumn("score", F.round("score", 4))
+
+
 @query("SELECT count(*) AS documents, count(*) FILTER (turn < 5) AS indexed, count(*) FILTER (turn >= 5) AS missing, 0::BIGINT AS stray FROM conversations")
 def index_check(spark, sf):
     """A stored index that lacks the later turns, held against the messages."""
@@ -615,6 +642,19 @@ def fact_upsert(spark, sf):
     return out.select("fact_hash", F.md5("full_key").alias("key_digest"), "category", "source", "importance", "seen_count", day("created_at").alias("first_doc"), day("last_seen_at").alias("last_doc"))
 
 
+@query(f"""WITH d AS (SELECT *, {_HASH} AS h FROM documents)
+SELECT h AS fact_hash, arg_min(md5(text), doc_id) AS key_digest, arg_min(lang, doc_id) AS category, max(doc_id % 5 + 1)::INTEGER AS importance, count(*) AS seen_count, min(doc_id) AS first_doc, max(doc_id) AS last_doc FROM d GROUP BY h""")
+def fact_snapshot(spark, sf):
+    """The same upserts in three increments, each merged into the buckets of a stored snapshot that it touches."""
+    path, d = folder(spark, "snapshot"), dealt(table(spark, sf, "documents").drop("n_chars"), "doc_id")
+    log = d.select(F.col("text").alias("full_key"), F.col("lang").alias("category"), "source", (F.col("doc_id") % 5 + 1).alias("importance"), F.timestamp_seconds("doc_id").alias("ts"), F.col("doc_id").alias("seq"))
+    new = store.sightings(log)
+    for upto in range(3):
+        snapshot.advance(spark, path, new.filter(F.col("first.seq") % 3 == upto), upto, "fact_hash", store.merged, buckets=16)
+    kept = snapshot.current(spark, path, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in new.schema))
+    return kept.select("fact_hash", F.md5("full_key").alias("key_digest"), "category", "importance", "seen_count", F.col("first.seq").alias("first_doc"), F.col("last.seq").alias("last_doc"))
+
+
 @query("""WITH e AS (SELECT user_id, ts, event_id, event_type = (SELECT min(event_type) FROM events) AS stop, floor(value)::INTEGER % 5 AS imp FROM events),
 p AS (SELECT *, coalesce(sum(stop::INTEGER) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS epoch FROM e)
 SELECT user_id::VARCHAR AS user_key, epoch::BIGINT AS epoch, count(*) FILTER (NOT stop) AS seen_count, max(imp) FILTER (NOT stop) AS importance, max(event_id) FILTER (stop) AS ended_by FROM p GROUP BY ALL HAVING count(*) FILTER (NOT stop) > 0""")

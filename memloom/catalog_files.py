@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,9 +13,9 @@ from memloom import fixtures as fx
 from memloom import schema
 from memloom.functions import gates, models, text, vectors
 from memloom.operators import graph, lifecycle, rank, similarity, store, summaries
-from memloom.plans import tools
+from memloom.plans import projects, tools
 from memloom.registry import folder, query
-from memloom.shared import dealt, names, table
+from memloom.shared import cut, dealt, names, table
 from memloom.sources import files
 from memloom.streaming import incremental
 
@@ -33,10 +36,11 @@ def directory_scan(spark, sf):
     return out.select(F.regexp_extract("source", r"item_id=(\d+)/", 1).cast("long").alias("item_id"), F.md5("text").alias("digest"))
 
 
-@query("SELECT md5(text || chr(10)) AS digest FROM benchmark WHERE item_id = 1")
+@query("SELECT md5(string_agg(text || chr(10), '' ORDER BY item_id)) AS digest FROM benchmark")
 def single_file(spark, sf):
+    """All benchmark texts as the lines of one file."""
     path = folder(spark, "file")
-    table(spark, sf, "benchmark").filter("item_id = 1").select("text").coalesce(1).write.text(path)
+    table(spark, sf, "benchmark").repartition(1).sortWithinPartitions("item_id").select("text").write.text(path)
     name = next(n for n in names(spark, path) if n.endswith(".txt"))
     return files.load_file(spark, f"{path}/{name}").select(F.md5("text").alias("digest"))
 
@@ -82,13 +86,13 @@ def graph_store(spark, sf):
     return out[0].unionByName(out[1])
 
 
-@query("SELECT least('n' || vec_id, 'n' || (vec_id * 7 + 3) % 499) AS src, greatest('n' || vec_id, 'n' || (vec_id * 7 + 3) % 499) AS dst, 0.5::DOUBLE AS weight FROM embeddings WHERE vec_id < 300")
+@query("SELECT least('n' || vec_id, 'n' || (vec_id * 7 + 3) % 499) AS src, greatest('n' || vec_id, 'n' || (vec_id * 7 + 3) % 499) AS dst, 0.5::DOUBLE AS weight FROM embeddings")
 def node_link(spark, sf):
-    """Edges of a node-link document."""
+    """Edges of node-link documents, one for each hundred nodes."""
     path = folder(spark, "node-link")
-    v = table(spark, sf, "embeddings").filter("vec_id < 300").select(F.concat(F.lit("n"), "vec_id").alias("a"), F.concat(F.lit("n"), (F.col("vec_id") * 7 + 3) % 499).alias("b"))
-    doc = v.agg(F.collect_list(F.struct(F.col("a").alias("id"))).alias("nodes"), F.collect_list(F.struct(F.col("a").alias("source"), F.col("b").alias("target"), F.lit(0.5).alias("weight"))).alias("links"))
-    doc.select(F.to_json(F.struct("nodes", "links"))).coalesce(1).write.text(path)
+    v = table(spark, sf, "embeddings").select(F.floor(F.col("vec_id") / 100).alias("block"), F.concat(F.lit("n"), "vec_id").alias("a"), F.concat(F.lit("n"), (F.col("vec_id") * 7 + 3) % 499).alias("b"))
+    doc = v.groupBy("block").agg(F.collect_list(F.struct(F.col("a").alias("id"))).alias("nodes"), F.collect_list(F.struct(F.col("a").alias("source"), F.col("b").alias("target"), F.lit(0.5).alias("weight"))).alias("links"))  # a hundred each
+    doc.select("block", F.to_json(F.struct("nodes", "links")).alias("value")).write.partitionBy("block").text(path)
     return files.import_node_link(spark, path)[1].select("src", "dst", "weight")
 
 
@@ -109,13 +113,26 @@ def _width(ddl: str) -> int:
     return n
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{n.lower()}', {_width(getattr(schema, n))}, 0)" for n in schema.TABLES) + ") t(name, columns, again)")
+@query("SELECT name, columns, again, CASE name WHEN 'facts' THEN (SELECT count(*) FROM documents) WHEN 'relations' THEN (SELECT count(*) FROM lineitem) WHEN 'state' THEN (SELECT count(*) FROM orders) ELSE 0 END AS rows FROM (VALUES " + ", ".join(f"('{n.lower()}', {_width(getattr(schema, n))}, 0)" for n in schema.TABLES) + ") t(name, columns, again)")
 def store_tables(spark, sf):
-    """The tables of a new store, with their columns; asked again, none is made."""
+    """The tables of a new store, with their columns and the rows that were put into three of them; asked again, none is made."""
     path = folder(spark, "store")
     made = files.create_tables(spark, path)
+    d, o = table(spark, sf, "documents"), table(spark, sf, "orders")
+    rows = {
+        "facts": d.select(F.col("doc_id").alias("id"), text.fact_hash("text").alias("fact_hash"), F.col("text").alias("full_key"), F.col("lang").alias("category"), "source"),
+        "relations": fx.relations(spark, sf),
+        "state": o.select(F.col("o_orderkey").cast("string").alias("key"), F.col("o_orderstatus").alias("value"), F.col("o_orderdate").cast("timestamp").alias("updated_at")),
+    }
+    for name, df in rows.items():
+        files.insert(df, path, name)
     again = len(files.create_tables(spark, path))
-    return spark.createDataFrame([(n, len(spark.read.parquet(f"{path}/{n}").columns), again) for n in made], "name string, columns int, again int")
+    out = None
+    for name in made:  # the store's tables
+        t = spark.read.parquet(f"{path}/{name}")
+        one = t.agg(F.lit(name).alias("name"), F.lit(len(t.columns)).alias("columns"), F.lit(again).alias("again"), F.count(F.lit(1)).alias("rows"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query("""WITH e AS (SELECT user_id, ts, event_id, event_type = (SELECT min(event_type) FROM events) AS stop FROM events)
@@ -340,18 +357,62 @@ def agent_rows(spark, sf):
     return tools.agent_stats(tools.of_agent(tools.of_agent(e, "all"), first))
 
 
-_CALLS = [("nothing", "{}"), ("unified_search", '{"query": "x"}'), ("unified_search", '{"query": " !!! "}'), ("graph_search", '{"query": "?", "project": "p"}'), ("graph_search", "{"), ("graph_index", "{}")]
+def _two_projects(spark: SparkSession, sf: str) -> str:
+    """All vectors as the nodes of two projects, by the parity of their labels; the second is saved twice, at last without every seventh."""
+    path, v = folder(spark, "projects"), fx.vectors(spark, sf)
+    nodes = v.select(F.concat(F.lit("n"), "id").alias("node"), "id", F.col("full_key").alias("content"), F.lit("fact").alias("type"), "embedding", "label")
+    edges = similarity.similar_pairs(v, 0.33).select(F.concat(F.lit("n"), "src").alias("src"), F.concat(F.lit("n"), "dst").alias("dst"), "weight")
+    member = nodes.select("node", F.col("label").alias("community"))
+    for name, some in (("one", "label % 2 = 0"), ("two", "label % 2 = 1"), ("two", "label % 2 = 1 AND id % 7 <> 0")):
+        files.save_graph(path, name, nodes.filter(some), edges, member)
+    return path
+
+
+@query(f"""WITH {c._UNIT}, asks AS (SELECT *, 'n' || id AS node FROM v WHERE id % 50 = 0), nodes AS (SELECT *, 'n' || id AS node, CASE WHEN label % 2 = 0 THEN 'one' ELSE 'two' END AS project FROM v WHERE label % 2 = 0 OR id % 7 <> 0),
+s AS (SELECT a.id AS query_id, b.project, b.node, {c._COS} AS similarity FROM asks a, nodes b WHERE {c._COS} >= 0.1),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id, project ORDER BY similarity DESC, node)::INTEGER AS rank, count(*) OVER (PARTITION BY query_id, project) AS total FROM s)
+SELECT query_id, project, rank, node, round(similarity, 6) AS similarity, total, NULL::VARCHAR AS error FROM r WHERE rank <= 5
+UNION ALL SELECT id, 'none', NULL, NULL, NULL, 0, 'No project: none' FROM asks""")
+def project_search(spark, sf):
+    """Every fiftieth vector asked in two stored projects and in one that isn't there."""
+    v = fx.vectors(spark, sf).filter("id % 50 = 0")
+    asked = v.select(F.col("id").alias("query_id"), "embedding", F.explode(F.array(*(F.lit(p) for p in ("one", "two", "none")))).alias("project"))
+    out = projects.search(spark, _two_projects(spark, sf), asked, 5, 0.1)
+    return out.select("query_id", "project", "rank", "node", F.round("similarity", 6).alias("similarity"), "total", "error")
+
+
+@query(f"""WITH {c._UNIT}, s AS (SELECT 'n' || b.id AS node, {c._COS} AS similarity FROM v a, v b WHERE a.id = 0 AND b.label % 2 = 1 AND b.id % 7 <> 0)
+SELECT row_number() OVER (ORDER BY similarity DESC, node)::INTEGER AS rank, node, round(similarity, 6) AS similarity FROM s QUALIFY rank <= 20""")
+def sql_project_search(spark, sf):
+    """A stored project asked in SQL, by a table function over all its nodes."""
+    name = projects.sql_functions(spark, _two_projects(spark, sf), f"search_{uuid.uuid4().hex}")
+    vector = ", ".join(f"{float(x)!r}D" for x in fx.vectors(spark, sf).filter("id = 0").first()["embedding"])
+    return spark.sql(f"SELECT rank, node, round(similarity, 6) AS similarity FROM {name}('two', array({vector}), 20)")
+
+
+_ASKS = 4
+_CALLS = [("nothing", "{}"), ("unified_search", '{"query": "x"}'), ("unified_search", '{"query": " !!! "}'), ("graph_search", '{"query": "?", "project": "p"}'), ("graph_search", "{"), ("graph_index", "{}"), ("graph_search", '{"query": "words", "project": "p"}')]
 _SAID = [
     '{"error": "Unknown tool: nothing"}', '{"query": "x", "results": [], "total": 0}', '{"query": " !!! ", "results": [], "total": 0}', '{"query": "?", "project": "p", "results": [], "total": 0}',
-    '{"error": "Internal error occurred"}', '{"error": "Internal error occurred"}',
+    '{"error": "Internal error occurred"}', '{"error": "Internal error occurred"}', '{"query": "words", "project": "p", "error": "No project: p", "results": [], "total": 0}',
 ]
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, '{a}')" for i, a in enumerate(_SAID)) + ") t(call, answer)")
+@query(f"""SELECT 'call ' || call AS call, answer FROM (VALUES {", ".join(f"({i}, '{a}')" for i, a in enumerate(_SAID))}) t(call, answer)
+UNION ALL SELECT project || ' ' || a.item_id, count(b.item_id)::VARCHAR FROM (SELECT * FROM benchmark ORDER BY item_id LIMIT {_ASKS}) a, (VALUES ('even', 0), ('odd', 1)) p(project, side) LEFT JOIN benchmark b ON b.item_id % 2 = side AND b.text = a.text GROUP BY project, a.item_id""")
 def tool_answers(spark, sf):
-    """What tools say to questions that can't be asked."""
-    kit = tools.Tools(fx.memory(spark, sf), fx.as_of())
-    return spark.createDataFrame([(i, kit.call(*x)) for i, x in enumerate(_CALLS)], "call int, answer string")
+    """What tools say to questions that can't be asked; and in which of two projects, made of all benchmark texts, a text is found word for word."""
+    path, b = folder(spark, "projects"), table(spark, sf, "benchmark")
+    nodes = cut(models.embed(b.select("item_id", F.col("item_id").cast("string").alias("node"), F.col("text").alias("content")), text.norm_query("content")), "nodes")
+    for side, name in enumerate(("even", "odd")):
+        files.save_graph(path, name, nodes.filter(F.col("item_id") % 2 == side), spark.createDataFrame([], "src string, dst string, weight double"), nodes.select("node", F.col("node").alias("community")))
+    with tools.Tools(fx.memory(spark, sf), fx.as_of(), path, least=0.999999) as kit:
+        out = [(f"call {i}", kit.call(*x)) for i, x in enumerate(_CALLS)]
+        for r in b.orderBy("item_id").limit(_ASKS).collect():  # the questions of one user
+            for name in ("even", "odd"):
+                said = json.loads(kit.call("graph_search", {"query": r["text"], "project": name}))
+                out.append((f"{name} {r['item_id']}", str(said["total"])))
+    return spark.createDataFrame(out, "call string, answer string")
 
 
 # Graph

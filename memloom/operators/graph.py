@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +16,7 @@ from memloom.functions.vectors import cosine
 from memloom.operators import local, vector_index
 from memloom.operators.components import components
 from memloom.operators.similarity import nearest, similar_pairs
-from memloom.shared import cut, first_rows
+from memloom.shared import cut, drop, first_rows
 
 #: Edges of a graph that one task may hold: some 100 MB.
 MOST_LOCAL = 200_000
@@ -84,16 +86,51 @@ def connected(nodes: DataFrame, edges: DataFrame, id_col: str = "id") -> DataFra
     return nodes.select(F.col(id_col).alias("node")).join(found, "node", "left").select("node", F.coalesce("label", "node").alias("community"))
 
 
-def _proposals(links: DataFrame, strength: DataFrame, m2: float, membership: DataFrame, resolution: float) -> DataFrame:
+def _whole_weights(edges: DataFrame) -> DataFrame:
+    """``src, dst, weight`` with the weights as whole numbers whose sum stays below 2^51, so that sums are exact in any order; edges of no weight do not count."""
+    edges = edges.select("src", "dst", F.col("weight").cast("double").alias("weight")).filter("src <> dst AND weight > 0")
+    total = edges.agg(F.sum("weight")).first()[0] or 1.0
+    scale = 2.0 ** (50 - math.ceil(math.log2(total)))
+    ends = [F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")]
+    return edges.groupBy(*ends).agg(F.sum(F.floor(F.col("weight") * F.lit(scale) + 0.5)).cast("double").alias("weight")).filter("weight > 0")
+
+
+def _coin(node: str, turn: int) -> Column:
+    """A bit of the node's hash, another every turn."""
+    return F.shiftrightunsigned(F.xxhash64(node), turn % 64).bitwiseAND(F.lit(1)) == 1
+
+
+class _Level:
+    """A graph and what all rounds on it need: links of both directions and the strengths of its nodes."""
+
+    def __init__(self, edges: DataFrame, nodes: DataFrame):
+        self.edges, self.nodes = edges, nodes
+        ways = edges.select("src", "dst", "weight").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
+        self.strength = cut(nodes.join(ways.groupBy(F.col("src").alias("node")).agg(F.sum("weight").alias("k")), "node", "left").select("node", F.coalesce("k", F.lit(0.0)).alias("k")), "strength")
+        self.links = cut(ways.filter("src <> dst"), "links")
+        self.twice = self.strength.agg(F.sum("k")).first()[0] or 1.0
+
+    def score(self, part: DataFrame, resolution: float) -> Fraction:
+        """Modularity times the square of twice the weight, exactly."""
+        ends = labelled(self.edges, part)
+        inner = ends.agg(F.sum(F.when(F.col("a") == F.col("b"), F.col("weight")))).first()[0] or 0
+        of = self.strength.join(part, "node").groupBy("community").agg(F.sum("k").cast("decimal(18,0)").alias("d"))
+        return 2 * int(inner) * int(self.twice) - Fraction(resolution) * int(of.agg(F.sum((F.col("d") * F.col("d")).cast("decimal(38,0)"))).first()[0] or 0)
+
+    def drop(self) -> None:
+        drop(self.strength, self.links)
+
+
+def _proposals(level: _Level, membership: DataFrame, resolution: float) -> DataFrame:
     """``node, community, to, delta`` of every node that gains by a move; ``to`` is null where it gains most alone."""
-    held = membership.join(strength, "node", "left").withColumn("k", F.coalesce("k", F.lit(0.0)))
+    held = membership.join(level.strength, "node")
     totals = held.groupBy("community").agg(F.sum("k").alias("tot"))
     held = held.join(totals.withColumnRenamed("tot", "around"), "community")
-    near = links.join(membership.select(F.col("node").alias("dst"), F.col("community").alias("to")), "dst").groupBy(F.col("src").alias("node"), "to").agg(F.sum("weight").alias("w"))
+    near = level.links.join(membership.select(F.col("node").alias("dst"), F.col("community").alias("to")), "dst").groupBy(F.col("src").alias("node"), "to").agg(F.sum("weight").alias("w"))
     options = near.join(held, "node").join(totals.select(F.col("community").alias("to"), "tot"), "to")
     own, k = F.col("to") == F.col("community"), F.col("k")
-    gain = F.round(F.col("w") - resolution * k * (F.col("tot") - F.when(own, k).otherwise(F.lit(0.0))) / m2, 9)
-    best = options.select("node", "community", "to", own.alias("own"), gain.alias("gain"), F.round(-resolution * k * (F.col("around") - k) / m2, 9).alias("apart"))
+    gain = F.col("w") - F.lit(resolution) * k * (F.col("tot") - F.when(own, k).otherwise(F.lit(0.0))) / F.lit(level.twice)
+    best = options.select("node", "community", "to", own.alias("own"), gain.alias("gain"), (F.lit(-resolution) * k * (F.col("around") - k) / F.lit(level.twice)).alias("apart"))
     other = F.when(~F.col("own"), F.col("gain"))
     # ``apart`` is what staying gains without a neighbour inside; alone, a node gains nothing.
     chosen = best.groupBy("node").agg(
@@ -103,7 +140,7 @@ def _proposals(links: DataFrame, strength: DataFrame, m2: float, membership: Dat
         F.min_by("to", F.when(~F.col("own"), F.struct(-F.col("gain"), F.col("to")))).alias("to"),
     )
     moves = chosen.select("node", "community", F.when(F.col("top") >= 0, F.col("to")).alias("to"), (F.greatest("top", F.lit(0.0)) - F.col("stay")).alias("delta"))
-    return moves.filter("delta > 1e-9")
+    return moves.filter(F.col("delta") > local.LEAST_GAIN)
 
 
 def _apart(moves: DataFrame) -> DataFrame:
@@ -123,103 +160,171 @@ def _moved(membership: DataFrame, moves: DataFrame) -> DataFrame:
     return at.join(named, F.col("c").eqNullSafe(F.col("c2")) & F.col("alone").eqNullSafe(F.col("alone2"))).select("node", "community")
 
 
-def _settled(graph: DataFrame, membership: DataFrame, resolution: float, rounds: int, salt: int) -> tuple[DataFrame, bool]:
-    """The membership when no move of a single node raises modularity, and whether any was made."""
-    ways = both_ways(graph)
-    strength = cut(ways.groupBy(F.col("src").alias("node")).agg(F.sum("weight").alias("k")), "strength")
-    m2 = strength.agg(F.sum("k")).first()[0] or 1.0
-    links = cut(ways.filter("src <> dst"), "links")
-    best, changed = _score(graph, membership, resolution), False
-    for r in range(rounds):
-        moves = cut(_proposals(links, strength, m2, membership, resolution), "proposals")
+def _settled(level: _Level, membership: DataFrame, resolution: float, rounds: int, turn: int) -> tuple[DataFrame, bool, int]:
+    """The membership when no round of moves raises modularity, whether any was made, and the next turn. Deletes the memberships that it supersedes but for the first."""
+    best, given = level.score(membership, resolution), membership
+    for _ in range(rounds):
+        moves = cut(_proposals(level, membership, resolution), "proposals")
         if moves.isEmpty():
-            return membership, changed
-        # One half of the nodes, chosen by a hash, moves at once; where that does not pay, moves that cannot disturb each other do.
-        half = moves.filter(F.pmod(F.xxhash64("node", F.lit(salt + r)), F.lit(2)) == 0)
-        step = cut(_moved(membership, half), "moves")
-        score = _score(graph, step, resolution)
-        if score <= best + 1e-12:
+            drop(moves)
+            return membership, membership is not given, turn
+        # One half of the nodes moves at once; where that does not pay, moves that cannot disturb each other do.
+        step = cut(_moved(membership, moves.filter(~_coin("node", turn))), "moves")
+        turn += 1
+        score = level.score(step, resolution)
+        if score <= best:
+            drop(step)
             step = cut(_moved(membership, _apart(moves)), "moves")
-            score = _score(graph, step, resolution)
-        membership, best, changed = step, score, True
+            score = level.score(step, resolution)
+        drop(moves)
+        if score <= best:
+            drop(step)
+            return membership, membership is not given, turn
+        if membership is not given:
+            drop(membership)
+        membership, best = step, score
     raise RuntimeError(f"communities did not settle in {rounds} rounds")
 
 
+def _refined(level: _Level, membership: DataFrame, resolution: float, rounds: int, turn: int) -> tuple[DataFrame, int]:
+    """``node, community`` of the parts of communities: nodes start alone, and well-connected ones join the best well-connected part inside; and the next turn.
+
+    A node or a part is well connected if its links to the rest of its community weigh what
+    is expected of them at least.
+    """
+    scale = resolution / level.twice
+    of = lambda side, name: membership.select(F.col("node").alias(side), F.col("community").alias(name))
+    inner = cut(level.links.join(of("src", "a"), "src").join(of("dst", "b"), "dst").filter("a = b").select("src", "dst", "weight"), "inner")
+    inside = inner.groupBy(F.col("src").alias("node")).agg(F.sum("weight").alias("inside"))
+    held = membership.join(level.strength, "node")
+    held = held.join(held.groupBy("community").agg(F.sum("k").alias("around")), "community").join(inside, "node")
+    k = F.col("k")
+    # Nodes that are not well connected, or have no link inside, stay alone.
+    fit = cut(held.filter(F.col("inside") >= F.lit(scale) * k * (F.col("around") - k)).select("node", "k", "around"), "fit")
+    sub = cut(membership.select("node", F.col("node").alias("community")), "parts")
+    for _ in range(rounds):
+        part = sub.select("node", F.col("community").alias("s"))
+        end = lambda side, name: part.select(F.col("node").alias(side), F.col("s").alias(name))
+        cross = inner.join(end("src", "s"), "src").join(end("dst", "to"), "dst").filter("s <> to")
+        totals = part.join(level.strength, "node").groupBy("s").agg(F.count(F.lit(1)).alias("size"), F.sum("k").alias("total"))
+        parts = totals.join(cross.groupBy("s").agg(F.sum("weight").alias("out")), "s")
+        single = totals.filter("size = 1").select(F.col("s").alias("node"))
+        near = cross.groupBy(F.col("src").alias("node"), "to").agg(F.sum("weight").alias("w"))
+        options = near.join(single, "node", "left_semi").join(fit, "node").join(parts.withColumnRenamed("s", "to"), "to")
+        gain = F.col("w") - F.lit(scale) * k * F.col("total")
+        options = options.filter(F.col("out") >= F.lit(scale) * F.col("total") * (F.col("around") - F.col("total"))).withColumn("gain", gain).filter(F.col("gain") > local.LEAST_GAIN)
+        options = cut(options.select("node", "to", "size", "gain"), "merges")
+        if options.isEmpty():
+            drop(options, inner, fit)
+            return sub, turn
+        # Nodes of one side of a coin join; parts of several nodes and nodes of the other side are joined.
+        joins = options.filter(_coin("node", turn) & ((F.col("size") > 1) | ~_coin("to", turn))).groupBy("node").agg(F.min_by("to", F.struct(-F.col("gain"), F.col("to"))).alias("to"))
+        turn += 1
+        former, sub = sub, cut(_moved(sub, joins), "parts")
+        drop(former, options)
+    raise RuntimeError(f"parts did not settle in {rounds} rounds")
+
+
 def _contract(edges: DataFrame, membership: DataFrame) -> DataFrame:
     ends = labelled(edges, membership)
     return ends.groupBy(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).agg(F.sum("weight").alias("weight"))
 
 
-def _score(edges: DataFrame, membership: DataFrame, resolution: float) -> float:
-    return modularity(edges, membership, resolution).first()[0] or 0.0
-
-
-def _finished(graph: DataFrame, membership: DataFrame, resolution: float, refine: bool) -> DataFrame:
-    """The communities of a graph of ``MOST_LOCAL`` edges at most, found in one task."""
+def _finished(graph: DataFrame, membership: DataFrame, resolution: float, refine: bool, turn: int | None) -> DataFrame:
+    """``node, community, turn`` of a graph of ``MOST_LOCAL`` edges at most, found in one task: from the start (no ``turn``), or on from a contracted level's membership."""
+    kind = dict(membership.dtypes)["node"]
+    node = to_arrow_type(membership.schema["node"].dataType)
 
     def solve(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        edges = pa.Table.from_batches(list(batches), schema=pa.schema([("src", node), ("dst", node), ("weight", pa.float64())]))
-        src, dst, weight = (edges.column(c).to_numpy() for c in ("src", "dst", "weight"))
-        nodes, at = np.unique(np.concatenate([src, dst]), return_inverse=True)
-        order = np.lexsort((at[len(src) :], at[: len(src)]))
-        part = local.communities(local.Net(len(nodes), at[: len(src)][order], at[len(src) :][order], weight[order]), resolution, refine)
-        name: dict[int, int] = {}
-        for v, c in enumerate(part):
-            name.setdefault(c, v)  # by its smallest node
-        yield pa.record_batch([pa.array(nodes, node), pa.array(nodes[[name[c] for c in part]], node)], names=["node", "community"])
+        columns = [("src", node), ("dst", node), ("weight", pa.float64()), ("a", pa.int64()), ("b", pa.int64()), ("ca", node), ("cb", node)]
+        held = list(batches)
+        rows = pa.Table.from_batches(held) if held else pa.schema(columns).empty_table()
+        ends = [rows.column(c).to_numpy() for c in ("src", "dst")]
+        nodes, first, at = np.unique(np.concatenate(ends), return_index=True, return_inverse=True)
+        h = np.concatenate([rows.column(c).to_numpy() for c in ("a", "b")]).view(np.uint64)[first]
+        n = rows.num_rows
+        net = local.Net(len(nodes), at[:n], at[n:], rows.column("weight").to_numpy(), h)
+        if turn is None:
+            part, after = local.communities(net, resolution, refine), 0
+        else:
+            of = np.unique(np.concatenate([rows.column(c).to_numpy() for c in ("ca", "cb")])[first], return_inverse=True)[1]
+            part, after = local.levels(net, local.named(of), resolution, refine, turn, False)
+        yield pa.record_batch([pa.array(nodes, node), pa.array(nodes[part], node), pa.array(np.full(len(nodes), after))], names=["node", "community", "turn"])
 
-    kind = dict(membership.dtypes)["node"]
-    node = to_arrow_type(membership.schema["node"].dataType)
-    held = graph.select(F.col("src").cast(kind), F.col("dst").cast(kind), F.col("weight").cast("double"))
-    found = held.coalesce(1).mapInArrow(solve, f"node {kind}, community {kind}")
-    return cut(membership.select("node").join(found, "node", "left").select("node", F.coalesce("community", "node").alias("community")), "finished")
+    of = lambda side, name: membership.select(F.col("node").alias(side), F.col("community").alias(name))
+    held = graph.select(F.col("src").cast(kind), F.col("dst").cast(kind), F.col("weight").cast("double")).join(of("src", "ca"), "src").join(of("dst", "cb"), "dst")
+    held = held.select("src", "dst", "weight", F.xxhash64("src").alias("a"), F.xxhash64("dst").alias("b"), "ca", "cb")
+    found = held.coalesce(1).mapInArrow(solve, f"node {kind}, community {kind}, turn long")
+    # A node without edges keeps what it has: its own name in a graph, its community's in a level.
+    return cut(membership.alias("m").join(found.alias("f"), "node", "left").select("node", F.coalesce("f.community", "m.community").alias("community"), "turn"), "finished")
 
 
 def louvain(nodes: DataFrame, edges: DataFrame, id_col: str = "id", resolution: float = 1.0, levels: int = 200, rounds: int = 1000, refine: bool = False, most: int = MOST_LOCAL) -> DataFrame:
-    """``node, community`` by local moves and contraction, the same at every run.
-
-    Every node stands for itself first. Rounds of moves go on until no move of a
-    node raises modularity; then communities become the nodes of a smaller graph.
-    When contraction helps no more, the nodes themselves are tried again, until
-    nothing improves. A graph, or what contraction has left of one, that has ``most``
-    edges or fewer is finished in one task. ``levels`` and ``rounds`` are safety
-    limits; to reach one is an error. ``refine`` asks for Leiden's refinement: in one
-    task by its own rule, in rounds by splitting communities that are not connected
-    inside before each contraction.
+    """``node, community`` by moves of nodes and contraction, the same at every run and at every size.
+
+    Every node stands for itself first. In a round the nodes on one side of a coin move to the
+    community where they gain most; rounds go on until none raises modularity, then communities
+    become the nodes of a smaller graph. When contraction helps no more, the nodes themselves are
+    tried again, until nothing improves. With ``refine`` (Leiden) what is contracted are parts of
+    communities: in rounds, single well-connected nodes join the well-connected part of their
+    community where they gain most.
+
+    A graph, or what contraction has left of one, that has ``most`` edges or fewer is finished in
+    one task, by the same rule and with the same result: weights are whole numbers, so no sum
+    depends on an order. ``levels`` and ``rounds`` are safety limits; to reach one is an error.
     """
-    edges = cut(edges.filter("src <> dst").select("src", "dst", "weight"), "louvain-edges")
-    every = cut(nodes.select(F.col(id_col).alias("node")).select("node", F.col("node").alias("community")), "louvain")
+    edges = cut(_whole_weights(edges), "louvain-edges")
+    every = cut(nodes.select(F.col(id_col).alias("node")).distinct().select("node", F.col("node").alias("community")), "louvain")
     if edges.count() <= most:
-        return _finished(edges, every, resolution, refine)
-    graph, level, whole = edges, every, True  # ``whole``: the level is that of the nodes themselves
-    best = _score(edges, every, resolution)
-    for depth in range(levels):
-        if not whole and graph.count() <= most:
-            moved, changed = _finished(graph, level, resolution, refine), True
-        else:
-            moved, changed = _settled(graph, level, resolution, rounds, 31 * depth)
-        if refine and whole:
-            inner = labelled(graph, moved).filter("a = b")
-            parts = components(inner, "src", "dst")
-            moved = cut(moved.join(parts, "node", "left").select("node", F.coalesce("label", "node").alias("community")), "refined")
-        if whole:
-            every = moved
-        elif changed:
-            every = cut(every.join(moved.select(F.col("node").alias("community"), F.col("community").alias("next")), "community").select("node", F.col("next").alias("community")), "louvain")
-        score = _score(edges, every, resolution)
-        if score > best + 1e-12 or (whole and changed):
-            best = max(best, score)
-            graph = cut(_contract(graph, moved), "contracted")
-            level, whole = cut(moved.select(F.col("community").alias("node")).distinct().select("node", F.col("node").alias("community")), "level"), False
-        elif whole:
+        return _finished(edges, every, resolution, refine, None).drop("turn")
+    base, alone, turn = _Level(edges, every.select("node")), every, 0
+    best = base.score(every, resolution)
+    for _ in range(levels):
+        held, _, turn = _settled(base, every, resolution, rounds, turn)
+        after, turn = _levels(base, held, resolution, refine, levels, rounds, turn, most)
+        score = base.score(after, resolution)
+        if score <= best:
+            base.drop()
+            drop(after, *([] if held is every else [held]))
             return every
-        else:
-            graph, level, whole = edges, every, True
+        drop(*(x for x in (every, held) if x is not alone))  # the level's nodes are read from that one
+        every, best = after, score
     raise RuntimeError(f"communities did not settle in {levels} levels")
 
 
+def _levels(level: _Level, held: DataFrame, resolution: float, refine: bool, most_levels: int, rounds: int, turn: int, most: int) -> tuple[DataFrame, int]:
+    """The communities of a level's nodes after contraction, again and again, has helped as far as it does; and the next turn."""
+    base, names = level, level.nodes.select("node", F.col("node").alias("at"))  # each node's node of the level
+    for _ in range(most_levels):
+        inner, turn = _refined(level, held, resolution, rounds, turn) if refine else (held, turn)
+        firsts = inner.select(F.col("community").alias("node")).distinct()
+        if firsts.count() == inner.count():
+            break
+        former, names = names, cut(names.join(inner.select(F.col("node").alias("at"), F.col("community").alias("next")), "at").select("node", F.col("next").alias("at")), "names")
+        # A part is in its nodes' community, which has the name of its smallest part.
+        of = firsts.join(held, "node")
+        of = cut(of.join(of.groupBy("community").agg(F.min("node").alias("name")), "community").select("node", F.col("name").alias("community")), "level")
+        graph = cut(_contract(level.edges, inner), "contracted")
+        drop(former, *([inner] if inner is not held else []))
+        if level is not base:
+            level.drop()
+        if graph.count() <= most:
+            done = _finished(graph, of, resolution, refine, turn)
+            turn, held = done.agg(F.max("turn")).first()[0] or turn, done.drop("turn")
+            break
+        level = _Level(graph, of.select("node"))
+        held, changed, turn = _settled(level, of, resolution, rounds, turn)
+        if not changed and not refine:
+            break
+    else:
+        raise RuntimeError(f"communities did not settle in {most_levels} levels")
+    joined = names.join(held.select(F.col("node").alias("at"), "community"), "at")
+    first = joined.groupBy("community").agg(F.min("node").alias("name"))
+    return cut(joined.join(first, "community").select("node", F.col("name").alias("community")), "louvain"), turn
+
+
 def leiden(nodes: DataFrame, edges: DataFrame, **how) -> DataFrame:
-    """Louvain with refinement: communities are connected inside."""
+    """Louvain with refinement: only well-connected parts of communities are contracted."""
     return louvain(nodes, edges, refine=True, **how)
 
 

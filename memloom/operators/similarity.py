@@ -25,6 +25,12 @@ def top_k(vectors: DataFrame, query: list[float], k: int = 5, least: float = 0.5
     return rows.filter(F.col("similarity") >= least).orderBy(F.desc("similarity"), id_col).limit(k)
 
 
+def close_to(vectors: DataFrame, query: list[float], least: float, vector_col: str = "embedding") -> DataFrame:
+    """All rows at least so close to one vector, with ``similarity`` of twelve places."""
+    near = F.round(cosine(F.col(vector_col), F.array(*(F.lit(float(x)) for x in query))), 12)
+    return vectors.filter(F.col(vector_col).isNotNull()).withColumn("similarity", near).filter(F.col("similarity") >= least)
+
+
 def _units(rows: pa.Table, dims: int) -> tuple[np.ndarray, np.ndarray]:
     lists = pa.concat_arrays(rows.column("v").chunks) if rows.num_rows else pa.array([], pa.list_(pa.float32()))
     out = np.zeros((rows.num_rows, dims))
@@ -71,9 +77,12 @@ def similar_pairs(vectors: DataFrame, least: float, below: float = 2.0, id_col:
 
 
 def nearest(
-    queries: DataFrame, vectors: DataFrame, k: int, least: float = -2.0, id_col: str = "id", vector_col: str = "embedding", block: int = BLOCK, own_too: bool = False, by: str | None = None
+    queries: DataFrame, vectors: DataFrame, k: int, least: float = -2.0, id_col: str = "id", vector_col: str = "embedding", block: int = BLOCK, own_too: bool = False, by: str | None = None, count: bool = False
 ) -> DataFrame:
-    """``query_id, rank, id, similarity``: each query's k closest rows, its own left out unless ``own_too``; with ``by``, among the rows that are equal to it there."""
+    """``query_id, rank, id, similarity``: each query's k closest rows, its own left out unless ``own_too``; with ``by``, among the rows that are equal to it there.
+
+    With ``count``, ``close`` tells how many rows are close enough in all.
+    """
     q, rows = _rows(queries, id_col, vector_col, by), _rows(vectors, id_col, vector_col, by)
     many, dims = _measure(rows, block)
     groups, other = _measure(q, block)
@@ -87,7 +96,7 @@ def nearest(
         (qids, x), (ids, y) = _units(a, dims), _units(b, dims)
         order = np.argsort(ids, kind="stable")
         ids, y = ids[order], y[order]
-        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))]
         for at in range(0, len(qids) if len(ids) else 0, 512):
             s = x[at : at + 512] @ y.T
             if not own_too:
@@ -97,13 +106,17 @@ def nearest(
             wide = s.shape[1] > 4 * k
             cut = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k, None] if wide else -2.5
             r, c = np.nonzero((s >= cut) & (s > -2.5))
-            out.append((qids[at + r], ids[c], s[r, c]))
-        u, v, w = (np.concatenate(z) for z in zip(*out))
-        return pa.table({"query_id": u, "id": v, "similarity": w})
+            # The number of all that are close goes with a query's first row.
+            many = np.where(np.concatenate([[True], r[1:] != r[:-1]])[: len(r)], (s > -2.5).sum(axis=1)[r], 0) if count else np.zeros(len(r), np.int64)
+            out.append((qids[at + r], ids[c], s[r, c], many))
+        u, v, w, n = (np.concatenate(z) for z in zip(*out))
+        return pa.table({"query_id": u, "id": v, "similarity": w, "close": n})
 
     cell = ["g", "c"] if by is None else ["of", "g", "c"]
-    found = left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(search, "query_id long, id long, similarity double")
+    found = left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(search, "query_id long, id long, similarity double, close long")
     # Rounded before ranking, so that equal vectors tie whatever block they were in.
     found = found.withColumn("similarity", F.round("similarity", 12))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "id", "similarity")
+    if count:
+        found = found.withColumn("close", F.sum("close").over(Window.partitionBy("query_id")))  # k rows a cell
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "id", "similarity", *(["close"] if count else []))

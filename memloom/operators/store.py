@@ -66,6 +66,22 @@ def fold_facts(log: DataFrame) -> DataFrame:
     return out.filter("seen_count > 0").withColumn("valid_from", F.col("created_at"))
 
 
+def sightings(log: DataFrame) -> DataFrame:
+    """Upserts as facts of one sighting each, that ``merged`` brings together: of a part of a log, or of a part and what was merged before."""
+    at = F.struct("ts", "seq")
+    return log.select(fact_hash("full_key").alias("fact_hash"), "full_key", "category", "source", F.col("importance").cast("int").alias("importance"), F.lit(1).cast("long").alias("seen_count"), at.alias("first"), at.alias("last"))
+
+
+def merged(facts: DataFrame) -> DataFrame:
+    """One fact a hash, from parts in any order: what the first sighting said, the largest importance, all sightings.
+
+    Merging parts and merging what comes of it gives what merging all at once gives, so a store
+    without invalidations can be kept as a snapshot (``memloom.operators.snapshot``).
+    """
+    first = [F.min_by(c, F.struct("first", *(x for x in ("full_key", "category", "source")))).alias(c) for c in ("full_key", "category", "source")]
+    return facts.groupBy("fact_hash").agg(*first, F.max("importance").alias("importance"), F.sum("seen_count").alias("seen_count"), F.min("first").alias("first"), F.max("last").alias("last"))
+
+
 def live(facts: DataFrame) -> DataFrame:
     return facts.filter(F.col("valid_to").isNull())
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from memloom.functions.text import ARABIC_SIGNS, expand_query, norm_fts
 from memloom.operators import fulltext, rank
-from memloom.plans import search
+from memloom.plans import projects, search
 from memloom.schema import RELATION_KINDS
 
 TTL, ENTRIES = 300.0, 500
@@ -72,7 +72,8 @@ class Results:
 class Tools:
     """The tools over a memory. ``open`` and ``close`` bound its life; ``refresh`` puts other tables in place."""
 
-    def __init__(self, memory: search.Memory | None, as_of: Column, store: str | None = None, agent: str | None = None, synonyms: dict[str, list[str]] | None = None, least: float = 0.5, results: Results | None = None):
+    def __init__(self, memory: search.Memory | None, as_of: Column, store: str | None = None, agent: str | None = None, synonyms: dict[str, list[str]] | None = None, least: float = 0.5, results: Results | None = None, main: str = "memory"):
+        self.main, self.graphs = main, None
         self.memory, self.as_of, self.store, self.agent, self.least = memory, as_of, store, agent, least
         self.synonyms, self.results = synonyms or {}, Results() if results is None else results
 
@@ -82,10 +83,19 @@ class Tools:
     def refresh(self, memory: search.Memory) -> Tools:
         self.memory = memory
         self.results.clear()
+        if self.store:
+            self._graphs().clear()
         return self
 
+    def _graphs(self) -> projects.Graphs:
+        if self.graphs is None:
+            self.graphs = projects.Graphs(self.memory.facts.sparkSession, self.store)
+        return self.graphs
+
     def close(self) -> None:
-        self.memory = None
+        if self.graphs is not None:
+            self.graphs.clear()
+        self.memory = self.graphs = None
         self.results.clear()
 
     @property
@@ -168,9 +178,12 @@ class Tools:
         return {"query": query, "results": found, "total": len(found)}
 
     def graph_search(self, args: dict) -> dict:
-        query, project, top, kind = args.get("query") or "", args.get("project", ""), int(args.get("top_k", 10)), args.get("relation_type")
+        """Facts and what they are related to in the memory itself, or the closest nodes of a stored project, as it was saved last."""
+        query, project, top, kind = args.get("query") or "", args.get("project") or self.main, int(args.get("top_k", 10)), args.get("relation_type")
         if self._empty(query):
             return {"query": query, "project": project, "results": [], "total": 0}
+        if project != self.main:
+            return {"query": query, "project": project, **self._in_project(query, project, top, kind)}
 
         def make() -> list[dict]:
             memory = self.memory if kind is None else search.Memory(self.memory.facts, self.memory.relations.filter(F.col("kind") == kind), self.memory.messages)
@@ -180,12 +193,24 @@ class Tools:
         found = [{"id": r["id"], "similarity": r["similarity"], "content": r["content"], "type": "fact"} for r in rows]
         return {"query": query, "project": project, "results": found, "total": rows[0]["total"] if rows else 0}
 
+    def _in_project(self, query: str, project: str, top: int, kind: str | None) -> dict:
+        held = self._graphs().get(project) if self.store else None
+        if held is None:
+            return {"error": f"No project: {project}", "results": [], "total": 0}
+
+        def make() -> tuple[list[dict], int]:
+            vector = search.asked(self._question(query), 2).first()["embedding"]
+            return projects.answer(held, vector, top, self.least, kind)
+
+        rows, total = self._kept(Results.key("project", query, project, held.version, top, kind), make)
+        return {"results": rows, "total": total}
+
     def graph_index(self, args: dict) -> dict:
         """Index a folder below a project's name; what was asked before is forgotten."""
         spark, path = self.memory.facts.sparkSession, args["path"]
         name = args.get("project_name") or path.rstrip("/").rsplit("/", 1)[-1]
         row = search.graph_index(spark, path, self.store, name).first().asDict()
-        self.results.clear()
+        self.results.clear()  # the project itself is seen by its version
         return {"project": name, **row}
 
     def context(self, query: str) -> str:

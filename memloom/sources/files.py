@@ -138,6 +138,13 @@ def create_tables(spark: SparkSession, path: str) -> list[str]:
     return made
 
 
+def insert(rows: DataFrame, path: str, table: str) -> None:
+    """Append rows to a table of the store, in its columns; those that ``rows`` lacks are null, others are left out."""
+    fields = rows.sparkSession.createDataFrame([], getattr(schema, table.upper())).schema.fields
+    known = lambda f: F.col(f.name) if f.name in rows.columns else F.lit(None)
+    rows.select(*(known(f).cast(f.dataType).alias(f.name) for f in fields)).write.mode("append").parquet(f"{path}/{table}")
+
+
 def compact(spark: SparkSession, path: str, file_bytes: int = 256 << 20) -> int:
     """Rewrite a folder of many small files as few of about ``file_bytes``. The new folder takes the old one's place when it is whole. Returns the number of files."""
     place, fs = file_system(spark, path)

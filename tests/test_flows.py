@@ -237,7 +237,7 @@ def test_tools(spark, memory, tmp_path):
     assert json.loads(kit.call("unified_search", '{"query": "cat sat mat", "limit": 3}')) == found and len(kit.results) == 1
     assert ask("unified_search", query="cat sat mat", limit=3, agent_id="you")["total"] == 0
     assert ask("unified_search", query="!!!") == {"query": "!!!", "results": [], "total": 0}
-    near = ask("graph_search", query="cat sat mat", project="p", top_k=2)
+    near = ask("graph_search", query="cat sat mat", top_k=2)
     assert len(near["results"]) == 2 and near["total"] >= 2
     assert ask("graph_search", query="x", project="p") == {"query": "x", "project": "p", "results": [], "total": 0}
     assert ask("nothing") == {"error": "Unknown tool: nothing"}
@@ -251,6 +251,13 @@ def test_tools(spark, memory, tmp_path):
     for i, t in enumerate(["apples and pears", "engines burn fuel"]):
         (tmp_path / f"in/{i}.txt").write_text(t)
     assert ask("graph_index", path=str(tmp_path / "in"))["project"] == "in" and len(kit.results) == 0
+    assert ask("graph_search", query="cat sat mat", project="p") == {"query": "cat sat mat", "project": "p", "error": "No project: p", "results": [], "total": 0}
+    known = ask("graph_search", query="apples and pears", project="in")
+    assert known["total"] == 1 and known["results"][0]["content"] == "apples and pears" and len(kit.results) == 1
+    (tmp_path / "in/0.txt").write_text("pears and plums alone")
+    ask("graph_index", path=str(tmp_path / "in"))  # a save is seen at once
+    assert [r["content"] for r in ask("graph_search", query="pears and plums alone", project="in")["results"]] == ["pears and plums alone"]
+    assert ask("graph_search", query="pears and plums alone", project="in", relation_type="fixes")["total"] == 0
     arabic = search.Memory(memory.facts, memory.relations, spark.createDataFrame([(1, "s1", "user", "قرأنا الكتابَ أمس", "2024-01-29")], "id long, session_id string, role string, content string, timestamp string").withColumn("timestamp", F.col("timestamp").cast("timestamp")))
     kit.refresh(arabic)
     assert ("قرأنا الكتابَ أمس", 0.7) in [(r["content"], r["similarity"]) for r in ask("unified_search", query="الكتاب امس")["results"]]
@@ -270,3 +277,30 @@ def test_results_are_bounded():
     assert held.get("c") is None and held.get("b") == "b"
     now[0] = 10.0
     assert held.get("b") is None and held.get("d") is None and len(held) == 0
+
+
+def test_loaded_projects_go_when_unused_and_follow_saves(spark, tmp_path):
+    from memloom.plans import projects
+    from memloom.sources import files
+
+    store = str(tmp_path / "store")
+
+    def save(name, *nodes):
+        rows = spark.createDataFrame([(n, n, [1.0, float(i)]) for i, n in enumerate(nodes)], "node string, content string, embedding array<float>")
+        files.save_graph(store, name, rows, spark.createDataFrame([(nodes[0], nodes[-1], 0.5, "fixes")], "src string, dst string, weight double, type string"), rows.select("node", F.col("node").alias("community")))
+
+    for name in ("a", "b", "c"):
+        save(name, f"{name}0", f"{name}1", f"{name}2")
+    held = projects.Graphs(spark, store, most=2)
+    a = held.get("a")
+    assert projects.answer(a, [1.0, 0.0], 2, 0.5)[0][0]["id"] == "a0" and projects.answer(a, [1.0, 0.0], 2, 0.5)[1] == 2
+    assert [r["id"] for r in projects.answer(a, [1.0, 1.0], 5, 0.0, "fixes")[0]] == ["a2", "a0"] and projects.answer(a, [1.0, 1.0], 5, 0.0, "causes") == ([], 0)
+    assert held.get("b") and held.get("a") is a and held.get("c") and len(held) == 2 and "b" not in held
+    save("a", "a9")
+    assert held.get("a") is not a and projects.answer(held.get("a"), [1.0, 0.0], 5, 0.0)[1] == 1
+    files.delete_project(spark, store, "a")
+    assert held.get("a") is None and "a" not in held and held.get("none") is None
+    assert projects.stats(spark, store, "b")["nodes"] == 3 and "error" in projects.stats(spark, store, "none")
+    asked = spark.createDataFrame([(1, "b", [1.0, 0.0]), (1, "c", [1.0, 2.0]), (2, "none", [1.0, 0.0]), (3, None, [1.0, 0.0]), (4, "b", None)], "query_id long, project string, embedding array<float>")
+    got = {(r["query_id"], r["project"]): (r["node"], r["total"], r["error"]) for r in projects.search(spark, store, asked, 1, 0.0).collect()}
+    assert got == {(1, "b"): ("b0", 3, None), (1, "c"): ("c2", 3, None), (2, "none"): (None, 0, "No project: none")}
