@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from memloom.functions.text import ARABIC_SIGNS, expand_query, norm_fts
 from memloom.operators import fulltext, rank
-from memloom.plans import projects, search
+from memloom.plans import projects, search, single
 from memloom.schema import RELATION_KINDS
 
 TTL, ENTRIES = 300.0, 500
@@ -73,7 +73,7 @@ class Tools:
     """The tools over a memory. ``open`` and ``close`` bound its life; ``refresh`` puts other tables in place."""
 
     def __init__(self, memory: search.Memory | None, as_of: Column, store: str | None = None, agent: str | None = None, synonyms: dict[str, list[str]] | None = None, least: float = 0.5, results: Results | None = None, main: str = "memory"):
-        self.main, self.graphs = main, None
+        self.main, self.graphs, self.warm = main, None, None
         self.memory, self.as_of, self.store, self.agent, self.least = memory, as_of, store, agent, least
         self.synonyms, self.results = synonyms or {}, Results() if results is None else results
 
@@ -81,18 +81,31 @@ class Tools:
         return self.refresh(memory)
 
     def refresh(self, memory: search.Memory) -> Tools:
+        self._cool()
         self.memory = memory
         self.results.clear()
         if self.store:
             self._graphs().clear()
         return self
 
+    def _warm(self) -> single.Warm:
+        """The memory, made ready by the first question."""
+        if self.warm is None:
+            self.warm = single.Warm(self.memory)
+        return self.warm
+
+    def _cool(self) -> None:
+        if self.warm is not None:
+            self.warm.close()
+            self.warm = None
+
     def _graphs(self) -> projects.Graphs:
         if self.graphs is None:
             self.graphs = projects.Graphs(self.memory.facts.sparkSession, self.store)
         return self.graphs
 
     def close(self) -> None:
+        self._cool()
         if self.graphs is not None:
             self.graphs.clear()
         self.memory = self.graphs = None
@@ -162,7 +175,7 @@ class Tools:
             return {"query": query, "results": [], "total": 0}
 
         def make() -> list[dict]:
-            rows = [r.asDict() for r in search.unified_search(self.memory, self._question(query), limit, self.least).drop("query_id").orderBy("rank").collect()]
+            rows = self._warm().ask(self._question(query), limit, self.least)
             if any(c in ARABIC_SIGNS[4:] for c in query) and not any(r["type"] == "session" for r in rows):
                 said = self.memory.messages.filter(F.col("role").isin("user", "assistant"))
                 found = fulltext.phrase_search(said, query, "content", norm_fts, [F.desc("timestamp"), F.desc("id")], limit)

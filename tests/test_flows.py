@@ -304,3 +304,23 @@ def test_loaded_projects_go_when_unused_and_follow_saves(spark, tmp_path):
     asked = spark.createDataFrame([(1, "b", [1.0, 0.0]), (1, "c", [1.0, 2.0]), (2, "none", [1.0, 0.0]), (3, None, [1.0, 0.0]), (4, "b", None)], "query_id long, project string, embedding array<float>")
     got = {(r["query_id"], r["project"]): (r["node"], r["total"], r["error"]) for r in projects.search(spark, store, asked, 1, 0.0).collect()}
     assert got == {(1, "b"): ("b0", 3, None), (1, "c"): ("c2", 3, None), (2, "none"): (None, 0, "No project: none")}
+
+
+def test_single_questions_have_the_answers_of_the_plan(spark):
+    from memloom import fixtures
+    from memloom.plans import single
+
+    m = fixtures.memory(spark, "/root/testdata/sf0.001")
+    # Facts whose vectors are those of their texts, so that questions come close to them.
+    from memloom.functions import models
+
+    facts = models.embed(m.facts.drop("embedding"), F.col("full_key")).withColumn("embedding", F.col("embedding"))
+    m = search.Memory(facts.cache(), m.relations, m.messages)
+    warm = single.Warm(m)
+    long = " ".join(f"word{i}" for i in range(40)) + " number"
+    for query in ("stored fact about topic 3", "number", "the answer to my question", "zzzz qqqq", "!!", long):
+        q = spark.createDataFrame([(0, query)], "query_id long, query string")
+        plan = search.unified_search(m, q, 5, 0.3).orderBy("rank").select("similarity", "content", "type").collect()
+        got = warm.ask(q, 5, 0.3)
+        assert [(r["content"], r["type"], round(r["similarity"], 9)) for r in got] == [(r["content"], r["type"], round(r["similarity"], 9)) for r in plan]
+    warm.close()
