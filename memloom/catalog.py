@@ -9,6 +9,7 @@ from memloom import fixtures as fx
 from memloom.functions import gates, text
 from memloom.functions.split import OVERLAP, SEPARATORS, SIZE, split_documents
 from memloom.operators import fulltext, graph, lifecycle, rank, sessions, similarity, snapshot, store, text_index, vector_index
+from memloom.operators import pruned_pairs as pruned
 from memloom.plans import search
 from memloom.registry import ORACLES, QUERIES, folder, query
 from memloom.shared import cut, dealt, table
@@ -85,6 +86,22 @@ def band_edges(spark, sf):
     return graph.band_edges(fx.vectors(spark, sf), 0.28, 0.35)
 
 
+@query("WITH " + _PAIRS + " SELECT src, dst, round(weight, 4) AS weight FROM p WHERE weight >= 0.28 AND weight < 0.35")
+def added_edges(spark, sf):
+    """The same edges when a third of the nodes came first, and two increments added theirs without looking at old pairs again."""
+    v, part = fx.vectors(spark, sf), F.col("id") % 3
+    edges = graph.band_edges(v.filter(part == 0), 0.28, 0.35)
+    for i in (1, 2):
+        edges = edges.unionByName(graph.new_edges(v.filter(part == i), v.filter(part < i), 0.28, 0.35))
+    return edges
+
+
+@query("WITH " + _PAIRS + " SELECT src, dst, round(weight, 6) AS weight FROM p WHERE weight >= 0.25")
+def pruned_pairs(spark, sf):
+    """Pairs by balls around centroids, without the products of those too far apart."""
+    return pruned.similar_pairs(fx.vectors(spark, sf), 0.25)[0].withColumn("weight", F.round("weight", 6))
+
+
 @query("WITH " + _PAIRS + """, e AS (SELECT * FROM p WHERE weight >= 0.3), c AS (SELECT (SELECT count(*) FROM v) AS nodes, (SELECT count(*) FROM e) AS edges)
 SELECT nodes, edges, round(2.0::DOUBLE * edges / (nodes * (nodes - 1)), 9) AS density, round(2.0::DOUBLE * edges / nodes, 9) AS avg_degree FROM c""")
 def graph_stats(spark, sf):

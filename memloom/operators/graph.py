@@ -15,7 +15,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from memloom.functions.vectors import cosine
 from memloom.operators import local, vector_index
 from memloom.operators.components import components
-from memloom.operators.similarity import nearest, similar_pairs
+from memloom.operators.similarity import nearest, new_pairs, similar_pairs
 from memloom.shared import cut, drop, first_rows
 
 #: Edges of a graph that one task may hold: some 100 MB.
@@ -36,6 +36,11 @@ def band_edges(vectors: DataFrame, least: float = 0.82, below: float = 0.88, **h
     return similar_pairs(vectors, least, below, **how).withColumn("weight", F.round("weight", 4))
 
 
+def new_edges(new: DataFrame, old: DataFrame, least: float = 0.82, below: float = 0.88, **how) -> DataFrame:
+    """The edges that new nodes add to ``band_edges`` of old ones: the work follows new times all, not all times all."""
+    return new_pairs(new, old, least, below, **how).withColumn("weight", F.round("weight", 4))
+
+
 def both_ways(edges: DataFrame) -> DataFrame:
     return edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), *(c for c in edges.columns if c not in ("src", "dst"))))
 

@@ -62,20 +62,45 @@ def similar_pairs(vectors: DataFrame, least: float, below: float = 2.0, id_col:
         ids, unit = _units(cell, dims)
         own, i, j = (cell.column(c).to_numpy() for c in ("own", "i", "j"))
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        out = []
-        for a in range(0, len(left), 512):
-            part = left[a : a + 512]
-            s = unit[part] @ unit[right].T
-            x, y = np.nonzero((s >= least) & (s < below))
-            u, v = ids[part[x]], ids[right[y]]
-            good = u < v if i[0] == j[0] else u != v
-            out.append((np.minimum(u, v)[good], np.maximum(u, v)[good], s[x, y][good]))
-        u, v, s = (np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-        return pa.table({"src": u, "dst": v, "weight": s})
+        return _pairs(ids[left], unit[left], ids[right], unit[right], least, below, bool(i[0] == j[0]))
 
     return cells.groupBy("i", "j").applyInArrow(multiply, "src long, dst long, weight double")
 
 
+def cross_pairs(left: DataFrame, right: DataFrame, least: float, below: float = 2.0, id_col: str = "id", vector_col: str = "embedding", block: int = BLOCK) -> DataFrame:
+    """``src < dst, weight`` of all pairs of a row on the left and one on the right; those with one id are no pair."""
+    a, b = _rows(left, id_col, vector_col), _rows(right, id_col, vector_col)
+    (many, dims), (more, wide) = _measure(a, block), _measure(b, block)
+    dims = max(dims, wide)
+    spread = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    def multiply(x: pa.Table, y: pa.Table) -> pa.Table:
+        (ids, u), (others, v) = _units(x, dims), _units(y, dims)
+        return _pairs(ids, u, others, v, least, below, False)
+
+    x, y = a.withColumn("i", spread(many)).withColumn("j", every(more)), b.withColumn("j", spread(more)).withColumn("i", every(many))
+    return x.groupBy("i", "j").cogroup(y.groupBy("i", "j")).applyInArrow(multiply, "src long, dst long, weight double")
+
+
+def _pairs(ids: np.ndarray, unit: np.ndarray, others: np.ndarray, with_: np.ndarray, least: float, below: float, once: bool) -> pa.Table:
+    """Pairs of two blocks whose cosine is in range; ``once``: the blocks are one, and each pair is met twice."""
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    for a in range(0, len(ids) if len(others) else 0, 512):
+        s = unit[a : a + 512] @ with_.T
+        x, y = np.nonzero((s >= least) & (s < below))
+        u, v = ids[a + x], others[y]
+        good = u < v if once else u != v
+        out.append((np.minimum(u, v)[good], np.maximum(u, v)[good], s[x, y][good]))
+    u, v, s = (np.concatenate(c) for c in zip(*out))
+    return pa.table({"src": u, "dst": v, "weight": s})
+
+
+def new_pairs(new: DataFrame, old: DataFrame, least: float, below: float = 2.0, **how) -> DataFrame:
+    """The pairs that ``new`` rows add to those of ``old`` ones: new with old and new with new. Old pairs are not looked at again."""
+    return cross_pairs(new, old, least, below, **how).unionByName(similar_pairs(new, least, below, **how))
+
+
 def nearest(
     queries: DataFrame, vectors: DataFrame, k: int, least: float = -2.0, id_col: str = "id", vector_col: str = "embedding", block: int = BLOCK, own_too: bool = False, by: str | None = None, count: bool = False
 ) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 import sequential
 from pyspark.sql import functions as F
 
-from memloom.operators import fulltext, graph, lifecycle, local, rank, sessions, similarity, store, vector_index
+from memloom.operators import fulltext, graph, lifecycle, local, pruned_pairs, rank, sessions, similarity, store, vector_index
 from memloom.operators.components import components
 
 
@@ -392,6 +392,30 @@ def test_helper_columns_clash_with_nothing(spark):
     assert same(checked, 3) and [r["fix_verified"] for r in checked.orderBy("seq").collect()] == [True, True, False]
 
 
+@pytest.mark.parametrize("block", [4096, 13])
+def test_new_pairs_complete_the_old_ones(spark, block):
+    x = unit(120, 8, 9)
+    df = frame(spark, x)
+    old, new = df.filter("id % 4 <> 1"), df.filter("id % 4 = 1")
+    pairs = lambda d: sorted((r["src"], r["dst"], round(r["weight"], 9)) for r in d.collect())
+    both = similarity.similar_pairs(old, 0.4, block=block).unionByName(similarity.new_pairs(new, old, 0.4, block=block))
+    assert pairs(both) == pairs(similarity.similar_pairs(df, 0.4)) and len(pairs(both)) > 50
+    assert pairs(similarity.new_pairs(new.limit(0), old, 0.4)) == [] and pairs(similarity.new_pairs(new, old.limit(0), 0.4)) == pairs(similarity.similar_pairs(new, 0.4))
+
+
+@pytest.mark.parametrize("block", [4096, 20])
+def test_pairs_of_balls_are_all_pairs_and_most_are_skipped(spark, block):
+    x = unit(400, 24, 11, groups=25, spread=0.12)
+    x[5] = 0  # a vector without length
+    df = frame(spark, x).cache()
+    pairs = lambda d: sorted((r["src"], r["dst"], round(r["weight"], 9)) for r in d.collect())
+    found, told = pruned_pairs.similar_pairs(df, 0.8, index=vector_index.fit(df, cells=60), block=block)
+    assert pairs(found) == pairs(similarity.similar_pairs(df, 0.8)) and len(pairs(found)) > 500
+    assert told["of_pairs"] == 400 * 399 // 2 and told["pairs"] < 0.25 * told["of_pairs"]
+    with pytest.raises(ValueError, match="above 0"):
+        pruned_pairs.similar_pairs(df, 0.0)
+
+
 def test_stored_cells_are_pruned_and_appended_to(spark, tmp_path):
     """Rows come in two writes; a search equals that by the index in memory, and reads the files of the cells that it visits alone."""
     x = unit(600, 16, 5, groups=20, spread=0.3)
