@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from memloom import fixtures as fx
 from memloom.functions import gates, text
 from memloom.functions.split import OVERLAP, SEPARATORS, SIZE, split_documents
-from memloom.operators import fulltext, graph, lifecycle, rank, sessions, similarity, snapshot, store, text_index, vector_index
+from memloom.operators import fulltext, grams, graph, lifecycle, rank, sessions, similarity, snapshot, store, text_index, vector_index
 from memloom.operators import pruned_pairs as pruned
 from memloom.plans import search
 from memloom.registry import ORACLES, QUERIES, folder, query
@@ -363,20 +363,42 @@ def index_check(spark, sf):
     return fulltext.check_index(m, path)
 
 
-@query(f"""WITH d AS (SELECT doc_id, CASE WHEN list_has_any({_TOK.format("text")}, ['pathetic', 'worthless']) THEN 1 WHEN contains(lower(text), 'pathetic') OR contains(lower(text), 'worthless') THEN 2
+_TIERS = f"""WITH d AS (SELECT doc_id, CASE WHEN list_has_any({_TOK.format("text")}, ['pathetic', 'worthless']) THEN 1 WHEN contains(lower(text), 'pathetic') OR contains(lower(text), 'worthless') THEN 2
 WHEN contains(lower(text), 'pathetic worthless') THEN 3 END AS tier FROM documents)
-SELECT doc_id, tier FROM d WHERE tier = (SELECT min(tier) FROM d) ORDER BY doc_id LIMIT 50""")
+SELECT doc_id, tier FROM d WHERE tier = (SELECT min(tier) FROM d) ORDER BY doc_id LIMIT 50"""
+
+
+@query(_TIERS)
 def tiered_search(spark, sf):
     out = fulltext.tiered_search(dealt(table(spark, sf, "documents").select("doc_id", "text"), "doc_id"), "pathetic worthless", ("text",), text.norm_query, [F.col("doc_id")])
     return out.select("doc_id", "tier")
 
 
-@query("""WITH m AS (SELECT conv_id * 10000 + turn AS id, CASE WHEN contains(text, 'of the the') THEN 1 WHEN contains(text, 'of') AND contains(text, 'the') THEN 2 END AS tier FROM conversations)
-SELECT id, tier FROM m WHERE tier = (SELECT min(tier) FROM m) ORDER BY id DESC LIMIT 5""")
+_PHRASE = """WITH m AS (SELECT conv_id * 10000 + turn AS id, CASE WHEN contains(text, 'of the the') THEN 1 WHEN contains(text, 'of') AND contains(text, 'the') THEN 2 END AS tier FROM conversations)
+SELECT id, tier FROM m WHERE tier = (SELECT min(tier) FROM m) ORDER BY id DESC LIMIT 5"""
+
+
+@query(_PHRASE)
 def phrase_search(spark, sf):
     return fulltext.phrase_search(fx.messages(spark, sf), "of the the", "content", text.norm_fts, [F.desc("id")]).select("id", "tier")
 
 
+@query(_TIERS)
+def indexed_tiers(spark, sf):
+    """The same tiers by an index of three-letter parts."""
+    path, d = folder(spark, "grams"), dealt(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    grams.build(d, path, "doc_id", grams.tiered_form(("text",), text.norm_query))
+    return grams.tiered_search(d, path, "pathetic worthless", ("text",), text.norm_query, [F.col("doc_id")], id_col="doc_id").select("doc_id", "tier")
+
+
+@query(_PHRASE.replace("of the the", "and the").replace("'of'", "'and'"))
+def indexed_phrases(spark, sf):
+    """Messages with a phrase, else with all of its words, by an index of three-letter parts."""
+    path, m = folder(spark, "grams"), fx.messages(spark, sf)
+    grams.build(m, path, "id", text.norm_fts(F.col("content")))
+    return grams.phrase_search(m, path, "and the", "content", text.norm_fts, [F.desc("id")]).select("id", "tier")
+
+
 _MARKED = ["token", "pathetic", "mail"]
 _HIT = "(" + " OR ".join(f"starts_with(regexp_replace(lower(w), '^[^\\p{{L}}\\p{{N}}]+', ''), '{t}')" for t in _MARKED) + ")"
 
