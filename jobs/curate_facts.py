@@ -23,7 +23,7 @@ from jobs import cli
 from memloom.functions.gates import junk_rule
 from memloom.functions.text import fact_hash
 from memloom.operators import snapshot
-from memloom.shared import cut, dealt, drop, names
+from memloom.shared import cut, dealt, drop, there_or_empty
 
 NAME = "curate_facts"
 FACTS = "fact_hash string, full_key string, category string, seen_count long, first_id long, last_id long"
@@ -45,8 +45,7 @@ def facts(spark: SparkSession, output: str) -> DataFrame:
 def rejected(spark: SparkSession, output: str) -> DataFrame:
     """``id, rule`` of all texts that gates have rejected, of whole runs."""
     from_runs = F.broadcast(snapshot.marks(spark, f"{output}/facts").distinct())  # a row a run; what a run that was cut off has left is none of theirs
-    there = names(spark, f"{output}/rejected")
-    rows = spark.read.schema("id long, upto long, rule string").parquet(f"{output}/rejected") if there else spark.createDataFrame([], "id long, upto long, rule string")
+    rows = there_or_empty(spark, f"{output}/rejected", "id long, upto long, rule string")
     return rows.join(from_runs, "upto", "left_semi").select("id", "rule")
 
 

@@ -17,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memloom.shared import cut, drop, names
+from memloom.shared import cut, drop, there_or_empty
 
 BUCKETS = 64
 Fold = Callable[[DataFrame], DataFrame]
@@ -25,7 +25,7 @@ Fold = Callable[[DataFrame], DataFrame]
 
 def marks(spark: SparkSession, path: str) -> DataFrame:
     """``upto`` of all whole runs, a row each."""
-    return spark.read.schema("upto long").parquet(f"{path}/marks") if names(spark, f"{path}/marks") else spark.createDataFrame([], "upto long")
+    return there_or_empty(spark, f"{path}/marks", "upto long")
 
 
 def mark(spark: SparkSession, path: str) -> int | None:
@@ -35,7 +35,7 @@ def mark(spark: SparkSession, path: str) -> int | None:
 
 def _held(spark: SparkSession, path: str, schema: str, upto: int | None) -> dict[int, int]:
     """The slot in use of each bucket, as of a mark."""
-    if upto is None or not any(n.startswith("slot=") for n in names(spark, f"{path}/rows")):
+    if upto is None:
         return {}
     rows = _rows(spark, path, schema).filter(F.col("upto") <= upto)
     # As many rows as buckets.
@@ -43,7 +43,7 @@ def _held(spark: SparkSession, path: str, schema: str, upto: int | None) -> dict
 
 
 def _rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(f"{schema}, upto long, slot int, bucket int").parquet(f"{path}/rows")
+    return there_or_empty(spark, f"{path}/rows", f"{schema}, upto long, slot int, bucket int")
 
 
 def _of(spark: SparkSession, path: str, schema: str, slots: dict[int, int]) -> DataFrame:

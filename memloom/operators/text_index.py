@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from memloom.operators.fulltext import head, tokens
-from memloom.shared import cut, drop, names, remove
+from memloom.shared import cut, drop, remove, there_or_empty
 
 SPAN = 100_000
 POSTINGS = "doc_id long, token string, tf long, n_tokens int, head int, part long"
@@ -32,8 +32,7 @@ def part_of(doc_id: Column, span: int) -> Column:
 
 def stored(spark: SparkSession, path: str, name: str, schema: str) -> DataFrame:
     """One of the two tables of an index; without rows before the first update."""
-    there = any(n.startswith("part=") for n in names(spark, f"{path}/{name}"))
-    return spark.read.schema(schema).parquet(f"{path}/{name}") if there else spark.createDataFrame([], schema)
+    return there_or_empty(spark, f"{path}/{name}", schema)
 
 
 def postings(docs: DataFrame, id_col: str, text_cols: list[str], span: int) -> DataFrame:

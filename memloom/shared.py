@@ -13,6 +13,7 @@ import tempfile
 import uuid
 import weakref
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -115,6 +116,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def there_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A Parquet table that may not have been written yet: without rows then."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
 def dealt(df: DataFrame, *keys: str) -> DataFrame:
     """A scan whose files give fewer parts than there are cores, dealt over these by ``keys``; others stay as they are.
 
