@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from memloom.functions.gates import relation
+from memloom.functions.models import Embedder, embed
+from memloom.functions.text import norm_query
 from memloom.operators import local
 from memloom.operators.components import components
 from memloom.operators.similarity import nearest, similar_pairs
@@ -191,12 +193,17 @@ def consolidation(facts: DataFrame, max_facts: int = 10_000, least: float = 0.85
     return own.groupBy("leader").agg(F.sort_array(F.collect_list("id")).alias("source_ids"), F.substring(best, 1, most).alias("summary"), lead.alias("category"))
 
 
-def apply_consolidation(facts: DataFrame, plan: DataFrame, at: Column) -> tuple[DataFrame, DataFrame]:
-    """The facts afterwards, with each summary in place of its sources, and the archive of the originals."""
+def apply_consolidation(facts: DataFrame, plan: DataFrame, at: Column, make: Callable[[], Embedder] | None = None) -> tuple[DataFrame, DataFrame]:
+    """The facts afterwards, with each summary in place of its sources, and the archive of the originals.
+
+    A summary is embedded by the model that ``make`` builds; without one it keeps its leader's vector.
+    """
     sources = plan.select("leader", "summary", F.explode("source_ids").alias("id"))
     archive = sources.join(facts, "id").select(F.concat_ws("_", F.lit("archive"), "leader", "id").alias("id"), F.to_json(F.struct("id", "full_key", "category")).alias("original_content"), F.col("summary").alias("compressed_content"), at.alias("compression_timestamp"), F.array(F.col("id")).alias("source_ids"), "category")
     rest = facts.join(sources.select("id"), "id", "left_anti")
     new = plan.join(facts.withColumnRenamed("id", "leader").drop("category"), "leader").withColumn("full_key", F.col("summary")).withColumnRenamed("leader", "id")
+    if make is not None:
+        new = embed(new, norm_query("full_key"), make=make)
     return rest.unionByName(new.select(*facts.columns)), archive
 
 

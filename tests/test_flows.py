@@ -324,3 +324,16 @@ def test_single_questions_have_the_answers_of_the_plan(spark):
         got = warm.ask(q, 5, 0.3)
         assert [(r["content"], r["type"], round(r["similarity"], 9)) for r in got] == [(r["content"], r["type"], round(r["similarity"], 9)) for r in plan]
     warm.close()
+
+
+def test_consolidated_summaries_are_embedded_again(spark):
+    from memloom.functions import models
+    from memloom.operators import lifecycle
+
+    facts = models.embed(spark.createDataFrame([(1, "short text", "c"), (2, "a longer text of the group", "c"), (3, "alone", "c")], "id long, full_key string, category string"), F.col("full_key"))
+    plan = spark.createDataFrame([(1, [1, 2], "a longer text of the group", "c")], "leader long, source_ids array<long>, summary string, category string")
+    at = F.lit("2024-01-01").cast("timestamp")
+    vectors = {r["id"]: r["embedding"] for r in facts.collect()}
+    kept = {r["id"]: r["embedding"] for r in lifecycle.apply_consolidation(facts, plan, at)[0].collect()}
+    made = {r["id"]: r["embedding"] for r in lifecycle.apply_consolidation(facts, plan, at, models.hashed_embedder)[0].collect()}
+    assert kept == {1: vectors[1], 3: vectors[3]} and made == {1: vectors[2], 3: vectors[3]}
