@@ -443,3 +443,27 @@ def _metric(plan, name):
         return plan.metrics().apply(name).value()
     children = plan.children()
     return next((m for i in range(children.size()) if (m := _metric(children.apply(i), name)) is not None), None)
+
+
+def test_equal_questions_are_scored_once_and_only_the_best_leave_a_task(spark):
+    """Many queries of few texts over many rows: neither times the other. A table of texts and rows would have 100,000 rows here."""
+    docs = spark.range(2_000).select("id", F.concat(F.lit("common word "), F.col("id") % 7).alias("text"))
+    q = spark.range(50).select(F.col("id").alias("query_id"), F.concat(F.lit("common "), F.col("id") % 2 + 1, F.lit(" word")).alias("query"))
+    df = fulltext.bm25(docs, q, 3)
+    got = df.collect()
+    assert [r["doc_id"] for r in sorted(got, key=lambda r: (r["query_id"], r["rank"]))] == [0, 1, 2] * 50
+    scored = df._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in scored and sorted(got) == sorted(fulltext.bm25(docs, q.unionByName(q), 3).collect())
+
+
+@pytest.mark.parametrize("cells", [fulltext.CELLS, 64])
+def test_scores_by_blocks_are_those_by_joins(spark, monkeypatch, cells):
+    rng = random.Random(5)
+    words = ["al", "alpha", "alphabet", "beta", "betas", "gamma", "x", "delta", "deltas", "de"]
+    docs = spark.createDataFrame([(i % 90, " ".join(rng.choices(words, k=rng.randrange(0, 12)))) for i in range(100)] + [(200, None)], "id long, text string")
+    q = spark.createDataFrame([(i, " ".join(rng.sample(words, 4))) for i in range(20)] + [(77, "zzz"), (78, ""), (79, None)], "query_id long, query string")
+    monkeypatch.setattr(fulltext, "CELLS", cells)
+    got = sorted(map(tuple, fulltext.bm25(docs, q, 6).collect()))
+    monkeypatch.setattr(fulltext, "MOST_TERMS", 3)
+    assert got == sorted(map(tuple, fulltext.bm25(docs, q, 6).collect())) and len(got) == 120
+    assert fulltext.bm25(docs, q.filter("query_id > 77"), 6).collect() == []
