@@ -378,8 +378,10 @@ def belongs_to(facts: DataFrame, weight: float = 0.9) -> DataFrame:
     return facts.select(F.col("node").alias("src"), F.concat(F.lit("cat_"), "category").alias("dst"), F.lit(weight).alias("weight"), F.lit("belongs_to").alias("type")).distinct()
 
 
-def category_index(facts: DataFrame, node: str = "node", most: int = 100_000) -> DataFrame:
-    """``category, part, nodes``: the sorted nodes of a category, in one list while it has about ``most`` of them, else in as many by hash."""
+def category_index(facts: DataFrame, node: str = "node", most: int | None = 100_000) -> DataFrame:
+    """``category, part, nodes``: the sorted nodes of a category, in one list while it has about ``most`` of them, else in as many by hash; without ``most`` always in one."""
+    if most is None:
+        return facts.groupBy("category").agg(F.sort_array(F.collect_list(node)).alias("nodes")).select("category", F.lit(0).alias("part"), "nodes")
     sizes = facts.groupBy(F.col("category").alias("of")).agg(F.ceil(F.count(F.lit(1)) / most).alias("parts"))
     held = facts.select("category", F.col(node).alias("node")).join(sizes.filter("parts > 1"), F.col("category").eqNullSafe(F.col("of")), "left")
     part = F.coalesce(F.pmod(F.xxhash64("node"), F.col("parts")), F.lit(0)).cast("int")

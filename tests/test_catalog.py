@@ -98,6 +98,15 @@ def test_pushdown(spark):
     assert "TakeOrderedAndProject" in plan("facts_by_category")
 
 
+def test_a_large_category_is_one_list(spark, tmp_path):
+    """More documents of a language than a part of the operator holds."""
+    spark.range(250_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 5 > 0, "en").alias("lang")).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = {r["category"]: (r["part"], r["nodes"]) for r in catalog.QUERIES["category_index"](spark, str(tmp_path)).collect()}
+    assert got == {c: (part, nodes) for c, part, nodes in con.execute(catalog.ORACLES["category_index"]).fetchall()} and len(got["en"][1]) == 200_000
+
+
 def test_entry_names():
     import __spark_entry__ as entry
 
