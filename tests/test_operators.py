@@ -467,3 +467,20 @@ def test_scores_by_blocks_are_those_by_joins(spark, monkeypatch, cells):
     monkeypatch.setattr(fulltext, "MOST_TERMS", 3)
     assert got == sorted(map(tuple, fulltext.bm25(docs, q, 6).collect())) and len(got) == 120
     assert fulltext.bm25(docs, q.filter("query_id > 77"), 6).collect() == []
+
+
+@pytest.mark.parametrize("find", [graph.louvain, graph.leiden])
+def test_passes_over_links_find_what_joins_find(spark, monkeypatch, find):
+    """A round is one pass over the links of a level, and its communities are those of joins and of one task."""
+    rng = random.Random(11)
+    pairs = sorted({(a, b) for a, b in ((rng.randrange(14), rng.randrange(14)) for _ in range(60)) if a < b})
+    e = spark.createDataFrame([(a, b, 1.0 + (a * b) % 3) for a, b in pairs], "src long, dst long, weight double")
+    looks = []
+    look = graph._Dealt.look
+    monkeypatch.setattr(graph._Dealt, "look", lambda *a: (looks.append(1), look(*a))[1])
+    told = lambda most: sorted(map(tuple, find(spark.range(15), e, most=most).collect()))
+    by_passes = told(0)
+    assert looks and by_passes == told(1000)
+    looks.clear()
+    monkeypatch.setattr(graph, "MOST_NODES", 0)
+    assert by_passes == told(0) and not looks
