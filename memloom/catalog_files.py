@@ -73,7 +73,7 @@ def graph_store(spark, sf):
     """Projects that are saved, saved again with rebuilt edges, listed, loaded and deleted."""
     path, v = folder(spark, "graphs"), fx.vectors(spark, sf)
     nodes = v.select(F.col("id").alias("node"), "label", F.lit("2024-01-01").cast("timestamp").alias("created_at"))
-    edges, member = similarity.similar_pairs(v, 0.33), v.select(F.col("id").alias("node"), F.col("label").alias("community"))
+    edges, member = cut(similarity.similar_pairs(v, 0.33), "edges"), v.select(F.col("id").alias("node"), F.col("label").alias("community"))
     for name in ("one", "two", "three"):
         files.save_graph(path, name, nodes, edges, member)
     files.save_graph(path, "two", nodes.filter("label % 2 = 0"), graph.band_edges(v, 0.33, 0.35), member)
@@ -362,6 +362,7 @@ def _two_projects(spark: SparkSession, sf: str) -> str:
     path, v = folder(spark, "projects"), fx.vectors(spark, sf)
     nodes = v.select(F.concat(F.lit("n"), "id").alias("node"), "id", F.col("full_key").alias("content"), F.lit("fact").alias("type"), "embedding", "label")
     edges = similarity.similar_pairs(v, 0.33).select(F.concat(F.lit("n"), "src").alias("src"), F.concat(F.lit("n"), "dst").alias("dst"), "weight")
+    edges = cut(edges, "edges")  # saved three times, found once
     member = nodes.select("node", F.col("label").alias("community"))
     for name, some in (("one", "label % 2 = 0"), ("two", "label % 2 = 1"), ("two", "label % 2 = 1 AND id % 7 <> 0")):
         files.save_graph(path, name, nodes.filter(some), edges, member)

@@ -107,6 +107,17 @@ def test_a_large_category_is_one_list(spark, tmp_path):
     assert got == {c: (part, nodes) for c, part, nodes in con.execute(catalog.ORACLES["category_index"]).fetchall()} and len(got["en"][1]) == 200_000
 
 
+@pytest.mark.parametrize("name", ["graph_store", "sql_project_search"])
+def test_edges_of_several_saves_are_found_once(spark, monkeypatch, name):
+    from memloom import catalog_files
+
+    save, found = catalog_files.files.save_graph, []
+    monkeypatch.setattr(catalog_files.files, "save_graph", lambda path, project, nodes, edges, member: (found.append("FlatMapGroupsInArrow" in edges._jdf.queryExecution().optimizedPlan().toString()), save(path, project, nodes, edges, member))[1])
+    catalog.QUERIES[name](spark, SF)
+    # A store's second project is saved again with edges of its own.
+    assert found == ([False] * 3 + [True] if name == "graph_store" else [False] * 3)
+
+
 def test_entry_names():
     import __spark_entry__ as entry
 
