@@ -5,6 +5,10 @@ merging their places, less the offsets, finds every occurrence exactly. Of a str
 every third offset, and the last, are enough. Parts are dealt by a hash into folders, and sorted, so a search
 reads the folders and row groups of its own parts. Texts are read only of documents that are told.
 
+Texts are laid out one behind the other in blocks of ``BLOCK`` letters, with a letter's room between them, so that
+no string is found across two. A row holds all places of a part in a block, each as the step from the one before it: a small number
+a letter, and nothing a document, is what is moved and kept. A row of its own tells where a block's texts begin.
+
 The searches are those of ``fulltext`` with the same results: whole words or substrings of three letters
 or more, and phrases. Where an index can't tell (words of fewer letters, the raw query where nothing
 else is found), they scan as ``fulltext`` does.
@@ -15,29 +19,112 @@ ones are not indexed; rows that repeat an id are one document, whose rows are al
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Iterable, Iterator
+from functools import partial
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from memloom.operators import fulltext
 
 HEADS, SIZE = 64, 3
+#: Letters of a block, but for a longer text, which is a block of its own.
+BLOCK = 1 << 20
+#: The folder of the rows that tell where texts begin.
+TEXTS = -1
 #: Documents that may be named in a filter, which the scan takes; more are joined.
 MOST_NAMED = 1_000
+_ROWS = "gram string, block long, places array<int>, docs array<long>"
 
 
 def _head(gram: Column) -> Column:
     return F.pmod(F.xxhash64(gram), F.lit(HEADS)).cast("int")
 
 
-def build(docs: DataFrame, path: str, id_col: str, form: Column) -> None:
+def _strings(parts: np.ndarray) -> pa.Array:
+    """Rows of letters as strings."""
+    size = (1 + (parts >= 0x80) + (parts >= 0x800) + (parts >= 0x10000)).sum(axis=1)
+    offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+    return pa.StringArray.from_buffers(len(parts), pa.py_buffer(offsets), pa.py_buffer(parts.astype("<u4").tobytes().decode("utf-32-le").encode()))
+
+
+def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(values))
+
+
+def _block(ids: np.ndarray, texts: pa.Array, block: int) -> pa.RecordBatch:
+    """``_ROWS`` of a block: one row a part, and one with no part for where its texts begin."""
+    letters = np.frombuffer("\0".join(texts.to_pylist()).encode("utf-32-le"), "<u4").astype(np.int64)
+    sizes = pc.utf8_length(texts).to_numpy()
+    starts = np.concatenate([[0], np.cumsum(sizes[:-1] + 1)])
+    # Letters by their rank among those of the block, so that a part is a small number.
+    used = np.flatnonzero(np.bincount(letters, minlength=1))
+    rank = np.zeros(used[-1] + 1, np.int64)
+    rank[used] = np.arange(len(used))
+    no = rank[letters]
+    key = (no[:-2] * len(used) + no[1:-1]) * len(used) + no[2:]
+    whole = np.ones(len(letters) - SIZE + 1, bool)
+    for i in range(1, SIZE + 1):  # parts that would reach over a text's end
+        at = starts[1:] - i
+        whole[at[at < len(whole)]] = False
+    at = np.flatnonzero(whole)
+    at = at[np.argsort(key[at], kind="stable")]
+    first = np.flatnonzero(np.concatenate([[True], np.diff(key[at]) != 0]))
+    some = at[first]
+    gram = pa.concat_arrays([_strings(letters[some[:, None] + np.arange(SIZE)]), pa.nulls(1, pa.string())])
+    at, first = np.concatenate([at, starts]), np.append(first, len(at))
+    places = np.diff(at, prepend=0)
+    places[first] = at[first]
+    places = _lists(places.astype(np.int32), np.diff(np.append(first, len(at))))
+    docs = pa.concat_arrays([pa.nulls(len(some), pa.list_(pa.int64())), _lists(ids, [len(ids)])])
+    return pa.record_batch([gram, pa.array(np.full(len(some) + 1, block)), places, docs], names=["gram", "block", "places", "docs"])
+
+
+def _blocks(batches: Iterable[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """``_ROWS`` of blocks of consecutive rows ``doc_id, text``."""
+    number = TaskContext.get().partitionId() << 32
+    held, size = [], 0
+    for batch in batches:
+        ids, texts = batch.column(0).to_numpy(), batch.column(1)
+        ends = np.cumsum(pc.utf8_length(texts).to_numpy() + 1)
+        a = 0
+        while a < len(ids):
+            before = ends[a - 1] if a else 0
+            b = int(np.searchsorted(ends, before + most - size, side="right"))
+            if b == a and not held:
+                b = a + 1
+            if b > a:
+                held.append((ids[a:b], texts.slice(a, b - a)))
+                size += int(ends[b - 1] - before)
+            if b < len(ids):
+                yield _block(np.concatenate([x for x, _ in held]), pa.concat_arrays([t for _, t in held]), number)
+                held, size, number = [], 0, number + 1
+            a = b
+    if held:
+        yield _block(np.concatenate([x for x, _ in held]), pa.concat_arrays([t for _, t in held]), number)
+
+
+def _counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``_ROWS`` with places in the place of steps."""
+    for batch in batches:
+        steps = batch.column(2)
+        sizes, total = pc.list_value_length(steps).to_numpy(), np.cumsum(steps.flatten().to_numpy().astype(np.int64))
+        ends = np.cumsum(sizes)
+        before = np.where(ends > sizes, total[np.maximum(ends - sizes, 1) - 1], 0) if len(total) else ends
+        yield pa.record_batch([batch.column(0), batch.column(1), _lists((total - np.repeat(before, sizes)).astype(np.int32), sizes), batch.column(3)], names=batch.schema.names)
+
+
+def build(docs: DataFrame, path: str, id_col: str, form: Column, block: int = BLOCK) -> None:
     """Write the index of ``form``, an expression of a row's text as it is searched, in place of what was there."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.regexp_extract_all(form, F.lit("(?s)."), F.lit(0)).alias("c")).filter(F.col("doc_id").isNotNull() & (F.size("c") >= SIZE))
-    parts = F.transform(F.sequence(F.lit(0), F.size("c") - SIZE), lambda i: F.concat(*(F.get("c", i + j) for j in range(SIZE))))
-    # The places of a document's part; texts of one id lie apart, so that no string is found across them.
-    each = rows.withColumn("row", F.monotonically_increasing_id()).select("doc_id", "row", F.posexplode(parts).alias("place", "gram"))
-    lists = each.groupBy("gram", "doc_id", "row").agg(F.sort_array(F.collect_list("place")).alias("places"))
-    lists = lists.withColumn("head", _head(F.col("gram")))
-    lists.repartition("head", F.pmod(F.xxhash64("gram", "doc_id"), F.lit(4))).sortWithinPartitions("head", "gram", "doc_id").write.mode("overwrite").partitionBy("head").parquet(f"{path}/grams")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), form.alias("text")).filter(F.col("doc_id").isNotNull() & (F.length("text") >= SIZE))
+    # In order, so that a task that is run again makes the same blocks.
+    parts = rows.sortWithinPartitions("doc_id", "text").mapInArrow(partial(_blocks, most=block), _ROWS)
+    parts = parts.withColumn("head", F.when(F.col("gram").isNull(), TEXTS).otherwise(_head(F.col("gram"))))
+    parts.repartition("head", F.pmod(F.xxhash64("gram", "block"), F.lit(4))).sortWithinPartitions("head", "gram", "block").write.mode("overwrite").partitionBy("head").parquet(f"{path}/grams")
 
 
 def cover(word: str) -> list[tuple[int, str]]:
@@ -48,18 +135,28 @@ def cover(word: str) -> list[tuple[int, str]]:
 
 def hits(spark: SparkSession, path: str, words: list[str]) -> DataFrame:
     """``word, doc_id, start``: every place where a text holds one of the ``words``, of three letters or more."""
-    asked = [(w, i, g, len(cover(w))) for w in dict.fromkeys(words) for i, g in cover(w)]
-    index = spark.read.schema("gram string, doc_id long, row long, places array<int>, head int").parquet(f"{path}/grams")
+    asked = [(w, i, g) for w in dict.fromkeys(words) for i, g in cover(w)]
+    index = spark.read.schema(f"{_ROWS}, head int").parquet(f"{path}/grams")
     if not asked:
         return spark.createDataFrame([], "word string, doc_id long, start int")
-    of = F.broadcast(spark.createDataFrame(asked, "word string, offset int, gram string, need int"))  # the words of a question
-    wanted = sorted({g for _, _, g, _ in asked})
+    of = F.broadcast(spark.createDataFrame(asked, "word string, offset int, gram string"))  # the words of a question
+    need = F.broadcast(spark.createDataFrame([(w, len(cover(w))) for w in dict.fromkeys(words)], "word string, need int"))
+    wanted = sorted({g for _, _, g in asked})
     heads = [r["head"] for r in spark.createDataFrame([(g,) for g in wanted], "gram string").select(_head(F.col("gram")).alias("head")).distinct().collect()]
-    found = index.filter(F.col("head").isin(heads) & F.col("gram").isin(wanted)).join(of, "gram")
-    starts = found.select("word", "need", "doc_id", "row", F.explode(F.transform("places", lambda p: p - F.col("offset"))).alias("start"))
-    # A document's part is one row, so a start that all parts of the string have is counted ``need`` times.
-    whole = starts.groupBy("word", "need", "doc_id", "row", "start").agg(F.count(F.lit(1)).alias("n")).filter("n = need")
-    return whole.select("word", "doc_id", "start")
+    found = index.filter(F.col("head").isin(heads) & F.col("gram").isin(wanted)).drop("head").mapInArrow(_counted, _ROWS).join(of, "gram")
+    starts = found.select("word", "block", F.transform("places", lambda p: p - F.col("offset")).alias("starts"))
+    # A block's part is one row, so a start is the string's where all of its parts have it.
+    whole = starts.groupBy("word", "block").agg(F.collect_list("starts").alias("lists")).join(need, "word").filter(F.size("lists") == F.col("need"))
+    rest = F.slice("lists", F.lit(2), F.greatest(F.size("lists") - 1, F.lit(0)))
+    whole = whole.select("word", "block", F.explode(F.aggregate(rest, F.element_at("lists", 1), F.array_intersect)).alias("place"))
+    texts = index.filter(F.col("head") == TEXTS).drop("head").mapInArrow(_counted, _ROWS).join(whole.select("block").distinct(), "block", "left_semi")
+    texts = texts.select("block", F.explode(F.arrays_zip("places", "docs")).alias("t")).select(F.lit(None).cast("string").alias("word"), "block", F.col("t.places").alias("place"), F.col("t.docs").alias("doc_id"), F.col("t.places").alias("at"))
+    # The text that a place lies in is the last that begins at or before it; a block's rows are bounded by its letters.
+    both = texts.unionByName(whole, allowMissingColumns=True)
+    last = Window.partitionBy("block").orderBy("place", F.col("word").isNotNull())
+    told = lambda c: F.last(c, ignorenulls=True).over(last)
+    both = both.withColumns({"doc_id": told("doc_id"), "at": told("at")}).filter("word IS NOT NULL")
+    return both.select("word", "doc_id", (F.col("place") - F.col("at")).cast("int").alias("start"))
 
 
 def _of(rows: DataFrame, id_col: str, found: DataFrame) -> DataFrame | None:

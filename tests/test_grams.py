@@ -55,3 +55,20 @@ def test_phrases_are_those_of_the_scan(indexed, tmp_path, query):
     how = ("content", text.norm_fts, [F.desc("id"), F.col("content")])
     by_index = grams.phrase_search(df.filter("id IS NOT NULL"), path, query, *how).select("id", "content", "tier").collect()
     assert by_index == fulltext.phrase_search(df.filter("id IS NOT NULL"), query, *how).select("id", "content", "tier").collect()
+
+
+@pytest.mark.parametrize("block", [1, 7, 20, 60])
+def test_blocks_hold_whole_texts(spark, tmp_path, block):
+    path, df = str(tmp_path / "blocks"), spark.createDataFrame(ROWS, "id long, content string").coalesce(2)
+    grams.build(df, path, "id", F.lower("content"), block)
+    words = ["cat", "cat sat", "aaaa", "the the", "😀cat😀", "mat"]
+    assert {tuple(r) for r in grams.hits(spark, path, words).collect()} == {(w, i, a) for w in words for i, t in ROWS if t for a in range(len(t)) if t.lower().startswith(w, a)}
+    assert spark.read.parquet(f"{path}/grams").select("block").distinct().count() > 2
+
+
+def test_rows_follow_blocks_not_documents(spark, tmp_path):
+    path, text = str(tmp_path / "rows"), "one text of many that say the same"
+    grams.build(spark.range(3000).select("id", F.lit(text).alias("content")).coalesce(1), path, "id", F.col("content"))
+    rows = spark.read.parquet(f"{path}/grams")
+    assert rows.count() == len({text[i : i + 3] for i in range(len(text) - 2)}) + 1
+    assert rows.selectExpr("sum(size(places))").first()[0] == 3000 * (len(text) - 2) + 3000
