@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from memloom.functions.text import _text, is_arabic_heavy, norm_store, normalize_whitespace
+from memloom.functions.text import _text, is_arabic, is_arabic_heavy, norm_store, normalize_whitespace
 from memloom.schema import FACT_CATEGORIES, RELATION_KINDS
 
 # Phrases that say nothing.
@@ -63,6 +64,8 @@ STAT_ENGLISH = [
     r"[\d,.]+\s*%",
 ]
 STAT_ARABIC = [r"(?:عدد|اجمالي|مجموع|متوسط)\s+\S+?\s*[:=]\s*[\d,.]+", r"(?:عدد|اجمالي|مجموع|متوسط)\s+\S+?\s+(?:هو|يساوي)\s*[\d,.]+"]
+# What the first pattern, in which any text may lie, begins with.
+STAT_STARTS = ["number", "total", "count", "average", "mean"]
 SENSITIVE = r"\b[A-Z_]{2,40}(?:KEY|TOKEN|SECRET|PASSWORD|API_KEY|BOT_TOKEN)\b"
 CJK = "[一-鿿㐀-䶿぀-ゟ゠-ヿ가-힯]"
 LEAST_ARABIC, LEAST_OTHER = 10, 20
@@ -84,11 +87,30 @@ def is_cjk(c: Column | str) -> Column:
 
 
 def _skip_pattern() -> str:
-    """All phrases in the stored form that texts are compared in."""
+    """All phrases in the stored form that texts are compared in, for SQL."""
     fold = str.maketrans("إأآٱىة", "اااايه")
     return any_of_words([p.lower().translate(fold) for p in SKIP_PHRASES])
 
 
+def _has_phrase(stored: Column) -> Column:
+    """One of the phrases is in a text, both in stored form. Plain searches are faster than a pattern of all; Arabic ones are made where there are such letters."""
+    fold = str.maketrans("إأآٱىة", "اااايه")
+    phrases = list(dict.fromkeys(p.lower().translate(fold) for p in SKIP_PHRASES))
+    phrases = [p for p in phrases if not any(q != p and q in p for q in phrases)]
+    held = lambda some: reduce(lambda a, b: a | b, (F.contains(stored, F.lit(p)) for p in some))
+    return held([p for p in phrases if p.isascii()]) | (is_arabic(stored) & held([p for p in phrases if not p.isascii()]))
+
+
+def _has_figures(low: Column, stored: Column) -> Column:
+    """A snapshot of figures. Each pattern is tried where what it can't do without is in the text: these are cheap to look for."""
+    found = lambda col, pattern: F.coalesce(col.rlike(f"(?U){pattern}"), F.lit(False))
+    any_in = lambda col, some: reduce(lambda a, b: a | b, (F.contains(col, F.lit(w)) for w in some))
+    total, scored, counted, named, share = STAT_ENGLISH
+    told = found(low, r"\s(?:is|:|=|was|of|has|in|are)\s*[\d,.]")
+    english = (any_in(low, STAT_STARTS) & found(low, total)) | (told & (found(low, scored) | found(low, named))) | found(low, counted) | (any_in(low, ["%"]) & found(low, share))
+    return english | (is_arabic(stored) & (found(stored, STAT_ARABIC[0]) | found(stored, STAT_ARABIC[1])))
+
+
 def junk_rule(c: Column | str) -> Column:
     """Which gate rejects a fact, or null if none does: the first that applies.
 
@@ -105,24 +127,21 @@ def bound(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def _first_rule(c: Column, low: Column, stored: Column) -> Column:
-    any_of = lambda col, patterns: F.coalesce(col.rlike("|".join(f"(?:{p})" for p in patterns)), F.lit(False))
-    unicode = lambda patterns: ["(?U)" + p for p in patterns]
     length = F.length(c)
     # Figures weigh only beside a word that goes with them, which is looked for where they do.
     solid = F.replace(c, F.lit(" "), F.lit(""))
-    figures = F.length(F.regexp_replace(solid, r"(?U)[^\d.,]", "")) / F.length(solid)
+    figures = F.length(F.regexp_replace(solid, r"(?U)[^\d.,]+", "")) / F.length(solid)
     stat_word = F.arrays_overlap(words(low), F.array(*(F.lit(w) for w in STAT_WORDS)))
     return (
         F.when(c == "", "empty")
         .when(is_sensitive(c), "sensitive")
         .when(is_cjk(c), "cjk")
         .when((length < LEAST_ARABIC) | ((length < LEAST_OTHER) & ~is_arabic_heavy(c)), "short")
-        .when(stored.rlike(_skip_pattern()), "phrase")
+        .when(_has_phrase(stored), "phrase")
         .when(c.rlike(r"(?U)^\d+\s+\w+$"), "count")
         .when(c.rlike(r"(?U)^تم\s+\w+\s*$"), "passive")
         .when(c.rlike(r"^[a-z][a-z0-9_]{15,}$"), "snake")
-        .when(any_of(low, unicode(STAT_ENGLISH)), "figures")
-        .when(any_of(stored, unicode(STAT_ARABIC)), "figures")
+        .when(_has_figures(low, stored), "figures")
         .when((figures > 0.30) & stat_word, "digits")
     )
 

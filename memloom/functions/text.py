@@ -52,8 +52,10 @@ def norm_query(c: Column | str) -> Column:
 
 def norm_store(c: Column | str) -> Column:
     """Normal form of stored keys: tatweel and hamza stay, feminine endings go."""
-    bare = F.regexp_replace(_text(c), "[ً-ٟؐ-ؚٰ]", "")
-    return normalize_whitespace(F.translate(bare, "إأآٱىة", "اااايه"))
+    c = _text(c)
+    bare = F.translate(F.regexp_replace(c, "[ً-ٟؐ-ؚٰ]", ""), "إأآٱىة", "اااايه")
+    # All of these letters and marks are Arabic: other texts are spared both passes.
+    return normalize_whitespace(F.when(c.rlike(f"[{ARABIC}]"), bare).otherwise(c))
 
 
 def norm_fts(c: Column | str) -> Column:
@@ -72,13 +74,15 @@ def is_arabic(c: Column | str) -> Column:
 def arabic_ratio(c: Column | str) -> Column:
     """Arabic characters over all but white space; 0 for blank text."""
     c = F.coalesce(_text(c), F.lit(""))
-    solid = F.length(F.regexp_replace(c, r"(?U)\s", ""))
-    return F.when(solid > 0, F.length(F.regexp_replace(c, f"[^{ARABIC}]", "")) / solid).otherwise(F.lit(0.0))
+    solid = F.length(F.regexp_replace(c, r"(?U)\s+", ""))
+    return F.when(solid > 0, F.length(F.regexp_replace(c, f"[^{ARABIC}]+", "")) / solid).otherwise(F.lit(0.0))
 
 
 def is_arabic_heavy(c: Column | str, least: float = 0.3) -> Column:
     c = F.coalesce(_text(c), F.lit(""))
-    return (F.length(normalize_whitespace(c)) > 0) & (arabic_ratio(c) >= least)
+    # A text with an Arabic letter is not blank, and one without has a ratio of 0, which need not be worked out.
+    some = is_arabic(c) if least > 0 else F.length(normalize_whitespace(c)) > 0
+    return some & (arabic_ratio(c) >= least)
 
 
 def clean_chunk(c: Column | str, most: int = 300, least: int = 15) -> Column:

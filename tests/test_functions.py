@@ -193,3 +193,23 @@ def test_embedding(spark):
     assert label.first()["y"] == "X"
     parsed = spark.createDataFrame([('{"k": "v"}',), ("so: {'k': 'w',}",)], "t string").select(models.parse_json(F.col("t"), "k string").alias("p")).collect()
     assert [r["p"]["k"] for r in parsed] == ["v", "w"]
+
+
+def test_cheap_looks_tell_what_the_patterns_tell(spark):
+    """Phrases and figures in texts put together from what the patterns are made of, and the passes that texts without Arabic letters are spared."""
+    rng, bits = random.Random(5), ["number of", "total", "mean", "score", "value", "nodes", "lines", "is", ":", "=", "was", "has", "12", "3.5", "%", " ", "\u00a0", "\n", "é", "x", ".", "عدد", "مجموع", "هو", "٣", "no issues", "was not used", "لا يوجد", "لا مشاكل", "ة", "ً", "أ"]
+    rows = ["".join(rng.choice([b, b + " ", " " + b]) for b in rng.choices(bits, k=rng.randrange(1, 9))) for _ in range(4000)] + ["", " ", *gates.SKIP_PHRASES]
+    df = spark.createDataFrame([(r,) for r in rows], "t string").repartition(4)
+    low, stored = F.lower("t"), text.norm_store(F.lower("t"))
+    whole = lambda c, patterns: c.rlike("|".join(f"(?:(?U){p})" for p in patterns))
+    bare = F.trim(F.regexp_replace(F.translate(F.regexp_replace("t", "[ً-ٟؐ-ؚٰ]", ""), "إأآٱىة", "اااايه"), r"(?U)\s+", " "))
+    wrong = (
+        (gates._has_phrase(stored) != stored.rlike(gates._skip_pattern()))
+        | (gates._has_figures(low, stored) != (whole(low, gates.STAT_ENGLISH) | whole(stored, gates.STAT_ARABIC)))
+        | (text.norm_store("t") != bare)
+        | (text.is_arabic_heavy("t") != ((F.length(text.normalize_whitespace("t")) > 0) & (text.arabic_ratio("t") >= 0.3)))
+    )
+    assert df.filter(wrong | wrong.isNull()).collect() == []
+    assert df.filter(gates._has_figures(low, stored)).count() > 100 < df.filter(gates._has_phrase(stored)).count()
+    # The Arabic passes lie behind a look for such letters.
+    assert "CASE WHEN RLIKE" in df.select(text.norm_store("t"))._jdf.queryExecution().analyzed().toString()
