@@ -181,3 +181,20 @@ def test_jobs_by_command_line(spark, tmp_path):
         assert done["rows"] == 24 - (job == "curate_facts")
     assert text_index.stored(spark, str(tmp_path / "index_documents"), "documents", text_index.DOCUMENTS).count() == 22
     assert curate_facts.facts(spark, str(tmp_path / "curate_facts")).filter(F.col("fact_hash") == fact_hash("full_key")).count() > 10
+
+
+def test_parts_have_as_many_files_as_their_rows_need(spark, tmp_path):
+    path = str(tmp_path / "parts")
+    docs = spark.range(2000).select("id", F.expr("concat_ws(' ', transform(sequence(1, 30), x -> concat(char(97 + (id + x) % 26), char(97 + (id * 7 + x) % 26), x)))").alias("text"))
+    shuffled, coalesced = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "16")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        for part in (0, 1):
+            text_index.update(spark, path, docs.filter(F.col("id") % 2 == part), "id", ["text"], span=100)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", shuffled)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesced)
+    index = text_index.stored(spark, path, "postings", text_index.POSTINGS)
+    assert len(index.inputFiles()) == 20 == len(text_index.stored(spark, path, "documents", text_index.DOCUMENTS).inputFiles())
+    assert index.agg(F.sum("tf"), F.countDistinct("doc_id")).first() == (60_000, 2000)
