@@ -33,8 +33,9 @@ log = logging.getLogger(NAME)
 def fold(rows: DataFrame) -> DataFrame:
     """One row for each hash; of several the first id's text and category hold."""
     first = lambda c: F.min_by(c, F.struct("first_id", "full_key", "category")).alias(c)
-    out = rows.groupBy("fact_hash").agg(first("full_key"), first("category"), F.sum("seen_count").alias("seen_count"), F.min("first_id").alias("first_id"), F.max("last_id").alias("last_id"))
-    return out.select("fact_hash", "full_key", "category", "seen_count", "first_id", "last_id")
+    by = snapshot.keys(rows, "fact_hash")
+    out = rows.groupBy(*by).agg(first("full_key"), first("category"), F.sum("seen_count").alias("seen_count"), F.min("first_id").alias("first_id"), F.max("last_id").alias("last_id"))
+    return out.select(*by, "full_key", "category", "seen_count", "first_id", "last_id")
 
 
 def facts(spark: SparkSession, output: str) -> DataFrame:

@@ -23,6 +23,11 @@ BUCKETS = 64
 Fold = Callable[[DataFrame], DataFrame]
 
 
+def keys(rows: DataFrame, key: str) -> list[str]:
+    """What a fold groups by: the key, and the bucket that goes with it where rows have it."""
+    return [c for c in ("bucket", key) if c in rows.columns]
+
+
 def marks(spark: SparkSession, path: str) -> DataFrame:
     """``upto`` of all whole runs, a row each."""
     return there_or_empty(spark, f"{path}/marks", "upto long")
@@ -67,6 +72,7 @@ def advance(spark: SparkSession, path: str, new: DataFrame, upto: int, key: str,
     """Merge the folded rows of ``new`` into the snapshot and set the mark to ``upto``. Returns the number of buckets written.
 
     ``fold`` brings rows of a key together, and takes its own results as rows: ``fold(a + fold(b)) = fold(a + b)``.
+    One that keeps a column ``bucket``, where rows have it, as a part of the key (``keys``) spares an exchange of all rows.
     """
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in new.schema)
     bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
@@ -75,9 +81,13 @@ def advance(spark: SparkSession, path: str, new: DataFrame, upto: int, key: str,
     held = _held(spark, path, schema, mark(spark, path))
     old = _of(spark, path, schema, {b: held[b] for b in touched if b in held})
     slot = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for b in touched for x in (b, 1 - held.get(b, 1)))), F.col("bucket")), F.lit(0)) if touched else F.lit(0)
-    out = fold(old.unionByName(fresh)).withColumns({"upto": F.lit(upto).cast("long"), "bucket": bucket}).withColumn("slot", slot)
     if touched:
-        out.repartition("bucket").sortWithinPartitions("bucket", key).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("slot", "bucket").parquet(f"{path}/rows")
+        rows = old.unionByName(fresh).withColumn("bucket", bucket)
+        out = fold(rows.repartition("bucket"))  # buckets are folded where they are written
+        if "bucket" not in out.columns:
+            out = fold(rows.drop("bucket")).withColumn("bucket", bucket).repartition("bucket")
+        out = out.withColumns({"upto": F.lit(upto).cast("long"), "slot": slot})
+        out.sortWithinPartitions("slot", "bucket", key).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("slot", "bucket").parquet(f"{path}/rows")
     spark.range(1).select(F.lit(upto).cast("long").alias("upto")).coalesce(1).write.mode("append").parquet(f"{path}/marks")
     drop(fresh)
     return len(touched)

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memloom.functions.text import fact_hash
+from memloom.operators.snapshot import keys
 from memloom.schema import MISTAKE_CATEGORIES, SEVERITIES
 from memloom.shared import first_rows
 
@@ -79,7 +80,7 @@ def merged(facts: DataFrame) -> DataFrame:
     without invalidations can be kept as a snapshot (``memloom.operators.snapshot``).
     """
     first = [F.min_by(c, F.struct("first", *(x for x in ("full_key", "category", "source")))).alias(c) for c in ("full_key", "category", "source")]
-    return facts.groupBy("fact_hash").agg(*first, F.max("importance").alias("importance"), F.sum("seen_count").alias("seen_count"), F.min("first").alias("first"), F.max("last").alias("last"))
+    return facts.groupBy(*keys(facts, "fact_hash")).agg(*first, F.max("importance").alias("importance"), F.sum("seen_count").alias("seen_count"), F.min("first").alias("first"), F.max("last").alias("last"))
 
 
 def live(facts: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from jobs import cli, curate_facts, index_documents
 from memloom.functions.text import fact_hash
-from memloom.operators import fulltext, snapshot, text_index
+from memloom.operators import fulltext, snapshot, store, text_index
 
 WORDS = ["graph", "memory", "fact", "search", "vector", "session", "topic", "index", "token", "answer"]
 
@@ -198,3 +198,14 @@ def test_parts_have_as_many_files_as_their_rows_need(spark, tmp_path):
     index = text_index.stored(spark, path, "postings", text_index.POSTINGS)
     assert len(index.inputFiles()) == 20 == len(text_index.stored(spark, path, "documents", text_index.DOCUMENTS).inputFiles())
     assert index.agg(F.sum("tf"), F.countDistinct("doc_id")).first() == (60_000, 2000)
+
+
+def test_a_fold_that_keeps_buckets_has_one_exchange(spark, tmp_path):
+    path, log = str(tmp_path / "folded"), spark.range(300).selectExpr("concat('text ', id % 90) AS full_key", "'en' AS category", "'s' AS source", "1 AS importance", "timestamp_seconds(id) AS ts", "id AS seq")
+    new = store.sightings(log)
+    for upto in range(3):
+        snapshot.advance(spark, path, new.filter(F.col("first.seq") % 3 == upto), upto, "fact_hash", store.merged, 8)
+    kept = snapshot.current(spark, path, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in new.schema))
+    assert sorted(map(str, kept.collect())) == sorted(map(str, store.merged(new).select(*kept.columns).collect()))
+    folded = store.merged(kept.withColumn("bucket", F.length("fact_hash") % 8).repartition("bucket"))
+    assert folded.columns[0] == "bucket" and folded._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
