@@ -416,6 +416,15 @@ def test_pairs_of_balls_are_all_pairs_and_most_are_skipped(spark, block):
         pruned_pairs.similar_pairs(df, 0.0)
 
 
+def test_balls_are_sent_in_packs(spark):
+    """Without clusters all balls are close: their rows are sent for each pair of packs, of which there are far fewer."""
+    df = frame(spark, unit(400, 24, 3)).cache()
+    pairs = lambda d: sorted((r["src"], r["dst"], round(r["weight"], 9)) for r in d.collect())
+    found, told = pruned_pairs.similar_pairs(df, 0.3, index=vector_index.fit(df, cells=60), block=50)
+    assert pairs(found) == pairs(similarity.similar_pairs(df, 0.3)) and len(pairs(found)) > 500
+    assert told["packs"] <= 4 * 5 // 2 and told["products"] > 500
+
+
 def test_stored_cells_are_pruned_and_appended_to(spark, tmp_path):
     """Rows come in two writes; a search equals that by the index in memory, and reads the files of the cells that it visits alone."""
     x = unit(600, 16, 5, groups=20, spread=0.3)
