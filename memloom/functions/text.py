@@ -40,6 +40,11 @@ def normalize_ta_marbuta(c: Column | str) -> Column:
     return F.translate(_text(c), "ة", "ه")
 
 
+def _if_arabic(c: Column, form: Column) -> Column:
+    """``form``, which changes only Arabic letters and marks: other texts are spared its passes."""
+    return F.when(c.rlike(f"[{ARABIC}]"), form).otherwise(c)
+
+
 def normalize_whitespace(c: Column | str) -> Column:
     return F.trim(F.regexp_replace(_text(c), r"(?U)\s+", " "))
 
@@ -47,24 +52,23 @@ def normalize_whitespace(c: Column | str) -> Column:
 def norm_query(c: Column | str) -> Column:
     """Normal form of a query; null becomes empty, feminine endings stay."""
     c = F.coalesce(_text(c), F.lit(""))
-    return normalize_whitespace(normalize_yaa(normalize_hamza(normalize_alef(remove_diacritics(c)))))
+    return normalize_whitespace(_if_arabic(c, normalize_yaa(normalize_hamza(normalize_alef(remove_diacritics(c))))))
 
 
 def norm_store(c: Column | str) -> Column:
     """Normal form of stored keys: tatweel and hamza stay, feminine endings go."""
     c = _text(c)
     bare = F.translate(F.regexp_replace(c, "[ً-ٟؐ-ؚٰ]", ""), "إأآٱىة", "اااايه")
-    # All of these letters and marks are Arabic: other texts are spared both passes.
-    return normalize_whitespace(F.when(c.rlike(f"[{ARABIC}]"), bare).otherwise(c))
+    return normalize_whitespace(_if_arabic(c, bare))
 
 
 def norm_fts(c: Column | str) -> Column:
     """Normal form of indexed text. Composes hamza and madda first, as canonical composition would."""
-    c = _text(c)
+    c = bare = _text(c)
     for pair, one in (("آ", "آ"), ("أ", "أ"), ("إ", "إ"), ("ؤ", "ؤ"), ("ئ", "ئ")):
-        c = F.replace(c, F.lit(pair), F.lit(one))
-    c = F.regexp_replace(c, "[ً-ٰٟۖ-ۜ۟-۪ۨ-ۭ]", "")
-    return F.trim(F.translate(c, "أإآٱىئة", "ااااييه"))
+        bare = F.replace(bare, F.lit(pair), F.lit(one))
+    bare = F.regexp_replace(bare, "[ً-ٰٟۖ-ۜ۟-۪ۨ-ۭ]", "")
+    return F.trim(_if_arabic(c, F.translate(bare, "أإآٱىئة", "ااااييه")))
 
 
 def is_arabic(c: Column | str) -> Column:

@@ -26,10 +26,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memloom.operators import fulltext
+from memloom.shared import cut, drop
 
 HEADS, SIZE = 64, 3
 #: Letters of a block, but for a longer text, which is a block of its own.
@@ -38,7 +39,12 @@ BLOCK = 1 << 20
 TEXTS = -1
 #: Documents that may be named in a filter, which the scan takes; more are joined.
 MOST_NAMED = 1_000
+#: Documents that may be sent to all tasks, which the texts then need not move for.
+MOST_SENT = 1_000_000
+#: Parts of texts for each core, so that none waits for the last.
+PARTS = 3
 _ROWS = "gram string, block long, places array<int>, docs array<long>"
+_FOUND = "word string, doc_id long, start int"
 
 
 def _head(gram: Column) -> Column:
@@ -56,6 +62,15 @@ def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(values))
 
 
+def _ordered(key: np.ndarray, at: np.ndarray, most: int) -> np.ndarray:
+    """The places ``at``, in order, by their keys below ``most``, and by themselves."""
+    bits = len(key).bit_length()
+    if most << bits >= 1 << 63:
+        return at[np.argsort(key[at], kind="stable")]
+    # Both in one number: numbers are sorted several times as fast as places by them.
+    return np.sort(key[at] << bits | at) & ((1 << bits) - 1)
+
+
 def _block(ids: np.ndarray, texts: pa.Array, block: int) -> pa.RecordBatch:
     """``_ROWS`` of a block: one row a part, and one with no part for where its texts begin."""
     letters = np.frombuffer("\0".join(texts.to_pylist()).encode("utf-32-le"), "<u4").astype(np.int64)
@@ -71,8 +86,7 @@ def _block(ids: np.ndarray, texts: pa.Array, block: int) -> pa.RecordBatch:
     for i in range(1, SIZE + 1):  # parts that would reach over a text's end
         at = starts[1:] - i
         whole[at[at < len(whole)]] = False
-    at = np.flatnonzero(whole)
-    at = at[np.argsort(key[at], kind="stable")]
+    at = _ordered(key, np.flatnonzero(whole), len(used) ** SIZE)
     first = np.flatnonzero(np.concatenate([[True], np.diff(key[at]) != 0]))
     some = at[first]
     gram = pa.concat_arrays([_strings(letters[some[:, None] + np.arange(SIZE)]), pa.nulls(1, pa.string())])
@@ -85,10 +99,11 @@ def _block(ids: np.ndarray, texts: pa.Array, block: int) -> pa.RecordBatch:
 
 
 def _blocks(batches: Iterable[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    """``_ROWS`` of blocks of consecutive rows ``doc_id, text``."""
+    """``_ROWS`` of blocks of consecutive rows ``doc_id, text``, but for those that have no part."""
     number = TaskContext.get().partitionId() << 32
     held, size = [], 0
     for batch in batches:
+        batch = batch.filter(pc.greater_equal(pc.utf8_length(batch.column(1)), SIZE))
         ids, texts = batch.column(0).to_numpy(), batch.column(1)
         ends = np.cumsum(pc.utf8_length(texts).to_numpy() + 1)
         a = 0
@@ -120,7 +135,12 @@ def _counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def build(docs: DataFrame, path: str, id_col: str, form: Column, block: int = BLOCK) -> None:
     """Write the index of ``form``, an expression of a row's text as it is searched, in place of what was there."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), form.alias("text")).filter(F.col("doc_id").isNotNull() & (F.length("text") >= SIZE))
+    docs, scanned = docs.filter(F.col(id_col).cast("long").isNotNull()), docs.rdd.getNumPartitions()
+    if scanned > 1:  # else a small table
+        # Parts of a scan may hold most rows in one. Dealt evenly before they get their form, texts keep all cores busy.
+        docs = docs.repartition(max(PARTS * docs.sparkSession.sparkContext.defaultParallelism, scanned))
+    # Short texts are left out later: a filter would work out the form again.
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), form.alias("text"))
     # In order, so that a task that is run again makes the same blocks.
     parts = rows.sortWithinPartitions("doc_id", "text").mapInArrow(partial(_blocks, most=block), _ROWS)
     parts = parts.withColumn("head", F.when(F.col("gram").isNull(), TEXTS).otherwise(_head(F.col("gram"))))
@@ -138,35 +158,44 @@ def hits(spark: SparkSession, path: str, words: list[str]) -> DataFrame:
     asked = [(w, i, g) for w in dict.fromkeys(words) for i, g in cover(w)]
     index = spark.read.schema(f"{_ROWS}, head int").parquet(f"{path}/grams")
     if not asked:
-        return spark.createDataFrame([], "word string, doc_id long, start int")
-    of = F.broadcast(spark.createDataFrame(asked, "word string, offset int, gram string"))  # the words of a question
-    need = F.broadcast(spark.createDataFrame([(w, len(cover(w))) for w in dict.fromkeys(words)], "word string, need int"))
+        return spark.createDataFrame([], _FOUND)
+    need = {w: sum(w == x for x, _, _ in asked) for w, _, _ in asked}
+    # The words of a question, which need no job.
+    of = spark.createDataFrame(pa.table({"word": [w for w, _, _ in asked], "offset": pa.array([i for _, i, _ in asked], pa.int32()), "gram": [g for _, _, g in asked], "need": pa.array([need[w] for w, _, _ in asked], pa.int32())}))
     wanted = sorted({g for _, _, g in asked})
-    heads = [r["head"] for r in spark.createDataFrame([(g,) for g in wanted], "gram string").select(_head(F.col("gram")).alias("head")).distinct().collect()]
-    found = index.filter(F.col("head").isin(heads) & F.col("gram").isin(wanted)).drop("head").mapInArrow(_counted, _ROWS).join(of, "gram")
-    starts = found.select("word", "block", F.transform("places", lambda p: p - F.col("offset")).alias("starts"))
+    heads = sorted({r["head"] for r in spark.createDataFrame(pa.table({"gram": wanted})).select(_head(F.col("gram")).alias("head")).collect()})
+    found = index.filter(F.col("head").isin(heads) & F.col("gram").isin(wanted)).drop("head").mapInArrow(_counted, _ROWS).join(F.broadcast(of), "gram")
+    starts = found.select("word", "need", "block", F.transform("places", lambda p: p - F.col("offset")).alias("starts"))
     # A block's part is one row, so a start is the string's where all of its parts have it.
-    whole = starts.groupBy("word", "block").agg(F.collect_list("starts").alias("lists")).join(need, "word").filter(F.size("lists") == F.col("need"))
+    whole = starts.groupBy("word", "need", "block").agg(F.collect_list("starts").alias("lists")).filter(F.size("lists") == F.col("need"))
     rest = F.slice("lists", F.lit(2), F.greatest(F.size("lists") - 1, F.lit(0)))
-    whole = whole.select("word", "block", F.explode(F.aggregate(rest, F.element_at("lists", 1), F.array_intersect)).alias("place"))
-    texts = index.filter(F.col("head") == TEXTS).drop("head").mapInArrow(_counted, _ROWS).join(whole.select("block").distinct(), "block", "left_semi")
-    texts = texts.select("block", F.explode(F.arrays_zip("places", "docs")).alias("t")).select(F.lit(None).cast("string").alias("word"), "block", F.col("t.places").alias("place"), F.col("t.docs").alias("doc_id"), F.col("t.places").alias("at"))
-    # The text that a place lies in is the last that begins at or before it; a block's rows are bounded by its letters.
-    both = texts.unionByName(whole, allowMissingColumns=True)
-    last = Window.partitionBy("block").orderBy("place", F.col("word").isNotNull())
-    told = lambda c: F.last(c, ignorenulls=True).over(last)
-    both = both.withColumns({"doc_id": told("doc_id"), "at": told("at")}).filter("word IS NOT NULL")
-    return both.select("word", "doc_id", (F.col("place") - F.col("at")).cast("int").alias("start"))
+    whole = whole.select("word", "block", F.aggregate(rest, F.element_at("lists", 1), F.array_intersect).alias("starts")).filter(F.size("starts") > 0)
+    # A block has one row of its texts, so what is found in it meets that row, and no text's row is taken apart.
+    texts = index.filter(F.col("head") == TEXTS).select("block", "places", "docs")
+    return whole.join(texts, "block").select("word", "starts", "places", "docs").mapInArrow(_told, _FOUND)
+
+
+def _told(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``_FOUND`` of rows with a word's starts in a block, and the steps and ids of the block's texts."""
+    for batch in batches:
+        for word, starts, steps, docs in zip(*batch.columns, strict=True):
+            starts, begins = starts.values.to_numpy(), np.cumsum(steps.values.to_numpy().astype(np.int64))
+            # The text that a place lies in is the last that begins at or before it.
+            at = np.searchsorted(begins, starts, side="right") - 1
+            words = pa.array(np.zeros(len(starts), np.int32))
+            words = pa.DictionaryArray.from_arrays(words, pa.array([word.as_py()])).cast(pa.string())
+            yield pa.record_batch([words, docs.values.take(pa.array(at)), pa.array((starts - begins[at]).astype(np.int32))], names=["word", "doc_id", "start"])
 
 
 def _of(rows: DataFrame, id_col: str, found: DataFrame) -> DataFrame | None:
-    """The rows of the documents found; None if there are none. Few are named in a filter that the scan takes."""
+    """The rows of the documents found; None if there are none. Few are named in a filter that the scan takes, and up to ``MOST_SENT`` sent to it."""
+    found = cut(found, "found")  # looked at, counted and joined, but searched once
     ids = [r["doc_id"] for r in found.limit(MOST_NAMED + 1).collect()]
-    if not ids:
-        return None
     if len(ids) <= MOST_NAMED:
-        return rows.filter(F.col(id_col).isin(ids))
-    return rows.join(found.withColumnRenamed("doc_id", id_col), id_col, "left_semi")
+        drop(found)
+        return rows.filter(F.col(id_col).isin(ids)) if ids else None
+    sent = F.broadcast(found) if found.count() <= MOST_SENT else found
+    return rows.join(sent.withColumnRenamed("doc_id", id_col), id_col, "left_semi")
 
 
 def _spoken(spark: SparkSession, expression: Column) -> str:

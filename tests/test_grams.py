@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -72,3 +73,33 @@ def test_rows_follow_blocks_not_documents(spark, tmp_path):
     rows = spark.read.parquet(f"{path}/grams")
     assert rows.count() == len({text[i : i + 3] for i in range(len(text) - 2)}) + 1
     assert rows.selectExpr("sum(size(places))").first()[0] == 3000 * (len(text) - 2) + 3000
+
+
+def test_rows_in_one_part_are_dealt_over_the_cores(spark, tmp_path):
+    path, df = str(tmp_path / "dealt"), spark.range(0, 8000, 1, 2).filter("id < 4000").select("id", F.concat(F.lit("text "), "id").alias("content"))
+    assert df.rdd.getNumPartitions() == 2 and sum(1 for x in df.rdd.glom().map(len).collect() if x) == 1
+    grams.build(df, path, "id", F.col("content"))
+    docs = spark.read.parquet(f"{path}/grams").filter("gram IS NULL").select(F.expr("block >> 32 AS part"), F.size("docs").alias("n")).groupBy("part").agg(F.sum("n").alias("n")).collect()
+    assert sum(r["n"] for r in docs) == 4000
+    assert len(docs) >= spark.sparkContext.defaultParallelism and max(r["n"] for r in docs) < 4000 / spark.sparkContext.defaultParallelism
+
+
+@pytest.mark.parametrize("sent", [0, 100])
+def test_many_documents_are_searched_once(indexed, tmp_path, monkeypatch, sent):
+    df, _ = indexed
+    path, df = str(tmp_path / "many"), df.filter("id IS NOT NULL")
+    monkeypatch.setattr(grams, "MOST_NAMED", 1)
+    monkeypatch.setattr(grams, "MOST_SENT", sent, raising=False)
+    grams.build(df, path, "id", text.norm_fts(F.col("content")))
+    how = ("content", text.norm_fts, [F.desc("id"), F.col("content")])
+    found = grams.phrase_search(df, path, "the ", *how)
+    plan = found._jdf.queryExecution().toString()
+    assert "MapInArrow" not in plan and ("strategy=broadcast" in plan) == (sent > 0)
+    assert found.select("id", "content", "tier").collect() == fulltext.phrase_search(df, "the ", *how).select("id", "content", "tier").collect()
+
+
+def test_places_are_ordered_the_same_by_both_ways():
+    key = np.random.default_rng(3).integers(0, 50, 2000)
+    at = np.flatnonzero(key % 7)
+    expected = at[np.argsort(key[at], kind="stable")]
+    assert (grams._ordered(key, at, 50) == expected).all() and (grams._ordered(key, at, 1 << 60) == expected).all()
