@@ -493,3 +493,28 @@ def test_passes_over_links_find_what_joins_find(spark, monkeypatch, find):
     looks.clear()
     monkeypatch.setattr(graph, "MOST_NODES", 0)
     assert by_passes == told(0) and not looks
+
+
+def test_a_look_sorts_nothing_where_parts_are_few(monkeypatch):
+    """Links are put in order once; a look at few communities adds up a table of nodes and communities."""
+    e = planted(300, 15, 0.6, 4)
+    net, part = whole_net(300, e), np.arange(300) // 15 % 4
+    want = {}
+    for a, b, w in zip(net.a.tolist(), net.b.tolist(), net.w.tolist()):
+        want[a, int(part[b])] = want.get((a, int(part[b])), 0.0) + w
+    alone = net.near(np.arange(300))
+    monkeypatch.setattr(local.np, "lexsort", None)
+    monkeypatch.setattr(local.np, "argsort", None)
+    assert {(v, to): w for v, to, w in zip(*(x.tolist() for x in net.near(part)))} == want
+    assert len(net.look(part, 1.0)[1]) > 0 and [x.tolist() for x in alone] == [net.a.tolist(), net.b.tolist(), net.w.tolist()]
+
+
+@pytest.mark.parametrize("find", [graph.louvain, graph.leiden])
+def test_levels_of_few_nodes_are_numbers(spark, monkeypatch, find):
+    """Links are packed by a few to a row; levels are contracted from them, without joins by names, and finished in one task when they are small."""
+    e = spark.createDataFrame([(f"n{a}", f"n{b}", w) for a, b, w in planted(40, 8, 0.7)], "src string, dst string, weight double").cache()
+    nodes = spark.range(42).select(F.concat(F.lit("n"), "id").alias("id"))
+    one = sorted(map(tuple, find(nodes, e).collect()))
+    monkeypatch.setattr(graph, "_Level", None)
+    monkeypatch.setattr(graph, "PACKED", 7)
+    assert sorted(map(tuple, find(nodes, e, most=30).collect())) == one and len({c for _, c in one}) > 4
