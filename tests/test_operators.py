@@ -518,3 +518,16 @@ def test_levels_of_few_nodes_are_numbers(spark, monkeypatch, find):
     monkeypatch.setattr(graph, "_Level", None)
     monkeypatch.setattr(graph, "PACKED", 7)
     assert sorted(map(tuple, find(nodes, e, most=30).collect())) == one and len({c for _, c in one}) > 4
+
+
+def test_blocks_grow_with_the_rows_and_their_pairs_come_in_parts(monkeypatch):
+    """A row is sent once for each block: to ten, not to one for every 4,096 rows; and what a block finds is given out some rows' at a time."""
+    for n, dims, most in ((10_256, 64, 3), (102_564, 64, 11), (615_384, 64, 19), (615_384, 1024, 151)):
+        assert -(-n // similarity.block_of(n, dims)) <= most and similarity.block_of(n, dims) * dims <= max(similarity.WIDE, 4096 * dims)
+    x, ids = unit(60, 6, 4).astype(float), np.arange(60) // 2 * 2  # ids repeat
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    monkeypatch.setattr(similarity, "HELD", 60 * 7)
+    parts = list(similarity.found_pairs(ids, x, ids, x, -1.1, 2.0, True))
+    assert len(parts) == 9 and max(p.num_rows for p in parts) <= 60 * 7
+    got = sorted(zip(*(sum((p.column(c).to_pylist() for p in parts), []) for c in (0, 1))))
+    assert got == sorted((int(min(ids[i], ids[j])), int(max(ids[i], ids[j]))) for i in range(60) for j in range(i + 1, 60) if ids[i] != ids[j])
