@@ -15,7 +15,7 @@ from memloom.functions import gates, models, text, vectors
 from memloom.operators import graph, lifecycle, rank, similarity, store, summaries
 from memloom.plans import projects, tools
 from memloom.registry import folder, query
-from memloom.shared import cut, dealt, names, table
+from memloom.shared import cut, dealt, drop, names, table
 from memloom.sources import files
 from memloom.streaming import incremental
 
@@ -74,10 +74,12 @@ def graph_store(spark, sf):
     path, v = folder(spark, "graphs"), fx.vectors(spark, sf)
     nodes = v.select(F.col("id").alias("node"), "label", F.lit("2024-01-01").cast("timestamp").alias("created_at"))
     edges, member = cut(similarity.similar_pairs(v, 0.33), "edges"), v.select(F.col("id").alias("node"), F.col("label").alias("community"))
-    for name in ("one", "two", "three"):
+    for name in ("one", "three", "two"):
         files.save_graph(path, name, nodes, edges, member)
+        if name == "three":
+            files.delete_project(spark, path, name)
+    drop(edges)  # each project has its own by now
     files.save_graph(path, "two", nodes.filter("label % 2 = 0"), graph.band_edges(v, 0.33, 0.35), member)
-    files.delete_project(spark, path, "three")
     out = []
     for r in files.list_projects(spark, path).collect():  # a handful of names
         n, e, m = files.load_graph(spark, path, r["project"])

@@ -122,3 +122,15 @@ def test_entry_names():
     import __spark_entry__ as entry
 
     assert set(catalog.QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_no_more_copies_of_the_edges_than_the_store_holds(spark, monkeypatch):
+    """When a project is saved again, the one to delete is gone, and so are the edges that all were saved from."""
+    from memloom import catalog_files
+    from memloom.shared import _paths, cut, names
+
+    save, there, made = catalog_files.files.save_graph, [], []
+    monkeypatch.setattr(catalog_files, "cut", lambda df, name: made.append(df := cut(df, name)) or df)
+    monkeypatch.setattr(catalog_files.files, "save_graph", lambda path, *a: (there.append((names(spark, path), [x for x in made if id(x) in _paths])), save(path, *a)))
+    catalog.QUERIES["graph_store"](spark, SF)
+    assert [x[0] for x in there] == [[], ["one"], ["one"], ["one", "two"]] and [len(x[1]) for x in there] == [1, 1, 1, 0]
